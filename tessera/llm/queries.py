@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and licenses in every document, from the scanner's detections."""
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    base = F.filter("detections", lambda d: d["rule"] == "base")
+    starts = F.transform(base, lambda d: d["start_word"])
+    names = lambda ds: F.array_join(F.array_sort(F.array_distinct(F.transform(ds, lambda d: d["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("detections")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document by the token automaton, as digests."""
     coded = bpe.encode_decode(_table(spark, sf_dir, "documents"))
@@ -26,7 +44,7 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe_automaton": op6_bpe_automaton}
+    return {"op2_license_scan": op2_license_scan, "op6_bpe_automaton": op6_bpe_automaton}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses
+from . import bpe, langid, licenses, toxicity
+from .common import crc_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document under a field fitted to the training labels."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit_model(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (crc_fold("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document by the token automaton, as digests."""
     coded = bpe.encode_decode(_table(spark, sf_dir, "documents"))
@@ -43,8 +57,15 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by shortest code length under the training fold's trees."""
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit_model(docs))
+    return found.select("doc_id", (crc_fold("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_license_scan": op2_license_scan, "op6_bpe_automaton": op6_bpe_automaton}
+    return {f.__name__: f for f in (op2_license_scan, op5_toxicity_crf, op6_bpe_automaton, op9_language_ppm)}
 
 
 def oracle_sql() -> dict[str, str]:

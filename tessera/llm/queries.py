@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, toxicity
+from . import bpe, chat, langid, licenses, toxicity
 from .common import crc_fold
 
 
@@ -64,9 +64,46 @@ def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+PROBE = "</s>[INST] ok [/INST]"  # an extra conversation of control strings
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and the probe, then read the result back."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    back = chat.read_conversations(chat.format_conversations(turns.unionByName(probe)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP10_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'
+), u AS (
+  SELECT *, length(regexp_replace(text, '{chat.ESCAPE}', '{chat.ESCAPED}', 'g'))
+    + CASE role WHEN 'user' THEN {sum(map(len, chat.MARKS["user"]))} WHEN 'assistant' THEN {sum(map(len, chat.MARKS["assistant"]))}
+      WHEN 'system' THEN {sum(map(len, chat.MARKS["system"]))} END AS chars FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM u GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op5_toxicity_crf, op6_bpe_automaton, op9_language_ppm)}
+    return {f.__name__: f for f in (op2_license_scan, op5_toxicity_crf, op6_bpe_automaton, op9_language_ppm, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, toxicity
+from . import bpe, chat, langid, licenses, permutation, topk, toxicity
 from .common import crc_fold
 
 
@@ -57,6 +57,32 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows found for every hundredth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = permutation.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op8_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products for every hundredth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.w, r.w), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id
+), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 10
+"""
+
+
 def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by shortest code length under the training fold's trees."""
     docs = _table(spark, sf_dir, "documents")
@@ -102,8 +128,8 @@ FROM u GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op5_toxicity_crf, op6_bpe_automaton, op9_language_ppm, op10_chat_format)}
+    return {f.__name__: f for f in (op2_license_scan, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op8_block_topk": OP8_SQL, "op10_chat_format": OP10_SQL}

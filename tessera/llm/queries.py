@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, permutation, topk, toxicity
+from . import bpe, chat, langid, licenses, packing, permutation, topk, toxicity
 from .common import crc_fold
 
 
@@ -33,6 +33,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed along the curve, each piece's ids as a checksum."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document under a field fitted to the training labels."""
     docs = _table(spark, sf_dir, "documents")
@@ -128,7 +134,7 @@ FROM u GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format)}
+    return {f.__name__: f for f in (op2_license_scan, op3_hilbert_packing, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, packing, permutation, topk, toxicity
+from . import bpe, chat, langid, licenses, neardup, packing, permutation, topk, toxicity
 from .common import crc_fold
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, named by its smallest doc_id."""
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and licenses in every document, from the scanner's detections."""
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
@@ -134,7 +139,7 @@ FROM u GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_hilbert_packing, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format)}
+    return {f.__name__: f for f in (op1_prob_minhash, op2_license_scan, op3_hilbert_packing, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

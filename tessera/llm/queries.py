@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, neardup, packing, permutation, topk, toxicity
+from . import bpe, chat, langid, licenses, neardup, packing, permutation, substrings, topk, toxicity
 from .common import crc_fold
 
 
@@ -44,6 +44,12 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of its repeated windows, as a digest."""
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document under a field fitted to the training labels."""
     docs = _table(spark, sf_dir, "documents")
@@ -139,7 +145,7 @@ FROM u GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_prob_minhash, op2_license_scan, op3_hilbert_packing, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format)}
+    return {f.__name__: f for f in (op1_prob_minhash, op2_license_scan, op3_hilbert_packing, op4_recompression_dedup, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

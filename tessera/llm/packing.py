@@ -9,8 +9,9 @@ which need no padding.
 
 from __future__ import annotations
 
+import json
 import math
-import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import read_vocabulary, vocabulary_path
+from .bpe import PRE_SPLIT, byte_letters, read_vocabulary, vocabulary_path
 from .common import slices, texts
 
 SEQUENCE, END = 1024, 0
@@ -76,50 +77,35 @@ def curve_keys(batch: list[str], memo: dict[bytes, int]) -> np.ndarray:
     return hilbert_index(np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-class LibraryEncoder:
-    """Ids by the tokenizers library, each distinct blank-delimited chunk encoded once.
-
-    A blank before a visible character always begins a new pre-split word; texts with other
-    blanks are handed to the library whole."""
+class RankEncoder:
+    """The ids that the tokenizers library gives for a byte-level vocabulary without post-processing,
+    from the same vocabulary read as merge ranks: ids of such a file are the ranks of its merges.
+    Strings of special tokens are cut out first, as the library does."""
 
     def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.chunks: dict[str, bytes | bool] = {}
-
-    def _library(self, batch: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        chunks, split = self.chunks, [t.split(" ") for t in batch]
-        if len(chunks) > CACHE_ENTRIES:
-            chunks.clear()
-        parts = [list(map(chunks.get, x[1:])) for x in split]
-        missing = dict.fromkeys(c for x, p in zip(split, parts, strict=True) if None in p for c, known in zip(x[1:], p, strict=True) if known is None)
-        for c in missing:
-            if not c or c[0].isspace():
-                chunks[c] = False
-        fresh = [c for c in missing if c not in chunks]
-        chunks.update(zip(fresh, self._library([" " + c for c in fresh]), strict=True))
-        parts = [[chunks[c] if known is None else known for c, known in zip(x[1:], p, strict=True)] if None in p else p for x, p in zip(split, parts, strict=True)]
-        whole = [False in p for p in parts]
-        firsts = self._library([t if w else x[0] for t, x, w in zip(batch, split, whole, strict=True)])
-        return [first if w else b"".join([first, *p]) for first, p, w in zip(firsts, parts, whole, strict=True)]
-
-
-_ENCODERS: dict[int, LibraryEncoder] = {}
-
-
-def library_encoder(vocabulary: str) -> LibraryEncoder:
+        import tiktoken
+
+        spec, letters = json.loads(vocabulary), byte_letters()
+        self.specials = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.specials}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
+        self.ordinary = tiktoken.Encoding("vocabulary", pat_str=PRE_SPLIT.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a whole text."""
+        if self.cut and self.cut.search(text):
+            return b"".join(self.specials.get(x) or array("I", self.ordinary(x)).tobytes() for x in self.cut.split(text))
+        return array("I", self.ordinary(text)).tobytes()
+
+
+_ENCODERS: dict[int, RankEncoder] = {}
+
+
+def rank_encoder(vocabulary: str) -> RankEncoder:
     key = hash(vocabulary)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = LibraryEncoder(vocabulary)
+        _ENCODERS[key] = RankEncoder(vocabulary)
     return _ENCODERS[key]
 
 
@@ -202,11 +188,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=["__id", "__text", "__key", "__range"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(shared.value)
+        encoder = rank_encoder(shared.value)
         packer = Packer(TaskContext.get().partitionId() << 32, length)
         tail = array("I", [end]).tobytes()
         for batch in slices(batches, 128):
-            coded = encoder.encode(texts(batch, 1))
+            coded = map(encoder.encode, texts(batch, 1))
             yield table([piece for i, ids in zip(batch.column(0).to_pylist(), coded, strict=True) for piece in packer.add(i, ids + tail)])
         yield table([*packer.finish()])
 

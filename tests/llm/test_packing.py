@@ -1,10 +1,13 @@
 import itertools
+import random
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing, queries
 
+from .test_bpe import PIECES
+
 
 def check(pieces, texts_of):
     """Every id lies in exactly one piece, sequences are gapless and full or powers of two."""
@@ -48,6 +51,17 @@ def test_odd_rows(spark):
     assert packing.pack(docs.limit(0)).collect() == []
 
 
+def test_ids_equal_the_library():
+    vocabulary = bpe.read_vocabulary(bpe.vocabulary_path())
+    library, encoder = Tokenizer.from_str(vocabulary), packing.RankEncoder(vocabulary)
+    draw = random.Random(3)
+    for _ in range(4000):
+        text = "".join(draw.choice([*PIECES, "\x1c", "\x85", "\u200b", "\u2028", "\u180e", "\u0301", "\x00", "\ufeff"]) for _ in range(draw.randint(0, 16)))
+        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in (" " * 300_000, "a" * 300_000, "\n" * 100_000 + "x", "?" * 100_000):
+        assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_curve_visits_every_cell_in_unit_steps():
     cells = np.array([*itertools.product(range(8), repeat=3)])
     index = packing.hilbert_index(cells, bits=3)

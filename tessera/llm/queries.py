@@ -144,8 +144,15 @@ FROM u GROUP BY conv_id
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_prob_minhash, op2_license_scan, op3_hilbert_packing, op4_recompression_dedup, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format)}
+    return {f.__name__: f for f in (op1_prob_minhash, op2_license_scan, op3_hilbert_packing, op4_recompression_dedup, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -221,11 +221,11 @@ def told(found: DataFrame) -> DataFrame:
 _TOLD = "array<struct<first:int,count:int,key:bigint,code:int>>"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, rounds: int = ROUNDS, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, rounds: int = ROUNDS, carry: list[str] | None = None, keep_unchanged: bool = False) -> DataFrame:
     """Remove every word covered by a window of `size` words that also starts anywhere else.
 
     Returns id_col, the columns named in `carry`, n_words, n_removed and kept (the remaining
-    words joined by one blank). Windows are judged on the input. Null and empty texts have
+    words joined by one blank; with keep_unchanged, texts that lose nothing as they are). Windows are judged on the input. Null and empty texts have
     no words; texts of fewer than `size` words keep all; repeated rows are documents of their
     own, so their long texts go. Other columns are not read.
     """
@@ -250,8 +250,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rest = {(x["first"], x["count"], x["key"]) for x in notes if x["code"] & WINDOWS}
                 pending.append([{"first": a, "count": b, "key": k, "code": 0} for a, b, k in sorted(rest)])
             open_ = pa.array([bool(p) for p in pending])
-            text = pa.array([_join(w, c) if not p else None for w, c, p in zip(words, covers, pending, strict=True)], pa.string())
-            source = pa.array([t if p else None for t, p in zip(batch.column(1).to_pylist(), pending, strict=True)], pa.string())
+            whole = batch.column(1).to_pylist()
+            text = pa.array([None if p else t if keep_unchanged and not c.any() else _join(w, c) for t, w, c, p in zip(whole, words, covers, pending, strict=True)], pa.string())
+            source = pa.array([t if p else None for t, p in zip(whole, pending, strict=True)], pa.string())
             sure = pa.array([[{"first": int(a), "count": int(b), "key": 0, "code": ALL} for a, b in _runs(c)] if p else [] for c, p in zip(covers, pending, strict=True)], batch.schema.field(3).type)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([int(c.sum()) for c in covers], pa.int64()), text, source, pa.array(pending, batch.schema.field(3).type), sure, open_],
@@ -292,8 +293,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for x in sure:
                     cover[x["first"] : x["first"] + x["count"]] = True
                 covers.append(cover)
+            text = [t if keep_unchanged and not c.any() else _join(w, c) for t, w, c in zip(batch.column(1).to_pylist(), words, covers, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([int(c.sum()) for c in covers], pa.int64()), pa.array([_join(w, c) for w, c in zip(words, covers, strict=True)], pa.string())],
+                [batch.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([int(c.sum()) for c in covers], pa.int64()), pa.array(text, pa.string())],
                 names=["__kept", "n_words", "n_removed", "kept"],
             )
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import code_queries, graph_queries, rank_queries, rule_queries, search_queries  # noqa: F401  (they register)
+from .registry import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,26 +34,35 @@ from .neardup import mix
 
 WINDOW = 35
 ROUNDS, RUN_ROUNDS, LEAST_LEVEL = 6, (0, 4), 2
-_MEMO = 300_000
-_BATCH_WORDS = 250_000
+_BATCH_BYTES = 1_000_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _G)
 ALL, WINDOWS = 1, 2  # what a document is told of an occurrence: repeated as a whole, compare its windows
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """Words between blanks and the control characters U+0009 to U+000D, as bytes."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    found = list(map(memo.get, words))
-    if None in found:
-        if len(memo) > _MEMO:
-            memo.clear()
-        found = [memo[w] if w in memo else memo.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words]
-    return np.array(found, np.uint64)
+def word_hashes(column: pa.Array) -> list[np.ndarray]:
+    """Hashes of the words of each text; words stand between blanks and U+0009 to U+000D.
+
+    Bytes are hashed by prefix sums of a polynomial modulo 2^64, all texts of the column at once."""
+    _, offsets, values = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if values is None or at[-1] == at[0]:
+        return [np.zeros(0, np.uint64)] * len(column)
+    raw = np.frombuffer(values, np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    word = _IN_WORD[raw]
+    after, before = word.copy(), word.copy()
+    after[1:], before[:-1] = word[:-1], word[1:]
+    after[0] = before[-1] = False
+    filled = at[:-1] < at[1:]
+    after[at[:-1][filled]] = False  # texts part words
+    before[at[1:][filled] - 1] = False
+    starts, ends = np.flatnonzero(word & ~after), np.flatnonzero(word & ~before) + 1
+    hashes = Spans(_LETTERS[raw], mixed=True).hash(starts, ends)
+    return np.split(hashes, np.searchsorted(starts, at[1:-1]))
 
 
 def _times(factor: np.uint64, n) -> np.ndarray:
@@ -66,12 +75,12 @@ class Spans:
     _powers = np.ones(1, np.uint64)
     _inverses = np.ones(1, np.uint64)
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, mixed: bool = False):
         n = len(symbols) + 1
         if len(Spans._powers) < n:
             Spans._powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))])
             Spans._inverses = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INVERSE))])
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(symbols) * Spans._powers[: n - 1])])
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((symbols if mixed else mix(symbols)) * Spans._powers[: n - 1])])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * Spans._inverses[start] + _times(_G, end - start))
@@ -175,27 +184,41 @@ def anchors(docs: list[np.ndarray], size: int = WINDOW, rounds: int = ROUNDS) ->
     return {"doc": np.array(docs_of)[owner[first]], "first": window[first] - bases[owner[first]], "count": count, "key": key[first].view(np.int64), "span": span.view(np.int64)}
 
 
-def _word_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of whole texts of about _BATCH_WORDS words, with their words."""
-    for batch in slices(batches, 256):
-        start, words, held = 0, [], 0
-        for i, text in enumerate(batch.column(column)):
-            words.append(split_words(text.as_py()))
-            held += len(words[-1])
-            if held >= _BATCH_WORDS:
-                yield batch.slice(start, i + 1 - start), words
-                start, words, held = i + 1, [], 0
-        if words:
-            yield batch.slice(start), words
+def _text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of whole texts of about _BATCH_BYTES bytes."""
+    for batch in slices(batches, 512):
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            done = int(sizes[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, done + _BATCH_BYTES, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def _told(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """text index, first, count, key and code of all notes of a batch."""
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    notes = column.flatten()
+    return np.repeat(np.arange(len(column)), counts), *(notes.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+
+
+def _covered(lengths: np.ndarray, owner: np.ndarray, first: np.ndarray, count: np.ndarray, size: int) -> list[np.ndarray]:
+    """Of texts of so many words, which words lie in the windows that start at first, first + 1, ... (count of them)."""
+    base = np.concatenate([[0], np.cumsum(lengths + 1)])
+    step = np.zeros(base[-1] + 1, np.int32)
+    np.add.at(step, base[owner] + first, 1)
+    np.add.at(step, base[owner] + first + count - 1 + size, -1)
+    cover = np.cumsum(step) > 0
+    return [cover[a : a + n] for a, n in zip(base[:-1].tolist(), lengths.tolist(), strict=True)]
 
 
 def occurrences(rows: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """key, span, __row, first, count of rows __row, __text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
-        for batch, words in _word_batches(batches, 1):
-            found = anchors([word_hashes(w, memo) if len(w) >= size else np.zeros(0, np.uint64) for w in words], size, rounds)
+        for batch in _text_batches(batches, 1):
+            found = anchors(word_hashes(batch.column(1)), size, rounds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found["key"]), pa.array(found["span"]), batch.column(0).take(pa.array(found["doc"], pa.int64())), pa.array(found["first"], pa.int32()), pa.array(found["count"], pa.int32())],
                 names=["key", "span", "__row", "first", "count"],
@@ -242,86 +265,75 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = rows.join(lists, "__row", "left").select("__row", "__text", "__kept", "__told")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in _word_batches(batches, 1):
-            covers, pending = [], []
-            for n, notes in zip(map(len, words), batch.column(3).to_pylist(), strict=True):
-                notes = notes or []
-                covers.append(_cover(n, [(x["first"], x["count"]) for x in notes if x["code"] & ALL], size))
-                rest = {(x["first"], x["count"], x["key"]) for x in notes if x["code"] & WINDOWS}
-                pending.append([{"first": a, "count": b, "key": k, "code": 0} for a, b, k in sorted(rest)])
-            open_ = pa.array([bool(p) for p in pending])
+        for batch in _text_batches(batches, 1):
             whole = batch.column(1).to_pylist()
-            text = pa.array([None if p else t if keep_unchanged and not c.any() else _join(w, c) for t, w, c, p in zip(whole, words, covers, pending, strict=True)], pa.string())
-            source = pa.array([t if p else None for t, p in zip(whole, pending, strict=True)], pa.string())
-            sure = pa.array([[{"first": int(a), "count": int(b), "key": 0, "code": ALL} for a, b in _runs(c)] if p else [] for c, p in zip(covers, pending, strict=True)], batch.schema.field(3).type)
+            words = [_split(t) for t in whole]
+            lengths = np.array([len(w) for w in words], np.int64)
+            owner, first, count, _, code = _told(batch.column(3))
+            sure = (code & ALL) > 0
+            covers = _covered(lengths, owner[sure], first[sure], count[sure], size)
+            is_open = np.zeros(len(words), bool)
+            is_open[owner[(code & WINDOWS) > 0]] = True
+            only_open = pa.array(np.arange(len(words)), mask=~is_open)  # null where nothing is left to compare
+            kept = pa.array([None if o else _kept(t, w, c, keep_unchanged) for t, w, c, o in zip(whole, words, covers, is_open.tolist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([int(c.sum()) for c in covers], pa.int64()), text, source, pa.array(pending, batch.schema.field(3).type), sure, open_],
-                names=["__row", "__kept", "n_words", "n_removed", "kept", "__text", "__pending", "__sure", "__open"],
+                [batch.column(0), batch.column(2), pa.array(lengths), pa.array([int(c.sum()) for c in covers], pa.int64()), kept, batch.column(1).take(only_open), batch.column(3).take(only_open), pa.array(is_open)],
+                names=["__row", "__kept", "n_words", "n_removed", "kept", "__text", "__told", "__open"],
             )
 
-    first = judged.mapInArrow(judge, f"__row long, __kept {kept_type}, n_words long, n_removed long, kept string, __text string, __pending {_TOLD}, __sure {_TOLD}, __open boolean")
+    first = judged.mapInArrow(judge, f"__row long, __kept {kept_type}, n_words long, n_removed long, kept string, __text string, __told {_TOLD}, __open boolean")
     first = materialize(first, "judged")
     forget(lists)
     release(spark)
     pending = first.where("__open")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
-        for batch, words in _word_batches(batches, 1):
-            keys, hashes, owners, places = [], [], [], []
-            for row, w, notes in zip(batch.column(0).to_pylist(), words, batch.column(2).to_pylist(), strict=True):
-                at = np.concatenate([np.arange(x["first"], x["first"] + x["count"]) for x in notes])
-                hashes.append(Spans(word_hashes(w, memo)).hash(at, at + size).view(np.int64))
-                keys.append(np.repeat(np.array([x["key"] for x in notes], np.int64), [x["count"] for x in notes]))
-                owners.append(np.full(len(at), row, np.int64))
-                places.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, hashes, owners, places)], names=["key", "window", "__row", "place"])
-
-    single = materialize(pending.select("__row", "__text", "__pending").mapInArrow(windows, "key long, window long, __row long, place int"), "windows")
+        for batch in _text_batches(batches, 1):
+            hashed = word_hashes(batch.column(1))
+            owner, first, count, key, code = _told(batch.column(2))
+            ask = (code & WINDOWS) > 0
+            owner, first, count, key = owner[ask], first[ask], count[ask], key[ask]
+            base = np.concatenate([[0], np.cumsum([len(h) for h in hashed])]).astype(np.int64)
+            place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            at = np.repeat(base[owner], count) + place
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(key, count)), pa.array(Spans(np.concatenate(hashed)).hash(at, at + size).view(np.int64)), batch.column(0).take(pa.array(np.repeat(owner, count))), pa.array(place, pa.int32())],
+                names=["key", "window", "__row", "place"],
+            )
+
+    single = materialize(pending.select("__row", "__text", "__told").mapInArrow(windows, "key long, window long, __row long, place int"), "windows")
     twice = materialize(single.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window"), "twice")
     # A repeated window is repeated wherever it stands; places already covered as a whole are no harm.
     hits = materialize(single.join(twice, ["key", "window"]).groupBy("__row").agg(F.collect_list("place").alias("__places")), "hits")
     forget(single, twice)
     release(spark)
-    closing = pending.select("__row", "__text", "__kept", "__sure").join(hits, "__row", "left")
+    closing = pending.select("__row", "__text", "__kept", "__told").join(hits, "__row", "left")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in _word_batches(batches, 1):
-            covers = []
-            for n, sure, places in zip(map(len, words), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                cover = _cover(n, [(p, 1) for p in places or []], size)
-                for x in sure:
-                    cover[x["first"] : x["first"] + x["count"]] = True
-                covers.append(cover)
-            text = [t if keep_unchanged and not c.any() else _join(w, c) for t, w, c in zip(batch.column(1).to_pylist(), words, covers, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([int(c.sum()) for c in covers], pa.int64()), pa.array(text, pa.string())],
-                names=["__kept", "n_words", "n_removed", "kept"],
-            )
-
-    closed = closing.select("__row", "__text", "__kept", "__sure", "__places").mapInArrow(close, f"__kept {kept_type}, n_words long, n_removed long, kept string")
+        for batch in _text_batches(batches, 1):
+            whole = batch.column(1).to_pylist()
+            words = [_split(t) for t in whole]
+            lengths = np.array([len(w) for w in words], np.int64)
+            owner, first, count, _, code = _told(batch.column(3))
+            sure = (code & ALL) > 0
+            places = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            place_owner = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(batch.column(4)), 0).to_numpy(zero_copy_only=False))
+            covers = _covered(lengths, np.concatenate([owner[sure], place_owner]), np.concatenate([first[sure], places]), np.concatenate([count[sure], np.ones(len(places), np.int64)]), size)
+            kept = [_kept(t, w, c, keep_unchanged) for t, w, c in zip(whole, words, covers, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(lengths), pa.array([int(c.sum()) for c in covers], pa.int64()), pa.array(kept, pa.string())], names=["__kept", "n_words", "n_removed", "kept"])
+
+    closed = closing.select("__row", "__text", "__kept", "__told", "__places").mapInArrow(close, f"__kept {kept_type}, n_words long, n_removed long, kept string")
     out = first.where("NOT __open").select("__kept", "n_words", "n_removed", "kept").unionAll(closed)
     return out.select(F.col("__kept.__id").alias(id_col), *(F.col(f"__kept.c{i}").alias(c) for i, c in enumerate(carried)), "n_words", "n_removed", "kept")
 
 
-def _cover(n: int, ranges: list[tuple[int, int]], size: int) -> np.ndarray:
-    """Which of n words lie in windows that start in the ranges (first, count)."""
-    if not ranges:
-        return np.zeros(n, bool)
-    step = np.zeros(n + 1, np.int32)
-    at = np.array(ranges, np.int64)
-    np.add.at(step, at[:, 0], 1)
-    np.add.at(step, at[:, 0] + at[:, 1] - 1 + size, -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def _runs(cover: np.ndarray) -> np.ndarray:
-    """(start, length) of the covered stretches."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]])))
-    return np.stack([edge[::2], edge[1::2] - edge[::2]], axis=1)
+def _split(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def _join(words: list[bytes], cover: np.ndarray) -> str:
+def _kept(text: str | None, words: list[bytes], cover: np.ndarray, keep_unchanged: bool) -> str | None:
     if cover.any():
-        words = [words[i] for i in np.flatnonzero(~cover)]
+        words = [words[i] for i in np.flatnonzero(~cover).tolist()]
+    elif keep_unchanged:
+        return text
     return b" ".join(words).decode("utf-8", "surrogatepass")

@@ -119,39 +119,38 @@ class TokenAutomaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The ids of one pre-split word."""
-        whole = self.states.get(word)
-        if whole is not None and len(word) == 1:
-            return [whole]
-        states, labels, shorter, arc = self.states, self.labels, self.shorter, self.arc
+        states, labels, shorter, table, longest = self.states, self.labels, self.shorter, self.table, self.longest
         path: list[int] = []
-        at, end, dead = 0, len(word), set()
-        token = self._longest(word, 0)
+        at, size, dead, token = 0, len(word), set(), -2
         while True:
+            if token == -2:  # the longest arc that spells what comes next
+                end = min(size, at + longest)
+                while (token := states.get(word[at:end], -2)) == -2:
+                    end -= 1
+                    if end == at:
+                        raise ValueError(f"byte {word[at]} is not in the vocabulary")
             while token >= 0:
                 there = at + len(labels[token])
-                if there not in dead and (not path or arc(path[-1], token)):
-                    break
+                if there not in dead:
+                    if not path:
+                        break
+                    cell = path[-1] << 20 | token
+                    known = table.get(cell)
+                    if known or (known is None and self.arc(path[-1], token)):
+                        break
                 token = shorter[token]
             if token >= 0:
                 path.append(token)
                 at = there
-                if at == end:
+                if at == size:
                     return path
-                token = self._longest(word, at)
+                token = -2
             else:
                 dead.add(at)
                 last = path.pop()
                 at -= len(labels[last])
                 token = shorter[last]
 
-    def _longest(self, word: bytes, at: int) -> int:
-        states = self.states
-        for end in range(min(len(word), at + self.longest), at, -1):
-            token = states.get(word[at:end])
-            if token is not None:
-                return token
-        raise ValueError(f"byte {word[at]} is not in the vocabulary")
-
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined; bytes that are not UTF-8 read as U+FFFD."""
         labels = self.labels
@@ -172,33 +171,47 @@ class TextEncoder:
         self.chunks: dict[str, bytes | None] = {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
 
+    def _word(self, word: str) -> bytes:
+        if len(self.words) >= 4 * self.entries:
+            self.words.clear()
+        ids = self.words[word] = self.word(word)
+        return ids
+
     def _split_words(self, text: str) -> bytes:
-        out, words = [], self.words
-        for piece in self.cut.split(text) if self.cut else [text]:
-            if self.cut and piece in self.specials:
-                out.append(np.int32(self.specials[piece]).tobytes())
-                continue
-            for word in PRE_SPLIT.findall(piece):
-                ids = words.get(word)
-                if ids is None:
-                    if len(words) >= self.entries:
-                        words.clear()
-                    ids = words[word] = self.word(word)
-                out.append(ids)
-        return b"".join(out)
+        """Of a text without special strings."""
+        get = self.words.get
+        return b"".join([get(word) or self._word(word) for word in PRE_SPLIT.findall(text)])
 
     def _chunk(self, chunk: str) -> bytes | None:
-        """Of a blank and the chunk; None if white space or nothing follows the blank."""
+        """Of a blank and the chunk; None if white space or nothing follows the blank. Letters alone, or
+        letters and one mark after them, need no pattern to be split. Chunks of words that are met for
+        the first time are not kept: most of them never come again."""
+        words = self.words
+        if chunk.isalpha():
+            word, mark = " " + chunk, ""
+        elif not chunk or chunk[0].isspace():
+            return self._keep(chunk, None)
+        elif chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+            word, mark = " " + chunk[:-1], chunk[-1]
+        else:
+            return self._keep(chunk, self._split_words(" " + chunk))
+        ids = words.get(word)
+        end = words.get(mark) or self._word(mark) if mark else b""
+        return self._word(word) + end if ids is None else self._keep(chunk, ids + end)
+
+    def _keep(self, chunk: str, ids: bytes | None) -> bytes | None:
         if len(self.chunks) >= self.entries:
             self.chunks.clear()
-        ids = None if not chunk or chunk[0].isspace() else self._split_words(" " + chunk)
         self.chunks[chunk] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
+        if self.cut and self.cut.search(text):
+            packed = {s: np.int32(i).tobytes() for s, i in self.specials.items()}
+            return np.frombuffer(b"".join([packed[x] if x in packed else self._split_words(x) for x in self.cut.split(text)]), np.int32)
         first, *rest = text.split(" ")
-        known = self.chunks
-        parts = [known.get(x) or self._chunk(x) for x in rest]
+        known = self.chunks.get
+        parts = [known(x) or self._chunk(x) for x in rest]
         if None in parts:
             return np.frombuffer(self._split_words(text), np.int32)
         return np.frombuffer(b"".join([self._split_words(first), *parts]), np.int32)

@@ -30,60 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, materialize, release, slices
-from .neardup import mix
+from .hashing import GOLDEN, Spans, hashed_words, mix, times
 
 WINDOW = 35
 ROUNDS, RUN_ROUNDS, LEAST_LEVEL = 6, (0, 4), 2
 _BATCH_BYTES = 1_000_000
-_G = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
-_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _G)
 ALL, WINDOWS = 1, 2  # what a document is told of an occurrence: repeated as a whole, compare its windows
 
 
-def word_hashes(column: pa.Array) -> list[np.ndarray]:
-    """Hashes of the words of each text; words stand between blanks and U+0009 to U+000D.
-
-    Bytes are hashed by prefix sums of a polynomial modulo 2^64, all texts of the column at once."""
-    _, offsets, values = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    if values is None or at[-1] == at[0]:
-        return [np.zeros(0, np.uint64)] * len(column)
-    raw = np.frombuffer(values, np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
-    word = _IN_WORD[raw]
-    after, before = word.copy(), word.copy()
-    after[1:], before[:-1] = word[:-1], word[1:]
-    after[0] = before[-1] = False
-    filled = at[:-1] < at[1:]
-    after[at[:-1][filled]] = False  # texts part words
-    before[at[1:][filled] - 1] = False
-    starts, ends = np.flatnonzero(word & ~after), np.flatnonzero(word & ~before) + 1
-    hashes = Spans(_LETTERS[raw], mixed=True).hash(starts, ends)
-    return np.split(hashes, np.searchsorted(starts, at[1:-1]))
-
-
-def _times(factor: np.uint64, n) -> np.ndarray:
-    return np.asarray(n).astype(np.uint64) * factor
-
-
-class Spans:
-    """Hashes of runs of words by prefix sums of a polynomial modulo 2^64."""
-
-    _powers = np.ones(1, np.uint64)
-    _inverses = np.ones(1, np.uint64)
-
-    def __init__(self, symbols: np.ndarray, mixed: bool = False):
-        n = len(symbols) + 1
-        if len(Spans._powers) < n:
-            Spans._powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))])
-            Spans._inverses = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INVERSE))])
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((symbols if mixed else mix(symbols)) * Spans._powers[: n - 1])])
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * Spans._inverses[start] + _times(_G, end - start))
+def word_hashes(column: pa.StringArray) -> list[np.ndarray]:
+    """Words stand between blanks and U+0009 to U+000D."""
+    return hashed_words(column, _IN_WORD)
 
 
 def _run_step(sym: np.ndarray, start: np.ndarray):
@@ -97,7 +55,7 @@ def _run_step(sym: np.ndarray, start: np.ndarray):
     length = np.diff(np.append(first, m))
     names = sym[first].copy()
     long = length > 1
-    names[long] = mix(names[long] + _times(_G, length[long]) + np.uint64(7))
+    names[long] = mix(names[long] + times(GOLDEN, length[long]) + np.uint64(7))
     low = np.append(group + 1, len(first))
     high = np.concatenate([[0], group])
     return names, np.append(start[first], start[-1]), low, high
@@ -107,7 +65,7 @@ def _pair_step(sym: np.ndarray, start: np.ndarray, wall: np.ndarray, step: int):
     """Names pairs of a left and a right symbol. At a window's ends a right symbol may pair with one
     before it and a left symbol with one after it."""
     m = len(sym)
-    right = ((mix(sym + _times(_G, step + 1)) >> np.uint64(17)) & np.uint64(1)).astype(bool)
+    right = ((mix(sym + times(GOLDEN, step + 1)) >> np.uint64(17)) & np.uint64(1)).astype(bool)
     left = ~right & ~wall
     right &= ~wall
     pair = np.zeros(m, bool)
@@ -118,7 +76,7 @@ def _pair_step(sym: np.ndarray, start: np.ndarray, wall: np.ndarray, step: int):
     first = np.flatnonzero(begins)
     names = sym[first].copy()
     merged = pair[first]
-    names[merged] = mix(mix(names[merged] + _times(_G, step)) * np.uint64(3) + sym[first[merged] + 1])
+    names[merged] = mix(mix(names[merged] + times(GOLDEN, step)) * np.uint64(3) + sym[first[merged] + 1])
     at = np.arange(m + 1)
     low = group[np.minimum(at + np.append(right, False), m)]
     high = group[np.maximum(at - np.concatenate([[False], left]), 0)]
@@ -138,7 +96,7 @@ def anchors(docs: list[np.ndarray], size: int = WINDOW, rounds: int = ROUNDS) ->
     ends = bases + lengths
     wall[ends] = True
     words[~wall] = np.concatenate(kept)
-    words[ends] = mix(_times(_G, np.arange(len(ends)) + 1))
+    words[ends] = mix(times(GOLDEN, np.arange(len(ends)) + 1))
     counts = lengths - size + 1
     window = np.repeat(bases - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
     key, pick = np.zeros(len(window), np.uint64), np.zeros(len(window), np.int64)
@@ -180,7 +138,7 @@ def anchors(docs: list[np.ndarray], size: int = WINDOW, rounds: int = ROUNDS) ->
     begins[1:] = (key[1:] != key[:-1]) | (pick[1:] != pick[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(begins)
     count = np.diff(np.append(first, len(window)))
-    span = mix(spans.hash(window[first], window[first] + count + size - 1) + _times(_G, pick[first] - window[first]))
+    span = mix(spans.hash(window[first], window[first] + count + size - 1) + times(GOLDEN, pick[first] - window[first]))
     return {"doc": np.array(docs_of)[owner[first]], "first": window[first] - bases[owner[first]], "count": count, "key": key[first].view(np.int64), "span": span.view(np.int64)}
 
 
@@ -228,17 +186,25 @@ def occurrences(rows: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> Da
 
 
 def told(found: DataFrame) -> DataFrame:
-    """__row and its occurrences that matter: array<struct<first, count, key, code>>."""
+    """__row and its occurrences that matter: array<struct<first, count, key, code>>.
+
+    Shuffle files of a step are released before the next, so that the largest step bounds the disk."""
+    spark = found.sparkSession
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi")).where("n > 1")
     keys = materialize(keys.select("key", (F.col("lo") == F.col("hi")).alias("pure")), "keys")
+    release(spark)
     shared = materialize(found.join(keys, "key"), "shared")
+    forget(keys)
+    release(spark)
     mixed = shared.where("NOT pure").groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("__row", "first")).alias("one"))
     mixed = materialize(mixed.select("key", "span", "n", F.col("one.__row").alias("one_row"), F.col("one.first").alias("one_first")), "mixed")
     again = shared.where("NOT pure").join(mixed, ["key", "span"])
     stands = (F.col("__row") == F.col("one_row")) & (F.col("first") == F.col("one_first"))
     code = F.when(F.col("n") > 1, F.lit(ALL)).otherwise(0) + F.when((F.col("n") == 1) | stands, F.lit(WINDOWS)).otherwise(0)
     coded = again.select("__row", "first", "count", "key", code.cast("int").alias("code")).unionAll(shared.where("pure").select("__row", "first", "count", "key", F.lit(ALL).alias("code")))
-    return coded.groupBy("__row").agg(F.collect_list(F.struct("first", "count", "key", "code")).alias("__told"))
+    lists = materialize(coded.groupBy("__row").agg(F.collect_list(F.struct("first", "count", "key", "code")).alias("__told")), "told")
+    forget(shared, mixed)
+    return lists
 
 
 _TOLD = "array<struct<first:int,count:int,key:bigint,code:int>>"
@@ -259,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept_type = rows.schema["__kept"].dataType.simpleString()
     found = materialize(occurrences(rows.select("__row", "__text"), size, rounds), "occurrences")
     release(spark)
-    lists = materialize(told(found), "told")
+    lists = told(found)
     forget(found)
     release(spark)
     judged = rows.join(lists, "__row", "left").select("__row", "__text", "__kept", "__told")
@@ -303,6 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     single = materialize(pending.select("__row", "__text", "__told").mapInArrow(windows, "key long, window long, __row long, place int"), "windows")
     twice = materialize(single.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window"), "twice")
+    release(spark)
     # A repeated window is repeated wherever it stands; places already covered as a whole are no harm.
     hits = materialize(single.join(twice, ["key", "window"]).groupBy("__row").agg(F.collect_list("place").alias("__places")), "hits")
     forget(single, twice)

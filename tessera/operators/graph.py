@@ -34,9 +34,10 @@ def degrees(edges: DataFrame, incoming: bool = True) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame, incoming: bool = False, max_levels: int = MAX_LEVELS, stop: DataFrame | None = None) -> DataFrame:
     """node and depth (fewest edges from a seed) of all that can be reached. seeds: column `node`.
 
-    Each level joins only the newest nodes; nodes in `stop` are reached but not passed. Cycles end
-    because a visited node is never new."""
-    steps = (reverse(edges) if incoming else edges).select("src", "dst").distinct()
+    Each level joins only the newest nodes, so the edge table is scanned once a level and only what the
+    frontier touches is shuffled; repeated edges do no harm. Nodes in `stop` are reached but not passed.
+    Cycles end because a visited node is never new."""
+    steps = (reverse(edges) if incoming else edges).select("src", "dst")
     visited = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = visited = cut(visited)
     for depth in range(1, max_levels + 1):

@@ -13,12 +13,14 @@ def node(kind: str, key: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
-def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: customer -> order -> part, customer -> nation, supplier -> nation -> region. Distinct src, dst."""
+def dependencies(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """G1: customer -> order -> part, customer -> nation, supplier -> nation -> region. Columns src, dst; a part that
+    stands twice in an order gives one edge, unless distinct is False (closures do without that shuffle)."""
     read = lambda name: table(spark, sf_dir, name)
     edge = lambda name, s, a, d, b: read(name).select(node(s, a).alias("src"), node(d, b).alias("dst"))
     once = [edge("orders", "c", "o_custkey", "o", "o_orderkey"), edge("customer", "c", "c_custkey", "n", "c_nationkey"), edge("supplier", "s", "s_suppkey", "n", "s_nationkey"), edge("nation", "n", "n_nationkey", "r", "n_regionkey")]
-    out = edge("lineitem", "o", "l_orderkey", "p", "l_partkey").distinct()
+    out = edge("lineitem", "o", "l_orderkey", "p", "l_partkey")
+    out = out.distinct() if distinct else out
     for other in once:
         out = out.unionAll(other)
     return out

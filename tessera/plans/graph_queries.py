@@ -44,19 +44,19 @@ def _closure_sql(seed: str, src: str, dst: str, view: str, name: str, bound: int
 @query(_closure_sql("p:1", "dst", "src", G1, "g", 30))
 def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that a change of one part would reach, with the fewest steps."""
-    return graph.closure(dependencies(spark, sf_dir), _seed(spark, "p:1"), incoming=True)
+    return graph.closure(dependencies(spark, sf_dir, distinct=False), _seed(spark, "p:1"), incoming=True)
 
 
 @query(_closure_sql("r:0", "dst", "src", G1, "g", 2))
 def impact_closure_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a region, two levels up."""
-    return graph.closure(dependencies(spark, sf_dir), _seed(spark, "r:0"), incoming=True, max_levels=2)
+    return graph.closure(dependencies(spark, sf_dir, distinct=False), _seed(spark, "r:0"), incoming=True, max_levels=2)
 
 
 @query(_closure_sql("c:1", "src", "dst", G1, "g", 10))
 def flow_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one customer reaches, level by level."""
-    return graph.closure(dependencies(spark, sf_dir), _seed(spark, "c:1"), max_levels=10)
+    return graph.closure(dependencies(spark, sf_dir, distinct=False), _seed(spark, "c:1"), max_levels=10)
 
 
 @query(_closure_sql("signup", "src", "dst", G2, "g2", 8))

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,29 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, slices, texts
+from .hashing import GOLDEN, mix
 
 SAMPLE_ROWS = 1500  # the most training documents of each label that the fit reads
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W_]+|[.!?\n]")
 _MEMO = 200_000
+STEMS = (3, 4, 5, 6, 7, 8)
 
 
 def features(word: str) -> list[str]:
-    """The word, its stems of four to six letters and its last three."""
-    return ["w" + word, *(f"p{word[:n]}" for n in (4, 5, 6) if len(word) > n), "s" + word[-3:]]
-
-
-def sentences(text: str) -> list[list[str]]:
-    """Lower-case words, cut at sentence marks and line ends."""
-    out, now = [], []
-    for token in _WORD.findall(text.lower()):
-        if token in ".!?\n":
-            if now:
-                out.append(now)
-                now = []
-        else:
-            now.append(token)
-    return [*out, now] if now else out
+    """The word, its stems of three to eight letters and its last three."""
+    return ["w" + word, *("p" + word[:n] for n in STEMS if len(word) > n), "s" + word[-3:]]
 
 
 class Model(NamedTuple):
@@ -124,64 +112,95 @@ def marginals(unary: np.ndarray, counts: np.ndarray, arcs) -> np.ndarray:
     return _sigmoid(left + right)
 
 
-def _fresh(around: tuple[str, str, str], met: set[int]) -> tuple[str, ...]:
-    """The middle word, unless its label has met it between these neighbours before: copies of one
-    text then count once, and do not make its words telling."""
-    key = hash(around)
-    if key in met:
-        return ()
-    met.add(key)
-    return (around[1],)
-
-
-def _telling(toxic: int, clean: int, share: float) -> bool:
-    """Whether a feature of so many toxic and clean documents marks toxic words: four in five of its
-    documents are toxic, and by a likelihood ratio that rare features do not reach by chance."""
+def _telling(toxic: int, clean: int, share: float, ratio: float) -> bool:
+    """Whether a feature of so many toxic and clean documents marks toxic words: nine in ten of its
+    documents are toxic (a clean one of the sample stands for `ratio`), and by a likelihood ratio that
+    rare features do not reach by chance."""
     n = toxic + clean
-    if toxic < 3 or toxic < 0.8 * n or toxic <= share * n:
+    if toxic < 3 or toxic < 0.9 * (toxic + ratio * clean) or toxic <= share * n:
         return False
     gain = toxic * math.log(toxic / n / share) + (clean * math.log(clean / n / (1 - share)) if clean else 0.0)
-    return gain >= 11.0
-
-
-def fit(rows: list[tuple[str, int]], rounds: int = 40) -> Model:
-    """rows: text and label. Deterministic for the same rows in the same order."""
-    parsed = [(sentences(text), int(label)) for text, label in rows]
-    seen, met = [Counter(), Counter()], (set(), set())
-    totals = [0, 0]
-    for doc, label in parsed:
-        totals[label] += 1
-        fresh = {word for sentence in doc for around in zip(["", *sentence], sentence, [*sentence[1:], ""]) for word in _fresh(around, met[label])}
-        seen[label].update({f for word in fresh for f in features(word) if f[0] != "s"})
-    share = (totals[1] + 0.5) / (sum(totals) + 1)
-    telling = {f for f, n in seen[1].items() if _telling(n, seen[0][f], share)}
-    chosen, tags, doc_of = [], [], []
-    for i, (doc, label) in enumerate(parsed):
-        for sentence in doc:
-            tag = [int(label and any(f in telling for f in features(word))) for word in sentence]
-            if any(tag) or (len(chosen) + i) % 5 == 0 or any(f in telling for word in sentence for f in features(word)):
-                chosen.append(sentence)
-                tags.append(tag)
-                doc_of.append(i)
-    names: dict[str, int] = {}
-    kept = {f for f, n in (seen[0] + seen[1]).items() if n >= 3}
-    ids, owner, token = [], [], 0
-    for sentence in chosen:
-        for word in sentence:
-            for f in features(word):
-                if (f in kept or f[0] == "s") and (token % 2 == 0 or f[0] == "p"):  # stems must do without the rest
-                    ids.append(names.setdefault(f, len(names)))
-                    owner.append(token)
-            token += 1
-    ids, owner = np.array(ids, np.int64), np.array(owner, np.int64)
-    truth = np.array([t for tag in tags for t in tag], float)
-    counts = np.array([len(s) for s in chosen], np.int64)
-    weights, bias, arcs = np.zeros(len(names)), -3.0, np.zeros(4)
+    return gain >= 14.0
+
+
+class Sample:
+    """Training documents as arrays: a word id for each token, sentences and documents by number."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        vocabulary: dict[str, int] = {}
+        ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(text.lower() + "\n")], np.int32) for text, _ in rows]
+        self.words = [*vocabulary]
+        marks = np.array([w in ".!?\n" for w in self.words], bool)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        ends = marks[flat] if len(flat) else np.zeros(0, bool)
+        doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        sentence = np.cumsum(ends) - ends
+        self.word, self.doc, self.sentence = flat[~ends], doc[~ends], sentence[~ends]
+        self.label = np.array([y for _, y in rows], np.int64)
+        self.names: list[str] = []
+        self.features = self._feature_table()
+
+    def _feature_table(self) -> np.ndarray:
+        """Feature ids of each word of the vocabulary, in the order of features(), -1 where it has fewer."""
+        known: dict[str, int] = {}
+        table = np.full((max(1, len(self.words)), len(STEMS) + 2), -1, np.int32)
+        for i, word in enumerate(self.words):
+            own = [known.setdefault(f, len(known)) for f in features(word)]
+            table[i, : len(own)] = own
+        self.names = [*known]
+        return table
+
+    def document_counts(self, label: int) -> np.ndarray:
+        """In how many documents of a label each feature stands; words that the label has met between the
+        same neighbours before do not count, so that copies of one text do not make its words telling."""
+        mine = self.label[self.doc] == label
+        word, sentence, doc = self.word[mine].astype(np.uint64), self.sentence[mine], self.doc[mine]
+        same = np.zeros(len(word) + 1, bool)
+        same[1:-1] = sentence[1:] == sentence[:-1]
+        before = np.where(same[:-1], np.roll(word, 1), np.uint64(0xFFFFFFFF))
+        after = np.where(same[1:], np.roll(word, -1), np.uint64(0xFFFFFFFF))
+        key = mix(mix(before * GOLDEN + word) * np.uint64(3) + after)
+        fresh = np.unique(key, return_index=True)[1]
+        ids = self.features[self.word[mine][fresh]].astype(np.int64)
+        pairs = np.unique((doc[fresh][:, None] * np.int64(len(self.names)) + ids)[ids >= 0])
+        return np.bincount(pairs % max(1, len(self.names)), minlength=len(self.names))
+
+
+def fit(rows: list[tuple[str, int]], natural: float | None = None, rounds: int = 40) -> Model:
+    """rows: text and label; natural: the share of toxic documents where the rows were sampled (by default
+    theirs). Deterministic for the same rows in the same order."""
+    sample = Sample(rows)
+    clean, toxic = (sample.document_counts(y) for y in (0, 1))
+    share = (int((sample.label == 1).sum()) + 0.5) / (len(rows) + 1)
+    natural = min(max(natural if natural is not None else share, 1e-6), 1 - 1e-6)
+    shift = math.log(natural / (1 - natural)) - math.log(share / (1 - share)) if rows else 0.0
+    kinds = np.array([n[0] for n in sample.names])
+    telling = np.array([k != "s" and _telling(int(t), int(c), share, math.exp(-shift)) for k, t, c in zip(kinds, toxic, clean, strict=True)], bool)
+    table = sample.features
+    marked = (np.append(telling, False)[table]).any(axis=1)[sample.word]  # -1 takes the appended False
+    n_sentences = int(sample.sentence.max(initial=-1)) + 1
+    chosen = np.arange(n_sentences) % 5 == 0
+    chosen[sample.sentence[marked]] = True  # every sentence with a telling word, and every fifth
+    take = chosen[sample.sentence]
+    word, truth = sample.word[take], (marked & (sample.label[sample.doc] == 1))[take].astype(float)
+    counts = np.bincount(sample.sentence[take], minlength=n_sentences)
+    counts = counts[counts > 0]
+    ids = table[word]
+    kept = np.append((clean + toxic >= 3) | (kinds == "s"), False)[ids]
+    odd = np.arange(len(word)) % 2 == 1
+    kept &= ~odd[:, None] | np.append(kinds == "p", False)[ids]  # stems must do without the rest
+    owner = np.nonzero(kept)[0]
+    used, ids = np.unique(ids[kept], return_inverse=True)
+    weights, bias, arcs = np.zeros(len(used)), -3.0, np.zeros(4)
     if truth.sum():
-        weights, bias, arcs = _train(ids, owner, truth, counts, len(names), rounds)
-    model = Model({f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}, float(bias), tuple(map(float, arcs)), (0.0, 0.0, 0.0))
-    seen_by_doc = np.array([summary(p) for p in document_marginals(model, [t for t, _ in rows], {})]) if rows else np.zeros((0, 2))
-    return model._replace(calibration=_calibrate(seen_by_doc, np.array([y for _, y in rows], float)))
+        weights, bias, arcs = _train(ids, owner, truth, counts, len(used), rounds)
+    model = Model({sample.names[f]: float(w) for f, w in zip(used, weights, strict=True) if abs(w) > 1e-3}, float(bias), tuple(map(float, arcs)), (0.0, 0.0, 0.0))
+    del sample, table, ids, owner
+    seen, memo = [], {}
+    for at in range(0, len(rows), 256):
+        seen += [summary(p) for p in document_marginals(model, [t for t, _ in rows[at : at + 256]], memo)]
+    a, b, c = _calibrate(np.array(seen).reshape(-1, 2), np.array([y for _, y in rows], float))
+    return model._replace(calibration=(a + shift, b, c))
 
 
 _PAIRS = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -268,31 +287,27 @@ def score(model: Model, p: np.ndarray) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * largest + c * many))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> list[tuple[str, int]]:
-    """A bounded sample: of the training rows of each label the `sample` first by hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[list[tuple[str, int]], float]:
+    """A bounded sample, and the share of toxic ids among all training ids.
 
-    Only their ids and labels (at most 2 * sample) are broadcast, so texts are not shuffled. Ids
-    with both labels are left out; a repeated id gives one row, the one with the smallest text."""
+    Of the training rows of each label the `sample` first by hash of the id. Only their ids and labels
+    (at most 2 * sample) are broadcast, so texts are not shuffled. Ids with both labels are left out; a
+    repeated id gives one row, the one with the smallest text."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
     usable = usable.groupBy(id_col).agg(F.min("toxic").alias("__low"), F.max("toxic").alias("__toxic")).where("__low = __toxic")
+    counted = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum("__toxic"), F.lit(0)).alias("toxic")).first()
     order = F.xxhash64(id_col)
     picked = [usable.where(F.col("__toxic") == y).select(F.col(id_col).alias("__id"), "__toxic").orderBy(order, "__id").limit(sample) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     texts_of = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     rows = texts_of.join(F.broadcast(picked), "__id").groupBy("__id", "__toxic").agg(F.min("__text").alias("__text")).collect()
-    return [(r["__text"] or "", r["__toxic"]) for r in sorted(rows, key=lambda r: str(r["__id"]))]
+    return [(r["__text"] or "", r["__toxic"]) for r in sorted(rows, key=lambda r: str(r["__id"]))], counted["toxic"] / max(1, counted["n"])
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ROWS) -> Model:
     """Fit on training rows only (crc32 of the id modulo 5 is not 0), whole texts, at most `sample` of each label."""
-    return fit(training_rows(docs, labels, id_col, text_col, sample))
-
-
-def score_batches(model: Model, batches: Iterator[list[str]]) -> Iterator[list[tuple[float, np.ndarray]]]:
-    """Score and marginals of each text, for callers inside a map."""
-    memo: dict[str, float] = {}
-    for batch in batches:
-        yield [(score(model, p), p) for p in document_marginals(model, batch, memo)]
+    rows, natural = training_rows(docs, labels, id_col, text_col, sample)
+    return fit(rows, natural if rows else None)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

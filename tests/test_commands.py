@@ -146,3 +146,16 @@ def test_store_and_stream_refresh(spark, tmp_path):
     (tree / "D.java").write_text("class D {}")
     refresh.refresh_stream(refresh.file_stream(spark, str(tree)), streamed, str(tmp_path / "progress")).awaitTermination()
     assert sorted(t.name for t in source.Code(refresh.latest(store.load(spark, streamed))).types.collect()) == ["A", "C", "D"]
+
+
+def test_serving(shop):
+    from tessera.plans import serve
+
+    said = []
+    lines = ['{"command": "implements", "arg": "Handler"}', "not json", '{"command": "implments"}', '{"command": "layer", "args": {"name": "we\\u0001b"}}', '{"command": "callers"}', "", "quit", '{"command": "overview"}']
+    assert serve.serve(shop, lines, lambda line: said.append(__import__("json").loads(line))) == 5
+    assert [r["name"] for r in said[0]["rows"]] == ["OrderService"] and said[0]["elapsed_ms"] >= 0
+    assert "error" in said[1] and "implements" in said[2]["error"] and said[3]["error"] == "control characters" and "ref" in said[4]["error"]
+    assert serve.closest_class(shop, "OrderServce").first().name == "OrderService"
+    assert serve.resolve_class(shop, "OrderService").first().status == "found" and serve.resolve_class(shop, "Nope").first().status == "missing"
+    assert serve.check_input("../etc") and serve.check_input("A.b(String)") is None

@@ -20,6 +20,18 @@ def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i:i + 4] AS g FROM w, unnest(range(1, greatest(2, len(ws) - 3))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c)),
+f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS label FROM w UNION SELECT f.b, r.label FROM r JOIN f ON f.a = r.node WHERE r.label < f.b)
+SELECT w.doc_id, min(label) AS class_id, any_value(len(ws))::BIGINT AS n_words FROM w JOIN r ON r.node = w.doc_id GROUP BY w.doc_id
+"""
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and licenses in every document, from the scanner's detections."""
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
@@ -50,6 +62,16 @@ def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN sha256(array_to_string(ws[i:i + 34], ' ')) END AS k FROM d, unnest(range(1, len(ws) + 1)) AS u(i)),
+m AS (SELECT doc_id, i, word, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS starts FROM w),
+c AS (SELECT doc_id, i, word, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m)
+SELECT d.doc_id, any_value(len(ws))::BIGINT AS n_words, count(i) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document under a field fitted to the training labels."""
     docs = _table(spark, sf_dir, "documents")
@@ -156,4 +178,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_block_topk": OP8_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_prob_minhash": OP1_SQL, "op4_recompression_dedup": OP4_SQL, "op8_block_topk": OP8_SQL, "op10_chat_format": OP10_SQL}

@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 
-from tessera.llm import substrings
+from tessera.llm import substrings, queries
+
+from .oracle import same
 
 DATA = "/root/testdata"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,3 +72,7 @@ def test_empty_table_and_carried_columns(spark):
     got = substrings.remove_repeats(docs, carry=["lang"]).collect()
     assert sorted(((r.doc_id, r.lang, r.n_words, r.n_removed, r.kept) for r in got), key=str) == sorted([(1, "en", 40, 40, ""), (1, "en", 40, 40, ""), (None, None, 1, 0, "short")], key=str)
     assert substrings.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_query_equals_sql(spark):
+    same(queries.op4_recompression_dedup(spark, f"{DATA}/sf0.01").collect(), queries.OP4_SQL, f"{DATA}/sf0.01")

@@ -44,7 +44,7 @@ def summaries(events: DataFrame, k: int = 20) -> dict[str, DataFrame]:
     """All sections of a profile: hot, gc, io, allocations, contentions and exceptions."""
     kind = lambda *names: events.where(F.col("type").isin([EVENT_KINDS[n] for n in names]))
     frame = F.element_at("stackTrace.frames", 1)["method"]
-    named = F.concat(F.replace(frame["type"]["name"] if "struct" in str(events.schema["stackTrace"]) and "name:string>,name" in str(events.schema) else frame["type"], F.lit("/"), F.lit(".")), F.lit("."), frame["name"])
+    named = F.concat(F.replace(frame["type"]["name"], F.lit("/"), F.lit(".")), F.lit("."), frame["name"])
     ms = F.floor(F.col("duration") / 1_000_000).cast("long")
     return {
         "hot": hot(kind("sample").where(F.size("stackTrace.frames") > 0).select(named.alias("method")), k),

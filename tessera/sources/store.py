@@ -43,3 +43,21 @@ def refresh(spark: SparkSession, files: DataFrame, path: str) -> DataFrame:
         fs.delete(at, True)
     fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), at)
     return spark.createDataFrame([(r["status"], r["n"]) for r in status], "status string, n long")
+
+
+def write_json(facts: DataFrame, path: str) -> None:
+    """The facts as JSON lines, for other programs."""
+    facts.write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Facts written by write_json(); the schema is given, so nothing is inferred and unused columns are not parsed."""
+    return spark.read.schema(FACTS).json(path)
+
+
+def entries_with(facts: DataFrame, word: str) -> DataFrame:
+    """path of files where a type, member, annotation, import or signature holds a word, in any case."""
+    has = lambda c: F.contains(F.lower(c), F.lit(word.lower()))
+    in_method = lambda m: has(m["name"]) | has(m["signature"]) | F.exists(m["annotations"], lambda a: has(a["name"]))
+    in_type = lambda t: has(t["name"]) | F.exists(t["annotations"], lambda a: has(a["name"])) | F.exists(t["methods"], in_method) | F.exists(t["fields"], lambda f: has(f["name"]) | has(f["type"]))
+    return facts.where(F.exists("imports", has) | F.exists("types", in_type)).select("path")

@@ -102,3 +102,30 @@ def serve(base: CodeBase, lines: Iterable[str], say: Callable[[str], None]) -> i
             out = {"error": f"{type(problem).__name__}: {problem}"}
         say(json.dumps(out))
     return count
+
+
+#: What is worth asking after a command; `{0}` stands for its first argument.
+HINTS = {
+    "overview": ("packages", "hotspots", "entry-points"), "summary": ("read {0}", "callers {0}", "related {0}"), "callers": ("call-chain {0}", "impact {0}", "test-for {0}"),
+    "impact": ("test-for {0}", "breaking-changes {0}"), "search": ("find", "scope"), "smells": ("smells-all", "debt"), "hierarchy": ("implements {0}", "breaking-changes {0}"), "unused": ("lint", "api"),
+}
+
+
+def hints(name: str, argument: str = "") -> list[str]:
+    """Commands that often follow."""
+    return [h.format(argument).strip() for h in HINTS.get(name, ())]
+
+
+def watch(spark, roots: list[str], facts_path: str, lines: Iterable[str], say: Callable[[str], None], config: dict | None = None) -> int:
+    """serve() over stored facts that are brought up to the files before each request: folders are listed
+    anew every time, so new files are seen, and only changed ones are parsed."""
+    from ..sources.code import Code, scan_files
+    from ..sources.store import load, refresh
+
+    count = 0
+    for line in lines:
+        if line.strip() in ("quit", "exit"):
+            break
+        refresh(spark, scan_files(spark, roots), facts_path)
+        count += serve(CodeBase(Code(load(spark, facts_path)), config), [line], say)
+    return count

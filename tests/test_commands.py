@@ -159,3 +159,24 @@ def test_serving(shop):
     assert serve.closest_class(shop, "OrderServce").first().name == "OrderService"
     assert serve.resolve_class(shop, "OrderService").first().status == "found" and serve.resolve_class(shop, "Nope").first().status == "missing"
     assert serve.check_input("../etc") and serve.check_input("A.b(String)") is None
+
+
+def test_watch_sees_new_files(spark, tmp_path):
+    import json
+
+    from tessera.plans import serve
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "A.java").write_text("class A implements I {}")
+
+    def requests():
+        yield '{"command": "implements", "arg": "I"}'
+        (tree / "B.java").write_text("class B implements I {}")
+        yield '{"command": "implements", "arg": "I"}'
+        yield "quit"
+
+    said = []
+    assert serve.watch(spark, [str(tree)], str(tmp_path / "facts"), requests(), lambda line: said.append(json.loads(line))) == 2
+    assert [sorted(r["name"] for r in x["rows"]) for x in said] == [["A"], ["A", "B"]]
+    assert serve.hints("summary", "A") == ["read A", "callers A", "related A"] and serve.hints("nothing") == []

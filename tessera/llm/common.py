@@ -30,6 +30,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     survives lost executors and lets a later plan start from files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}-{tag}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # what forget() leaves goes with the session
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path

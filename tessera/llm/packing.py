@@ -28,7 +28,8 @@ from .common import slices, texts
 SEQUENCE, END = 1024, 0
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
 TIE_BITS = 20  # equal places on the curve (copies) are spread by a hash of the id
-SAMPLE_ROWS = 8192  # rows whose keys set the bounds of the ranges; all rows are packed
+SAMPLE_ROWS = 8192  # rows (or four a range, if that is more) whose keys set the bounds; all rows are packed
+RANGE_ROWS = 16_384  # a range holds about so many rows at most
 CACHE_ENTRIES = 300_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _PROJECTION = np.random.default_rng(20).normal(size=(BUCKETS, DIMENSIONS))
@@ -177,8 +178,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     schema = f"__id {id_type}, __text string, __key long"
     total = rows.count()
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 64)))
-    sample = rows.where(F.monotonically_increasing_id() % max(1, total // SAMPLE_ROWS) == 0).mapInArrow(keyed, schema).select("__key")
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 64)), math.ceil(total / RANGE_ROWS))
+    sample = rows.where(F.monotonically_increasing_id() % max(1, total // max(SAMPLE_ROWS, 4 * parts)) == 0).mapInArrow(keyed, schema).select("__key")
     keys = np.sort(np.array([r[0] for r in sample.collect()], np.int64))
     bounds = keys[(np.arange(1, parts) * len(keys)) // parts] if len(keys) else np.zeros(0, np.int64)
 

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, neardup, packing, substrings, toxicity
-from tessera.llm.common import materialize, slices
+from tessera.llm.common import materialize, slices, small_batches
 
 LEAST_LANGUAGE_SCORE = 0.3  # below it no learned language fits better than the others
 
 
 def _filter(docs: DataFrame, keep) -> DataFrame:
     """The rows, unchanged, of which keep(texts) is true; a map without a shuffle."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

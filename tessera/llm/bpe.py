@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import slices, small_batches, texts
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 PRE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -240,6 +240,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounded by the caches and the longest text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(path or vocabulary_path()))
     key_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {key_type}, ids array<int>" + ", decoded string" * decode

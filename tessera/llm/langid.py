@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, texts
+from .common import crc_fold, slices, small_batches
 
 SAMPLE_ROWS = 300  # the most training documents of each language that the fit reads
 FOLDS, HELD_OUT = 4, 2
@@ -160,6 +160,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     scored each; other columns are not read. A map without a shuffle; the model's tables are bounded
     by the sample.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key_type = docs.schema[id_col].dataType.simpleString()
 

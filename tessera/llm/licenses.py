@@ -18,7 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import slices, small_batches, texts
 from .license_rules import RULES
 
 #: Phrases (as words) and their labels.
@@ -139,6 +139,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     have no words and no detections; repeated rows are scanned each; other columns are not
     read. A map without a shuffle.
     """
+    small_batches(docs.sparkSession)
     key_type = docs.schema[id_col].dataType.simpleString()
     kind = pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("priority", pa.int32()), ("confidence", pa.float64())]))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PRE_SPLIT, byte_letters, read_vocabulary, vocabulary_path
-from .common import slices, texts
+from .common import slices, small_batches, texts
 
 SEQUENCE, END = 1024, 0
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
@@ -166,6 +166,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(path or vocabulary_path()))
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), (F.xxhash64(id_col).bitwiseAND((1 << TIE_BITS) - 1)).alias("__tie"))

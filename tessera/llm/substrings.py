@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, release, slices
+from .common import forget, materialize, release, slices, small_batches
 from .hashing import GOLDEN, Spans, hashed_words, mix, times
 
 WINDOW = 35
@@ -219,6 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own, so their long texts go. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     carried = [c for c in carry or [] if c not in (id_col, text_col)]
     kept_columns = F.struct(F.col(id_col).alias("__id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
     rows = docs.select(F.xxhash64(id_col, text_col, F.lit(1)).alias("__row"), F.col(text_col).alias("__text"), kept_columns.alias("__kept"))

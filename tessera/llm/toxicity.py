@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, texts
+from .common import crc_fold, slices, small_batches, texts
 from .hashing import GOLDEN, mix
 
-SAMPLE_ROWS = 1500  # the most training documents of each label that the fit reads
+SAMPLE_ROWS = 1000  # the most training documents of each label that the fit reads
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W_]+|[.!?\n]")
 _MEMO = 200_000
@@ -318,6 +318,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     words and have no spans; repeated rows are scored each; other columns are not read. A map
     without a shuffle; the model (bounded by the sample) travels with the plan.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key_type = docs.schema[id_col].dataType.simpleString()
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))

@@ -203,9 +203,9 @@ def similar(base: CodeBase, name: str, least: float = 0.3) -> DataFrame:
 @command("explain")
 def explain(base: CodeBase, name: str) -> DataFrame:
     own = _of_class(base, name)
-    callers = base.edges.join(base.code.methods.where(F.col("class_name") == name).select(F.col("name").alias("callee_method")).distinct(), "callee_method", "left_semi").agg(F.countDistinct("caller_class").alias("callers_by_name"))
+    callers = base.edges.join(base.code.methods.where(F.col("class_name") == name).select(F.col("name").alias("callee_method")).distinct(), "callee_method", "left_semi").agg(F.countDistinct("caller_class")).scalar()
     line = F.concat_ws(" ", F.lit("The"), "kind", "fqn", F.lit("has"), F.col("n_methods").cast("string"), F.lit("methods and"), F.col("n_fields").cast("string"), F.lit("fields; methods of these names are called from"), F.col("callers_by_name").cast("string"), F.lit("classes."))
-    return own.crossJoin(F.broadcast(callers)).select("fqn", line.alias("text"))  # one row
+    return own.withColumn("callers_by_name", callers).select("fqn", line.alias("text"))
 
 
 @command("map")
@@ -326,8 +326,8 @@ def impact(base: CodeBase, ref: str, levels: int = graph.MAX_LEVELS) -> DataFram
     reached = graph.closure(base.graph, targets, incoming=True, max_levels=levels)
     cls, _ = _split_node()
     affected = reached.where("depth > 0").groupBy(cls.alias("class_name")).agg(F.min("depth").alias("depth")).where("class_name <> '?'")
-    direct = affected.where("depth = 1").agg(F.count("*").alias("direct"))
-    return affected.crossJoin(F.broadcast(direct)).withColumn("risk", graph.risk("direct", 3, 10)).orderBy("class_name")  # one row
+    direct = affected.where("depth = 1").agg(F.count("*")).scalar()
+    return affected.withColumn("direct", direct).withColumn("risk", graph.risk("direct", 3, 10)).orderBy("class_name")
 
 
 @command("test-for")
@@ -364,8 +364,8 @@ def breaking_changes(base: CodeBase, name: str) -> DataFrame:
     children = hierarchy(base, name).where("relation IN ('subclass', 'implementor')").select(F.col("name").alias("child"), "relation")
     own = base.code.methods.where((F.col("class_name") == name) & ~F.col("is_constructor")).select("name", "param_count").distinct()
     over = base.code.methods.join(own, ["name", "param_count"], "left_semi").groupBy(F.col("class_name").alias("child")).agg(F.array_sort(F.collect_set("name")).alias("overrides"))
-    total = children.agg(F.count("*").alias("children"))
-    return children.join(over, "child", "left").crossJoin(F.broadcast(total)).withColumn("risk", graph.risk("children", 3, 10))  # one row
+    total = children.agg(F.count("*")).scalar()
+    return children.join(over, "child", "left").withColumn("children", total).withColumn("risk", graph.risk("children", 3, 10))
 
 
 @command("diff-impact")
@@ -375,10 +375,10 @@ def diff_impact(base: CodeBase, changed: DataFrame, levels: int = graph.MAX_LEVE
     src_cls, dst_cls = F.substring_index(F.substring_index("src", "/", 1), ".", 1), F.substring_index(F.substring_index("dst", "/", 1), ".", 1)
     seeds = base.graph.withColumn("name", dst_cls).join(touched, "name", "left_semi").select(F.col("dst").alias("node")).distinct()
     reached = graph.closure(base.graph, seeds, incoming=True, max_levels=levels)
-    direct = base.graph.withColumn("name", dst_cls).join(touched, "name", "left_semi").where(src_cls != dst_cls).agg(F.count("*").alias("direct"))
+    direct = base.graph.withColumn("name", dst_cls).join(touched, "name", "left_semi").where(src_cls != dst_cls).agg(F.count("*")).scalar()
     cls, _ = _split_node()
     affected = reached.groupBy(cls.alias("name")).agg(F.min("depth").alias("depth")).join(touched, "name", "left_anti")
-    return affected.crossJoin(F.broadcast(direct)).withColumn("risk", graph.risk("direct", 5, 20))  # one row
+    return affected.withColumn("direct", direct).withColumn("risk", graph.risk("direct", 5, 20))
 
 
 # Search
@@ -684,8 +684,8 @@ def debt(base: CodeBase, limit: int = 20) -> DataFrame:
     t = t.fillna(0, ["smells", "perf", "callers"]).fillna(15, ["untested"])
     score = 2 * F.col("smells") + F.least("n_methods", F.lit(30)) + 5 * F.col("perf") + F.least("callers", F.lit(50)) + F.col("untested") + F.floor(F.greatest(F.lit(0), F.col("loc") - 500) / 10)
     scored = t.select("fqn", F.least(F.lit(100), score).cast("int").alias("score"))
-    mean = scored.agg(F.floor(F.avg("score")).cast("int").alias("mean"))
-    return rank.top(scored, limit, F.desc("score"), F.asc("fqn")).crossJoin(F.broadcast(mean)).withColumn("grade", rank.grade(F.col("mean")))  # one row
+    mean = scored.agg(F.floor(F.avg("score")).cast("int")).scalar()
+    return rank.top(scored, limit, F.desc("score"), F.asc("fqn")).withColumn("mean", mean).withColumn("grade", rank.grade(F.col("mean")))
 
 
 @command("tour")

@@ -12,9 +12,9 @@ from .rank import top
 def hot(samples: DataFrame, k: int = 20) -> DataFrame:
     """method, samples and pct (of all samples, one decimal) of the k methods sampled most."""
     counted = samples.groupBy("method").agg(F.count("*").alias("samples"))
-    total = counted.agg(F.sum("samples").alias("__total"))
+    total = counted.agg(F.sum("samples")).scalar()
     ranked = top(counted, k, F.desc("samples"), F.asc("method"))
-    return ranked.crossJoin(F.broadcast(total)).select("method", "samples", one_decimal(100.0 * F.col("samples") / F.col("__total")).cast("double").alias("pct"))  # one row
+    return ranked.select("method", "samples", one_decimal(100.0 * F.col("samples") / total).cast("double").alias("pct"))
 
 
 def pauses(rows: DataFrame, keys: list[str]) -> DataFrame:

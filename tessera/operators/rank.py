@@ -19,8 +19,8 @@ def top_within(df: DataFrame, keys: list[str], k: int, *order: Column, rank: str
 
 def with_total(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """top() with the number of all rows in `total` and whether some were left out in `truncated`."""
-    count = df.agg(F.count("*").alias("total"))
-    return top(df, k, *order).crossJoin(F.broadcast(count)).withColumn("truncated", F.col("total") > k)  # one row
+    count = df.agg(F.count("*")).scalar()
+    return top(df, k, *order).withColumn("total", count).withColumn("truncated", F.col("total") > k)
 
 
 def within_budget(df: DataFrame, cost: str, budget: int, *order: Column) -> DataFrame:

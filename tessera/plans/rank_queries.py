@@ -136,8 +136,8 @@ def layer_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pattern_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each kind and whole percents."""
     counted = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select("kind", "n", rank.percent(F.col("n"), F.col("total")).alias("share"))  # one row
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.withColumn("total", total).select("kind", "n", rank.percent(F.col("n"), F.col("total")).alias("share"))
 
 
 @query("SELECT p_brand, arg_max(p_type, (n, p_type)) AS style, max(n) AS n FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand")

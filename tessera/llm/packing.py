@@ -12,26 +12,26 @@ from __future__ import annotations
 import json
 import math
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PRE_SPLIT, byte_letters, read_vocabulary, vocabulary_path
 from .common import slices, small_batches, texts
+from .hashing import hashed_words
 
 SEQUENCE, END = 1024, 0
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
 TIE_BITS = 20  # equal places on the curve (copies) are spread by a hash of the id
 SAMPLE_ROWS = 8192  # rows (or four a range, if that is more) whose keys set the bounds; all rows are packed
 RANGE_ROWS = 16_384  # a range holds about so many rows at most
-CACHE_ENTRIES = 300_000
-_FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+_IN_WORD = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 _PROJECTION = np.random.default_rng(20).normal(size=(BUCKETS, DIMENSIONS))
 
 
@@ -62,17 +62,12 @@ def hilbert_index(places: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def curve_keys(batch: list[str], memo: dict[bytes, int]) -> np.ndarray:
-    """Hilbert keys of whole texts. memo: buckets of words met before."""
-    vectors = np.zeros((len(batch), BUCKETS))
-    for i, text in enumerate(batch):
-        words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
-        buckets = list(map(memo.get, words))
-        if None in buckets:
-            if len(memo) > CACHE_ENTRIES:
-                memo.clear()
-            buckets = [memo[w] if w in memo else memo.setdefault(w, zlib.crc32(w) % BUCKETS) for w in words]
-        vectors[i] = np.bincount(np.array(buckets, np.int64), minlength=BUCKETS)
+def curve_keys(column: pa.StringArray) -> np.ndarray:
+    """Hilbert keys of whole texts; null counts as empty."""
+    hashed = hashed_words(pc.ascii_lower(column), _IN_WORD)
+    owner = np.repeat(np.arange(len(hashed)), [len(h) for h in hashed])
+    bucket = (np.concatenate(hashed) % np.uint64(BUCKETS)).astype(np.int64) if hashed else np.zeros(0, np.int64)
+    vectors = np.bincount(owner * BUCKETS + bucket, minlength=len(hashed) * BUCKETS).reshape(len(hashed), BUCKETS).astype(float)
     vectors /= np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-9)
     spread = 0.5 * (1 + np.tanh(0.8 * (vectors @ _PROJECTION)))
     return hilbert_index(np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
@@ -172,9 +167,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), (F.xxhash64(id_col).bitwiseAND((1 << TIE_BITS) - 1)).alias("__tie"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
         for batch in slices(batches, 256):
-            keys = curve_keys(texts(batch, 1), memo) << TIE_BITS | np.asarray(batch.column(2))
+            keys = curve_keys(batch.column(1)) << TIE_BITS | np.asarray(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["__id", "__text", "__key"])
 
     schema = f"__id {id_type}, __text string, __key long"

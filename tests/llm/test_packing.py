@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing, queries
@@ -72,5 +73,5 @@ def test_curve_visits_every_cell_in_unit_steps():
 
 def test_like_texts_are_near_on_the_curve():
     base = "the quick brown fox jumps over the lazy dog again and again " * 5
-    keys = packing.curve_keys([base, base + "once", "völlig andere wörter stehen in diesem text " * 5], {})
-    assert abs(keys[0] - keys[1]) < abs(keys[0] - keys[2])
+    keys = packing.curve_keys(pa.array([base, base + "once", "völlig andere wörter stehen in diesem text " * 5, None, ""]))
+    assert abs(keys[0] - keys[1]) < abs(keys[0] - keys[2]) and keys[3] == keys[4]

@@ -12,10 +12,10 @@ Banding. Registers are grouped in bands; documents that share a band share a buc
 Verification. A link is a pair whose shingle sets have Jaccard similarity of at least the
 threshold, computed exactly. Pairs are checked in two steps, neither of which expands a group
 into all its pairs: first each member of a bucket against the bucket's centre (the member
-that meets most others in all its buckets), which joins most groups; then, in buckets that still
-hold several classes, pairs of members of different classes. Buckets with more than
-`WIDE` classes have their members ordered by their following bands and checked against their
-neighbours in that order and against the members of highest degree of other classes.
+that meets most others in all its buckets), which joins most groups; then the members of buckets
+that still hold several classes, whatever their number, are joined exactly: every pair of
+different classes that reaches the threshold shares a shingle among the rarest of both (a
+prefix filter), and no filter drops a pair that could reach it.
 """
 
 from __future__ import annotations
@@ -37,7 +37,10 @@ from .hashing import hashed_words, mix
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
-WIDE = 32
+BITS = 2048  # of the bitmap that bounds how much two sets share
+CHUNK = 256  # members of one shingle that are compared at once; more are dealt into pairs of chunks
+PAIRS = 500_000  # pairs that are held at once
+_SLACK = 1e-9  # against rounding: bounds only ever let more pairs through
 #: Words are runs of ASCII letters and digits and of all other characters beyond ASCII.
 _IN_WORD = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -162,11 +165,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, ban
     sketched = materialize(sketch(docs, id_col, text_col, bands, rows), "sketch")
     content = sketched.where("n_words > 0")
     folded = materialize(content.groupBy("content").agg(F.min("__id").alias("low"), F.min("size").alias("size"), F.min("bands").alias("bands")), "folded")
-    posted = folded.select("content", "size", F.posexplode("bands").alias("at", "bucket"))
+    posted = folded.select("content", "size", F.explode("bands").alias("bucket"))
     shared = materialize(posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    following = F.element_at("bands", (F.col("at") + 1) % bands + 1)
-    after = F.element_at("bands", (F.col("at") + 2) % bands + 1)
-    posted = folded.select("content", "size", "bands", F.posexplode("bands").alias("at", "bucket")).select("content", "size", "bucket", following.alias("next1"), after.alias("next2"))
     members = materialize(posted.join(shared, "bucket"), "members")
     release(spark)
     degrees = materialize(members.groupBy("content").agg(F.sum(F.col("n") - 1).alias("degree")), "degrees")
@@ -184,7 +184,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, ban
     release(spark)
     links = materialize(verify(star, sets, threshold), "links")
     found = components(links)
-    more = materialize(_residual(members_by, found, threshold).exceptAll(star), "pairs")
+    more = materialize(_residual(members_by, found, sets, threshold).exceptAll(star), "pairs")
     forget(star)
     late = materialize(verify(more, sets, threshold), "links")
     forget(more, sets, members_by, centres)
@@ -237,27 +237,112 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return kept.where("__n = 1 OR NOT __worded").select(names).unionByName(again)
 
 
-def _residual(members: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different classes that share a bucket; see the module for buckets of many classes."""
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """content, component, size and each shingle of content, component, shingles rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            sizes = np.array([len(x) for x in each], np.int64)
+            own = pa.array(np.repeat(np.arange(len(each)), sizes))
+            columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(sizes).take(own), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["content", "component", "size", "shingle"])
+
+    return sets.select("content", "component", "shingles").mapInArrow(run, "content long, component long, size long, shingle long")
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """content and a bitmap of its shingles modulo BITS, of content, shingles rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            bits = np.zeros((batch.num_rows, BITS), bool)
+            for i, x in enumerate(batch.column(1)):
+                bits[i, np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(BITS)] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())], names=["content", "bits"])
+
+    return sets.select("content", "shingles").mapInArrow(run, "content long, bits binary")
+
+
+def _pairs_of_groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows i < j of equal group, for rows sorted by group, about PAIRS at a time."""
+    n = len(group)
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, n) if n else np.zeros(0, np.int64)
+    later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n) - 1
+    total = np.cumsum(later)
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        count = later[at:end]
+        first = np.repeat(np.arange(at, end), count)
+        yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+        at = end
+
+
+def _could_link(members: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes in whole groups (shingle, lo, hi, sorted) that may reach the threshold.
+    Four bounds on what two sets share, none below the truth: sizes, places of the common shingle in
+    both, bitmaps. Pairs of equal chunks are left to the group lo = hi."""
+    shingle, lo, hi, chunk, content, component, size, place = (members.column(i).to_numpy() for i in range(8))
+    bits = np.frombuffer(b"".join(members.column(8).to_pylist()), np.uint64).reshape(len(content), BITS // 64)
+    change = np.ones(len(content), bool)
+    change[1:] = (shingle[1:] != shingle[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    for i, j in _pairs_of_groups(np.cumsum(change)):
+        fit = (component[i] != component[j]) & ((lo[i] == hi[i]) | (chunk[i] != chunk[j]))
+        fit &= np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - _SLACK
+        i, j = i[fit], j[fit]
+        need = threshold / (1 + threshold) * (size[i] + size[j]) - _SLACK
+        fit = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+        i, j, need = i[fit], j[fit], need[fit]
+        keep = np.zeros(len(i), bool)
+        for at in range(0, len(i), 20_000):
+            x, y = i[at : at + 20_000], j[at : at + 20_000]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            keep[at : at + 20_000] = (size[x] + size[y] - apart) / 2 >= need[at : at + 20_000]
+        a, b = content[i[keep]], content[j[keep]]
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def _residual(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different classes, both with members in buckets of several classes, that may reach the
+    threshold; none that reaches it is missing, whatever the width of its buckets.
+
+    Shingles of one class only come first in the order of shingles, then the rarer ones: sets that
+    reach the threshold share one among the first size - threshold * size + 1 of both."""
     label = found.select(F.col("node").alias("content"), "component")
-    now = members.select("bucket", "content", "size", "degree", "next1", "next2").join(label, "content", "left").withColumn("component", F.coalesce("component", "content"))
+    now = members.select("bucket", "content").join(label, "content", "left").withColumn("component", F.coalesce("component", "content"))
     now = materialize(now, "residual")
     open_buckets = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    now = materialize(now.join(materialize(open_buckets, "open"), "bucket"), "residual")
-    kinds = materialize(now.select("bucket", "component").distinct(), "kinds")
-    width = materialize(kinds.groupBy("bucket").agg(F.count("*").alias("width")), "width")
-    narrow = kinds.join(width.where(F.col("width") <= WIDE), "bucket").select("bucket", "component")
-    crossed = narrow.join(narrow.withColumnRenamed("component", "other"), "bucket").where("component < other")
-    left = now.select("bucket", "component", F.col("content").alias("x"), F.col("size").alias("x_size"))
-    right = now.select("bucket", F.col("component").alias("other"), F.col("content").alias("y"), F.col("size").alias("y_size"))
-    exact = crossed.join(left, ["bucket", "component"]).join(right, ["bucket", "other"])
-    exact = exact.where(_sizes_fit("x_size", "y_size", threshold)).select(*_ordered("x", "y"))
-    wide = now.join(width.where(F.col("width") > WIDE).select("bucket"), "bucket")
-    order = W.partitionBy("bucket").orderBy("next1", "next2", "content")
-    chained = wide.select("component", "content", "size", *(F.lag(c, n).over(order).alias(f"{c}{n}") for n in (1, 2) for c in ("component", "content", "size")))
-    chain = [chained.where((F.col("component") != F.col(f"component{n}")) & _sizes_fit("size", f"size{n}", threshold)).select(*_ordered("content", f"content{n}")) for n in (1, 2)]
-    best = wide.groupBy("bucket", "component").agg(F.max(F.struct("degree", "content", "size")).alias("c"))
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("c")))).where("rank <= 2")
-    heads = wide.join(best.select("bucket", F.col("component").alias("other"), F.col("c.content").alias("head"), F.col("c.size").alias("head_size")), "bucket")
-    heads = heads.where((F.col("component") != F.col("other")) & _sizes_fit("size", "head_size", threshold)).select(*_ordered("content", "head"))
-    return exact.unionAll(chain[0]).unionAll(chain[1]).unionAll(heads).distinct()
+    asked = materialize(now.join(open_buckets, "bucket", "left_semi").select("content", "component").distinct(), "open")
+    forget(now)
+    wanted = materialize(sets.join(asked, "content"), "open-sets")
+    flat = _shingle_rows(wanted)
+    shared = flat.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle", "n")
+    own = W.partitionBy("content")
+    placed = flat.join(shared, "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle")) - 1 + F.col("size") - F.count("*").over(own))
+    prefix = placed.where(F.col("place") <= F.col("size") - F.ceil(threshold * F.col("size") - _SLACK)).select("shingle", "content", "component", "size", "place")
+    prefix = materialize(prefix, "prefix")
+    counts = materialize(prefix.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle", F.ceil(F.col("n") / CHUNK).alias("chunks")), "counts")
+    dealt = prefix.join(counts, "shingle").withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("chunks")))
+    dealt = dealt.join(_bitmaps(wanted), "content").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.select("shingle", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "content", "component", "size", F.col("place").cast("long").alias("place"), "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            if not len(keys[0]):
+                continue
+            starts = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))  # rows of groups before the last
+            cut = int(starts[-1]) + 1 if len(starts) else 0
+            same = bool(held) and all(k[0] == held[-1].column(i)[-1].as_py() for i, k in enumerate(keys))
+            if cut or not same:
+                ready = [*held, batch.slice(0, cut)]
+                yield from _could_link(pa.Table.from_batches(ready), threshold)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from _could_link(pa.Table.from_batches(held), threshold)
+
+    return dealt.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi").mapInArrow(run, "a long, b long").distinct()

@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import neardup, queries
 
@@ -77,6 +79,45 @@ def test_large_group_of_near_copies_loses_no_member(spark):
     assert found_classes(neardup.classes(docs)) == brute_classes(rows)
 
 
+def test_links_in_wide_buckets_are_found(spark):
+    # Template-like strangers (0.6 to 0.8) in one wide bucket, and pairs of them that are links and lie anywhere in it.
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(5000)}" for _ in range(200)]
+
+    def changed(words, places):
+        return [f"z{draw.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]
+
+    rows = []
+    for k in range(400):
+        apart = changed(base, set(draw.sample(range(200), 5)))
+        rows.append((len(rows), " ".join(apart)))
+        if k % 4 == 0:
+            rows.append((len(rows), " ".join(changed(apart, set(draw.sample(range(200), 3))))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bucket = {r["__id"]: r.bands[0] for r in neardup.sketch(docs, bands=1, rows=1).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    links = [(x, y) for x in sets for y in sets if x < y and bucket[x] == bucket[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs, bands=1, rows=1).collect()}
+    assert max(Counter(bucket.values()).values()) > 32 and len(links) > 50
+    assert [p for p in links if found[p[0]] != found[p[1]]] == []
+
+
+def test_candidates_of_the_residual_join_hold_every_link(spark):
+    # Every content is a class of its own in one bucket; the candidates must hold every pair that reaches the threshold.
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(5000)}" for _ in range(120)]
+    texts = [edits(draw, base, draw.choice([0.005, 0.01, 0.02, 0.03])) for _ in range(700)] + [" ".join(draw.choice("abcdef") for _ in range(draw.randrange(1, 12))) for _ in range(100)]
+    sets = neardup.shingle_sets(spark.createDataFrame([(t,) for t in texts], "__text string")).dropDuplicates(["content"])
+    have = {r.content: frozenset(np.frombuffer(r.shingles, np.uint64).tolist()) for r in sets.collect()}
+    members = sets.select(F.lit(1).cast("long").alias("bucket"), "content")
+    found = spark.createDataFrame([], "node long, component long")
+    got = {(r.a, r.b) for r in neardup._residual(members, found, sets, 0.8).collect()}
+    ids = sorted(have)
+    links = {(x, y) for i, x in enumerate(ids) for y in ids[i + 1 :] if len(have[x] & have[y]) >= 0.8 * len(have[x] | have[y])}
+    assert len(links) > 1000 and links <= got
+    assert len(got) < len(ids) * (len(ids) - 1) / 4
+
+
 def test_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " ,. "), (4, "two words"), (5, "Two, words!"), (4, "two words"), (6, "two words more"), (7, long), (8, long + " end"), (None, "two words"), (None, "alone here")]

@@ -1,8 +1,9 @@
 """License signatures, in order of evaluation.
 
-One rule a line: label | keyword | pattern. Texts are matched as lower-case words with
-one blank between them, so "GPL-3.0+" reads "gpl 3 0". A rule is tried only where its
-keyword occurs as a run of characters. Headings give the priority of the rules below
+One rule a line: label | keywords | pattern. Texts are matched as lower-case words with
+one blank between them, so "GPL-3.0+" reads "gpl 3 0". A rule is tried only where one of
+its keywords (parted by commas) occurs as a run of characters, so every text that the
+pattern matches must hold one. Headings give the priority of the rules below
 them and the confidence of their detections. In a pattern `~` stands for up to six words.
 """
 
@@ -27,9 +28,9 @@ gpl-3 | general public | this work is licensed under the gnu general public lice
 gpl-2 | general public | licensed under the gnu general public license v(?:ersion )?2
 gpl-3-or-later | free software | free software ~ redistribute it and or modify it under the terms of the gnu general public license ~ version 3 ~ or at your option any later version
 gpl-2-or-later | free software | free software ~ redistribute it and or modify it under the terms of the gnu general public license ~ version 2 ~ or at your option any later version
-gpl | free software | redistribute it and or modify it under the terms of the gnu general public license
-lgpl | free software | redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license
-agpl | free software | redistribute it and or modify it under the terms of the gnu affero general public license
+gpl | redistribute it | redistribute it and or modify it under the terms of the gnu general public license
+lgpl | redistribute it | redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license
+agpl | redistribute it | redistribute it and or modify it under the terms of the gnu affero general public license
 agpl-3 | affero | licensed under the gnu affero general public license(?: ~)? version 3
 lgpl-3 | lesser | licensed under the gnu lesser general public license(?: ~)? version 3
 lgpl-2.1 | lesser | licensed under the gnu lesser general public license(?: ~)? version 2 1
@@ -37,7 +38,7 @@ mpl-2 | mozilla | (?:this source code form is )?subject to the terms of the mozi
 mpl-1.1 | mozilla | the contents of this file are subject to the mozilla public license version 1 1
 epl-2 | eclipse | (?:made available|licensed) under the (?:terms of the )?eclipse public license (?:v|version )?2 0
 epl-1 | eclipse | (?:made available|licensed) under the (?:terms of the )?eclipse public license (?:v|version )?1 0
-cddl-1 | cddl | subject to the terms of the common development and distribution license
+cddl-1 | distribution license | subject to the terms of the common development and distribution license
 isc | isc | (?:released|licensed) under the isc license
 isc | permission | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 zlib | misrepresented | the origin of this software must not be misrepresented
@@ -58,10 +59,10 @@ cc-by-nd | commons | licensed under (?:a|the) creative commons attribution no ?d
 cc-by-sa | cc by sa | licensed under (?:a |the )?cc by sa(?: [1234] [05])?
 cc-by | cc by | licensed under (?:a |the )?cc by(?: [1234] [05])?
 ofl-1.1 | font | licensed under the sil open font license version 1 1
-eupl-1.2 | european union | licensed under the eupl(?: ~)? 1 2
+eupl-1.2 | eupl | licensed under the eupl(?: ~)? 1 2
 ms-pl | microsoft | (?:released|licensed) under the microsoft public license
 ms-rl | microsoft | (?:released|licensed) under the microsoft reciprocal license
-python-2 | python | licensed under the (?:psf|python software foundation) license(?: ~)? 2
+python-2 | psf, python | licensed under the (?:psf|python software foundation) license(?: ~)? 2
 ncsa | illinois | released under the university of illinois(?: ncsa)? open source license
 postgresql | postgresql | (?:released|licensed) under the postgresql license
 openssl | openssl | (?:released|licensed) under the (?:openssl|dual openssl and ssleay) license
@@ -76,7 +77,7 @@ polyform-nc | polyform | licensed under the polyform noncommercial license
 commons-clause | commons clause | subject to the commons clause license condition
 llama-2 | llama | licensed under the llama 2 community license
 llama-3 | llama | licensed under the (?:meta )?llama 3(?: [0-9])? community license
-openrail | openrail | (?:released|licensed) under the (?:creativeml |bigscience )?(?:open ?rail|bloom rail)
+openrail | openrail, open rail, bloom rail | (?:released|licensed) under the (?:creativeml |bigscience )?(?:open ?rail|bloom rail)
 # 80 0.95 tags: machine-readable identifiers
 apache-2 | spdx | spdx license identifier apache 2 0
 mit | spdx | spdx license identifier mit
@@ -275,7 +276,7 @@ lgpl-2.1 | lgpl | lgplv2 1|lgpl v2 1|lgpl 2 1
 agpl-3 | agpl | agplv3|agpl v3|agpl 3(?: 0)?
 mpl-2 | mpl | mplv2|mpl v2|mpl 2(?: 0)?
 epl-2 | epl | eplv2|epl v2|epl 2(?: 0)?
-apache-2 | apache | apache v?2(?: 0)?|asl 2(?: 0)?
+apache-2 | apache, asl | apache v?2(?: 0)?|asl 2(?: 0)?
 bsd-2-clause | bsd | bsd 2 clause
 bsd-3-clause | bsd | bsd 3 clause
 # 20 0.3 notices that name no license

@@ -34,7 +34,7 @@ class Rule(NamedTuple):
     label: str
     priority: int
     confidence: float
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
 
 
@@ -46,9 +46,9 @@ def parse_rules(lines: str = RULES) -> list[Rule]:
             _, level, trust, *_ = line.split()
             priority, confidence = int(level), float(trust)
             continue
-        label, keyword, pattern = (x.strip() for x in line.split("|", 2))
+        label, keywords, pattern = (x.strip() for x in line.split("|", 2))
         body = pattern.replace("~", _GAP)
-        rules.append(Rule(f"r{len(rules):03d}", label, priority, confidence, keyword, re.compile(rf"(?<!\S)(?:{body})(?!\S)")))
+        rules.append(Rule(f"r{len(rules):03d}", label, priority, confidence, tuple(k.strip() for k in keywords.split(",")), re.compile(rf"(?<!\S)(?:{body})(?!\S)")))
     return rules
 
 
@@ -68,7 +68,8 @@ class Scanner:
         self.base = BASE if base is None else base
         self.gated: dict[str, list[Rule]] = {}
         for rule in parse_rules(lines):
-            self.gated.setdefault(rule.keyword, []).append(rule)
+            for keyword in rule.keywords:
+                self.gated.setdefault(keyword, []).append(rule)
         self.gate = ahocorasick.Automaton()
         for keyword in self.gated.keys() | self.base.keys():
             self.gate.add_word(keyword, keyword)
@@ -81,7 +82,8 @@ class Scanner:
         if not present:
             return len(words), []
         found = [*self._places(line, present & self.base.keys())]
-        found += self._resolve([m for keyword in sorted(present & self.gated.keys()) for rule in self.gated[keyword] for m in self._matches(line, rule)])
+        tried = {rule.name: rule for keyword in sorted(present & self.gated.keys()) for rule in self.gated[keyword]}  # once each
+        found += self._resolve([m for rule in tried.values() for m in self._matches(line, rule)])
         return len(words), found
 
     def _places(self, line: str, phrases: set[str]) -> Iterator[Detection]:

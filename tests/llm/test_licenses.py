@@ -1,4 +1,6 @@
 import re
+from re import _constants as sre
+from re import _parser as sre_parser
 
 from tessera.llm import licenses, queries
 from tessera.llm.license_rules import RULES
@@ -35,6 +37,51 @@ def test_rules_are_hundreds_and_each_keyword_is_in_its_matches():
     assert [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
 
 
+def samples(tree):
+    """A text for each combination of alternatives of a parsed pattern; options both ways, gaps of one word."""
+    out = [""]
+    for op, value in tree:
+        if op in (sre.ASSERT_NOT, sre.ASSERT):
+            continue
+        if op is sre.LITERAL:
+            more = [chr(value)]
+        elif op is sre.IN:
+            more = ["q" if o is sre.CATEGORY else chr(v if o is sre.LITERAL else v[0]) for o, v in value]
+        elif op is sre.SUBPATTERN:
+            more = samples(value[3])
+        elif op is sre.BRANCH:
+            more = [x for branch in value[1] for x in samples(branch)]
+        else:  # a repeat
+            least, _, part = value
+            more = [""] * (least == 0) + [x * max(1, least) for x in samples(part)]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_keyword_gate_suppresses_no_rule():
+    rules, scanner = licenses.parse_rules(RULES), licenses.Scanner(base={})
+    for rule in rules:
+        texts = [t for t in samples(sre_parser.parse(rule.pattern.pattern)) if rule.pattern.search(t)]
+        assert texts, rule
+        for text in texts:
+            ungated = scanner._resolve([m for r in rules for m in scanner._matches(text, r)])
+            assert scanner.scan(text)[1] == ungated, (rule, text)
+
+
+def test_labels_without_the_first_keyword():
+    texts = {
+        "asl 2.0": "apache-2", "Licensed under the EUPL 1.2": "eupl-1.2", "licensed under the PSF license 2": "python-2",
+        "released under the Open RAIL": "openrail", "released under the BLOOM RAIL": "openrail",
+        "subject to the terms of the Common Development and Distribution License": "cddl-1",
+        "redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
+        "redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+        "redistribute it and/or modify it under the terms of the GNU Affero General Public License": "agpl",
+    }
+    for text, label in texts.items():
+        found = licenses.Scanner().scan(text)[1]
+        assert [(d.label, d.priority >= 90 or label == "apache-2") for d in found] == [(label, True)], text
+
+
 def test_containment_suppression_equals_brute_force():
     _, found = licenses.Scanner().scan("under the GNU Lesser General Public License version 3, and the MIT License. SPDX-License-Identifier: GPL-2.0-or-later")
     assert [(d.label, d.rule == "base") for d in found if d.label == "mit"] == [("mit", True), ("mit", False)]

@@ -6,7 +6,9 @@ register and the earliest arrival keeps it. A shingle's process ends once its ne
 is later than every register's (early termination). Two documents agree on a register with
 the probability Jaccard similarity of their weights.
 
-Banding. Registers are grouped in bands; documents that share a band share a bucket. Copies
+Banding. Registers are grouped in bands; documents that share a band share a bucket. Links are
+decided by sets without counts, so a text with repeated shingles is posted by a second sketch
+of unit weights too (without repeats both sketches are the same). Copies
 (equal word sequences) are folded into one representative before that.
 
 Verification. A link is a pair whose shingle sets have Jaccard similarity of at least the
@@ -88,20 +90,34 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, c
     return holder.reshape(count, registers)
 
 
-def sketch_batch(batch: pa.StringArray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: hash of its word sequence, words, distinct shingles, band hashes."""
+def _band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Hashes (count x bands) of the bands of signatures."""
+    grouped = signature.reshape(len(signature), bands, rows)
+    hashed = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _STEP, (len(signature), 1))
+    for i in range(rows):
+        hashed = mix(hashed ^ grouped[:, :, i]) + _FACTORS[i % 5]
+    return hashed.view(np.int64)
+
+
+def sketch_batch(batch: pa.StringArray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each text: hash of its word sequence, words, distinct shingles, band hashes (of both sketches, each once)."""
     words = word_hashes(batch)
     content = np.array([xxhash.xxh3_64_intdigest(w.tobytes()) for w in words], np.uint64).view(np.int64)
     sets = [np.unique(shingles(w), return_counts=True) for w in words]
     sizes = np.array([len(s) for s, _ in sets], np.int64)
     elements = np.concatenate([s for s, _ in sets]) if sets else np.zeros(0, np.uint64)
     weights = 1 + np.log(np.concatenate([c for _, c in sets])) if sets else np.zeros(0)
-    signature = prob_minhash(elements, weights, np.repeat(np.arange(len(batch)), sizes), len(batch), bands * rows)
-    grouped = signature.reshape(len(batch), bands, rows)
-    hashed = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _STEP, (len(batch), 1))
-    for i in range(rows):
-        hashed = mix(hashed ^ grouped[:, :, i]) + _FACTORS[i % 5]
-    return content, np.array([len(w) for w in words], np.int64), sizes, hashed.view(np.int64)
+    owner = np.repeat(np.arange(len(batch)), sizes)
+    hashed = _band_hashes(prob_minhash(elements, weights, owner, len(batch), bands * rows), bands, rows)
+    posted = list(hashed)
+    again = np.zeros(len(batch), bool)
+    again[owner[weights > 1]] = True
+    if again.any():
+        mine, place = again[owner], np.cumsum(again) - 1
+        unit = _band_hashes(prob_minhash(elements[mine], np.ones(int(mine.sum())), place[owner[mine]], int(again.sum()), bands * rows), bands, rows)
+        for i, row in zip(np.flatnonzero(again), unit, strict=True):
+            posted[i] = np.concatenate([hashed[i], row[row != hashed[i]]])
+    return content, np.array([len(w) for w in words], np.int64), sizes, posted
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -111,7 +127,8 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             content, n, sizes, hashed = sketch_batch(batch.column(1), bands, rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(hashed.ravel()))
+            ends = np.cumsum([0, *map(len, hashed)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashed) if hashed else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content), pa.array(n), pa.array(sizes), lists], names=["__id", "content", "n_words", "size", "bands"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"__id {id_type}, content long, n_words long, size long, bands array<long>")

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import neardup, queries
@@ -102,6 +103,20 @@ def test_links_in_wide_buckets_are_found(spark):
     assert [p for p in links if found[p[0]] != found[p[1]]] == []
 
 
+def test_texts_with_a_sentence_repeated_share_bands():
+    # Set Jaccard of at least 0.8 but weighted Jaccard of about a half: of 400 such pairs some miss all bands of the weighted sketch.
+    draw = random.Random(7)
+    texts = []
+    for _ in range(400):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(90)]
+        times = draw.randrange(60, 100)
+        texts += [" ".join(words), " ".join(words + words[:13] * times)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    assert all(len(x & y) >= 0.8 * len(x | y) for x, y in zip(sets[::2], sets[1::2]))
+    bands = neardup.sketch_batch(pa.array(texts), neardup.BANDS, neardup.ROWS)[3]
+    assert [k for k in range(400) if not set(bands[2 * k]) & set(bands[2 * k + 1])] == []
+
+
 def test_candidates_of_the_residual_join_hold_every_link(spark):
     # Every content is a class of its own in one bucket; the candidates must hold every pair that reaches the threshold.
     draw = random.Random(12)

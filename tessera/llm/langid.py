@@ -134,7 +134,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
 
     Ids are picked without their texts; only the picked ids (sample times languages) are broadcast."""
     train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
-    ids = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
+    ids = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).distinct()  # the limit counts documents, not rows
     languages = [r["__lang"] for r in ids.select("__lang").distinct().orderBy("__lang").collect()]
     picked = None
     for name in languages:
@@ -143,7 +143,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     if picked is None:
         return []
     texts_of = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
-    rows = texts_of.join(F.broadcast(picked.distinct()), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min("__text").alias("__text")).collect()
+    rows = texts_of.join(F.broadcast(picked), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min("__text").alias("__text")).collect()
     return sorted((r["__lang"], r["__text"]) for r in rows)
 
 

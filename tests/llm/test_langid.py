@@ -44,3 +44,13 @@ def test_held_out_accuracy_and_odd_rows(spark):
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.identify(docs, langid.fit_model(docs)).first().lang_pred == "und"
+
+
+def test_a_repeated_id_takes_one_place_of_the_sample(spark):
+    rows = [(i, f"text {i}", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = langid.training_rows(docs, "doc_id", "text", "lang", 20)
+    assert len(first) == 20
+    again = int(first[0][1].split()[1])
+    repeated = docs.union(spark.createDataFrame([rows[again]] * 200, docs.schema))
+    assert langid.training_rows(repeated, "doc_id", "text", "lang", 20) == first

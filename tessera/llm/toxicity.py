@@ -305,7 +305,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ROWS) -> Model:
-    """Fit on training rows only (crc32 of the id modulo 5 is not 0), whole texts, at most `sample` of each label."""
+    """Fit on training rows only (crc32 of the id modulo 5 is not 0), at most `sample` of each label. Word counts and
+    calibration read whole texts; the field is trained on sentences with a telling word and every fifth other one."""
     rows, natural = training_rows(docs, labels, id_col, text_col, sample)
     return fit(rows, natural if rows else None)
 

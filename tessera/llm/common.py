@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(tempfile.mkdtemp(prefix=_OWN_DIR))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -77,6 +81,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+BATCH_BYTES = 1_000_000
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` whole texts and about `size` bytes of them (one text at least)."""
+    for batch in slices(batches, rows):
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = int(sizes[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, done + size, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 256) -> DataFrame:
     """Apply fn to whole rows in small Arrow batches; a map without a shuffle."""
 

@@ -18,19 +18,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PRE_SPLIT, byte_letters, read_vocabulary, vocabulary_path
-from .common import slices, small_batches, texts
+from .common import small_batches, text_batches, texts
 from .hashing import hashed_words
 
 SEQUENCE, END = 1024, 0
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
-TIE_BITS = 20  # equal places on the curve (copies) are spread by a hash of the id
-SAMPLE_ROWS = 8192  # rows (or four a range, if that is more) whose keys set the bounds; all rows are packed
+TIE_BITS = 20  # rows of a cell are spread by a hash of id, text and input partition
 RANGE_ROWS = 16_384  # a range holds about so many rows at most
+CELL_BITS = 16  # of the curve: rows are counted in at most so many cells (2^16), whatever the size of the input
+CELLS_A_RANGE, ROWS_A_CELL = 16, 64  # cells, and rows of the sample in a cell, that set the ranges; all rows are packed
+LONG_TEXT, LONG_BLANK = 100_000, regex.compile(r"\s{50000}")  # beyond which the rank encoder's pattern gets no blanks to split
 _IN_WORD = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 _PROJECTION = np.random.default_rng(20).normal(size=(BUCKETS, DIMENSIONS))
 
@@ -85,13 +88,21 @@ class RankEncoder:
         self.specials = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.specials}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.ordinary = tiktoken.Encoding("vocabulary", pat_str=PRE_SPLIT.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=PRE_SPLIT.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _ordinary(self, text: str) -> bytes:
+        """Of a text without special strings. The encoding's own pattern runs out of stack on very long
+        runs of white space, so those texts are split here and encoded word by word."""
+        if len(text) < LONG_TEXT or not LONG_BLANK.search(text):
+            return array("I", self.encoding.encode_ordinary(text)).tobytes()
+        piece = self.encoding._core_bpe.encode_single_piece
+        return b"".join(array("I", piece(word.encode("utf-8", "surrogatepass"))).tobytes() for word in PRE_SPLIT.findall(text))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
         if self.cut and self.cut.search(text):
-            return b"".join(self.specials.get(x) or array("I", self.ordinary(x)).tobytes() for x in self.cut.split(text))
-        return array("I", self.ordinary(text)).tobytes()
+            return b"".join(self.specials.get(x) or self._ordinary(x) for x in self.cut.split(text))
+        return self._ordinary(text)
 
 
 _ENCODERS: dict[int, RankEncoder] = {}
@@ -155,8 +166,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     Returns id_col, start, length (tokens), ids (binary: little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset. A document is its ids and then `end`; null and empty texts are `end` alone;
     repeated rows are packed each; other columns are not read. `length` must be a power of two.
-    One shuffle, by ranges of the curve whose bounds come from a bounded sample of keys; copies share
-    a place but are spread by a hash of their id, so no range follows the size of a group.
+    One shuffle, by ranges of the curve. Rows of a bounded sample are counted by cell of the curve; a
+    cell's rows are spread over its ranges by a hash, so copies, however many, are spread too, and
+    no range follows the size of a group. Equal rows are told apart by their input partition.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
@@ -164,30 +176,38 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(path or vocabulary_path()))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), (F.xxhash64(id_col).bitwiseAND((1 << TIE_BITS) - 1)).alias("__tie"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            keys = curve_keys(batch.column(1)) << TIE_BITS | np.asarray(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["__id", "__text", "__key"])
-
-    schema = f"__id {id_type}, __text string, __key long"
+    spread = F.xxhash64(id_col, text_col, F.spark_partition_id()).bitwiseAND((1 << TIE_BITS) - 1)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), spread.alias("__tie"))
     total = rows.count()
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 64)), math.ceil(total / RANGE_ROWS))
-    sample = rows.where(F.monotonically_increasing_id() % max(1, total // max(SAMPLE_ROWS, 4 * parts)) == 0).mapInArrow(keyed, schema).select("__key")
-    keys = np.sort(np.array([r[0] for r in sample.collect()], np.int64))
-    bounds = keys[(np.arange(1, parts) * len(keys)) // parts] if len(keys) else np.zeros(0, np.int64)
+    cell_bits = min(CELL_BITS, (CELLS_A_RANGE * parts).bit_length())
+    shift = DIMENSIONS * BITS - cell_bits
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, 0):
+            cells, counts = np.unique(curve_keys(batch.column(0)) >> shift, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts, pa.int64())], names=["cell", "n"])
+
+    every = max(1, total // (ROWS_A_CELL << cell_bits))
+    sample = rows.where(F.monotonically_increasing_id() % every == 0).select("__text").mapInArrow(celled, "cell long, n long")
+    held = np.zeros(1 << cell_bits)
+    for cell, n in sample.groupBy("cell").agg(F.sum("n")).collect():  # at most 2^CELL_BITS rows
+        held[cell] = n
+    held *= parts / max(1, held.sum())  # in ranges
+    before = np.cumsum(held) - held
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in keyed(batches):
-            at = np.searchsorted(bounds, np.asarray(batch.column(2)), side="right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=["__id", "__text", "__key", "__range"])
+        for batch in text_batches(batches, 1):
+            keys, tie = curve_keys(batch.column(1)), np.asarray(batch.column(2))
+            cell = keys >> shift
+            at = np.minimum(before[cell] + tie / (1 << TIE_BITS) * held[cell], parts - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys << TIE_BITS | tie, pa.int64()), pa.array(at)], names=["__id", "__text", "__key", "__range"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(shared.value)
         packer = Packer(TaskContext.get().partitionId() << 32, length)
         tail = array("I", [end]).tobytes()
-        for batch in slices(batches, 128):
+        for batch in text_batches(batches, 1):
             coded = map(encoder.encode, texts(batch, 1))
             yield table([piece for i, ids in zip(batch.column(0).to_pylist(), coded, strict=True) for piece in packer.add(i, ids + tail)])
         yield table([*packer.finish()])
@@ -198,7 +218,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     key_type = _arrow_type(docs, id_col)
-    dealt = rows.mapInArrow(ranged, schema + ", __range int").repartitionById(parts, "__range")
+    dealt = rows.mapInArrow(ranged, f"__id {id_type}, __text string, __key long, __range int").repartitionById(parts, "__range")
     dealt = dealt.sortWithinPartitions("__key", "__id", "__text").select("__id", "__text")
     return dealt.mapInArrow(packed, f"`{id_col}` {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

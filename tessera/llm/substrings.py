@@ -29,12 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, release, slices, small_batches
+from .common import forget, materialize, release, small_batches, text_batches
 from .hashing import GOLDEN, Spans, hashed_words, mix, times
 
 WINDOW = 35
 ROUNDS, RUN_ROUNDS, LEAST_LEVEL = 6, (0, 4), 2
-_BATCH_BYTES = 1_000_000
 _IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 ALL, WINDOWS = 1, 2  # what a document is told of an occurrence: repeated as a whole, compare its windows
 
@@ -142,18 +141,6 @@ def anchors(docs: list[np.ndarray], size: int = WINDOW, rounds: int = ROUNDS) ->
     return {"doc": np.array(docs_of)[owner[first]], "first": window[first] - bases[owner[first]], "count": count, "key": key[first].view(np.int64), "span": span.view(np.int64)}
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of whole texts of about _BATCH_BYTES bytes."""
-    for batch in slices(batches, 512):
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < batch.num_rows:
-            done = int(sizes[start - 1]) if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, done + _BATCH_BYTES, side="right")))
-            yield batch.slice(start, end - start)
-            start = end
-
-
 def _told(column: pa.ListArray) -> tuple[np.ndarray, ...]:
     """text index, first, count, key and code of all notes of a batch."""
     counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -175,7 +162,7 @@ def occurrences(rows: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> Da
     """key, span, __row, first, count of rows __row, __text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text_batches(batches, 1):
+        for batch in text_batches(batches, 1):
             found = anchors(word_hashes(batch.column(1)), size, rounds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found["key"]), pa.array(found["span"]), batch.column(0).take(pa.array(found["doc"], pa.int64())), pa.array(found["first"], pa.int32()), pa.array(found["count"], pa.int32())],
@@ -232,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = rows.join(lists, "__row", "left").select("__row", "__text", "__kept", "__told")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text_batches(batches, 1):
+        for batch in text_batches(batches, 1):
             whole = batch.column(1).to_pylist()
             words = [_split(t) for t in whole]
             lengths = np.array([len(w) for w in words], np.int64)
@@ -255,7 +242,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pending = first.where("__open")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text_batches(batches, 1):
+        for batch in text_batches(batches, 1):
             hashed = word_hashes(batch.column(1))
             owner, first, count, key, code = _told(batch.column(2))
             ask = (code & WINDOWS) > 0
@@ -278,7 +265,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     closing = pending.select("__row", "__text", "__kept", "__told").join(hits, "__row", "left")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text_batches(batches, 1):
+        for batch in text_batches(batches, 1):
             whole = batch.column(1).to_pylist()
             words = [_split(t) for t in whole]
             lengths = np.array([len(w) for w in words], np.int64)

@@ -59,10 +59,26 @@ def test_ids_equal_the_library():
     for _ in range(4000):
         text = "".join(draw.choice([*PIECES, "\x1c", "\x85", "\u200b", "\u2028", "\u180e", "\u0301", "\x00", "\ufeff"]) for _ in range(draw.randint(0, 16)))
         assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
-    for text in (" " * 300_000, "a" * 300_000, "\n" * 100_000 + "x", "?" * 100_000):
+    long = (" " * 300_000, "a" * 300_000, "\n" * 100_000 + "x", "?" * 100_000, " " * 2_000_000 + "x", "\n" * 2_000_000, "x \t" + " \n" * 1_000_000 + "y it's", "<|endoftext|>" + "\u3000" * 200_000 + " end", "a" * 2_000_000, "?" * 2_000_000, "7" * 2_000_000)
+    for text in long:
         assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ranges_are_even_whatever_the_rows_hold(spark):
+    """One document in a third of the rows, and one id in another third."""
+    rows = [(7, "the same text in very many rows")] * 2000 + [(8, f"word{i} " * 5) for i in range(2000)] + [(i, f"all kinds of {i % 90} words {i}") for i in range(100, 2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        pieces = packing.pack(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    sizes = {}
+    for r in pieces:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + (r.start == 0)
+    assert sum(sizes.values()) == 6000 and len(sizes) > 35 and max(sizes.values()) < 3 * 6000 / 40
+
+
 def test_curve_visits_every_cell_in_unit_steps():
     cells = np.array([*itertools.product(range(8), repeat=3)])
     index = packing.hilbert_index(cells, bits=3)

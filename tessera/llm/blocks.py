@@ -4,7 +4,8 @@ Rows are dealt evenly to blocks by their place, never by content, so equal vecto
 meet in one task. Every query is sent to every block; a block's rows arrive first and are
 indexed once, then its queries stream past in small batches, so a task holds one block and
 one batch. Each block answers with its k best per query and a window keeps the k best of
-all. Shuffled rows: the table once, and (blocks x queries) for the queries.
+all. Shuffled rows: the table once, and (blocks x queries) for the queries; blocks are as large
+as memory allows once every core has some, so that queries are sent out as seldom as can be.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS, LARGE_BLOCK_ROWS = 4096, 65_536  # rows of a block while there are fewer than BLOCKS_A_CORE blocks a core, and at most
+BLOCKS_A_CORE = 3
 QUERY_BATCH = 256
 
 #: (ids, vectors) of a block -> (query ids, query vectors) -> (query index, row index, score), best k of each.
@@ -36,17 +38,20 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFra
     return vectors.where(keep).select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__vec"))
 
 
-def search(rows: DataFrame, queries: DataFrame, prepare: Prepare, k: int, score_type: str, best_first: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, prepare: Prepare, k: int, score_type: str, best_first: Column, block_rows: int | None = None) -> DataFrame:
     """query_id, rank, id and score of the k best rows of each query. rows and queries: usable().
 
     Rows with a query's own id are left out by `prepare`'s answers; a query id or a row that is
     repeated counts once. Only vectors of a query's length are compared with it."""
-    blocks = max(1, math.ceil(rows.count() / block_rows))
+    total, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(total / (block_rows or LARGE_BLOCK_ROWS)))
+    if not block_rows:
+        blocks = max(blocks, min(math.ceil(total / BLOCK_ROWS), BLOCKS_A_CORE * cores))
     block = lambda place: F.struct(F.size("__vec").alias("dim"), place.cast("int").alias("at"))
     dealt = rows.select(block(F.monotonically_increasing_id() % blocks).alias("__block"), F.lit(0).alias("__kind"), "__id", "__vec")
     asked = queries.groupBy("__id").agg(F.min("__vec").alias("__vec"))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__at"), "__id", "__vec").select(block(F.col("__at")).alias("__block"), F.lit(1).alias("__kind"), "__id", "__vec")
-    both = dealt.unionByName(asked).repartition(blocks, "__block").sortWithinPartitions("__block", "__kind", "__id")
+    both = dealt.unionByName(asked).repartitionById(blocks, F.col("__block.at")).sortWithinPartitions("__block", "__kind", "__id")
     both = both.select("__block.dim", "__block.at", "__kind", "__id", "__vec")
     kind = pa.int64() if score_type == "long" else pa.float64()
     id_type = rows.schema["__id"].dataType.simpleString()

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_ROWS, best_distinct, search, usable
+from .blocks import best_distinct, search, usable
 
 SCALE = 1024
 RANGE_ROWS = 64
@@ -82,7 +82,7 @@ class RangeIndex:
         return np.array(out_q, np.int64), self.place[np.array(out_r, np.int64)], np.array(out_s, np.int64)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, block_rows: int | None = None) -> DataFrame:
     """The k rows of highest integer inner product for each query row, exactly: query_id, rank, id, score long.
 
     Rows whose id or vector is null or whose vector holds a null or non-finite component take no part

@@ -1,9 +1,10 @@
 """Exact removal of long repeated word sequences by recompression.
 
-Naming. A text's words are level-0 symbols. A round names maximal runs of one symbol and
+Naming. Names are hashes: this replaces the exchange of a dictionary in a Spark round a level, as a
+name depends on the named symbols alone and is the same wherever it is computed. So all levels
+run in one map, and what Spark shuffles are anchors. A text's words are level-0 symbols. A round names maximal runs of one symbol and
 then pairs of neighbours whose first is of the left and second of the right class; classes
-and names are hashes of symbols, so they are the same in every document and partition
-without a dictionary. Whether symbols merge depends on themselves alone, so the parse of a
+are bits of hashes of symbols. Whether symbols merge depends on themselves alone, so the parse of a
 substring is the same wherever it stands, except near its ends: there a symbol may merge
 with one outside. Following that rule level by level gives, for each window of `size`
 words, the symbols that its content alone determines; the highest level that still has one
@@ -15,8 +16,10 @@ Revealing and verifying. Neighbouring windows with one anchor form an occurrence
 hash of all words it spans. Anchors that occur once are dropped. An occurrence whose span
 hash occurs again under its anchor is repeated as a whole. Of the others (the edges of repeats),
 and of one occurrence of each span they could share windows with, single windows are compared.
-Equality is by two 64-bit hashes, the anchor's and the span's or window's. Groups are only
-counted, never collected: a passage in a million documents costs a row each.
+Equality is by two 64-bit hashes of different kinds, the anchor's (a tree of mixed symbols) and the
+span's or window's (a polynomial modulo a prime), not by comparing words. Groups are only
+counted, never collected: a passage in a million documents costs a row each. Rows are known by
+128 bits; equal rows share their occurrences, which are told once to all of them.
 """
 
 from __future__ import annotations
@@ -159,21 +162,22 @@ def _covered(lengths: np.ndarray, owner: np.ndarray, first: np.ndarray, count: n
 
 
 def occurrences(rows: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """key, span, __row, first, count of rows __row, __text."""
+    """key, span, __row, __twin, first, count of rows __row, __twin, __text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 1):
-            found = anchors(word_hashes(batch.column(1)), size, rounds)
+        for batch in text_batches(batches, 2):
+            found = anchors(word_hashes(batch.column(2)), size, rounds)
+            own = pa.array(found["doc"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found["key"]), pa.array(found["span"]), batch.column(0).take(pa.array(found["doc"], pa.int64())), pa.array(found["first"], pa.int32()), pa.array(found["count"], pa.int32())],
-                names=["key", "span", "__row", "first", "count"],
+                [pa.array(found["key"]), pa.array(found["span"]), batch.column(0).take(own), batch.column(1).take(own), pa.array(found["first"], pa.int32()), pa.array(found["count"], pa.int32())],
+                names=["key", "span", "__row", "__twin", "first", "count"],
             )
 
-    return rows.mapInArrow(run, "key long, span long, __row long, first int, count int")
+    return rows.mapInArrow(run, "key long, span long, __row long, __twin long, first int, count int")
 
 
 def told(found: DataFrame) -> DataFrame:
-    """__row and its occurrences that matter: array<struct<first, count, key, code>>.
+    """__row, __twin and its occurrences that matter, each once: array<struct<first, count, key, code>>.
 
     Shuffle files of a step are released before the next, so that the largest step bounds the disk."""
     spark = found.sparkSession
@@ -183,13 +187,13 @@ def told(found: DataFrame) -> DataFrame:
     shared = materialize(found.join(keys, "key"), "shared")
     forget(keys)
     release(spark)
-    mixed = shared.where("NOT pure").groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("__row", "first")).alias("one"))
-    mixed = materialize(mixed.select("key", "span", "n", F.col("one.__row").alias("one_row"), F.col("one.first").alias("one_first")), "mixed")
+    mixed = shared.where("NOT pure").groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("__row", "__twin", "first")).alias("one"))
+    mixed = materialize(mixed.select("key", "span", "n", F.col("one.__row").alias("one_row"), F.col("one.__twin").alias("one_twin"), F.col("one.first").alias("one_first")), "mixed")
     again = shared.where("NOT pure").join(mixed, ["key", "span"])
-    stands = (F.col("__row") == F.col("one_row")) & (F.col("first") == F.col("one_first"))
+    stands = (F.col("__row") == F.col("one_row")) & (F.col("__twin") == F.col("one_twin")) & (F.col("first") == F.col("one_first"))
     code = F.when(F.col("n") > 1, F.lit(ALL)).otherwise(0) + F.when((F.col("n") == 1) | stands, F.lit(WINDOWS)).otherwise(0)
-    coded = again.select("__row", "first", "count", "key", code.cast("int").alias("code")).unionAll(shared.where("pure").select("__row", "first", "count", "key", F.lit(ALL).alias("code")))
-    lists = materialize(coded.groupBy("__row").agg(F.collect_list(F.struct("first", "count", "key", "code")).alias("__told")), "told")
+    coded = again.select("__row", "__twin", "first", "count", "key", code.cast("int").alias("code")).unionAll(shared.where("pure").select("__row", "__twin", "first", "count", "key", F.lit(ALL).alias("code")))
+    lists = materialize(coded.groupBy("__row", "__twin").agg(F.collect_set(F.struct("first", "count", "key", "code")).alias("__told")), "told")
     forget(shared, mixed)
     return lists
 
@@ -209,21 +213,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     carried = [c for c in carry or [] if c not in (id_col, text_col)]
     kept_columns = F.struct(F.col(id_col).alias("__id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
-    rows = docs.select(F.xxhash64(id_col, text_col, F.lit(1)).alias("__row"), F.col(text_col).alias("__text"), kept_columns.alias("__kept"))
+    rows = docs.select(F.xxhash64(id_col, text_col, F.lit(1)).alias("__row"), F.xxhash64(F.lit(2), id_col, text_col).alias("__twin"), F.col(text_col).alias("__text"), kept_columns.alias("__kept"))
     kept_type = rows.schema["__kept"].dataType.simpleString()
-    found = materialize(occurrences(rows.select("__row", "__text"), size, rounds), "occurrences")
+    found = materialize(occurrences(rows.select("__row", "__twin", "__text"), size, rounds), "occurrences")
     release(spark)
     lists = told(found)
     forget(found)
     release(spark)
-    judged = rows.join(lists, "__row", "left").select("__row", "__text", "__kept", "__told")
+    judged = rows.join(lists, ["__row", "__twin"], "left").select("__row", "__twin", "__text", "__kept", "__told")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 1):
-            whole = batch.column(1).to_pylist()
+        for batch in text_batches(batches, 2):
+            whole = batch.column(2).to_pylist()
             words = [_split(t) for t in whole]
             lengths = np.array([len(w) for w in words], np.int64)
-            owner, first, count, _, code = _told(batch.column(3))
+            owner, first, count, _, code = _told(batch.column(4))
             sure = (code & ALL) > 0
             covers = _covered(lengths, owner[sure], first[sure], count[sure], size)
             is_open = np.zeros(len(words), bool)
@@ -231,53 +235,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             only_open = pa.array(np.arange(len(words)), mask=~is_open)  # null where nothing is left to compare
             kept = pa.array([None if o else _kept(t, w, c, keep_unchanged) for t, w, c, o in zip(whole, words, covers, is_open.tolist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(lengths), pa.array([int(c.sum()) for c in covers], pa.int64()), kept, batch.column(1).take(only_open), batch.column(3).take(only_open), pa.array(is_open)],
-                names=["__row", "__kept", "n_words", "n_removed", "kept", "__text", "__told", "__open"],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(lengths), pa.array([int(c.sum()) for c in covers], pa.int64()), kept, batch.column(2).take(only_open), batch.column(4).take(only_open), pa.array(is_open)],
+                names=["__row", "__twin", "__kept", "n_words", "n_removed", "kept", "__text", "__told", "__open"],
             )
 
-    first = judged.mapInArrow(judge, f"__row long, __kept {kept_type}, n_words long, n_removed long, kept string, __text string, __told {_TOLD}, __open boolean")
+    first = judged.mapInArrow(judge, f"__row long, __twin long, __kept {kept_type}, n_words long, n_removed long, kept string, __text string, __told {_TOLD}, __open boolean")
     first = materialize(first, "judged")
     forget(lists)
     release(spark)
     pending = first.where("__open")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 1):
-            hashed = word_hashes(batch.column(1))
-            owner, first, count, key, code = _told(batch.column(2))
+        for batch in text_batches(batches, 2):
+            hashed = word_hashes(batch.column(2))
+            owner, first, count, key, code = _told(batch.column(3))
             ask = (code & WINDOWS) > 0
             owner, first, count, key = owner[ask], first[ask], count[ask], key[ask]
             base = np.concatenate([[0], np.cumsum([len(h) for h in hashed])]).astype(np.int64)
             place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             at = np.repeat(base[owner], count) + place
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(key, count)), pa.array(Spans(np.concatenate(hashed)).hash(at, at + size).view(np.int64)), batch.column(0).take(pa.array(np.repeat(owner, count))), pa.array(place, pa.int32())],
-                names=["key", "window", "__row", "place"],
+                [pa.array(np.repeat(key, count)), pa.array(Spans(np.concatenate(hashed)).hash(at, at + size).view(np.int64)), *(batch.column(c).take(pa.array(np.repeat(owner, count))) for c in (0, 1)), pa.array(place, pa.int32())],
+                names=["key", "window", "__row", "__twin", "place"],
             )
 
-    single = materialize(pending.select("__row", "__text", "__told").mapInArrow(windows, "key long, window long, __row long, place int"), "windows")
+    single = materialize(pending.select("__row", "__twin", "__text", "__told").mapInArrow(windows, "key long, window long, __row long, __twin long, place int"), "windows")
     twice = materialize(single.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window"), "twice")
     release(spark)
     # A repeated window is repeated wherever it stands; places already covered as a whole are no harm.
-    hits = materialize(single.join(twice, ["key", "window"]).groupBy("__row").agg(F.collect_list("place").alias("__places")), "hits")
+    hits = materialize(single.join(twice, ["key", "window"]).groupBy("__row", "__twin").agg(F.collect_set("place").alias("__places")), "hits")
     forget(single, twice)
     release(spark)
-    closing = pending.select("__row", "__text", "__kept", "__told").join(hits, "__row", "left")
+    closing = pending.select("__row", "__twin", "__text", "__kept", "__told").join(hits, ["__row", "__twin"], "left").select("__text", "__kept", "__told", "__places")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 1):
-            whole = batch.column(1).to_pylist()
+        for batch in text_batches(batches, 0):
+            whole = batch.column(0).to_pylist()
             words = [_split(t) for t in whole]
             lengths = np.array([len(w) for w in words], np.int64)
-            owner, first, count, _, code = _told(batch.column(3))
+            owner, first, count, _, code = _told(batch.column(2))
             sure = (code & ALL) > 0
-            places = batch.column(4).flatten().to_numpy(zero_copy_only=False)
-            place_owner = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(batch.column(4)), 0).to_numpy(zero_copy_only=False))
+            places = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            place_owner = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False))
             covers = _covered(lengths, np.concatenate([owner[sure], place_owner]), np.concatenate([first[sure], places]), np.concatenate([count[sure], np.ones(len(places), np.int64)]), size)
             kept = [_kept(t, w, c, keep_unchanged) for t, w, c in zip(whole, words, covers, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(lengths), pa.array([int(c.sum()) for c in covers], pa.int64()), pa.array(kept, pa.string())], names=["__kept", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lengths), pa.array([int(c.sum()) for c in covers], pa.int64()), pa.array(kept, pa.string())], names=["__kept", "n_words", "n_removed", "kept"])
 
-    closed = closing.select("__row", "__text", "__kept", "__told", "__places").mapInArrow(close, f"__kept {kept_type}, n_words long, n_removed long, kept string")
+    closed = closing.mapInArrow(close, f"__kept {kept_type}, n_words long, n_removed long, kept string")
     out = first.where("NOT __open").select("__kept", "n_words", "n_removed", "kept").unionAll(closed)
     return out.select(F.col("__kept.__id").alias(id_col), *(F.col(f"__kept.c{i}").alias(c) for i, c in enumerate(carried)), "n_words", "n_removed", "kept")
 

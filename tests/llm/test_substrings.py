@@ -76,3 +76,26 @@ def test_empty_table_and_carried_columns(spark):
 
 def test_query_equals_sql(spark):
     same(queries.op4_recompression_dedup(spark, f"{DATA}/sf0.01").collect(), queries.OP4_SQL, f"{DATA}/sf0.01")
+
+
+def thue_morse(n):
+    order = [0]
+    while len(order) < n:
+        order += [1 - x for x in order]
+    return order
+
+
+def test_words_and_spans_in_thue_morse_order_are_told_apart(spark):
+    order = thue_morse(1024)
+    common = " ".join(f"c{i}" for i in range(34))
+    spell = lambda a, b, by: by.join((a, b)[x] for x in order)
+    check(spark, [f"{common} {spell('a', 'b', '')}", f"{common} {spell('b', 'a', '')}", spell("one", "two", " "), spell("two", "one", " "), f"x {spell('on', 'tw', ' ')} y", f"y {spell('on', 'tw', ' ')} x"])
+
+
+def test_equal_rows_share_one_list(spark):
+    text = " ".join(f"w{i % 700}" for i in range(1500))
+    docs = spark.createDataFrame([(1, text)] * 50 + [(2, "other words " + text)], "doc_id long, text string")
+    found = substrings.occurrences(docs.selectExpr("xxhash64(doc_id) AS __row", "0L AS __twin", "text AS __text"))
+    longest = substrings.told(found).selectExpr("max(size(__told)) AS n").first().n
+    assert longest <= 1500
+    check(spark, [text] * 50 + ["other words " + text])

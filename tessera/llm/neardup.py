@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, materialize, release, slices, small_batches
+from .common import forget, materialize, release, slices, small_batches, text_batches
 from .graphs import components
 from .hashing import hashed_words, mix
 
@@ -99,10 +99,22 @@ def _band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return hashed.view(np.int64)
 
 
-def sketch_batch(batch: pa.StringArray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of each text: hash of its word sequence, words, distinct shingles, band hashes (of both sketches, each once)."""
+def _contents(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of word sequences, in two halves: content and check."""
+    both = [xxhash.xxh3_128_intdigest(w.tobytes()) for w in words]
+    return tuple(np.array([x >> shift & (1 << 64) - 1 for x in both], np.uint64).view(np.int64) for shift in (0, 64))
+
+
+def _apart(clashes: list[int]):
+    """content, or where different sequences share it, a hash of both halves."""
+    known = F.col("content")
+    return (F.when(known.isin(clashes), F.xxhash64("content", "check")).otherwise(known) if clashes else known).alias("content")
+
+
+def sketch_batch(batch: pa.StringArray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each text: hashes of its word sequence, words, distinct shingles, band hashes (of both sketches, each once)."""
     words = word_hashes(batch)
-    content = np.array([xxhash.xxh3_64_intdigest(w.tobytes()) for w in words], np.uint64).view(np.int64)
+    content, check = _contents(words)
     sets = [np.unique(shingles(w), return_counts=True) for w in words]
     sizes = np.array([len(s) for s, _ in sets], np.int64)
     elements = np.concatenate([s for s, _ in sets]) if sets else np.zeros(0, np.uint64)
@@ -117,33 +129,32 @@ def sketch_batch(batch: pa.StringArray, bands: int, rows: int) -> tuple[np.ndarr
         unit = _band_hashes(prob_minhash(elements[mine], np.ones(int(mine.sum())), place[owner[mine]], int(again.sum()), bands * rows), bands, rows)
         for i, row in zip(np.flatnonzero(again), unit, strict=True):
             posted[i] = np.concatenate([hashed[i], row[row != hashed[i]]])
-    return content, np.array([len(w) for w in words], np.int64), sizes, posted
+    return content, check, np.array([len(w) for w in words], np.int64), sizes, posted
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """__id, content (hash of the word sequence), n_words, size (distinct shingles), bands array<long>; a map."""
+    """__id, content and check (hashes of the word sequence), n_words, size (distinct shingles), bands array<long>; a map."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            content, n, sizes, hashed = sketch_batch(batch.column(1), bands, rows)
+        for batch in text_batches(batches, 1):
+            content, check, n, sizes, hashed = sketch_batch(batch.column(1), bands, rows)
             ends = np.cumsum([0, *map(len, hashed)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashed) if hashed else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content), pa.array(n), pa.array(sizes), lists], names=["__id", "content", "n_words", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content), pa.array(check), pa.array(n), pa.array(sizes), lists], names=["__id", "content", "check", "n_words", "size", "bands"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"__id {id_type}, content long, n_words long, size long, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"__id {id_type}, content long, check long, n_words long, size long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """content and its sorted distinct shingle hashes (binary) of __id, __text rows."""
+    """content, check and the sorted distinct shingle hashes (binary) of __text rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in text_batches(batches, 0):
             words = word_hashes(batch.column(0))
-            content = np.array([xxhash.xxh3_64_intdigest(w.tobytes()) for w in words], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(content), pa.array([np.unique(shingles(w)).tobytes() for w in words], pa.binary())], names=["content", "shingles"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _contents(words)), pa.array([np.unique(shingles(w)).tobytes() for w in words], pa.binary())], names=["content", "check", "shingles"])
 
-    return docs.mapInArrow(run, "content long, shingles binary")
+    return docs.mapInArrow(run, "content long, check long, shingles binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -174,14 +185,18 @@ def _sizes_fit(a: str, b: str, threshold: float):
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """The sketch of every row, and for each content (with words) class_id and class_content, the
-    smallest id of its class and the content that has it."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The sketch of every row, for each content (with words) class_id and class_content, the smallest
+    id of its class and the content that has it, and the contents that different sequences had."""
     spark = docs.sparkSession
     small_batches(spark)
     sketched = materialize(sketch(docs, id_col, text_col, bands, rows), "sketch")
-    content = sketched.where("n_words > 0")
-    folded = materialize(content.groupBy("content").agg(F.min("__id").alias("low"), F.min("size").alias("size"), F.min("bands").alias("bands")), "folded")
+    fold = lambda: sketched.where("n_words > 0").groupBy("content").agg(F.min("__id").alias("low"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    folded = materialize(fold(), "folded")
+    clashes = [r[0] for r in folded.where("lo <> hi").select("content").collect()]  # n^2 / 2^65 of n sequences: none, or about 70 of 5e10
+    if clashes:
+        sketched = sketched.withColumn("content", _apart(clashes))
+        folded = materialize(fold(), "folded")
     posted = folded.select("content", "size", F.explode("bands").alias("bucket"))
     shared = materialize(posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = materialize(posted.join(shared, "bucket"), "members")
@@ -197,7 +212,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, ban
     named = docs.select(F.col(id_col).alias("low"), F.col(text_col).alias("__text"))
     wanted = asked.select(F.col("low").alias("__low")).distinct()
     sets = shingle_sets(named.join(wanted, F.col("low").eqNullSafe(F.col("__low")), "left_semi").select("__text"))
-    sets = materialize(sets.dropDuplicates(["content"]), "sets")
+    sets = materialize(sets.select(_apart(clashes), "shingles").dropDuplicates(["content"]), "sets")
     release(spark)
     links = materialize(verify(star, sets, threshold), "links")
     found = components(links)
@@ -212,7 +227,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, ban
     labelled = folded.select("content", "low").join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
     lowest = labelled.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "content")).alias("head"))
     by_content = labelled.join(lowest, "component").select("content", F.col("head.low").alias("class_id"), F.col("head.content").alias("class_content"))
-    return sketched, materialize(by_content, "classes")
+    return sketched, materialize(by_content, "classes"), clashes
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -223,7 +238,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     are alone: class_id is their own id. Texts under five words are one shingle. Repeated rows
     share a class; a class without a non-null id has class_id null; other columns are not read.
     """
-    sketched, by_content = _labelled(docs, id_col, text_col, threshold, bands, rows)
+    sketched, by_content, _ = _labelled(docs, id_col, text_col, threshold, bands, rows)
     out = sketched.select(F.col("__id").alias(id_col), "content", "n_words").join(by_content, "content", "left")
     return out.select(id_col, F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col(id_col)).alias("class_id"), "n_words")
 
@@ -231,27 +246,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row of each near-duplicate class, unchanged: one with the smallest id (of repeated rows
     the smallest by all columns). Null, empty and wordless texts all stay."""
-    sketched, by_content = _labelled(docs, id_col, text_col, threshold, bands, rows)
+    sketched, by_content, clashes = _labelled(docs, id_col, text_col, threshold, bands, rows)
     heads = by_content.where("content = class_content").select(F.col("content").alias("__head"), F.col("class_id").alias("__low"))
     held = materialize(sketched.where("n_words > 0").groupBy("__id", "content").agg(F.count("*").alias("__n")), "held")
     heads = held.join(heads, (F.col("content") == F.col("__head")) & F.col("__id").eqNullSafe(F.col("__low"))).select("__head", "__low", "__n")
     heads = materialize(heads, "heads")
-    at, names = docs.columns.index(text_col), docs.columns
+    # Columns of the caller are carried under names of our own, so that none can clash.
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*names)
+    id_own, at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            words = word_hashes(batch.column(at))
-            content = np.array([xxhash.xxh3_64_intdigest(w.tobytes()) if len(w) else 0 for w in words], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content), pa.array([len(w) > 0 for w in words])], names=[*names, "__content", "__worded"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__content", T.LongType()), T.StructField("__worded", T.BooleanType())])
-    marked = docs.mapInArrow(run, schema)
-    found = marked.join(heads, (F.col("__content") == F.col("__head")) & F.col(id_col).eqNullSafe(F.col("__low")), "left")
-    kept = found.where("__head IS NOT NULL OR NOT __worded")
+        for batch in text_batches(batches, int(at[1:])):
+            words = word_hashes(batch.column(int(at[1:])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, _contents(words)), pa.array([len(w) > 0 for w in words])], names=[*names, "content", "check", "worded"])
+
+    schema = T.StructType([*own.schema.fields, T.StructField("content", T.LongType()), T.StructField("check", T.LongType()), T.StructField("worded", T.BooleanType())])
+    marked = own.mapInArrow(run, schema).select(*names, _apart(clashes), "worded")
+    found = marked.join(heads, F.col("worded") & (F.col("content") == F.col("__head")) & F.col(id_own).eqNullSafe(F.col("__low")), "left")
+    kept = found.where("__head IS NOT NULL OR NOT worded")
+    back = [F.col(n).alias(c) for n, c in names.items()]
     if not heads.where("__n > 1").limit(1).count():
-        return kept.select(names)
-    again = kept.where("__n > 1 AND __worded").groupBy("__content", "__low").agg(F.min(F.struct(*names)).alias("__row")).select("__row.*")
-    return kept.where("__n = 1 OR NOT __worded").select(names).unionByName(again)
+        return kept.select(back)
+    again = kept.where("__n > 1 AND worded").groupBy("content", "__low").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return kept.where("__n = 1 OR NOT worded").select(*names).unionByName(again).select(back)
 
 
 def _shingle_rows(sets: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def test_texts_with_a_sentence_repeated_share_bands():
         texts += [" ".join(words), " ".join(words + words[:13] * times)]
     sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
     assert all(len(x & y) >= 0.8 * len(x | y) for x, y in zip(sets[::2], sets[1::2]))
-    bands = neardup.sketch_batch(pa.array(texts), neardup.BANDS, neardup.ROWS)[3]
+    bands = neardup.sketch_batch(pa.array(texts), neardup.BANDS, neardup.ROWS)[4]
     assert [k for k in range(400) if not set(bands[2 * k]) & set(bands[2 * k + 1])] == []
 
 
@@ -133,6 +133,50 @@ def test_candidates_of_the_residual_join_hold_every_link(spark):
     assert len(got) < len(ids) * (len(ids) - 1) / 4
 
 
+def test_a_dense_family_loses_no_link(spark):
+    # One template, two variants a place: 4,000 documents whose mean Jaccard similarity is far below the threshold.
+    draw = np.random.default_rng(31)
+    variant = np.zeros((4000, 200), bool)
+    for row in variant:
+        row[draw.choice(200, 5, replace=False)] = True
+    words = np.where(variant, np.char.add("b", np.arange(200).astype(str)), np.char.add("a", np.arange(200).astype(str)))
+    texts = [" ".join(row) for row in words]
+    code = sum(variant[:, i : 196 + i].astype(np.int64) << i for i in range(5)) + 32 * np.arange(196)
+    sets = np.zeros((4000, 32 * 196), np.float32)
+    np.put_along_axis(sets, code, 1, axis=1)
+    shared = sets @ sets.T
+    a, b = np.nonzero(np.triu(shared >= 0.8 * (2 * 196 - shared), 1))
+    assert 100 < len(a) and shared.mean() / (392 - shared.mean()) < 0.65
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert [(x, y) for x, y in zip(a.tolist(), b.tolist()) if found[x] != found[y]] == []
+    label = list(range(4000))
+    for _ in range(4000):
+        new = list(label)
+        for x, y in zip(a.tolist(), b.tolist()):
+            new[x] = new[y] = min(new[x], new[y])
+        if new == label:
+            break
+        label = new
+    assert [found[i] for i in range(4000)] == label
+
+
+def test_words_in_thue_morse_order_are_different_documents(spark):
+    order = [0]
+    while len(order) < 1024:
+        order += [1 - x for x in order]
+    texts = ["".join("ab"[x] for x in order), "".join("ba"[x] for x in order)]
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(0, 0), (1, 1)]
+
+
+def test_columns_of_the_caller_may_have_any_name(spark):
+    names = ["content", "check", "worded", "__head", "__low", "__n", "c0", "bands", "component"]
+    docs = spark.createDataFrame([(i, t, *["x"] * len(names)) for i, t in enumerate(["one text", "one text", None])] + [(0, "one text", *["x"] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = neardup.representatives(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " ,. "), (4, "two words"), (5, "Two, words!"), (4, "two words"), (6, "two words more"), (7, long), (8, long + " end"), (None, "two words"), (None, "alone here")]

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import small_batches, text_batches
 
 #: Header and footer of each role.
 MARKS = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", "</s>"), "system": ("<<SYS>>\n", "\n<</SYS>>\n\n")}
@@ -33,6 +33,8 @@ ESCAPE, ESCAPED = rf"([<\[])(\\*)({CONTROL})", r"\1\2\\\3"
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({CONTROL})")
 TURN = "array<struct<role:string,text:string>>"
 SPANS = "array<struct<start:bigint,length:bigint>>"
+SCATTER, BATCH_BYTES = 1_000_000, 8_000_000
+_LIMIT = (1 << 31) - 1
 
 
 def marks(role: str) -> tuple[str, str]:
@@ -52,11 +54,20 @@ def _bytes_of(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, places: np.ndarray, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-    """Copy values[starts : starts + lengths] to out[places ...], all pieces at once."""
-    total = int(lengths.sum())
-    if total:
-        step = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[np.repeat(places, lengths) + step] = values[np.repeat(starts, lengths) + step]
+    """Copy values[starts : starts + lengths] to out[places ...], as many pieces at once as hold about
+    SCATTER bytes, so that the indices stay small; a longer piece is copied by itself."""
+    ends = np.cumsum(lengths)
+    at, n = 0, len(lengths)
+    while at < n:
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + SCATTER, "right")))
+        if stop == at + 1:
+            out[places[at] : places[at] + lengths[at]] = values[starts[at] : starts[at] + lengths[at]]
+        else:
+            size = lengths[at:stop]
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(places[at:stop], size) + step] = values[np.repeat(starts[at:stop], size) + step]
+        at = stop
 
 
 def assemble(roles: pa.StringArray, contents: pa.StringArray, first: np.ndarray) -> tuple[pa.StringArray, pa.ListArray]:
@@ -78,13 +89,18 @@ def assemble(roles: pa.StringArray, contents: pa.StringArray, first: np.ndarray)
     _scatter(out, places[:, 1], body, at[:-1], lengths[:, 1])
     _scatter(out, places[:, 2], pieces[1], begins[1][kind], lengths[:, 2])
     starts = np.flatnonzero(first)
+    if total > _LIMIT:
+        raise ValueError("one conversation is longer than a value can be (2 GiB)")
     offsets = np.append(places[starts, 0], total).astype(np.int32)
     text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(out))
-    letters = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])  # code points before each byte
+    count, some = np.zeros(3 * n, np.int64), lengths.ravel() > 0  # code points of each segment
+    if total:
+        count[some] = np.add.reduceat((out & 0xC0) != 0x80, places.ravel()[some], dtype=np.int64)
+    before = (np.cumsum(count) - count).reshape(n, 3)
     owner = np.cumsum(first) - 1
     chosen = np.flatnonzero(kind == _index(names.dictionary, "assistant"))
-    low = letters[places[chosen, 1]] - letters[offsets[owner[chosen]]]
-    size = letters[places[chosen, 1] + lengths[chosen, 1]] - letters[places[chosen, 1]]
+    low = before[chosen, 1] - before[starts[owner[chosen]], 0]
+    size = count.reshape(n, 3)[chosen, 1]
     spans = pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(size, pa.int64())], names=["start", "length"])
     cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[chosen], minlength=len(starts)))]).astype(np.int32)
     return text, pa.ListArray.from_arrays(pa.array(cuts), spans)
@@ -101,8 +117,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     Rows are ordered by turn (null first), ties by role and text; null roles and texts count as
     empty, repeated rows stay; rows with a null conversation id form one conversation. Other columns
     are not read. One shuffle, by conversation. A conversation is one output value, so its size
-    bounds a task's memory.
+    bounds a task's memory, and one of over 2 GiB fails with a message; others are put together by bytes.
     """
+    small_batches(turns.sparkSession)
     key_type = turns.schema[conv_col].dataType.simpleString()
     ready = turns.select(
         F.col(conv_col).alias("__conv"), F.col(turn_col).alias("__turn"), F.coalesce(F.col(role_col), F.lit("")).alias("__role"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")
@@ -119,7 +136,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
             formatted, spans = assemble(role, text, first)
             return pa.RecordBatch.from_arrays([conv.take(pa.array(np.flatnonzero(first))), formatted, spans], names=[conv_col, "formatted", "loss_spans"])
 
-        for batch in slices(batches, 4096):
+        for batch in text_batches(batches, 2, 4096, BATCH_BYTES):
             begins = np.flatnonzero(_begins(batch.column(0)))
             same = held and held[-1].column(0)[-1] == batch.column(0)[0]
             cut = int(begins[-1])  # the last conversation of this batch stays
@@ -171,7 +188,7 @@ def read_conversations(formatted: DataFrame, conv_col: str = "conv_id") -> DataF
     kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
+        for batch in text_batches(batches, 1, 512, BATCH_BYTES):
             whole = [x or "" for x in batch.column(1).to_pylist()]
             loss = ["".join(unescape(text[s["start"] : s["start"] + s["length"]]) for s in spans or []) for text, spans in zip(whole, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse(t) for t in whole], kind), pa.array(loss, pa.string()), batch.column(1)], names=[conv_col, "turns", "loss_text", "formatted"])

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tessera.llm import chat, queries
 
 from .oracle import same
@@ -33,3 +36,28 @@ def test_random_texts_come_back_and_spans_hold_assistant_texts(spark):
 
 def test_empty_table(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).collect() == []
+
+
+def test_memory_follows_the_text():
+    import tracemalloc
+
+    body = "some words of a long turn " * 400_000  # 10 MB
+    roles = pa.array(["user", "assistant"] * 3 + ["tool"] * 2000)
+    contents = pa.array([body, "short", "é" * 2_000_000, "x", body, ""] + ["many little texts"] * 2000)
+    first = np.zeros(len(roles), bool)
+    first[[0, 4, 6]] = True
+    tracemalloc.start()
+    text, _ = chat.assemble(roles, contents, first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(len(x.as_py().encode()) for x in text)
+    assert size > 24_000_000 and peak < 6 * size
+    turns = [t for x in text.to_pylist() for t in chat.parse(x)]
+    assert [t["text"] for t in turns] == contents.to_pylist() and [t["role"] for t in turns] == roles.to_pylist()
+
+
+def test_pieces_are_scattered_in_bounded_steps(monkeypatch):
+    monkeypatch.setattr(chat, "SCATTER", 7)
+    texts = ["", "a", "bcd", "a long piece of text", "", "é", "<s>", "x" * 7]
+    text, spans = chat.assemble(pa.array(["user", "assistant"] * 4), pa.array(texts), np.array([True, False] * 4))
+    assert [t["text"] for x in text.to_pylist() for t in chat.parse(x)] == texts

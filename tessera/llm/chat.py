@@ -53,21 +53,38 @@ def _bytes_of(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)), at
 
 
-def _scatter(out: np.ndarray, places: np.ndarray, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-    """Copy values[starts : starts + lengths] to out[places ...], as many pieces at once as hold about
-    SCATTER bytes, so that the indices stay small; a longer piece is copied by itself."""
+def _groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of pieces that hold about SCATTER bytes together, so that arrays of their bytes stay small; a longer
+    piece stands alone."""
     ends = np.cumsum(lengths)
-    at, n = 0, len(lengths)
-    while at < n:
+    at = 0
+    while at < len(lengths):
         done = int(ends[at - 1]) if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, done + SCATTER, "right")))
-        if stop == at + 1:
-            out[places[at] : places[at] + lengths[at]] = values[starts[at] : starts[at] + lengths[at]]
+        yield at, stop
+        at = stop
+
+
+def _scatter(out: np.ndarray, places: np.ndarray, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    """Copy values[starts : starts + lengths] to out[places ...], all pieces of a group at once."""
+    for a, b in _groups(lengths):
+        if b == a + 1:
+            out[places[a] : places[a] + lengths[a]] = values[starts[a] : starts[a] + lengths[a]]
         else:
-            size = lengths[at:stop]
+            size = lengths[a:b]
             step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            out[np.repeat(places[at:stop], size) + step] = values[np.repeat(starts[at:stop], size) + step]
-        at = stop
+            out[np.repeat(places[a:b], size) + step] = values[np.repeat(starts[a:b], size) + step]
+
+
+def _letters(raw: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Code points of raw[places : places + lengths], pieces that follow one another."""
+    count, some = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    for a, b in _groups(lengths[some]):
+        own = some[a:b]
+        begin, end = places[own[0]], places[own[-1]] + lengths[own[-1]]
+        heads = (raw[begin:end] & 0xC0) != 0x80
+        count[own] = np.count_nonzero(heads) if b == a + 1 else np.add.reduceat(heads, places[own] - begin, dtype=np.int64)
+    return count
 
 
 def assemble(roles: pa.StringArray, contents: pa.StringArray, first: np.ndarray) -> tuple[pa.StringArray, pa.ListArray]:
@@ -93,9 +110,7 @@ def assemble(roles: pa.StringArray, contents: pa.StringArray, first: np.ndarray)
         raise ValueError("one conversation is longer than a value can be (2 GiB)")
     offsets = np.append(places[starts, 0], total).astype(np.int32)
     text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(out))
-    count, some = np.zeros(3 * n, np.int64), lengths.ravel() > 0  # code points of each segment
-    if total:
-        count[some] = np.add.reduceat((out & 0xC0) != 0x80, places.ravel()[some], dtype=np.int64)
+    count = _letters(out, places.ravel(), lengths.ravel())
     before = (np.cumsum(count) - count).reshape(n, 3)
     owner = np.cumsum(first) - 1
     chosen = np.flatnonzero(kind == _index(names.dictionary, "assistant"))

@@ -93,9 +93,9 @@ def heap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.heap_growth(count(0), count(1), least=2).select("class_name", "growth")
 
 
-@query("SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda w: w[1:1]) AS parts, p_name AS simple FROM part WHERE p_partkey < 50")
+@query("SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda w: w[1:1]) AS parts, p_name AS simple FROM part")
 def scalar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar name functions."""
-    parts = table(spark, sf_dir, "part").where("p_partkey < 50")
+    parts = table(spark, sf_dir, "part")
     dotted = F.replace("p_name", F.lit(" "), F.lit("."))
     return parts.select("p_partkey", F.split(scalars.abbreviate_package(dotted), r"\.").alias("parts"), F.concat(scalars.package_of(dotted), F.lit(" "), scalars.simple_name(dotted)).alias("simple"))

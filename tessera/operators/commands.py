@@ -336,7 +336,7 @@ def test_for(base: CodeBase, ref: str, levels: int = graph.MAX_LEVELS) -> DataFr
     tests = base.code.types.where("is_test").select(F.col("name").alias("test")).distinct()
     t = base.targets(ref)
     owner = t.select("class_name").distinct()
-    named = tests.join(owner, F.col("test").isin("") | F.expr("test RLIKE concat('^', class_name, '(Test|Tests|IT)$')")).select("test", F.lit("high").alias("confidence"), F.lit(0).alias("depth"))
+    named = tests.withColumn("class_name", F.regexp_replace("test", "(Test|Tests|IT)$", "")).where("class_name <> test").join(owner, "class_name").select("test", F.lit("high").alias("confidence"), F.lit(0).alias("depth"))
     cls, _ = _split_node()
     stop = base.graph.select(F.col("src").alias("node")).distinct().withColumn("test", cls).join(tests, "test", "left_semi").select("node")
     reached = graph.closure(base.graph, t.select("node"), incoming=True, max_levels=levels, stop=stop).where("depth > 0").withColumn("test", cls).join(tests, "test", "left_semi")
@@ -394,14 +394,39 @@ def search(base: CodeBase, pattern: str, limit: int = 30) -> DataFrame:
 
 
 @command("find")
-def find(base: CodeBase, concepts: list[list[str]], limit: int = 15) -> DataFrame:
-    """Types whose names (5) or methods (3) mention concepts, each a list of synonyms."""
+def find(base: CodeBase, concepts: str | list[list[str]], limit: int = 15) -> DataFrame:
+    """Types whose names (5) or methods (3) mention concepts: the words of a question, taken with their
+    synonyms, or lists of synonyms."""
     names = base.code.methods.groupBy("fqn").agg(F.array_join(F.collect_set("name"), " ").alias("method_names"))
     items = base.code.types.select("fqn", "name").join(names, "fqn", "left").fillna("", ["method_names"])
+    if isinstance(concepts, str):
+        scored = text.first_synonym_scores(items, "fqn", "method_names", text.concepts_of(concepts, packs.SYNONYMS))
+        return rank.top(scored.select("fqn", "concepts", "score"), limit, F.desc("score"), F.asc("fqn"))
     scored = text.concept_scores(items, {"fqn": 5, "method_names": 3}, concepts)
     return rank.top(scored.select("fqn", "concepts", "score"), limit, F.desc("score"), F.asc("fqn"))
 
 
+@command("method")
+def method(base: CodeBase, ref: str, limit: int = 30) -> DataFrame:
+    """Methods of a name, of one class and with exactly the listed parameter types if those are given, each place once,
+    with the number of all and whether some were left out."""
+    cls, name, arity = parse_reference(ref)
+    found = base.code.methods.where(F.col("name") == name)
+    if cls:
+        found = found.where(F.col("class_name") == cls)
+    if arity is not None:
+        _, parts = ref.rstrip(") ").split("(", 1), []
+        for piece in _[1].split(","):  # commas inside type arguments do not part types
+            if parts and parts[-1].count("<") > parts[-1].count(">"):
+                parts[-1] += "," + piece
+            elif piece.strip():
+                parts.append(piece)
+        asked = F.array(*(F.lit("".join(p.split())) for p in parts)).cast("array<string>")
+        found = found.where(F.transform("params.type", lambda t: F.regexp_replace(t, r"\s", "")) == asked)
+    found = found.select("path", "class_name", "name", "signature", "start_line", "end_line").dropDuplicates(["class_name", "name", "start_line", "path"])
+    return rank.with_total(found, limit, F.asc("path"), F.asc("start_line"), F.asc("class_name"))
+
+
 @command("scope")
 def scope(base: CodeBase, words: str, limit: int = 15) -> DataFrame:
     """Types by keywords in class name (5), methods (3 each), fields (2 each) and package (1)."""
@@ -524,6 +549,15 @@ def smells_all(base: CodeBase) -> DataFrame:
     return summarise(smells(base))
 
 
+@command("smells-trend")
+def smells_trend(base: CodeBase, changed: DataFrame) -> DataFrame:
+    """Smells by rule in all files and in changed ones (column path), and what that says."""
+    marked = smells(base).join(changed.select("path", F.lit(True).alias("is_changed")).distinct(), "path", "left")
+    counted = marked.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("is_changed").alias("n_changed"))
+    total = counted.agg(F.coalesce(F.sum("n_changed"), F.lit(0))).scalar()
+    return counted.withColumn("trend", F.when(total == 0, "clean").otherwise("needs-attention")).orderBy(F.desc("n_changed"), F.desc("n"), "rule_id")
+
+
 def _located(base: CodeBase, found: DataFrame) -> DataFrame:
     return text.enclose(found, base.code.types.select("path", "start_line", "end_line", F.col("name").alias("class_name")), "path", "line_no", "class_name")
 
@@ -541,12 +575,22 @@ def perf(base: CodeBase, deep: int = 0) -> DataFrame:
     edt = blocked.select(*lines.columns, F.lit("EDT_BLOCKING").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("Slow work in a listener").alias("message"), F.lit("class").alias("scope"))
     local = lines.groupBy("path").agg(F.min(F.when(F.contains("text", F.lit("ThreadLocal")), F.col("line_no"))).alias("at"), F.bool_or(F.contains("text", F.lit(".remove()"))).alias("removed")).where("at IS NOT NULL AND NOT removed").select("path", F.col("at").alias("line_no"))
     held = lines.join(local, ["path", "line_no"], "left_semi").select(*lines.columns, F.lit("THREADLOCAL_LEAK").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("A thread's value that is not removed").alias("message"), F.lit("file").alias("scope"))
-    found = looped.unionAll(whole).unionAll(leak).unionAll(edt).unionAll(held)
+    found = looped.unionAll(whole).unionAll(leak).unionAll(edt).unionAll(held).unionAll(_from_facts(base).select(*lines.columns, "rule_id", "severity", "category", "message", "scope"))
     if deep:
         found = found.unionAll(_deep(base, deep).select(*found.columns))
     return found
 
 
+def _from_facts(base: CodeBase) -> DataFrame:
+    """Long methods and those that many methods call, at their first lines."""
+    own = base.code.methods.select("path", F.col("start_line").alias("line_no"), F.col("class_name").alias("callee_class"), F.col("name").alias("callee_method"), (F.col("end_line") - F.col("start_line")).alias("span"))
+    long = own.where((F.col("span") > packs.LARGE_METHOD) & (F.col("span") < packs.IMPLAUSIBLE_METHOD)).select("path", "line_no", F.lit("LARGE_METHOD").alias("rule_id"), F.lit("A long method").alias("message"))
+    often = base.edges.groupBy("callee_class", "callee_method").agg(F.countDistinct("caller_class", "caller_method", "caller_arity").alias("n")).where(F.col("n") > packs.HOT_METHOD)
+    hot = own.join(often, ["callee_class", "callee_method"], "left_semi").select("path", "line_no", F.lit("HOT_METHOD"), F.lit("A method that very many methods call"))
+    found = long.unionAll(hot).distinct().withColumns({"severity": F.lit("INFO"), "category": F.lit(""), "scope": F.lit("index")})
+    return base.code.lines.join(found, ["path", "line_no"])
+
+
 def _deep(base: CodeBase, levels: int) -> DataFrame:
     """Hits in methods that calls in loops reach, each rule once for a method; always critical."""
     in_loop = base.code.lines.where("in_loop").select("path", F.col("line_no").alias("line"))
@@ -865,6 +909,19 @@ def profile_(base: CodeBase, recording: DataFrame, section: str = "hot", top: in
     return profile.summaries(profile.events_of(recording), top)[section]
 
 
+@command("correlate")
+def correlate(base: CodeBase, recording: DataFrame, top: int = 20) -> DataFrame:
+    """The methods sampled most, the files of their classes (by simple name) and the smells found there; null
+    where nothing confirms a method."""
+    from . import profile
+
+    hot = profile.summaries(profile.events_of(recording), top)["hot"].withColumn("class_name", F.element_at(F.split(F.substring_index("method", ".", -2), "[.$]"), 1))
+    files = base.code.types.select(F.col("name").alias("class_name"), "path").distinct()
+    found = smells(base).groupBy("path").agg(F.array_sort(F.collect_set("rule_id")).alias("smells"))
+    joined = hot.join(files, "class_name", "left").join(found, "path", "left")
+    return joined.select("method", "samples", "pct", "path", "smells", F.col("smells").isNotNull().alias("confirmed")).orderBy(F.desc("samples"), "method", "path")
+
+
 @command("heap-analyze")
 def heap_analyze(base: CodeBase, before: DataFrame, after: DataFrame, least: int = 10) -> DataFrame:
     from . import profile

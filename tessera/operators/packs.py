@@ -124,5 +124,26 @@ PREFIXES = ("get", "set", "is", "find", "create", "update", "delete", "add", "re
 LOGGERS = ("org.slf4j", "org.apache.log4j", "org.apache.logging.log4j", "java.util.logging")
 INJECTIONS = ("Autowired", "Inject", "Resource")
 #: Types too common to make two classes related.
+#: Groups of words that a search by concepts takes for one another, in the order in which they are tried.
+SYNONYMS = {
+    "database": ("database", "datasource", "jdbc", "jpa", "repository", "sql", "persistence", "hibernate", "entity", "db"),
+    "error": ("error", "exception", "failureanalyzer", "handler", "fallback", "catch", "throw", "fault"),
+    "handle": ("handle", "handler", "process", "catch", "on", "listener", "intercept"),
+    "auth": ("security", "authentication", "authorization", "token", "credential", "principal", "login", "oauth"),
+    "http": ("controller", "servlet", "request", "response", "endpoint", "mapping", "rest", "web", "filter"),
+    "config": ("configuration", "properties", "settings", "preference", "profile", "environment", "yaml"),
+    "test": ("test", "mock", "stub", "fixture", "assert", "verify", "testcontainers"),
+    "cache": ("cache", "caffeine", "redis", "ehcache", "caching", "evict"),
+    "message": ("message", "queue", "kafka", "rabbit", "jms", "event", "listener", "publisher", "consumer"),
+    "log": ("logger", "log", "logging", "slf4j", "logback", "log4j"),
+    "serial": ("serializ", "jackson", "json", "xml", "marshal", "objectmapper", "gson"),
+    "async": ("async", "future", "completable", "executor", "thread", "parallel", "reactive", "flux", "mono"),
+    "valid": ("valid", "constraint", "validator", "bindingresult", "error", "reject"),
+    "schedule": ("schedule", "cron", "timer", "periodic", "trigger", "taskscheduler"),
+    "file": ("file", "path", "resource", "stream", "reader", "writer", "io", "nio"),
+    "ssl": ("ssl", "tls", "certificate", "keystore", "truststore", "pem", "jks"),
+}
+#: Beyond these a method is large (and below the end of a plausible one) or called very often.
+LARGE_METHOD, IMPLAUSIBLE_METHOD, HOT_METHOD = 50, 5000, 100
 COMMON_TYPES = ("String", "Integer", "Long", "Double", "Float", "Boolean", "Object", "List", "Map", "Set", "Collection", "Optional", "ArrayList", "HashMap", "HashSet", "Date", "BigDecimal", "int", "long", "double", "float", "boolean", "byte", "char", "short", "void", "var")
 HIDDEN_IMPORTS = r"^(java|javax|jakarta|org\.slf4j|org\.apache\.commons)\."

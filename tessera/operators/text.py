@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,28 @@ def stem(word: Column) -> Column:
     return F.when((F.length(word) > 5) & word.endswith("ing"), F.regexp_replace(word, "ing$", "")).when((F.length(word) > 4) & word.endswith("es"), F.regexp_replace(word, "es$", "")).when((F.length(word) > 4) & word.endswith("ed"), F.regexp_replace(word, "ed$", "")).when((F.length(word) > 3) & word.endswith("s"), F.regexp_replace(word, "s$", "")).otherwise(word)
 
 
+def concepts_of(words: str, groups: dict[str, tuple[str, ...]]) -> dict[str, list[str]]:
+    """The words of a question that are not stop words, each with the group it is in, as it stands or without an
+    ending; a word of no group stands for itself."""
+    asked = [w for w in re.split(r"[\s,.:;!?]+", words.lower()) if len(w) >= 2 and w not in STOP_WORDS]
+    by_word = {w: group for group in reversed(groups.values()) for w in group} | groups
+    out = {}
+    for word in asked:
+        forms = [word, *(word[: -len(end)] for end in ("s", "es", "ing", "ed") if word.endswith(end))]
+        out[word] = list(next((by_word[f] for f in forms if f in by_word), (word,)))
+    return out
+
+
+def first_synonym_scores(items: DataFrame, name: str, members: str, concepts: dict[str, list[str]]) -> DataFrame:
+    """Items with score and the concepts they mention: a concept counts 5 if its first synonym that is met stands in
+    the name, 3 if in the members; at least min(2, concepts) must be met."""
+    met = [F.coalesce(*(F.when(F.contains(F.lower(name), F.lit(w)), 5).when(F.contains(F.lower(members), F.lit(w)), 3) for w in words), F.lit(0)) for words in concepts.values()]
+    if not met:
+        return items.limit(0).withColumns({"concepts": F.array().cast("array<string>"), "score": F.lit(0)})
+    named = F.filter(F.array(*(F.when(m > 0, w) for m, w in zip(met, concepts, strict=True))), lambda c: c.isNotNull())
+    return items.withColumns({"concepts": named, "score": sum(met[1:], met[0])}).where(F.size("concepts") >= min(2, len(concepts)))
+
+
 def concept_scores(items: DataFrame, fields: dict[str, int], concepts: list[list[str]], k: int = 15) -> DataFrame:
     """Items by the concepts they mention: for each concept the best weight of a field that holds one of
     its synonyms, summed; at least min(2, concepts) must be met. Columns of items plus concepts and score."""

@@ -507,3 +507,19 @@ def tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = base(spark, sf_dir).code.types.where("package <> 'trade' AND package <> 'geo'")
     return t.select(F.substring("name", 9, 20).cast("long").alias("s_suppkey"), scalars.simple_name("fqn").alias("simple"), scalars.abbreviate_package("package").alias("package"))
+
+
+@query(WITH + "SELECT package || '.' || name AS fqn, ['supplier', 'serve'] AS concepts, 8 AS score FROM t WHERE name LIKE 'Supplier%' ORDER BY fqn LIMIT 15")
+def tree_find_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.find(base(spark, sf_dir), "The supplier, to serve!")
+
+
+@query(WITH + "SELECT path, class_name, name, signature, a AS start_line, z AS end_line, count(*) OVER () AS total, count(*) OVER () > 30 AS truncated FROM own WHERE name = 'visit' ORDER BY path, start_line LIMIT 30")
+def tree_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.method(base(spark, sf_dir), "visit(String, int)")
+
+
+@query(WITH + "SELECT rule_id, count(*) AS n, count(*) FILTER (class_name IN (SELECT 'Nation' || n_nationkey FROM nation WHERE n_regionkey = 1)) AS n_changed, 'needs-attention' AS trend FROM smell GROUP BY rule_id")
+def tree_smells_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    return commands.smells_trend(b, b.code.types.where(F.array_contains("interfaces", "Region1")).select("path"))

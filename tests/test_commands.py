@@ -180,3 +180,50 @@ def test_watch_sees_new_files(spark, tmp_path):
     assert serve.watch(spark, [str(tree)], str(tmp_path / "facts"), requests(), lambda line: said.append(json.loads(line))) == 2
     assert [sorted(r["name"] for r in x["rows"]) for x in said] == [["A"], ["A", "B"]]
     assert serve.hints("summary", "A") == ["read A", "callers A", "related A"] and serve.hints("nothing") == []
+
+
+def test_find_by_words(shop):
+    from tessera.operators import packs, text
+
+    got = text.concepts_of("Handling of the database errors, in Shop!", packs.SYNONYMS)
+    assert got["handling"][0] == "handling" or got["handling"] == list(packs.SYNONYMS["handle"])
+    assert got["errors"] == list(packs.SYNONYMS["error"]) and got["database"][0] == "database" and got["shop"] == ["shop"] and "the" not in got
+    first = RUN["find"](shop, "web order").first()
+    assert first.fqn == "com.acme.web.OrderController" and first.concepts == ["web", "order"] and first.score == 10
+    assert RUN["find"](shop, "the of").count() == 0
+
+
+def test_method_search(shop):
+    found = RUN["method"](shop, "OrderService.find(String)").collect()
+    assert [(r.class_name, r.total, r.truncated) for r in found] == [("OrderService", 1, False)]
+    assert RUN["method"](shop, "OrderService.find(int)").count() == 0 and RUN["method"](shop, "OrderService.find()").count() == 0
+    every = RUN["method"](shop, "find", 1)
+    assert every.count() == 1 and every.first().total >= 1
+
+
+def test_trend_and_correlation(shop, spark):
+    from tessera.sources.profile import RECORDING
+
+    path = shop.code.types.where("name = 'OrderService'").first().path
+    rows = RUN["smells-trend"](shop, spark.createDataFrame([(path,), (path,)], "path string")).collect()
+    here = shop.code.types.sparkSession.createDataFrame(RUN["smells"](shop).where(f"path = '{path}'").collect()).count()
+    assert sum(r.n_changed for r in rows) == here > 0 and {r.trend for r in rows} == {"needs-attention"}
+    assert {r.trend for r in RUN["smells-trend"](shop, spark.createDataFrame([], "path string")).collect()} == {"clean"}
+    frame = lambda c, m: {"type": "jdk.ExecutionSample", "values": {"stackTrace": {"frames": [{"method": {"type": {"name": c}, "name": m}}]}}}
+    text = __import__("json").dumps({"recording": {"events": [frame("com/acme/shop/OrderService", "find")] * 3 + [frame("java/lang/Object", "wait")]}})
+    from pyspark.sql import functions as F
+
+    recording = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", RECORDING).alias("r")).select("r.*")
+    got = RUN["correlate"](shop, recording).collect()
+    assert [(r.method, r.samples, r.confirmed) for r in got] == [("com.acme.shop.OrderService.find", 3, True), ("java.lang.Object.wait", 1, False)]
+
+
+def test_store_keeps_the_version_before(spark, tmp_path):
+    tree, facts = tmp_path / "tree", tmp_path / "facts"
+    tree.mkdir()
+    for k in range(3):
+        (tree / f"C{k}.java").write_text(f"class C{k} {{}}")
+        before = store.load(spark, str(facts))
+        store.refresh(spark, source.scan_files(spark, [str(tree)]), str(facts))
+        assert before.count() == k and store.load(spark, str(facts)).count() == k + 1
+    assert len([p for p in facts.iterdir() if p.name.startswith("v-")]) == 2

@@ -21,27 +21,62 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+POINTER = "_CURRENT"  # names the version that readers take; Spark's readers skip names with an underscore
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    at, fs = _filesystem(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Put a new pointer in the place of the old one in one step."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at, fs = _filesystem(spark, f"{path.rstrip('/')}/{POINTER}")
+    beside = jvm.org.apache.hadoop.fs.Path(f"{at.toString()}.{version}")
+    out = fs.create(beside)
+    out.write(bytearray(version.encode()))
+    out.close()
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(at), options)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The stored facts; nothing is stored at a new path."""
-    return spark.read.schema(FACTS).parquet(path) if exists(spark, path) else spark.createDataFrame([], FACTS)
+    """The stored facts; nothing is stored at a new path. A folder without versions is read as it is."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], FACTS)
+    version = _version(spark, path)
+    return spark.read.schema(FACTS).parquet(f"{path.rstrip('/')}/{version}" if version else path)
 
 
 def refresh(spark: SparkSession, files: DataFrame, path: str) -> DataFrame:
     """Bring stored facts up to a listing of files: unchanged files are taken over, changed and new
-    ones parsed, deleted ones dropped. The new table is written beside the old and then put in its
-    place. Returns status and n (reused, parsed, deleted)."""
+    ones parsed, deleted ones dropped. The new version is written beside the old and a pointer to it
+    renamed into place, so readers and a crash find one whole version or the other; the version before
+    stays for those who read it, older ones go. Returns status and n (reused, parsed, deleted)."""
     old = load(spark, path)
     known = old.select("path", "content_hash")
     reusable, open_files = diff.split_reusable(known, files, "path")
     kept = old.join(reusable.select("path"), "path", "left_semi").select(*old.columns)
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    version, before = f"v-{uuid.uuid4().hex}", _version(spark, path)
+    beside = f"{path.rstrip('/')}/{version}"
     kept.unionByName(extract(open_files)).write.parquet(beside)
     new = spark.read.schema(FACTS).parquet(beside).select("path", "content_hash")
     status = diff.compare(known, new, "path").groupBy(F.when(F.col("status") == "same", "reused").when(F.col("status") == "deleted", "deleted").otherwise("parsed").alias("status")).agg(F.count("*").alias("n")).collect()
     at, fs = _filesystem(spark, path)
-    if fs.exists(at):
-        fs.delete(at, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), at)
+    _point(spark, path, version)
+    for old_version in fs.listStatus(at):
+        name = old_version.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(old_version.getPath(), True)
     return spark.createDataFrame([(r["status"], r["n"]) for r in status], "status string, n long")
 
 

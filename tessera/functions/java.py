@@ -401,6 +401,8 @@ class Parser:
                 self.statements.append(where | {"kind": "switch_without_default", "line": line, "detail": ""})
         if word == "if" and self.text(body) == "{" and self.close(body) == body + 1:
             self.statements.append(where | {"kind": "empty_if", "line": line, "detail": ""})
+        if word in ("for", "while", "do") and self.text(body) == "{" and self._leaves(body + 1, self.close(body)):
+            self.statements.append(where | {"kind": "linear_scan", "line": line, "detail": ""})
         else_if = word == "if" and self.text(i - 1) == "else"
         if not else_if:
             stop = self.close(body) if self.text(body) == "{" else self._statement_end(body, end)
@@ -411,6 +413,11 @@ class Parser:
                 self.statements.append(where | {"kind": "deep_nesting", "line": line, "detail": str(len(nesting))})
         return i
 
+    def _leaves(self, start: int, end: int) -> bool:
+        """Whether a loop's body may end it early: a value returned, or a plain break."""
+        after = {"return": lambda follows: follows != ";", "break": lambda follows: follows == ";"}
+        return any(self.text(k) in after and after[self.text(k)](self.text(k + 1)) for k in range(start, end))
+
     def _statement_end(self, i: int, end: int) -> int:
         while i < end and self.text(i) != ";":
             i = (self.close(i) if self.text(i) in ("(", "[", "{") else i) + 1

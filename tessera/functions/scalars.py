@@ -75,3 +75,39 @@ def age_bucket(days: str | Column) -> Column:
     """Whole years, months or days since, as text."""
     d = _c(days)
     return F.when(d > 365, F.concat(F.floor(d / 365).cast("string"), F.lit("y"))).when(d > 30, F.concat(F.floor(d / 30).cast("string"), F.lit("mo"))).otherwise(F.concat(d.cast("string"), F.lit("d")))
+
+
+#: The longest suffix of two words.
+LONGEST_SUFFIX = 20
+
+
+def class_suffix(name: str | Column) -> Column:
+    """The last word of a camel-case name, with the word before it where that is letters only and both are short;
+    null for a name of one word or a last word of one letter."""
+    words = F.split(F.regexp_replace(_c(name), "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "|"), r"\|")
+    last, before = F.element_at(words, -1), F.try_element_at(words, F.lit(-2))
+    both = F.concat(before, last)
+    return F.when((F.size(words) < 2) | (F.length(last) < 2), None).when((F.size(words) > 2) & before.rlike("^[A-Za-z]+$") & (F.length(both) <= LONGEST_SUFFIX), both).otherwise(last)
+
+
+def display_name(cls: str | Column, method: str | Column, arity: str | Column) -> Column:
+    """`Class.method()`, with the number of parameters where one is known."""
+    n = _c(arity)
+    return F.concat(_c(cls), F.lit("."), _c(method), F.when(n > 1, F.concat(F.lit("("), n.cast("string"), F.lit(" params)"))).when(n == 1, "(1 param)").otherwise("()"))
+
+
+#: Words and library calls that a reading of calls from a line leaves out.
+NOT_CALLED = (
+    "System.out", "System.err", "System.in", "if", "for", "while", "switch", "catch", "return", "throw", "new", "super",
+    "String.format", "String.valueOf", "Integer.parseInt", "Long.parseLong", "Objects.requireNonNull", "Optional.of", "Optional.empty", "Optional.ofNullable",
+    "List.of", "List.copyOf", "Set.of", "Set.copyOf", "Map.of", "Map.entry", "Collections.emptyList", "Collections.emptyMap", "Collections.unmodifiableMap",
+    "Math.max", "Math.min", "Arrays.asList",
+)
+
+
+def calls_in(line: str | Column) -> Column:
+    """Calls written in a line, by patterns alone: `a.b`, then bare names as `this.name`."""
+    left_out = F.array(*map(F.lit, NOT_CALLED))
+    kept = lambda pattern, wanted: F.filter(F.regexp_extract_all(_c(line), F.lit(pattern), 1), lambda c: ~F.array_contains(left_out, c) & c.rlike(wanted))
+    bare = F.transform(kept(r"(?<![.\w])(\w+)\s*\(", "^[^A-Z]."), lambda c: F.concat(F.lit("this."), c))
+    return F.concat(kept(r"(\w+\.\w+)\s*\(", r"^\w*[^\d.]"), bare)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import erase, simple_name
+from ..functions.scalars import erase, package_of, simple_name
 from ..sources.code import Code
 from .resolve import resolve_markers
 
@@ -34,11 +34,39 @@ def reflective_edges(code: Code, invokers: list[dict]) -> DataFrame:
     return out if out is not None else code.raw_edges.limit(0)
 
 
+def _by_results(edges: DataFrame, code: Code, declared: DataFrame) -> DataFrame:
+    """Calls on unknown classes that stand on a line with a known call whose result declares their method go to
+    the class of that result; the first by name of several."""
+    place = ["path", "caller_class", "caller_method", "caller_arity", "line"]
+    results = members(code).where(F.endswith("member", F.lit("()"))).select(F.col("owner").alias("callee_class"), F.expr("left(member, length(member) - 2)").alias("callee_method"), F.col("type").alias("__result")).distinct()
+    known = edges.where("callee_class <> '?'").join(results, ["callee_class", "callee_method"]).select(*place, "__result").distinct()
+    fits = declared.select(F.col("class_name").alias("__result"), F.col("name").alias("callee_method")).distinct()
+    asked = edges.where("callee_class = '?'").select(*place, "callee_method").distinct()
+    found = asked.join(known, place).join(fits, ["__result", "callee_method"], "left_semi").groupBy(*place, "callee_method").agg(F.min("__result").alias("__result"))
+    looked = edges.join(found, [*place, "callee_method"], "left")
+    return looked.withColumn("callee_class", F.when(F.col("callee_class") == "?", F.coalesce("__result", F.lit("?"))).otherwise(F.col("callee_class"))).select(*edges.columns)
+
+
+def qualify(code: Code, uses: DataFrame) -> DataFrame:
+    """uses (fqn of a class, simple type named in it) with `qualified`: by an import of that name, else the first of
+    a package imported whole, else of its own package, else the only type of that name, else as it stands."""
+    asked = uses.select("fqn", "type").distinct()
+    imports = code.imports.select("fqn", "import", "simple", "is_wildcard").distinct()
+    named = imports.where("NOT is_wildcard").groupBy("fqn", F.col("simple").alias("type")).agg(F.min("import").alias("__named"))
+    whole = imports.where("is_wildcard").select("fqn", package_of("import").alias("__package"), F.lit(True).alias("__whole")).distinct()
+    known = code.types.select(F.col("name").alias("type"), F.col("fqn").alias("__known"), F.col("package").alias("__package")).distinct()
+    met = asked.join(known, "type", "left").join(whole, ["fqn", "__package"], "left")
+    pick = lambda test: F.min(F.when(test, F.col("__known")))
+    ways = met.groupBy("fqn", "type").agg(pick(F.col("__whole")).alias("__wild"), pick(F.col("__package") == package_of("fqn")).alias("__own"), F.when(F.countDistinct("__known") == 1, F.min("__known")).alias("__only"))
+    best = F.when(F.instr("type", ".") > 0, F.col("type")).otherwise(F.coalesce("__named", "__wild", "__own", "__only", "type"))
+    return ways.join(named, ["fqn", "type"], "left").select("fqn", "type", best.alias("qualified"))
+
+
 def resolve(code: Code, invokers: list[dict] | None = None) -> DataFrame:
     """Distinct caller_class, caller_method, caller_arity, callee_class, callee_method, callee_arity, line, path.
 
-    Markers are resolved against declared members; a call on an unknown class goes to the one class that
-    declares its method, if there is exactly one, else stays `?`. The arity is that of a declared overload
+    Markers are resolved against declared members; a call on an unknown class goes to the result of a call on the
+    same line that declares its method, else to the one class that does, if there is exactly one, else stays `?`. The arity is that of a declared overload
     with as many parameters as arguments, else of the smallest declared one, else -1."""
     raw = code.raw_edges
     if invokers:
@@ -50,6 +78,7 @@ def resolve(code: Code, invokers: list[dict] | None = None) -> DataFrame:
     looked = marked.join(known, "callee_class", "left").withColumn("callee_class", F.coalesce("__type", F.lit("?"))).drop("__type")
     edges = plain.unionByName(looked)
     declared = code.methods.select("class_name", "name", "param_count").distinct()
+    edges = _by_results(edges, code, declared)
     owners = declared.groupBy(F.col("name").alias("callee_method")).agg(F.countDistinct("class_name").alias("__n"), F.min("class_name").alias("__only")).where("__n = 1").drop("__n")
     edges = edges.join(owners, "callee_method", "left").withColumn("callee_class", F.when((F.col("callee_class") == "?") & F.col("__only").isNotNull(), F.col("__only")).otherwise(F.col("callee_class"))).drop("__only")
     arities = declared.groupBy(F.col("class_name").alias("callee_class"), F.col("name").alias("callee_method")).agg(F.collect_set("param_count").alias("__arities"))

@@ -351,11 +351,72 @@ test_for.__test__ = False
 
 @command("flow")
 def flow(base: CodeBase, ref: str, levels: int = 10) -> DataFrame:
-    """What a method reaches, level by level, with the layer of each class by its suffix."""
-    reached = graph.closure(base.graph, base.targets(ref).select("node"), max_levels=levels)
+    """What a method reaches, each method once, as a walk that follows calls by line would meet them: depth, class_name,
+    method, layer (the project's, else by suffix, else `other`), is_dao, and in `crosses` the two layers of a call
+    from one known layer to another. `place` holds the lines walked and orders the rows."""
+    walked = graph.first_paths(base.graph, base.targets(ref).select("node"), levels)
     cls, method = _split_node()
-    layer = F.coalesce(*(F.when(F.endswith(cls, F.lit(s)), s) for s in packs.LAYER_SUFFIXES), F.lit("other"))
-    return reached.select("depth", cls.alias("class_name"), method.alias("method"), layer.alias("layer")).orderBy("depth", "class_name", "method")
+    caller = F.substring_index(F.substring_index("caller", "/", 1), ".", 1)
+    steps = walked.select((F.size("path") - 1).alias("depth"), cls.alias("class_name"), method.alias("method"), caller.alias("__caller"), F.slice("path.line", 2, levels + 1).alias("place"), "path")
+    layers = _with_layer(base).groupBy("name").agg(F.min(F.nullif("layer", F.lit("none"))).alias("__layer"))
+    dao = daos(base).select(F.col("name").alias("class_name"), F.lit(True).alias("is_dao")).distinct()
+    layer = lambda c, known: F.coalesce(known, *(F.when(F.endswith(c, F.lit(s)), s) for s in packs.LAYER_SUFFIXES), F.lit("other"))
+    own, above = layers.withColumnsRenamed({"name": "class_name", "__layer": "__own"}), layers.withColumnsRenamed({"name": "__caller", "__layer": "__above"})
+    marked = steps.join(own, "class_name", "left").join(above, "__caller", "left").join(dao, "class_name", "left").fillna(False, ["is_dao"])
+    marked = marked.withColumns({"layer": layer("class_name", F.col("__own")), "__from": layer("__caller", F.col("__above"))})
+    crosses = F.when((F.col("__from") != F.col("layer")) & (F.col("__from") != "other") & (F.col("layer") != "other"), F.concat("__from", F.lit(" -> "), "layer"))
+    return marked.orderBy("path").select("depth", "class_name", "method", "layer", "is_dao", crosses.alias("crosses"), "place")
+
+
+@command("daos")
+def daos(base: CodeBase) -> DataFrame:
+    """Types that reach a database, by their own name, their super class or an interface."""
+    above = scalars.simple_name(scalars.erase(F.coalesce("super_class", F.lit(""))))
+    by_interface = F.exists("interfaces", lambda i: scalars.simple_name(scalars.erase(i)).rlike("|".join(packs.DAO_INTERFACES)))
+    return base.code.types.where(F.col("name").rlike(f"({'|'.join(packs.DAO_NAMES)})$") | above.rlike("|".join(packs.DAO_SUPERS)) | by_interface).select("name", "fqn", "path").orderBy("fqn", "path")
+
+
+@command("signatures")
+def signatures(base: CodeBase) -> DataFrame:
+    """key and params: of `Class.method` those of its first declaration, of `Class.method/n` those of the last with n parameters."""
+    params = F.concat(F.lit("("), F.array_join("params.type", ", "), F.lit(")"))
+    m = base.code.methods.select("class_name", "name", "param_count", params.alias("params"), F.struct("path", "start_line").alias("at"))
+    first = m.groupBy(F.concat_ws(".", "class_name", "name").alias("key")).agg(F.min_by("params", "at").alias("params"))
+    return first.unionAll(m.groupBy(calls.node("class_name", "name", "param_count").alias("key")).agg(F.max_by("params", "at").alias("params")))
+
+
+@command("target")
+def target(base: CodeBase, ref: str) -> DataFrame:
+    """status (found, ambiguous or missing) of a reference to a method, and the methods it may mean. It is ambiguous
+    where no parameters are given and several classes, or overloads with different numbers of them, fit."""
+    _, _, arity = parse_reference(ref)
+    shown = base.targets(ref).join(signatures(base).withColumnRenamed("key", "node"), "node", "left")
+    name = F.coalesce(F.concat("class_name", F.lit("."), "name", "params"), scalars.display_name("class_name", "name", "param_count"))
+    seen = shown.agg(F.countDistinct("class_name").alias("n"), F.countDistinct(F.when(F.col("param_count") >= 0, F.col("param_count"))).alias("overloads"), F.array_sort(F.collect_set(name)).alias("candidates"))
+    several = F.lit(arity is None) & ((F.col("n") > 1) | (F.col("overloads") > 1))
+    return seen.select(F.lit(ref).alias("ref"), F.when(F.col("n") == 0, "missing").when(several, "ambiguous").otherwise("found").alias("status"), "candidates")
+
+
+@command("locate")
+def locate(base: CodeBase, name: str) -> DataFrame:
+    """kind (file, class or method), status and paths of what a name means: a file's name with or without its ending,
+    else a class, else a method."""
+    base_name = F.substring_index("path", "/", -1)
+    files = base.code.facts.where(base_name.isin(name, f"{name}.java")).select(F.lit(0).alias("order"), F.lit("file").alias("kind"), "path")
+    types = _of_class(base, name).select(F.lit(1), F.lit("class"), "path")
+    methods = base.code.methods.where(F.col("name") == name).select(F.lit(2), F.lit("method"), "path")
+    found = files.unionAll(types).unionAll(methods).groupBy("order", "kind").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    best = found.agg(F.min_by(F.struct("kind", "paths"), "order").alias("b"))
+    status = F.when(F.col("b").isNull(), "missing").when(F.size("b.paths") > 1, "ambiguous").otherwise("found")
+    return best.select(F.lit(name).alias("name"), status.alias("status"), "b.kind", "b.paths")
+
+
+@command("qualify")
+def qualify(base: CodeBase, name: str) -> DataFrame:
+    """The qualified names of the types of a class's fields and results."""
+    erased = lambda c: scalars.erase(c).alias("type")
+    uses = base.code.fields.where(F.col("class_name") == name).select("fqn", erased("type")).unionAll(base.code.methods.where((F.col("class_name") == name) & ~F.col("return_type").isin("void", "")).select("fqn", erased("return_type")))
+    return calls.qualify(base.code, uses).orderBy("fqn", "type")
 
 
 @command("breaking-changes")
@@ -370,7 +431,7 @@ def breaking_changes(base: CodeBase, name: str) -> DataFrame:
 
 @command("diff-impact")
 def diff_impact(base: CodeBase, changed: DataFrame, levels: int = graph.MAX_LEVELS) -> DataFrame:
-    """What changed files (column path) affect: classes by steps, risk by direct calls."""
+    """What changed files (column path) affect: classes by steps, which of them are tests to run, risk by direct calls."""
     touched = base.code.types.join(changed.select("path").distinct(), "path", "left_semi").select("name").distinct()
     src_cls, dst_cls = F.substring_index(F.substring_index("src", "/", 1), ".", 1), F.substring_index(F.substring_index("dst", "/", 1), ".", 1)
     seeds = base.graph.withColumn("name", dst_cls).join(touched, "name", "left_semi").select(F.col("dst").alias("node")).distinct()
@@ -378,6 +439,8 @@ def diff_impact(base: CodeBase, changed: DataFrame, levels: int = graph.MAX_LEVE
     direct = base.graph.withColumn("name", dst_cls).join(touched, "name", "left_semi").where(src_cls != dst_cls).agg(F.count("*")).scalar()
     cls, _ = _split_node()
     affected = reached.groupBy(cls.alias("name")).agg(F.min("depth").alias("depth")).join(touched, "name", "left_anti")
+    tests = base.code.types.where("is_test").select("name", F.lit(True).alias("is_test")).distinct()
+    affected = affected.join(tests, "name", "left").fillna(False, ["is_test"])
     return affected.withColumn("direct", direct).withColumn("risk", graph.risk("direct", 5, 20))
 
 
@@ -597,7 +660,10 @@ def _deep(base: CodeBase, levels: int) -> DataFrame:
     seeds = base.edges.join(in_loop, ["path", "line"], "left_semi").select(calls.node("callee_class", "callee_method", "callee_arity").alias("node")).distinct()
     reached = graph.closure(base.graph, seeds, max_levels=max(0, levels - 1)).select("node").distinct()
     spans = base.code.methods.select("path", "start_line", "end_line", calls.node("class_name", "name", "param_count").alias("node")).join(reached, "node", "left_semi")
-    hits = rules.scan(base.code.lines, packs.PERFORMANCE).alias("h").join(spans.alias("s"), (F.col("h.path") == F.col("s.path")) & F.col("h.line_no").between(F.col("s.start_line"), F.col("s.end_line"))).select("h.*", "s.node")
+    scans = base.code.statements.where("kind = 'linear_scan'").select("path", F.col("line").alias("line_no")).distinct()
+    scans = base.code.lines.join(scans, ["path", "line_no"], "left_semi").withColumns({"rule_id": F.lit("LINEAR_SCAN"), "severity": F.lit("CRITICAL"), "category": F.lit(""), "message": F.lit("A loop that looks for one thing")})
+    listed = rules.scan(base.code.lines, packs.PERFORMANCE)
+    hits = listed.unionAll(scans.select(*listed.columns)).alias("h").join(spans.alias("s"), (F.col("h.path") == F.col("s.path")) & F.col("h.line_no").between(F.col("s.start_line"), F.col("s.end_line"))).select("h.*", "s.node")
     first = rank.top_within(hits, ["node", "rule_id"], 1, F.asc("line_no"))
     return first.withColumn("severity", F.lit("CRITICAL")).withColumn("scope", F.concat(F.lit("called from a loop: "), F.col("node")))
 
@@ -652,11 +718,12 @@ def lint(base: CodeBase, name: str = "") -> DataFrame:
 
 @command("hotspots")
 def hotspots(base: CodeBase, limit: int = 30) -> DataFrame:
-    """Classes by calls from outside, and whether a test class is named after them."""
+    """Classes by calls from outside, the classes that import them, and whether a test class is named after them."""
     counted = _external(base).groupBy(F.col("callee_class").alias("name")).agg(F.count("*").alias("callers"))
     known = base.code.types.where("NOT is_test").select("name").distinct().join(counted, "name")
     tested = base.code.types.where("is_test").select(F.regexp_replace("name", "(Test|Tests|IT)$", "").alias("name"), F.lit(True).alias("tested")).distinct()
-    return rank.top(known.join(tested, "name", "left").fillna(False, ["tested"]), limit, F.desc("callers"), F.asc("name"))
+    imported = base.code.imports.groupBy(F.col("simple").alias("name")).agg(F.countDistinct("fqn").alias("imported_by"))
+    return rank.top(known.join(tested, "name", "left").join(imported, "name", "left").fillna(False, ["tested"]).fillna(0, ["imported_by"]), limit, F.desc("callers"), F.asc("name"))
 
 
 @command("packages")
@@ -688,14 +755,18 @@ def complexity_all(base: CodeBase, limit: int = 30) -> DataFrame:
 
 @command("patterns")
 def patterns(base: CodeBase, limit: int = 5) -> DataFrame:
-    """kind, name, n: loggers, injection, class suffixes, method prefixes and annotations most used."""
+    """kind, name, n: loggers, injection, class suffixes, method prefixes and annotations most used, how nothing is
+    handled, and exceptions of the project's own."""
     c = base.code
     logger = F.coalesce(*(F.when(F.startswith("import", F.lit(p)), p) for p in packs.LOGGERS))
     rows = c.imports.select("path", "import").distinct().withColumn("name", logger).where("name IS NOT NULL").select(F.lit("logging").alias("kind"), "name")
     rows = rows.unionAll(c.annotations.where(F.col("name").isin(list(packs.INJECTIONS))).select(F.lit("injection"), "name"))
-    rows = rows.unionAll(c.types.select(F.lit("class_suffix"), F.element_at(scalars.camel_words("name"), -1).alias("name")).where("name IS NOT NULL"))
+    rows = rows.unionAll(c.types.select(F.lit("class_suffix"), scalars.class_suffix("name").alias("name")).where("name IS NOT NULL"))
     rows = rows.unionAll(c.methods.select(F.lit("method_prefix"), F.regexp_extract("name", "^([a-z]+)", 1).alias("name")).where(F.col("name").isin(list(packs.PREFIXES))))
     rows = rows.unionAll(c.annotations.select(F.lit("annotation"), "name"))
+    rows = rows.unionAll(c.methods.where(F.startswith("return_type", F.lit("Optional"))).select(F.lit("null_handling"), F.lit("Optional")))
+    rows = rows.unionAll(c.raw_edges.where("callee_method = 'requireNonNull'").select(F.lit("null_handling"), F.col("callee_method")))
+    rows = rows.unionAll(c.types.where(F.contains("super_class", F.lit("Exception"))).select(F.lit("error_handling"), F.lit("custom exception")))
     return rank.top_within(rows.groupBy("kind", "name").agg(F.count("*").alias("n")), ["kind"], limit, F.desc("n"), F.asc("name")).orderBy("kind", "rank")
 
 

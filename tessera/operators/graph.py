@@ -73,6 +73,26 @@ def simple_paths(edges: DataFrame, starts: DataFrame, incoming: bool = False, ma
     return found if found is not None else starts.select(F.array("node").alias("path"), F.lit(True).alias("is_end")).limit(0)
 
 
+def first_paths(edges: DataFrame, starts: DataFrame, max_edges: int) -> DataFrame:
+    """node, caller and path (array of line and node, the start first) of every node that a walk of at most max_edges
+    edges reaches, by the first such path in the order of lines, then names.
+
+    That is the path by which a depth-first walk in that order meets the node. Only nodes whose path became
+    smaller in a round go on in the next; a path around a cycle is longer than its own beginning, so never smaller."""
+    steps = edges.select("src", F.struct("line", F.col("dst").alias("node")).alias("__step")).distinct()
+    best = frontier = cut(starts.select("node").distinct().select("node", F.lit(None).cast("string").alias("caller"), F.array(F.struct(F.lit(0).cast(edges.schema["line"].dataType).alias("line"), "node")).alias("path")))
+    for _ in range(max_edges):
+        grown = frontier.select(F.col("node").alias("src"), "path").join(steps, "src").select(F.col("__step.node").alias("node"), F.col("src").alias("caller"), F.array_append("path", F.col("__step")).alias("path"))
+        least = grown.groupBy("node").agg(F.min_by(F.struct("caller", "path"), "path").alias("__new"))
+        both = best.withColumn("__old", F.struct("caller", "path")).select("node", "__old").join(least, "node", "full")
+        better = F.col("__old").isNull() | (F.col("__new.path") < F.col("__old.path"))
+        now = cut(both.select("node", F.coalesce(better, F.lit(False)).alias("__moved"), F.when(better, F.col("__new")).otherwise(F.col("__old")).alias("__best")))
+        best, frontier = now.select("node", "__best.*"), now.where("__moved").select("node", "__best.*")
+        if frontier.isEmpty():
+            break
+    return best
+
+
 def chains_to_roots(edges: DataFrame, targets: DataFrame, max_edges: int = MAX_CHAIN, stop: DataFrame | None = None) -> DataFrame:
     """Chains from a root (nothing enters it) or stop node to a target: chain (array, root first) and depth (edges)."""
     ended = simple_paths(edges, targets, incoming=True, max_edges=max_edges, stop=stop).where("is_end")

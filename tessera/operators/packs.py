@@ -120,6 +120,9 @@ LISTENERS = ("EventListener", "KafkaListener", "RabbitListener", "JmsListener",
 #: Methods of every object, left out of matches by name.
 OBJECT_METHODS = ("equals", "hashCode", "toString", "getClass", "clone", "notify", "notifyAll", "wait", "finalize")
 LAYER_SUFFIXES = ("Controller", "Service", "Repository", "Dao", "Mapper", "Factory", "Handler", "Listener", "Config", "Util", "Entity")
+DAO_NAMES = ("Dao", "DAO", "Repository", "Mapper")
+DAO_SUPERS = ("Dao", "DAO", "Repository", "Mapper", "JdbcTemplate")
+DAO_INTERFACES = ("Repository", "Dao", "Mapper")
 PREFIXES = ("get", "set", "is", "find", "create", "update", "delete", "add", "remove", "handle")
 LOGGERS = ("org.slf4j", "org.apache.log4j", "org.apache.logging.log4j", "java.util.logging")
 INJECTIONS = ("Autowired", "Inject", "Resource")

@@ -97,14 +97,12 @@ def fuzzy_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.suggest(names, asked).select("wanted", "name", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH old AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 3), new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 5)
-SELECT coalesce(old.doc_id, new.doc_id) AS doc_id, CASE WHEN old.doc_id IS NULL THEN 'added' WHEN new.doc_id IS NULL THEN 'deleted' WHEN old.h <> new.h THEN 'modified' ELSE 'same' END AS status FROM old FULL JOIN new ON old.doc_id = new.doc_id""")
+@query("""WITH old AS (SELECT s_suppkey AS key, sha256(s_nationkey::VARCHAR) AS h FROM supplier), new AS (SELECT c_custkey AS key, sha256(c_nationkey::VARCHAR) AS h FROM customer)
+SELECT coalesce(old.key, new.key) AS key, CASE WHEN old.key IS NULL THEN 'added' WHEN new.key IS NULL THEN 'deleted' WHEN old.h <> new.h THEN 'modified' ELSE 'same' END AS status FROM old FULL JOIN new ON old.key = new.key""")
 def diff_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two snapshots (rows are left out and texts edited by id, to have something to compare) by content hash."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    old = docs.where("doc_id % 7 <> 3").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    new = docs.where("doc_id % 11 <> 5").select("doc_id", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
-    return diff.compare(old, new, "doc_id").select("doc_id", "status")
+    """Two whole tables as snapshots of one: keys and nations of suppliers, then of customers, by content hash."""
+    snapshot = lambda name, key, content: table(spark, sf_dir, name).select(F.col(key).alias("key"), F.sha2(F.col(content).cast("string"), 256).alias("content_hash"))
+    return diff.compare(snapshot("supplier", "s_suppkey", "s_nationkey"), snapshot("customer", "c_custkey", "c_nationkey"), "key").select("key", "status")
 
 
 @query("""WITH old AS (SELECT doc_id, sha256(text) AS h FROM documents), new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS h FROM documents)

@@ -282,7 +282,7 @@ def tree_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.impact(base(spark, sf_dir), "Nation9.note").select("class_name", "depth", "risk")
 
 
-@query(WITH + "SELECT DISTINCT caller AS name, 1 AS depth, n AS direct, CASE WHEN n <= 5 THEN 'low' WHEN n <= 20 THEN 'medium' ELSE 'high' END AS risk FROM e, (SELECT count(*) AS n FROM e WHERE callee = 'Nation9' AND caller <> callee) WHERE callee = 'Nation9' AND caller <> callee")
+@query(WITH + "SELECT DISTINCT caller AS name, 1 AS depth, caller LIKE '%Test' AS is_test, n AS direct, CASE WHEN n <= 5 THEN 'low' WHEN n <= 20 THEN 'medium' ELSE 'high' END AS risk FROM e, (SELECT count(*) AS n FROM e WHERE callee = 'Nation9' AND caller <> callee) WHERE callee = 'Nation9' AND caller <> callee")
 def tree_diff_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     return commands.diff_impact(b, b.code.types.where("name = 'Nation9'").select("path"))
@@ -293,7 +293,7 @@ def tree_test_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.test_for(base(spark, sf_dir), "Nation0.label")
 
 
-@query("SELECT x.depth, replace(x.c, '#', s_nationkey::VARCHAR) AS class_name, x.method, 'other' AS layer FROM supplier, (VALUES (0, 'Supplier1', 'serve'), (1, 'Nation#', 'visit'), (2, 'Nation#', 'note'), (3, 'List', 'add')) AS x(depth, c, method) WHERE s_suppkey = 1")
+@query("SELECT x.depth, replace(x.c, '#', s_nationkey::VARCHAR) AS class_name, x.method, x.layer, false AS is_dao, x.crosses, x.place FROM supplier, (VALUES (0, 'Supplier1', 'serve', 'web', NULL, []), (1, 'Nation#', 'visit', 'core', 'web -> core', [22]), (2, 'Nation#', 'note', 'core', NULL, [22, 14]), (3, 'List', 'add', 'other', NULL, [22, 14, 17])) AS x(depth, c, method, layer, crosses, place) WHERE s_suppkey = 1")
 def tree_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.flow(base(spark, sf_dir), "Supplier1.serve")
 
@@ -397,7 +397,7 @@ def tree_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.lint(base(spark, sf_dir), "Nation1")
 
 
-@query(WITH + "SELECT callee AS name, count(*) AS callers, callee || 'Test' IN (SELECT name FROM t) AS tested FROM e WHERE caller <> callee AND callee IN (SELECT name FROM t) GROUP BY callee ORDER BY callers DESC, name LIMIT 8")
+@query(WITH + "SELECT callee AS name, count(*) AS callers, callee || 'Test' IN (SELECT name FROM t) AS tested, (SELECT count(*) FROM supplier WHERE 'Nation' || s_nationkey = callee) AS imported_by FROM e WHERE caller <> callee AND callee IN (SELECT name FROM t) GROUP BY callee ORDER BY callers DESC, name LIMIT 8")
 def tree_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.hotspots(base(spark, sf_dir), 8)
 
@@ -418,7 +418,7 @@ def tree_complexity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.complexity_all(base(spark, sf_dir))
 
 
-@query(WITH + """, x AS (SELECT 'annotation' AS kind, name, count(*) AS n FROM notes GROUP BY name UNION ALL SELECT 'class_suffix', CASE WHEN is_test THEN 'Test' ELSE name END, count(*) FROM t GROUP BY 2 UNION ALL SELECT 'method_prefix', 'get', count(*) FROM supplier)
+@query(WITH + """, x AS (SELECT 'annotation' AS kind, name, count(*) AS n FROM notes GROUP BY name UNION ALL SELECT 'class_suffix', 'Test', count(*) FROM t WHERE is_test UNION ALL SELECT 'method_prefix', 'get', count(*) FROM supplier)
 SELECT * FROM (SELECT kind, name, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, name)::INT AS rank FROM x) WHERE rank <= 5""")
 def tree_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.patterns(base(spark, sf_dir))
@@ -523,3 +523,46 @@ def tree_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_smells_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     return commands.smells_trend(b, b.code.types.where(F.array_contains("interfaces", "Region1")).select("path"))
+
+
+@query(WITH + "SELECT 'label' AS ref, 'ambiguous' AS status, list_sort(list(DISTINCT class_name || '.label()')) AS candidates FROM own WHERE name = 'label'")
+def tree_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.target(base(spark, sf_dir), "label")
+
+
+@query("SELECT 'Nation1.visit(String, int)' AS ref, 'found' AS status, ['Nation1.visit(String, int)'] AS candidates")
+def tree_target_overload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.target(base(spark, sf_dir), "Nation1.visit(String, int)")
+
+
+@query(WITH + """, x AS (SELECT class_name || '.' || name AS key, CASE WHEN is_constructor THEN '(Nation' || split_part(path, '/', 3)[2:] || ')' ELSE regexp_replace(regexp_extract(signature, '\\(.*\\)'), ' (who|times|id|text|spare)', '', 'g') END AS params FROM own)
+SELECT key, params FROM x UNION ALL SELECT key || '/' || CASE params WHEN '()' THEN 0 ELSE 1 + length(params) - length(replace(params, ',', '')) END, params FROM x""")
+def tree_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.signatures(base(spark, sf_dir))
+
+
+@query(WITH + "SELECT 'visit' AS name, CASE WHEN count(DISTINCT path) > 1 THEN 'ambiguous' ELSE 'found' END AS status, 'method' AS kind, list_sort(list(DISTINCT path)) AS paths FROM own WHERE name = 'visit'")
+def tree_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.locate(base(spark, sf_dir), "visit")
+
+
+@query("SELECT 'trade.p' || s_nationkey || '.Supplier' || s_suppkey AS fqn, x.type AS type, x.q AS qualified FROM supplier, LATERAL (VALUES ('Nation' || s_nationkey, 'geo.Nation' || s_nationkey), ('int', 'int'), ('String', 'String')) AS x(type, q) WHERE s_suppkey = 3")
+def tree_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.qualify(base(spark, sf_dir), "Supplier3")
+
+
+@query(WITH + "SELECT caller AS class_name, method, line, CASE WHEN called = 'label' AND caller LIKE '%Test' THEN ['it.label'] WHEN called = 'add' THEN ['guests.add'] WHEN called = 'get' THEN ['this.get'] WHEN called = 'note' THEN ['this.note'] WHEN called = 'label' THEN ['home.label'] ELSE ['home.visit'] END AS calls FROM e WHERE caller <> 'x' AND caller || 'x' <> callee || 'Testx'")
+def tree_written_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by patterns on the lines of resolved calls."""
+    from ..functions import scalars
+
+    b = base(spark, sf_dir)
+    at = b.edges.where("callee_class <> callee_method AND caller_class <> concat(callee_class, 'Test')").select("caller_class", "caller_method", "path", F.col("line").alias("line_no")).distinct()
+    return b.code.lines.join(at, ["path", "line_no"]).select(F.col("caller_class").alias("class_name"), F.col("caller_method").alias("method"), F.col("line_no").alias("line"), scalars.calls_in("text").alias("calls"))
+
+
+@query(WITH + "SELECT caller || '.' || method || CASE WHEN method IN ('note', 'get') THEN '(1 param)' WHEN method IN ('visit', 'serve') THEN '(2 params)' ELSE '()' END AS caller, count(*) AS n FROM e GROUP BY 1")
+def tree_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import scalars
+
+    return base(spark, sf_dir).edges.groupBy(scalars.display_name("caller_class", "caller_method", "caller_arity").alias("caller")).agg(F.count("*").alias("n"))

@@ -19,6 +19,13 @@ def markdown_table(df: DataFrame, limit: int = 100) -> str:
     return "\n".join(head + [f"| {' | '.join(cell(v) for v in r)} |" for r in rows])
 
 
+def text_table(df: DataFrame, limit: int = 100) -> str:
+    """The first rows in aligned columns, for a terminal; `limit` bounds what comes to the driver."""
+    rows = [df.columns, *([str("" if v is None else v).replace("\n", " ") for v in r] for r in df.limit(limit).collect())]
+    widths = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    return "\n".join("  ".join(cell.ljust(w) for cell, w in zip(r, widths, strict=True)).rstrip() for r in rows)
+
+
 def _id(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9]", "_")
 

@@ -9,11 +9,16 @@ merge order to an automaton that starts with one state and all arcs for each byt
 * the arc a -> b is deleted, as that pair is now spelled c;
 * every remaining arc x -> a gets a parallel arc x -> c.
 
-The complete table would hold |V|^2 bits (316 MB for 50,257 tokens), so its cells are
-compiled on first use: unrolling the gadgets backwards from the younger of the two
-states decides a cell in a few steps, and it is then kept in the transition table.
-A word has one accepted path; it is found by following the longest arc first and
-stepping back when a state has no arc that fits.
+A sequence of tokens is what BPE makes of its text exactly if each of its neighbours are
+joined by an arc. So every beginning of a word has one last token, and the automaton is
+deterministic over bytes: its state after a byte is the longest end of what was read that
+begins a token, with the last token of the text up to each place in that end. A transition
+picks the one token that ends here and has an arc from the last token before it. Encoding
+is one table look-up a byte, then the last tokens are read from the end of the word.
+
+The table is compiled on first use, as all arcs together would hold |V|^2 bits (316 MB for
+50,257 tokens): a new transition decides its arcs by unrolling the gadgets backwards from
+the younger of the two states, in a few steps.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from .common import slices, small_batches, texts
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 PRE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CACHE_ENTRIES = 300_000
+STATES, CELLS = 100_000, 1_000_000  # compiled at most; then the tables are begun anew, with equal results
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -76,9 +82,12 @@ class TokenAutomaton:
             self._add_gadget(rank, left, right)
         usable = {self.labels[i] for i in self.born} | {bytes([b]) for b in range(256)}
         self.states = {token: i for token, i in self.ids.items() if token in usable}
-        self.longest = max(map(len, self.states))
-        self.shorter = self._shorter_arcs()
-        self.table: dict[int, bool] = {}
+        self.begins = {token[:n] for token in self.states for n in range(len(token) + 1)}
+        self.cells: dict[int, bool] = {}
+        self.table: dict[int, int] = {}  # state and byte -> state
+        self.numbers: dict[tuple[bytes, tuple[int, ...]], int] = {}
+        self.known: list[tuple[bytes, tuple[int, ...]]] = []  # of each state: the end that begins a token, the last tokens along it
+        self._state(b"", (-1,))
 
     def _add_gadget(self, rank: int, left: bytes, right: bytes) -> None:
         a, b, c = self.ids[left], self.ids[right], self.ids[left + right]
@@ -86,21 +95,14 @@ class TokenAutomaton:
             self.born[c], self.left[c], self.right[c] = rank, a, b
         self.gadgets.setdefault(a << 20 | b, rank)
 
-    def _shorter_arcs(self) -> dict[int, int]:
-        """For each token the longest other token that begins it, or -1: the next arc to try."""
-        out = {}
-        for token, i in self.states.items():
-            out[i] = next((self.states[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.states), -1)
-        return out
-
     def arc(self, a: int, b: int) -> bool:
         """Whether the finished automaton has the arc a -> b."""
         cell = a << 20 | b
-        known = self.table.get(cell)
+        known = self.cells.get(cell)
         if known is None:
-            if len(self.table) >= 4_000_000:
-                self.table.clear()
-            known = self.table[cell] = self._unroll(a, b)
+            if len(self.cells) >= CELLS:
+                self.cells.clear()
+            known = self.cells[cell] = self._unroll(a, b)
         return known
 
     def _unroll(self, a: int, b: int) -> bool:
@@ -117,39 +119,50 @@ class TokenAutomaton:
             else:  # b's arcs run parallel to those that its left part kept after its gadget
                 before, b = made_b + 1, self.left[b]
 
+    def _state(self, end: bytes, last: tuple[int, ...]) -> int:
+        """The number of a state; a full table is begun anew, with the start state first."""
+        number = self.numbers.get((end, last))
+        if number is None:
+            if len(self.known) >= STATES:
+                self.table.clear()
+                self.numbers.clear()
+                self.known.clear()
+                self._state(b"", (-1,))
+            number = self.numbers[end, last] = len(self.known)
+            self.known.append((end, last))
+        return number
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition of a state by a byte."""
+        end, last = self.known[state]
+        end += bytes([byte])
+        while end not in self.begins:
+            end = end[1:]
+        for n in range(len(end), 0, -1):
+            token = self.states.get(end[-n:])
+            if token is not None and (last[-n] < 0 or self.arc(last[-n], token)):
+                break
+        else:
+            raise ValueError(f"byte {byte} is not in the vocabulary")
+        before = len(self.known)
+        there = self._state(end, (*last, token)[-len(end) - 1 :])
+        if len(self.known) >= before:  # else the table was begun anew and the state left has no number
+            self.table[state << 8 | byte] = there
+        return there
+
     def encode(self, word: bytes) -> list[int]:
         """The ids of one pre-split word."""
-        states, labels, shorter, table, longest = self.states, self.labels, self.shorter, self.table, self.longest
-        path: list[int] = []
-        at, size, dead, token = 0, len(word), set(), -2
-        while True:
-            if token == -2:  # the longest arc that spells what comes next
-                end = min(size, at + longest)
-                while (token := states.get(word[at:end], -2)) == -2:
-                    end -= 1
-                    if end == at:
-                        raise ValueError(f"byte {word[at]} is not in the vocabulary")
-            while token >= 0:
-                there = at + len(labels[token])
-                if there not in dead:
-                    if not path:
-                        break
-                    cell = path[-1] << 20 | token
-                    known = table.get(cell)
-                    if known or (known is None and self.arc(path[-1], token)):
-                        break
-                token = shorter[token]
-            if token >= 0:
-                path.append(token)
-                at = there
-                if at == size:
-                    return path
-                token = -2
-            else:
-                dead.add(at)
-                last = path.pop()
-                at -= len(labels[last])
-                token = shorter[last]
+        table, known, labels = self.table, self.known, self.labels
+        state, ends = 0, []
+        for byte in word:
+            there = table.get(state << 8 | byte)
+            state = self._compile(state, byte) if there is None else there
+            ends.append(known[state][1][-1])
+        path, at = [], len(ends)
+        while at:
+            path.append(ends[at - 1])
+            at -= len(labels[path[-1]])
+        return path[::-1]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined; bytes that are not UTF-8 read as U+FFFD."""

@@ -23,6 +23,27 @@ def test_automaton_equals_the_library_on_random_texts(library):
         assert machine.decode(ids) == library.decode(ids, skip_special_tokens=False), repr(text)
 
 
+def test_long_words_and_small_tables(library, monkeypatch):
+    vocabulary = bpe.read_vocabulary(bpe.vocabulary_path())
+    draw = random.Random(3)
+    words = [" " * 5000 + "x", "-" * 3000, "".join(draw.choices("abcdefghij", k=20_000)), "".join(draw.choices("日本語é", k=3000)), "=" * 777 + "\n" * 999]
+    for states in (3, 50, bpe.STATES):
+        monkeypatch.setattr(bpe, "STATES", states)
+        monkeypatch.setattr(bpe, "_LOADED", {})
+        machine, encoder = bpe.automaton(vocabulary)
+        for word in words:
+            assert encoder.encode(word).tolist() == library.encode(word, add_special_tokens=False).ids
+            assert len(machine.known) <= states
+
+
+def test_a_known_word_takes_one_transition_a_byte(monkeypatch):
+    machine, _ = bpe.automaton(bpe.read_vocabulary(bpe.vocabulary_path()))
+    word = " unbelievably".encode()
+    first = machine.encode(word)
+    monkeypatch.setattr(machine, "_compile", None)  # all transitions are in the table by now
+    assert machine.encode(word) == first and b"".join(machine.labels[i] for i in first) == word
+
+
 def test_table_of_odd_rows(spark, library):
     long = "over and over. " * 20_000
     rows = [(1, "two  words\n", "x"), (2, None, "x"), (3, "", "x"), (3, "", "x"), (None, "no id", "x"), (4, long, "x")]

@@ -21,6 +21,57 @@ def test_code_lengths_equal_a_plain_walk_and_chances_sum_to_one():
         assert np.allclose(bits, want, rtol=1e-4)
 
 
+def plain_chance(streams, alphabet, used, context, symbol):
+    """Chance of a symbol after a context of one language, by counting in its text: the longest context first, escape
+    by method C, symbols seen in longer contexts excluded, at last a uniform byte."""
+    excluded, chance = set(), 1.0
+    for k in range(len(context), -1, -1):
+        tail = context[len(context) - k :]
+        if tail not in used[k]:
+            continue
+        counts = {}
+        for stream in streams:
+            for i in range(3, len(stream)):
+                if stream[i - k : i] == tail:
+                    counts[stream[i]] = counts.get(stream[i], 0) + 1
+        total, distinct = sum(counts.values()), len(counts)
+        if not total:
+            continue
+        if symbol in counts:
+            return chance * counts[symbol] / (total + distinct) / shares(streams, alphabet, used, context, k, excluded)
+        chance *= distinct / (total + distinct) / shares(streams, alphabet, used, context, k, excluded)
+        excluded |= set(counts)
+    return chance / 256 / max(1 - sum(1 for a in alphabet if a in excluded) / 256 - (256 - len(alphabet)) / 256, 1e-9)
+
+
+def shares(streams, alphabet, used, context, k, excluded):
+    """What the context of k symbols leaves to symbols that no longer one has seen."""
+    if not excluded:
+        return 1.0
+    return sum(plain_chance(streams, alphabet, used, context[len(context) - k :], a) for a in alphabet if a not in excluded)
+
+
+def test_code_lengths_equal_counting_escaping_and_excluding():
+    rows = [("x", "abba abba abba cab"), ("y", "bc cb bc")]
+    model = langid.fit(rows)
+    folded = {name: [b"   " + t.encode().translate(langid._FOLD) + b"   " for lang, t in rows if lang == name] for name in model.languages}
+    every = [s for streams in folded.values() for s in streams]
+    alphabet = [-1, *sorted({b for s in every for b in s} | {0x20})]  # -1: a byte that no language has seen
+    used = []
+    for k in range(4):
+        found = [s[i - k : i] for s in every for i in range(3, len(s))]
+        used.append({c for c in found if found.count(c) >= (langid.LEAST_SEEN if k > 1 else 1)})
+    for text in ("abba", "cab cc", "bcz", "zz abb"):
+        got = langid.code_lengths(model, [text])[0]
+        known = bytes(text, "ascii").translate(langid._FOLD)
+        for j, name in enumerate(model.languages):
+            want, stream = 0.0, b"   " + known
+            for i in range(3, len(stream)):
+                symbol = stream[i] if stream[i] in alphabet else -1
+                want -= np.log2(plain_chance(folded[name], alphabet, used, stream[i - 3 : i], symbol))
+            assert abs(got[j] - want) < 1e-2 * max(1, want), (text, name, got[j], want)
+
+
 def test_windows_do_not_change_lengths(monkeypatch):
     model = langid.fit([("x", "some words of one kind " * 9), ("y", "autre sorte de mots " * 9)])
     batch = ["words of one kind", "", "autre", "x", "sorte de " * 20]

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc_fold, slices, small_batches
@@ -135,13 +136,8 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     Ids are picked without their texts; only the picked ids (sample times languages) are broadcast."""
     train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
     ids = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).distinct()  # the limit counts documents, not rows
-    languages = [r["__lang"] for r in ids.select("__lang").distinct().orderBy("__lang").collect()]
-    picked = None
-    for name in languages:
-        some = ids.where(F.col("__lang") == name).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-        picked = some if picked is None else picked.unionByName(some)
-    if picked is None:
-        return []
+    order = W.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")  # Spark keeps `sample` rows a language before the shuffle
+    picked = ids.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= sample).drop("__place")
     texts_of = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
     rows = texts_of.join(F.broadcast(picked), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min("__text").alias("__text")).collect()
     return sorted((r["__lang"], r["__text"]) for r in rows)

@@ -25,6 +25,7 @@ from .common import crc_fold, slices, small_batches
 
 SAMPLE_ROWS = 300  # the most training documents of each language that the fit reads
 FOLDS, HELD_OUT = 4, 2
+SPARE = 8  # how many times the sample the ids are that are sorted for it
 ORDER = 3
 LEAST_SEEN = 4  # longer contexts seen less often, in all languages together, have no node
 UNDETERMINED = "und"
@@ -133,11 +134,16 @@ def predict(model: Model, batch: list[str | None]) -> tuple[list[str], np.ndarra
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> list[tuple[str, str]]:
     """Of the training rows of each language the `sample` first by hash of the id, whole texts.
 
-    Ids are picked without their texts; only the picked ids (sample times languages) are broadcast."""
+    Ids are picked without their texts; only the picked ids (sample times languages) are broadcast. Of each language
+    only the beginning of the order that holds about SPARE times the sample is sorted, so no task follows the size
+    of a language; hashes are even, so that beginning holds the sample."""
     train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
     ids = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).distinct()  # the limit counts documents, not rows
-    order = W.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")  # Spark keeps `sample` rows a language before the shuffle
-    picked = ids.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= sample).drop("__place")
+    place = F.xxhash64("__id")
+    sizes = ids.groupBy("__lang").agg(F.count("*").alias("__n"))
+    share = (place.cast("double") / 2.0**64 + 0.5) * F.col("__n")  # about how many ids of the language come before
+    first = ids.join(sizes, "__lang").where(share <= SPARE * max(sample, 100))
+    picked = first.withColumn("__at", F.row_number().over(W.partitionBy("__lang").orderBy(place, "__id"))).where(F.col("__at") <= sample).select("__id", "__lang")
     texts_of = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
     rows = texts_of.join(F.broadcast(picked), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min("__text").alias("__text")).collect()
     return sorted((r["__lang"], r["__text"]) for r in rows)

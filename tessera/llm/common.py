@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _OWN_DIR = "tessera-checkpoints-"
 
@@ -106,6 +107,14 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def within_bytes(rows: DataFrame, text: str, group: str, most: int) -> DataFrame:
+    """Of a bounded sample with __id, the rows of each group whose texts together hold at most `most` bytes, shortest
+    first, ties by hash of the id; a sample within the bound stays whole and no text is cut."""
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    order = Window.partitionBy(group).orderBy(size, F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("__total", F.sum(size).over(order)).where(F.col("__total") <= most).drop("__total")
+
+
 def texts(batch: pa.RecordBatch, column: int | str) -> list[str]:
     """A string column as Python text; null is empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, small_batches
+from .common import crc_fold, slices, small_batches, within_bytes
 
 SAMPLE_ROWS = 300  # the most training documents of each language that the fit reads
+SAMPLE_BYTES = 32_000_000  # and the most bytes of their texts, of each language
 FOLDS, HELD_OUT = 4, 2
 SPARE = 8  # how many times the sample the ids are that are sorted for it
 ORDER = 3
@@ -131,12 +132,13 @@ def predict(model: Model, batch: list[str | None]) -> tuple[list[str], np.ndarra
     return [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best, usable, strict=True)], score
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, most: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
     """Of the training rows of each language the `sample` first by hash of the id, whole texts.
 
     Ids are picked without their texts; only the picked ids (sample times languages) are broadcast. Of each language
     only the beginning of the order that holds about SPARE times the sample is sorted, so no task follows the size
-    of a language; hashes are even, so that beginning holds the sample."""
+    of a language; hashes are even, so that beginning holds the sample. Where the
+    texts of a language hold more than `most` bytes, the shortest that fit are taken."""
     train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
     ids = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).distinct()  # the limit counts documents, not rows
     place = F.xxhash64("__id")
@@ -145,13 +147,15 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     first = ids.join(sizes, "__lang").where(share <= SPARE * max(sample, 100))
     picked = first.withColumn("__at", F.row_number().over(W.partitionBy("__lang").orderBy(place, "__id"))).where(F.col("__at") <= sample).select("__id", "__lang")
     texts_of = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
-    rows = texts_of.join(F.broadcast(picked), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min("__text").alias("__text")).collect()
+    rows = texts_of.join(F.broadcast(picked), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min("__text").alias("__text"))
+    rows = within_bytes(rows, "__text", "__lang", most).collect()
     return sorted((r["__lang"], r["__text"]) for r in rows)
 
 
-def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_ROWS) -> Model:
-    """Fit on training rows only: crc32 of the id modulo 4 is not 2, language and text not null."""
-    return fit(training_rows(docs, id_col, text_col, lang_col, sample))
+def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> Model:
+    """Fit on training rows only: crc32 of the id modulo 4 is not 2, language and text not null; of each language at
+    most `sample` documents and `most` bytes of them."""
+    return fit(training_rows(docs, id_col, text_col, lang_col, sample, most))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

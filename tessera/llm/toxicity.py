@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, small_batches, texts
+from .common import crc_fold, slices, small_batches, texts, within_bytes
 from .hashing import GOLDEN, mix
 
 SAMPLE_ROWS = 1000  # the most training documents of each label that the fit reads
+SAMPLE_BYTES = 32_000_000  # and the most bytes of their texts, of each label
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W_]+|[.!?\n]")
 _MEMO = 200_000
@@ -287,12 +288,13 @@ def score(model: Model, p: np.ndarray) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * largest + c * many))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[list[tuple[str, int]], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, most: int = SAMPLE_BYTES) -> tuple[list[tuple[str, int]], float]:
     """A bounded sample, and the share of toxic ids among all training ids.
 
     Of the training rows of each label the `sample` first by hash of the id. Only their ids and labels
     (at most 2 * sample) are broadcast, so texts are not shuffled. Ids with both labels are left out; a
-    repeated id gives one row, the one with the smallest text."""
+    repeated id gives one row, the one with the smallest text. Where the texts of a label hold more than `most`
+    bytes, the shortest that fit are taken, so the driver's memory follows neither rows nor lengths."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
     usable = usable.groupBy(id_col).agg(F.min("toxic").alias("__low"), F.max("toxic").alias("__toxic")).where("__low = __toxic")
     counted = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum("__toxic"), F.lit(0)).alias("toxic")).first()
@@ -300,14 +302,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     picked = [usable.where(F.col("__toxic") == y).select(F.col(id_col).alias("__id"), "__toxic").orderBy(order, "__id").limit(sample) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     texts_of = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = texts_of.join(F.broadcast(picked), "__id").groupBy("__id", "__toxic").agg(F.min("__text").alias("__text")).collect()
+    rows = texts_of.join(F.broadcast(picked), "__id").groupBy("__id", "__toxic").agg(F.min("__text").alias("__text"))
+    rows = within_bytes(rows, "__text", "__toxic", most).collect()
     return [(r["__text"] or "", r["__toxic"]) for r in sorted(rows, key=lambda r: str(r["__id"]))], counted["toxic"] / max(1, counted["n"])
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ROWS) -> Model:
-    """Fit on training rows only (crc32 of the id modulo 5 is not 0), at most `sample` of each label. Word counts and
+def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> Model:
+    """Fit on training rows only (crc32 of the id modulo 5 is not 0), at most `sample` of each label and `most` bytes of them. Word counts and
     calibration read whole texts; the field is trained on sentences with a telling word and every fifth other one."""
-    rows, natural = training_rows(docs, labels, id_col, text_col, sample)
+    rows, natural = training_rows(docs, labels, id_col, text_col, sample, most)
     return fit(rows, natural if rows else None)
 
 

@@ -105,3 +105,16 @@ def test_a_repeated_id_takes_one_place_of_the_sample(spark):
     again = int(first[0][1].split()[1])
     repeated = docs.union(spark.createDataFrame([rows[again]] * 200, docs.schema))
     assert langid.training_rows(repeated, "doc_id", "text", "lang", 20) == first
+
+
+def test_sample_stays_within_its_bytes(spark):
+    rows = [(i, "x" * (100 + i), "en") for i in range(40)] + [(i, "y" * (100 + i), "de") for i in range(40, 80)] + [(80, "z" * 10_000, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.training_rows(docs, "doc_id", "text", "lang", 100)
+    kept = langid.training_rows(docs, "doc_id", "text", "lang", 100, 1000)
+    assert {lang for lang, _ in kept} == {"en", "de"} and set(kept) < set(whole)
+    for lang in ("en", "de"):
+        lengths = sorted(len(t) for found, t in kept if found == lang)
+        left_out = sorted({len(t) for found, t in whole if found == lang} - set(lengths))
+        assert sum(lengths) <= 1000 < sum(lengths) + left_out[0] and lengths[-1] < left_out[0]
+    assert langid.training_rows(docs, "doc_id", "text", "lang", 100, 1_000_000) == whole

@@ -68,3 +68,13 @@ def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_documents(docs, toxicity.fit_model(docs, labels)).first().score < 0.5
+
+
+def test_sample_stays_within_its_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (100 + i)) for i in range(40)] + [(40, None), (41, "é" * 9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id long, toxic int")
+    whole, share = toxicity.training_rows(docs, labels, "doc_id", "text", 100)
+    kept, same = toxicity.training_rows(docs, labels, "doc_id", "text", 100, 1000)
+    assert share == same and set(kept) < set(whole) and {y for _, y in kept} == {0, 1}
+    assert all(sum(len(t.encode()) for t, y in kept if y == label) <= 1000 for label in (0, 1))
+    assert toxicity.training_rows(docs, labels, "doc_id", "text", 100, 1_000_000) == (whole, share)

@@ -66,7 +66,7 @@ class Spans:
         return mix(run + times(GOLDEN, end - start))
 
 
-def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of raw[start:end]: eight bytes a round, mixed in one after another; words of up to eight bytes
     and equal length have different hashes."""
     size = ends - starts
@@ -103,4 +103,4 @@ def hashed_words(column: pa.StringArray, in_word: np.ndarray) -> list[np.ndarray
     after[at[:-1][filled]] = False  # texts part words
     before[at[1:][filled] - 1] = False
     starts, ends = np.flatnonzero(word & ~after), np.flatnonzero(word & ~before) + 1
-    return np.split(_word_hashes(raw, starts, ends), np.searchsorted(starts, at[1:-1]))
+    return np.split(byte_hashes(raw, starts, ends), np.searchsorted(starts, at[1:-1]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, neardup, packing, permutation, substrings, topk, toxicity
+from . import bpe, chat, langid, licenses, merkle, neardup, packing, permutation, quality, resampling, substrings, topk, toxicity
 from .common import crc_fold
 
 
@@ -166,6 +166,99 @@ FROM u GROUP BY conv_id
 """
 
 
+def op11_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document under weights fitted to the training labels."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.fit_model(docs, _table(spark, sf_dir, "labels")))
+    held_out = (crc_fold("doc_id", quality.FOLDS) == quality.HELD_OUT).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; every document's proof is folded, a third of them after tampering."""
+    tampered = {"text": F.when(crc_fold("doc_id", 3) == 0, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))}
+    return merkle.proofs(_table(spark, sf_dir, "documents"), changed=tampered).drop("steps")
+
+
+_CRC = """list_reduce(list_concat([4294967295::UBIGINT], [('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::UBIGINT FOR i IN range(strlen({0}))]),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda i: 0::UBIGINT)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END))"""
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text's bytes, bit by bit."""
+    return f"xor({_CRC.format(text)}, 4294967295::UBIGINT)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+_ROW_SQL = " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({_ROW_SQL} || {_field_sql("text")}) AS leaf,
+    CASE WHEN {_crc_sql("coalesce(doc_id::VARCHAR, '')")} % 3 = 0 THEN sha256({_ROW_SQL} || {_field_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS shown
+  FROM documents
+), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (
+  SELECT g, 0 AS level, pos, n AS total, leaf AS digest, n AS n FROM p
+  UNION ALL
+  SELECT g, level + 1, pos // 8, total, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY g, level, pos // 8, total, n
+), subroots AS (SELECT g, digest, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+c AS (
+  SELECT 0 AS level, pos, digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM c WHERE n > 1 GROUP BY level, pos // 8, n
+), runs AS (
+  SELECT g, level, pos // 8 AS run, list(digest ORDER BY pos) AS ds FROM (SELECT g, level, pos, digest FROM t UNION ALL SELECT '#', level, pos, digest FROM c) GROUP BY ALL
+), low AS (
+  SELECT g, pos AS place, doc_id, leaf, coalesce(shown, leaf) AS acc, pos, n, 0 AS level, '' AS proof FROM p
+  UNION ALL
+  SELECT f.g, place, doc_id, leaf, sha256(array_to_string(ds[:pos % 8], '') || acc || array_to_string(ds[pos % 8 + 2:], '')), pos // 8, (n + 7) // 8, f.level + 1,
+    proof || array_to_string(ds[:pos % 8], '') || array_to_string(ds[pos % 8 + 2:], '')
+  FROM low f JOIN runs r ON r.g = f.g AND r.level = f.level AND r.run = f.pos // 8 WHERE n > 1
+), high AS (
+  SELECT s.digest AS subroot, doc_id, leaf, acc, s.pos, s.n, 0 AS level, proof FROM low f JOIN subroots s ON s.g = f.g WHERE f.n = 1
+  UNION ALL
+  SELECT subroot, doc_id, leaf, sha256(array_to_string(ds[:pos % 8], '') || acc || array_to_string(ds[pos % 8 + 2:], '')), pos // 8, (n + 7) // 8, f.level + 1,
+    proof || array_to_string(ds[:pos % 8], '') || array_to_string(ds[pos % 8 + 2:], '')
+  FROM high f JOIN runs r ON r.g = '#' AND r.level = f.level AND r.run = f.pos // 8 WHERE n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM high, (SELECT digest AS root FROM c WHERE n = 1) WHERE n = 1
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of at least 20 words, drawn towards the benchmark texts."""
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+aim AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, ws FROM words),
+o AS (SELECT r, unnest(ws) AS w FROM d),
+b AS MATERIALIZED (SELECT w, {_crc_sql("w")} % 10000 AS bucket FROM (SELECT w FROM o UNION SELECT w FROM aim)),
+s AS (SELECT bucket, count(*) AS n FROM o JOIN b USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM aim JOIN b USING (w) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+    / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+),
+m AS (SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight FROM o JOIN b USING (w) JOIN g USING (bucket) GROUP BY r),
+h AS (
+  SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT AS h
+  FROM d LEFT JOIN m USING (r)
+),
+c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_features >= 20 AS may FROM h),
+k AS (SELECT *, row_number() OVER (ORDER BY may DESC, score DESC, doc_id NULLS FIRST, n_features) AS place FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM c WHERE may) THEN place END AS rank FROM k
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -174,8 +267,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_prob_minhash, op2_license_scan, op3_hilbert_packing, op4_recompression_dedup, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format, pipeline)}
+    return {f.__name__: f for f in (op1_prob_minhash, op2_license_scan, op3_hilbert_packing, op4_recompression_dedup, op5_toxicity_crf, op6_bpe_automaton, op7_permutation_ann, op8_block_topk, op9_language_ppm, op10_chat_format, op11_quality_ftrl, op12_merkle_proofs, op13_importance_resampling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_prob_minhash": OP1_SQL, "op4_recompression_dedup": OP4_SQL, "op8_block_topk": OP8_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_prob_minhash": OP1_SQL, "op4_recompression_dedup": OP4_SQL, "op8_block_topk": OP8_SQL, "op10_chat_format": OP10_SQL, "op12_merkle_proofs": OP12_SQL, "op13_importance_resampling": OP13_SQL}

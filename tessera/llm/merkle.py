@@ -3,12 +3,13 @@
 Each row is a leaf, hashed from its fields. The leaves of a group stand in order, every eight consecutive nodes
 become the hash of their digests until one is left (the group's subroot), and the subroots become the root in the
 same way. A proof is a list of coordinates first: a leaf's place and the number of leaves of its group determine
-the level and place of every sibling up to the root. Leaves explode those coordinates, join the written table of
-nodes, order what they find and fold it with their own digest.
+the place of every sibling up to the root. Leaves explode those coordinates, join the written table of nodes, order
+what they find and fold it with their own digest.
 
-Levels are taken two at a time from the top: nodes of an upper level look up the siblings of their level and the
-next, and the up to 64 nodes below inherit the result. So a coordinate is asked for by at most 64 rows at whatever
-height, and no node is a hot key.
+Coordinates are looked up a level at a time from the top: the nodes of a level look up their siblings there and
+inherit what the node above them has found. So a coordinate is asked for by at most eight rows at whatever height, no
+node is a hot key, and what all leaves of a subtree share is looked up once. Tables and shuffles hold digests as 32
+bytes; they become text where they are hashed. Every table of nodes grows with the data, so none is broadcast.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from .ranks import placed
 
 FAN = 8
 _BITS = 3  # of a place within a run of FAN nodes
-STRIDE = 2  # levels that one round of look-ups covers
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-_STEPS = "array<struct<before:string,after:string>>"
+_STEPS = "array<struct<before:binary,after:binary>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,6 +34,11 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def text_of(digests: Column) -> Column:
+    """Digests as lowercase hex."""
+    return F.lower(F.hex(digests))
+
+
 def field(value: Column) -> Column:
     """`-` for null, else the count of UTF-8 bytes, `:` and the value as text."""
     text = value.cast("string")
@@ -53,11 +58,16 @@ class Tree(NamedTuple):
         """__g, __n and __digest of each group's subroot."""
         out = None
         for k, level in enumerate(self.nodes):
-            single = level.where((F.col("__n") <= FAN**k) & (F.col("__n") > (FAN ** (k - 1) if k else 0)))
+            single = level.where(_ends_at(k))
             out = single if out is None else out.unionByName(single)
         return out.select("__g", "__n", "__digest")
 
 
+def _ends_at(level: int) -> Column:
+    """Whether a group's subroot is on this level."""
+    return (F.col("__n") <= FAN**level) & (F.col("__n") > (FAN ** (level - 1) if level else 0))
+
+
 def build(leaves: DataFrame, tag: str) -> Tree:
     """All levels over leaves __g, __n, __at, __digest; each is a written table, an eighth of the one below."""
     largest = leaves.agg(F.max("__n").alias("n")).first()["n"] or 0
@@ -65,57 +75,51 @@ def build(leaves: DataFrame, tag: str) -> Tree:
     while size < largest:
         members = nodes[-1].where(F.col("__n") > size).select("__g", "__n", F.shiftright("__at", _BITS).alias("__at"), F.struct("__at", "__digest").alias("__node"))
         runs = members.groupBy("__g", "__n", "__at").agg(F.array_sort(F.collect_list("__node")).alias("__run"))  # at most FAN each
-        above = runs.select("__g", "__n", "__at", digest(F.array_join(F.col("__run.__digest"), "")).alias("__digest"))
-        nodes.append(materialize(above, f"{tag}-level{len(nodes)}"))
+        inner = F.array_join(F.transform("__run", lambda node: text_of(node["__digest"])), "")
+        nodes.append(materialize(runs.select("__g", "__n", "__at", F.unhex(digest(inner)).alias("__digest")), f"{tag}-level{len(nodes)}"))
         size *= FAN
     return Tree(nodes)
 
 
-def _sibling_places(level: int, base: int) -> Column:
-    """Coordinates (level, place) of the siblings, at `level`, of the node above a node of level `base`."""
-    own = F.shiftright("__at", _BITS * (level - base))
-    start = F.shiftleft(F.shiftright(own, _BITS), _BITS)
-    last = F.least(start + FAN, F.shiftright(F.col("__n") + (FAN**level - 1), _BITS * level)) - 1  # the last run may be short
-    places = F.filter(F.sequence(start, last), lambda p: p != own)
-    found = F.transform(places, lambda p: F.struct(F.lit(level).alias("level"), p.alias("place")))
-    return F.when(F.col("__n") > FAN**level, found).otherwise(F.array().cast("array<struct<level:int,place:bigint>>"))
+def _siblings(level: int) -> Column:
+    """Places of the siblings of a node that is not its group's subroot; the last run may be short, even a single node."""
+    start = F.shiftleft(F.shiftright("__at", _BITS), _BITS)
+    last = F.least(start + FAN, F.shiftright(F.col("__n") + (FAN**level - 1), _BITS * level)) - 1
+    return F.filter(F.sequence(start, last), lambda place: place != F.col("__at"))
 
 
-def _step(level: int, base: int) -> Column:
-    """What the fold puts before and after a digest at `level`; no step for groups that end below."""
-    own = F.shiftright("__at", _BITS * (level - base))
-    side = lambda test: F.array_join(F.transform(F.filter("__found", lambda s: (s["level"] == level) & test(s["place"])), lambda s: s["digest"]), "")
-    step = F.array(F.struct(side(lambda p: p < own).alias("before"), side(lambda p: p > own).alias("after")))
-    return F.when(F.col("__n") > FAN**level, step).otherwise(F.array().cast(_STEPS))
+def _side(test) -> Column:
+    """The digests of the siblings whose place passes, in order, as one binary value."""
+    found = F.filter("__found", lambda s: s["place"].isNotNull() & test(s["place"]))
+    return F.aggregate(found, F.lit(b""), lambda acc, s: F.concat(acc, s["digest"]))
 
 
-def paths(tree: Tree, tops: DataFrame, carry: list[str], tag: str, payload: DataFrame | None = None) -> DataFrame:
-    """__g, __at, __steps of every leaf from the leaf to the root, with `carry` and the columns of `payload`.
+def paths(tree: Tree, tops: DataFrame, carry: list[str], tag: str, payload: DataFrame) -> DataFrame:
+    """__g, __n, __at, __steps of every leaf, from the leaf to the root, with `carry` and the columns of `payload`.
 
     tops: __g, __n, __steps above the group's subroot, and `carry`. payload: __g, __n, __at and more, a row a leaf."""
-    above, written = None, []
-    for base in range((max(len(tree.nodes) - 2, 0) // STRIDE) * STRIDE, -1, -STRIDE):
-        levels = [k for k in range(base, base + STRIDE) if k < len(tree.nodes)]
-        members = tree.nodes[base].where(F.col("__n") > (FAN**base if base else 0)).select("__g", "__n", "__at")
-        asked = members.select("*", F.explode_outer(F.concat(*(_sibling_places(k, base) for k in levels))).alias("__want"))
-        asked = asked.select("__g", "__n", "__at", F.col("__want.level").alias("__level"), F.col("__want.place").alias("__place"))
-        table = None
-        for k in levels:
-            part = tree.nodes[k].select("__g", F.lit(k).alias("__level"), F.col("__at").alias("__place"), "__digest")
-            table = part if table is None else table.unionByName(part)
-        found = asked.join(table, ["__g", "__level", "__place"], "left").groupBy("__g", "__n", "__at")
-        found = found.agg(F.array_sort(F.collect_list(F.struct(F.col("__level").alias("level"), F.col("__place").alias("place"), F.col("__digest").alias("digest")))).alias("__found"))
-        own = found.select("__g", "__n", "__at", F.concat(*(_step(k, base) for k in levels)).alias("__own"))
-        if payload is not None and base == 0:
-            own = own.join(payload, ["__g", "__n", "__at"])  # before the long steps from above come in
-        here = tops.where((F.col("__n") > (FAN**base if base else 0)) & (F.col("__n") <= FAN ** (base + STRIDE)))
-        here = here.select("__g", F.lit(0).cast("long").alias("__up"), "__steps", *carry)
-        if above is not None:
-            here = here.unionByName(above.select("__g", F.col("__at").alias("__up"), "__steps", *carry))
-        own = own.withColumn("__up", F.shiftright("__at", _BITS * STRIDE)).join(here, ["__g", "__up"])
-        above = own.withColumn("__steps", F.concat("__own", "__steps")).drop("__own", "__up")
-        if base:
-            above = materialize(above, f"{tag}-paths{base}")
+    above = None
+    for level in range(len(tree.nodes) - 1, -1, -1):
+        single = tops.where(_ends_at(level)).select("__g", "__n", F.lit(0).cast("long").alias("__at"), "__steps", *carry)
+        if level == 0:  # groups of one leaf
+            single = single.join(payload, ["__g", "__n", "__at"])
+        if above is None:
+            above = single
+            continue
+        members = tree.nodes[level].where(F.col("__n") > FAN**level).select("__g", "__n", "__at")
+        asked = members.select("*", F.explode_outer(_siblings(level)).alias("place"))  # a run of one asks for none
+        table = tree.nodes[level].select("__g", F.col("__at").alias("place"), F.col("__digest").alias("digest"))
+        found = asked.join(table.hint("merge"), ["__g", "place"], "left").groupBy("__g", "__n", "__at")
+        found = found.agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("__found"))
+        at = F.col("__at")
+        own = found.select("__g", "__n", "__at", F.struct(_side(lambda p: p < at).alias("before"), _side(lambda p: p > at).alias("after")).alias("__own"))  # noqa: B023
+        if level == 0:
+            own = own.join(payload.hint("merge"), ["__g", "__n", "__at"])  # before the long steps from above come in
+        upper = above.select("__g", F.col("__at").alias("__up"), "__steps", *carry)
+        own = own.withColumn("__up", F.shiftright("__at", _BITS)).join(upper.hint("merge"), ["__g", "__up"])
+        above = own.withColumn("__steps", F.concat(F.array("__own"), "__steps")).drop("__own", "__up").unionByName(single)
+        if level:
+            above = materialize(above, f"{tag}-paths{level}")
     return above
 
 
@@ -135,7 +139,7 @@ def proofs(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", fie
     plain = [field(F.col(c)) for c in fields]
     shown = [field(changed.get(c, F.col(c))) for c in fields]
     group = F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit(""))
-    leaf = docs.select(F.col(id_col).alias("__id"), group.alias("__g"), digest(*plain).alias("__digest"), (digest(*shown) if changed else F.lit(None).cast("string")).alias("__shown"))
+    leaf = docs.select(F.col(id_col).alias("__id"), group.alias("__g"), F.unhex(digest(*plain)).alias("__digest"), F.unhex(digest(*shown) if changed else F.lit(None).cast("string")).alias("__shown"))
     hashed = materialize(leaf, "manifest-leaves")
     leaves = placed(hashed, "__g", ["__id", "__digest"], "manifest")
     forget(hashed)
@@ -148,16 +152,17 @@ def proofs(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", fie
     tops = paths(crown, root, ["__root"], "manifest-crown", named)
     tops = materialize(tops.select(F.col("__group").alias("__g"), F.col("__leaves").alias("__n"), "__steps", "__subroot", "__root"), "manifest-tops")
     rows = paths(tree, tops, ["__subroot", "__root"], "manifest", leaves.select("__g", "__n", "__at", "__id", F.col("__digest").alias("__leaf"), "__shown"))
-    folded = F.aggregate("__steps", F.coalesce("__shown", "__leaf"), lambda acc, s: digest(s["before"], acc, s["after"]))
-    siblings = F.array_join(F.transform("__steps", lambda s: F.concat(s["before"], s["after"])), "")
-    out = rows.select("*", folded.alias("__folded"))
-    return out.select(
+    texts = F.transform("__steps", lambda s: F.struct(text_of(s["before"]).alias("before"), text_of(s["after"]).alias("after")))
+    rows = rows.withColumn("steps", texts).withColumn("root", text_of(F.col("__root")))
+    folded = F.aggregate("steps", text_of(F.coalesce("__shown", "__leaf")), lambda acc, s: digest(s["before"], acc, s["after"]))
+    siblings = F.array_join(F.transform("steps", lambda s: F.concat(s["before"], s["after"])), "")
+    out = rows.select(
         F.col("__id").alias(id_col),
-        F.col("__leaf").alias("leaf"),
-        F.col("__subroot").alias("subroot"),
-        F.col("__root").alias("root"),
-        F.col("__steps").alias("steps"),
+        text_of(F.col("__leaf")).alias("leaf"),
+        text_of(F.col("__subroot")).alias("subroot"),
+        "root",
+        "steps",
         digest(siblings).alias("proof_sha256"),
-        F.col("__folded").alias("folded_root"),
-        (F.col("__folded") == F.col("__root")).alias("verified"),
+        folded.alias("folded_root"),
     )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))

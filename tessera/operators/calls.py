@@ -13,11 +13,15 @@ from .resolve import resolve_markers
 CALLER_SUFFIXES = ("Controller", "Action", "Servlet", "Handler", "Listener", "Command")
 
 
-def members(code: Code) -> DataFrame:
-    """owner, member and type: fields by name, methods by name and `()`; void methods have none."""
-    fields = code.fields.select(F.col("class_name").alias("owner"), F.col("name").alias("member"), simple_name(erase("type")).alias("type"))
+def members_by_path(code: Code) -> DataFrame:
+    """owner, member, type and path: fields by name, methods by name and `()`; void methods have none."""
+    fields = code.fields.select(F.col("class_name").alias("owner"), F.col("name").alias("member"), simple_name(erase("type")).alias("type"), "path")
     returns = code.methods.where("NOT is_constructor AND return_type NOT IN ('void', '')")
-    return fields.unionAll(returns.select(F.col("class_name").alias("owner"), F.concat("name", F.lit("()")).alias("member"), simple_name(erase("return_type")).alias("type")))
+    return fields.unionAll(returns.select(F.col("class_name").alias("owner"), F.concat("name", F.lit("()")).alias("member"), simple_name(erase("return_type")).alias("type"), "path"))
+
+
+def members(code: Code) -> DataFrame:
+    return members_by_path(code).drop("path")
 
 
 def reflective_edges(code: Code, invokers: list[dict]) -> DataFrame:
@@ -34,17 +38,26 @@ def reflective_edges(code: Code, invokers: list[dict]) -> DataFrame:
     return out if out is not None else code.raw_edges.limit(0)
 
 
-def _by_results(edges: DataFrame, code: Code, declared: DataFrame) -> DataFrame:
+PLACE = ["path", "caller_class", "caller_method", "caller_arity", "line"]  # calls of one place are resolved together
+
+
+def _by_results(edges: DataFrame, known_members: DataFrame, declared: DataFrame, trace: bool) -> DataFrame:
     """Calls on unknown classes that stand on a line with a known call whose result declares their method go to
     the class of that result; the first by name of several."""
-    place = ["path", "caller_class", "caller_method", "caller_arity", "line"]
-    results = members(code).where(F.endswith("member", F.lit("()"))).select(F.col("owner").alias("callee_class"), F.expr("left(member, length(member) - 2)").alias("callee_method"), F.col("type").alias("__result")).distinct()
-    known = edges.where("callee_class <> '?'").join(results, ["callee_class", "callee_method"]).select(*place, "__result").distinct()
+    results = known_members.where(F.endswith("member", F.lit("()"))).select(F.col("owner").alias("callee_class"), F.expr("left(member, length(member) - 2)").alias("callee_method"), F.col("type").alias("__result")).distinct()
+    mates = edges.where("callee_class <> '?'")
+    known = mates.join(results, ["callee_class", "callee_method"]).select(*PLACE, "__result").distinct()
     fits = declared.select(F.col("class_name").alias("__result"), F.col("name").alias("callee_method")).distinct()
-    asked = edges.where("callee_class = '?'").select(*place, "callee_method").distinct()
-    found = asked.join(known, place).join(fits, ["__result", "callee_method"], "left_semi").groupBy(*place, "callee_method").agg(F.min("__result").alias("__result"))
-    looked = edges.join(found, [*place, "callee_method"], "left")
-    return looked.withColumn("callee_class", F.when(F.col("callee_class") == "?", F.coalesce("__result", F.lit("?"))).otherwise(F.col("callee_class"))).select(*edges.columns)
+    asked = edges.where("callee_class = '?'").select(*PLACE, "callee_method").distinct()
+    found = asked.join(known, PLACE).join(fits, ["__result", "callee_method"], "left_semi").groupBy(*PLACE, "callee_method").agg(F.min("__result").alias("__result"))
+    looked = edges.join(found, [*PLACE, "callee_method"], "left")
+    chosen = F.when(F.col("callee_class") == "?", F.coalesce("__result", F.lit("?"))).otherwise(F.col("callee_class"))
+    if trace:
+        through = mates.groupBy(*PLACE).agg(F.collect_set(F.concat("callee_class", F.lit("."), "callee_method", F.lit("()"))).alias("__mates"))  # calls of one line
+        looked = looked.join(through, PLACE, "left")
+        more = F.when(F.col("callee_class") == "?", F.concat(F.coalesce("__mates", F.array().cast("array<string>")), F.array(F.concat(F.lit("*."), "callee_method")))).otherwise(F.array().cast("array<string>"))
+        looked = looked.withColumn("uses", F.concat("uses", more))
+    return looked.withColumn("callee_class", chosen).select(*edges.columns)
 
 
 def qualify(code: Code, uses: DataFrame) -> DataFrame:
@@ -62,29 +75,57 @@ def qualify(code: Code, uses: DataFrame) -> DataFrame:
     return ways.join(named, ["fqn", "type"], "left").select("fqn", "type", best.alias("qualified"))
 
 
+def declarations(code: Code) -> DataFrame:
+    return code.methods.select("class_name", "name", "param_count").distinct()
+
+
+def raw_edges(code: Code, invokers: list[dict] | None = None) -> DataFrame:
+    return code.raw_edges.unionByName(reflective_edges(code, invokers)) if invokers else code.raw_edges
+
+
 def resolve(code: Code, invokers: list[dict] | None = None) -> DataFrame:
     """Distinct caller_class, caller_method, caller_arity, callee_class, callee_method, callee_arity, line, path.
 
     Markers are resolved against declared members; a call on an unknown class goes to the result of a call on the
     same line that declares its method, else to the one class that does, if there is exactly one, else stays `?`. The arity is that of a declared overload
     with as many parameters as arguments, else of the smallest declared one, else -1."""
-    raw = code.raw_edges
-    if invokers:
-        raw = raw.unionByName(reflective_edges(code, invokers))
+    return resolve_raw(raw_edges(code, invokers), members(code), declarations(code))
+
+
+def resolve_raw(raw: DataFrame, known_members: DataFrame, declared: DataFrame, trace: bool = False) -> DataFrame:
+    """resolve() of some raw edges against the members and declared methods of a code base.
+
+    With `trace`, `uses` lists the names that each edge was resolved through, found or not: `Owner.member` for a member
+    on its way or a result of a call on its line, `*.method` where all classes that declare the method count,
+    `Class.method#` for the arity. An edge can change only if its raw form, one of these or a call of its place does."""
+    if trace:
+        raw = raw.withColumn("uses", F.array().cast("array<string>"))
     marked = raw.where(F.instr("callee_class", "?") > 1)
     plain = raw.where(F.instr("callee_class", "?") <= 1)
     distinct = marked.select("callee_class").distinct().select("callee_class", F.substring_index("callee_class", "?", 1).alias("owner"), F.regexp_extract("callee_class", r"^[^?]*(\?.*)$", 1).alias("marker"))
-    known = resolve_markers(distinct, members(code)).select("callee_class", F.col("type").alias("__type"))
-    looked = marked.join(known, "callee_class", "left").withColumn("callee_class", F.coalesce("__type", F.lit("?"))).drop("__type")
-    edges = plain.unionByName(looked)
-    declared = code.methods.select("class_name", "name", "param_count").distinct()
-    edges = _by_results(edges, code, declared)
+    known = resolve_markers(distinct, known_members, trace=trace).select("callee_class", F.col("type").alias("__type"), *([F.col("trace").alias("__trace")] if trace else []))
+    looked = marked.join(known, "callee_class", "left").withColumn("callee_class", F.coalesce("__type", F.lit("?")))
+    if trace:
+        looked = looked.withColumn("uses", F.coalesce("__trace", "uses"))
+    edges = plain.unionByName(looked.select(*plain.columns))
+    edges = _by_results(edges, known_members, declared, trace)
     owners = declared.groupBy(F.col("name").alias("callee_method")).agg(F.countDistinct("class_name").alias("__n"), F.min("class_name").alias("__only")).where("__n = 1").drop("__n")
     edges = edges.join(owners, "callee_method", "left").withColumn("callee_class", F.when((F.col("callee_class") == "?") & F.col("__only").isNotNull(), F.col("__only")).otherwise(F.col("callee_class"))).drop("__only")
     arities = declared.groupBy(F.col("class_name").alias("callee_class"), F.col("name").alias("callee_method")).agg(F.collect_set("param_count").alias("__arities"))
     edges = edges.join(arities, ["callee_class", "callee_method"], "left")
     arity = F.when(F.array_contains("__arities", F.col("arg_count")), F.col("arg_count")).otherwise(F.coalesce(F.array_min("__arities"), F.lit(-1)))
-    return edges.select("caller_class", "caller_method", "caller_arity", "callee_class", "callee_method", arity.alias("callee_arity"), "line", "path").distinct()
+    out = edges.select("caller_class", "caller_method", "caller_arity", "callee_class", "callee_method", arity.alias("callee_arity"), "line", "path", *([F.concat("uses", F.array(F.concat("callee_class", F.lit("."), "callee_method", F.lit("#")))).alias("uses")] if trace else []))
+    return out.distinct() if not trace else out.groupBy([c for c in out.columns if c != "uses"]).agg(F.array_distinct(F.flatten(F.collect_set("uses"))).alias("uses"))
+
+
+def changed_names(old: Code, new: Code) -> DataFrame:
+    """key: the names, as in `uses`, whose meaning differs between two states of some files."""
+    one, two = members(old), members(new)
+    differ = one.exceptAll(two).unionAll(two.exceptAll(one)).select(F.concat_ws(".", "owner", "member").alias("key"))
+    one, two = declarations(old), declarations(new)
+    declared = one.exceptAll(two).unionAll(two.exceptAll(one))
+    named = declared.select(F.explode(F.array(F.concat(F.lit("*."), "name"), F.concat("class_name", F.lit("."), "name", F.lit("#")))).alias("key"))
+    return differ.unionAll(named).distinct()
 
 
 def node(cls: str, method: str, arity: str):

@@ -37,7 +37,13 @@ class CodeBase:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return calls.resolve(self.code, self.config.get("invokers")).cache()
+        """Resolved calls: the stored ones of a stored code base, else resolved once a session."""
+        stored = getattr(self.code, "edges", None)
+        return stored if stored is not None else calls.resolve(self.code, self.config.get("invokers")).cache()
+
+    def calls_to(self, simple: str) -> DataFrame:
+        stored = getattr(self.code, "calls_to", None)
+        return stored(simple) if stored else self.edges.where(F.col("callee_class") == simple)
 
     @cached_property
     def graph(self) -> DataFrame:
@@ -79,9 +85,9 @@ def _of_class(base: CodeBase, name: str) -> DataFrame:
     return base.code.by_name(name)
 
 
-def _external(base: CodeBase) -> DataFrame:
-    """Calls between different known classes."""
-    return base.edges.where("callee_class <> '?' AND caller_class <> callee_class")
+def _external(base: CodeBase, callee: str | None = None) -> DataFrame:
+    """Calls between different known classes, or those to one."""
+    return (base.calls_to(callee) if callee else base.edges).where("callee_class <> '?' AND caller_class <> callee_class")
 
 
 # Navigation
@@ -97,15 +103,17 @@ def overview(base: CodeBase) -> DataFrame:
 @command("classes")
 def classes(base: CodeBase, package: str = "", limit: int = 50) -> DataFrame:
     """Types of a package; when there are more than `limit`, those constructed most."""
+    found = base.code.types.where(F.startswith("package", F.lit(package))).select("name", "fqn", "kind", "path", "n_methods")
     made = base.edges.where("callee_class = callee_method").groupBy(F.col("callee_class").alias("name")).agg(F.count("*").alias("constructed"))
-    found = base.code.types.where(F.startswith("package", F.lit(package))).select("name", "fqn", "kind", "path", "n_methods").join(made, "name", "left").fillna(0, ["constructed"])
+    found = found.join(made, "name", "left").fillna(0, ["constructed"])
     return rank.with_total(found, limit, F.desc("constructed"), F.asc("fqn"), F.asc("path"))
 
 
 @command("summary")
 def summary(base: CodeBase, name: str, limit: int = 20) -> DataFrame:
-    calls_in = base.edges.groupBy(F.col("callee_class").alias("class_name"), F.col("callee_method").alias("name")).agg(F.count("*").alias("callers"))
-    own = base.code.methods.where(F.col("fqn" if "." in name else "class_name") == name).join(calls_in, ["class_name", "name"], "left").fillna(0, ["callers"])
+    simple = name.rpartition(".")[2]
+    calls_in = base.calls_to(simple).groupBy(F.col("callee_class").alias("class_name"), F.col("callee_method").alias("name")).agg(F.count("*").alias("callers"))
+    own = base.code.methods_of(simple).where(F.col("fqn" if "." in name else "class_name") == name).join(calls_in, ["class_name", "name"], "left").fillna(0, ["callers"])
     shown = F.when(F.array_contains("modifiers", "public"), 0).when(F.array_contains("modifiers", "protected"), 1).when(F.array_contains("modifiers", "private"), 3).otherwise(2)
     return rank.with_total(own.select("class_name", "name", "signature", "start_line", "callers", shown.alias("visibility")), limit, F.asc("visibility"), F.desc("callers"), F.asc("name"), F.asc("start_line"))
 
@@ -113,11 +121,11 @@ def summary(base: CodeBase, name: str, limit: int = 20) -> DataFrame:
 @command("mini")
 def mini(base: CodeBase, name: str) -> DataFrame:
     """Five key methods by external calling classes, three fields, and who calls."""
-    outside = _external(base).where(F.col("callee_class") == name)
+    outside = _external(base, name)
     callers = outside.groupBy(F.col("callee_method").alias("name")).agg(F.countDistinct("caller_class").alias("n"))
-    key = rank.top(base.code.methods.where(F.col("class_name") == name).join(callers, "name", "left").fillna(0, ["n"]), 5, F.desc("n"), F.desc("loc"), F.asc("name"), F.asc("start_line"))
+    key = rank.top(base.code.methods_of(name).join(callers, "name", "left").fillna(0, ["n"]), 5, F.desc("n"), F.desc("loc"), F.asc("name"), F.asc("start_line"))
     methods = key.agg(F.collect_list(F.struct("name", "signature")).alias("methods"))
-    fields = rank.top(base.code.fields.where((F.col("class_name") == name) & ~F.col("type").isin(list(packs.COMMON_TYPES))).select("name", "type", "line"), 3, F.asc("line"), F.asc("name")).agg(F.collect_list(F.struct("name", "type")).alias("fields"))
+    fields = rank.top(base.code.fields_of(name).where(~F.col("type").isin(list(packs.COMMON_TYPES))).select("name", "type", "line"), 3, F.asc("line"), F.asc("name")).agg(F.collect_list(F.struct("name", "type")).alias("fields"))
     by = outside.agg(F.array_sort(F.collect_set("caller_class")).alias("called_by"))
     return methods.crossJoin(fields).crossJoin(by)  # single rows
 
@@ -137,13 +145,10 @@ def read(base: CodeBase, ref: str, max_chars: int = 25_000, preview: int = 100)
 @command("hierarchy")
 def hierarchy(base: CodeBase, name: str) -> DataFrame:
     """relation and name: super class, interfaces, subclasses and implementors, type arguments erased."""
-    t = base.code.types
     own = _of_class(base, name)
-    is_it = lambda c: scalars.simple_name(scalars.erase(c)) == name.rpartition(".")[2]
     up = own.where("super_class <> ''").select(F.lit("super").alias("relation"), scalars.erase("super_class").alias("name"))
     up = up.unionAll(own.select(F.lit("interface"), F.explode("interfaces").alias("i")).select("interface", scalars.erase("i")))
-    down = t.where(is_it("super_class")).select(F.lit("subclass"), "name")
-    down = down.unionAll(t.select("name", F.explode("interfaces").alias("i")).where(is_it("i")).select(F.lit("implementor"), "name"))
+    down = base.code.children_of(name.rpartition(".")[2]).select("relation", "name")
     return up.unionAll(down).distinct()
 
 
@@ -161,8 +166,8 @@ def deps(base: CodeBase, name: str, full: bool = False) -> DataFrame:
     if not full:
         imports = imports.where(~F.col("dependency").rlike(packs.HIDDEN_IMPORTS))
     simple = name.rpartition(".")[2]
-    fields = base.code.fields.where(F.col("class_name") == simple).select(F.lit("field"), "type")
-    made = base.code.methods.where((F.col("class_name") == simple) & F.col("is_constructor")).select(F.lit("constructor"), F.explode("params.type").alias("t")).select("constructor", scalars.erase("t"))
+    fields = base.code.fields_of(simple).select(F.lit("field"), "type")
+    made = base.code.methods_of(simple).where("is_constructor").select(F.lit("constructor"), F.explode("params.type").alias("t")).select("constructor", scalars.erase("t"))
     return imports.unionAll(fields).unionAll(made).distinct()
 
 
@@ -221,7 +226,7 @@ def map_(base: CodeBase, budget: int = 2000) -> DataFrame:
 
 @command("contract")
 def contract(base: CodeBase, name: str) -> DataFrame:
-    return base.code.methods.where(F.col("class_name") == name).select("name", "signature", "return_type", "params", "throws", "annotations", "javadoc")
+    return base.code.methods_of(name).select("name", "signature", "return_type", "params", "throws", "annotations", "javadoc")
 
 
 @command("context")
@@ -952,9 +957,11 @@ def history(base: CodeBase, repository: str, path: str) -> DataFrame:
 
 @command("index")
 def index(base: CodeBase, path: str) -> DataFrame:
-    """Write the facts as a table and count what was written."""
-    base.code.facts.write.mode("overwrite").parquet(path)
-    return dump(CodeBase(Code(base.spark.read.parquet(path))))
+    """Store the facts as the next version of a store, with flat tables and resolved edges, and count what is stored."""
+    from ..sources import store
+
+    store.put(base.spark, base.code.facts, path, base.config.get("invokers"))
+    return dump(CodeBase(Code(store.load(base.spark, path))))
 
 
 @command("dump")

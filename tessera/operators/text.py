@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a concept search ignores.
-STOP_WORDS = ("a", "an", "the", "in", "on", "of", "to", "for", "and", "or", "with", "by", "is", "are", "be", "this", "that", "it", "from", "as")
+STOP_WORDS = ("the", "a", "an", "in", "on", "at", "to", "for", "of", "with", "is", "are", "was", "were", "be", "it", "this", "that", "do", "does")
 
 #: The weights of a fuzzy suggestion.
 SAME_NAME, NEAR_NAME, PER_EDIT, PREFIX, INSIDE, MAX_EDITS = 100, 80, 10, 60, 40, 3
 
 
-def lines_of(files: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
-    """key, line_no (from 1) and text of every line."""
-    return files.where(F.col(content).isNotNull()).select(key, F.posexplode(F.split(content, "\n")).alias("__at", "text")).select(key, (F.col("__at") + 1).cast("int").alias("line_no"), "text")
+def lines_of(files: DataFrame, content: str = "content", key: str = "path", also: tuple[str, ...] = ()) -> DataFrame:
+    """key, line_no (from 1) and text of every line, with the columns `also` of its file."""
+    split = files.where(F.col(content).isNotNull()).select(key, *also, F.posexplode(F.split(content, "\n")).alias("__at", "text"))
+    return split.select(key, (F.col("__at") + 1).cast("int").alias("line_no"), "text", *also)
 
 
 def first_hit(text: str | Column, terms: list[str]) -> Column:

@@ -118,14 +118,13 @@ def hints(name: str, argument: str = "") -> list[str]:
 
 def watch(spark, roots: list[str], facts_path: str, lines: Iterable[str], say: Callable[[str], None], config: dict | None = None) -> int:
     """serve() over stored facts that are brought up to the files before each request: folders are listed
-    anew every time, so new files are seen, and only changed ones are parsed."""
-    from ..sources.code import Code, scan_files
-    from ..sources.store import load, refresh
+    anew every time, so new files are seen; only those with a new time or length are read, only changed ones parsed."""
+    from ..sources.store import open_code, refresh_roots
 
     count = 0
     for line in lines:
         if line.strip() in ("quit", "exit"):
             break
-        refresh(spark, scan_files(spark, roots), facts_path)
-        count += serve(CodeBase(Code(load(spark, facts_path)), config), [line], say)
+        refresh_roots(spark, roots, facts_path, (config or {}).get("invokers"))
+        count += serve(CodeBase(open_code(spark, facts_path), config), [line], say)
     return count

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.java import parse
-from ..functions.scalars import glob_pattern
+from ..functions.scalars import erase, glob_pattern, simple_name
 from ..operators.text import lines_of
 
 ANNOTATION = "struct<name:string,attrs:map<string,string>>"
@@ -30,19 +30,56 @@ FACTS = f"path string, content_hash string, mtime_ms long, content string, packa
 TEST_PATHS = ("/test/", "/testFixtures/")
 
 
-def scan_files(spark: SparkSession, roots: list[str], suffix: str = ".java", excludes: list[str] | None = None, no_test: bool = False) -> DataFrame:
-    """path, content_hash, mtime_ms and content of the files under the roots. A missing root has no files."""
+def _found(spark: SparkSession, paths: list[str], suffix: str = ".java", excludes: list[str] | None = None, no_test: bool = False) -> DataFrame | None:
+    """The binary files under paths, with `uri` and `path`; None where none of the paths exists."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    paths = [r for r in roots if (p := jvm.org.apache.hadoop.fs.Path(r)).getFileSystem(conf).exists(p)]
+    paths = [r for r in paths if (p := jvm.org.apache.hadoop.fs.Path(r)).getFileSystem(conf).exists(p)]
     if not paths:
-        return spark.createDataFrame([], "path string, content_hash string, mtime_ms long, content string")
+        return None
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(paths)
-    path = F.regexp_replace("path", "^file:", "")
+    found = found.withColumn("uri", F.col("path")).withColumn("path", F.regexp_replace("path", "^file:", ""))
     for glob in excludes or []:
-        found = found.where(~path.rlike(glob_pattern(f"**{glob}**")))
+        found = found.where(~F.col("path").rlike(glob_pattern(f"**{glob}**")))
     for part in TEST_PATHS if no_test else ():
-        found = found.where(~F.contains(path, F.lit(part)))
-    return found.select(path.alias("path"), F.sha2("content", 256).alias("content_hash"), F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("content"))
+        found = found.where(~F.contains("path", F.lit(part)))
+    return found
+
+
+FILES = "path string, content_hash string, mtime_ms long, content string"
+
+
+def _contents(found: DataFrame) -> DataFrame:
+    return found.select("path", F.sha2("content", 256).alias("content_hash"), F.unix_millis("modificationTime").alias("mtime_ms"), F.decode("content", "UTF-8").alias("content"), "length")
+
+
+def scan_files(spark: SparkSession, roots: list[str], **options) -> DataFrame:
+    """path, content_hash, mtime_ms and content of the files under the roots. A missing root has no files.
+    Options: suffix, excludes (globs), no_test."""
+    found = _found(spark, roots, **options)
+    return spark.createDataFrame([], FILES) if found is None else _contents(found).drop("length")
+
+
+def listing(spark: SparkSession, roots: list[str], **options) -> DataFrame:
+    """path, mtime_ms, length and uri of the files under the roots; no content is read."""
+    found = _found(spark, roots, **options)
+    if found is None:
+        return spark.createDataFrame([], "path string, mtime_ms long, length long, uri string")
+    return found.select("path", F.unix_millis("modificationTime").alias("mtime_ms"), "length", "uri")
+
+
+FEW_FILES = 10_000  # files up to which they are opened by name
+
+
+def read_files(spark: SparkSession, roots: list[str], wanted: DataFrame, **options) -> DataFrame:
+    """scan_files() with length, of the wanted files alone (path, uri)."""
+    uris = [r["uri"] for r in wanted.select("uri").limit(FEW_FILES + 1).collect()]
+    if not uris:
+        return spark.createDataFrame([], f"{FILES}, length long")
+    if len(uris) > FEW_FILES:
+        return _contents(_found(spark, roots, **options).join(wanted.select("path"), "path", "left_semi"))
+    literal = lambda uri: "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in uri)
+    found = spark.read.format("binaryFile").load([literal(u) for u in uris])
+    return _contents(found.withColumn("path", F.regexp_replace("path", "^file:", "")))
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -98,13 +135,29 @@ class Code:
         self.raw_edges = facts.select("path", F.explode("edges").alias("e")).select("path", "e.*")
         self.statements = facts.select("path", F.explode("statements").alias("s")).select("path", "s.*")
         self.invocations = facts.select("path", F.explode("invocations").alias("v")).select("path", "v.*")
-        noted = facts.select("path", F.col("comment_lines"), F.col("loop_lines"))
-        self.lines = lines_of(facts).join(noted, "path").select("path", "line_no", "text", F.array_contains("comment_lines", F.col("line_no")).alias("in_comment"), F.array_contains("loop_lines", F.col("line_no")).alias("in_loop"))
+        noted = lambda c: F.array_contains(c, F.col("line_no"))
+        self.lines = lines_of(facts, also=("comment_lines", "loop_lines")).select("path", "line_no", "text", noted("comment_lines").alias("in_comment"), noted("loop_lines").alias("in_loop"))
         self.errors = facts.where("error IS NOT NULL").select("path", "error")
 
+    def types_of(self, simple: str) -> DataFrame:
+        return self.types.where(F.col("name") == simple)
+
+    def methods_of(self, simple: str) -> DataFrame:
+        return self.methods.where(F.col("class_name") == simple)
+
+    def fields_of(self, simple: str) -> DataFrame:
+        return self.fields.where(F.col("class_name") == simple)
+
+    def children_of(self, simple: str) -> DataFrame:
+        """relation (subclass or implementor), name and path of the types that extend or implement one, type arguments erased."""
+        is_it = lambda c: simple_name(erase(c)) == simple
+        down = self.types.where(is_it("super_class")).select(F.lit("subclass").alias("relation"), "name", "path")
+        return down.unionAll(self.types.select("name", "path", F.explode("interfaces").alias("i")).where(is_it("i")).select(F.lit("implementor"), "name", "path"))
+
     def by_name(self, name: str) -> DataFrame:
         """Types of a simple or qualified name."""
-        return self.types.where(F.col("fqn" if "." in name else "name") == name)
+        found = self.types_of(name.rpartition(".")[2])
+        return found.where(F.col("fqn") == name) if "." in name else found
 
 
 def read(spark: SparkSession, roots: list[str], **options) -> Code:

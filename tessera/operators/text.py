@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import enclose  # noqa: F401  (part of this module's interface)
+
 #: Words that a concept search ignores.
 STOP_WORDS = ("the", "a", "an", "in", "on", "at", "to", "for", "of", "with", "is", "are", "was", "were", "be", "it", "this", "that", "do", "does")
 
@@ -32,18 +34,6 @@ def search(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.withColumn("hit", first_hit("text", [t for t in pattern.split("|") if t])).where("hit > 0")
 
 
-def enclose(points: DataFrame, spans: DataFrame, key: str, at: str, name: str) -> DataFrame:
-    """points with the innermost span around them in column `name` (null without one).
-
-    spans: key, start_line, end_line, name. A range join by an equal key; the innermost is the one that
-    starts last, ties to the one that ends first."""
-    inner = F.max_by(F.struct(F.col(f"s.{name}").alias("n")), F.struct("s.start_line", -F.col("s.end_line"), F.col(f"s.{name}")))
-    marked = points.withColumn("__point", F.monotonically_increasing_id()).alias("p")
-    met = marked.join(spans.alias("s"), (F.col(f"p.{key}") == F.col(f"s.{key}")) & F.col(f"p.{at}").between(F.col("s.start_line"), F.col("s.end_line")), "left")
-    columns = [F.first(F.col(f"p.{c}")).alias(c) for c in points.columns]
-    return met.groupBy(F.col("p.__point")).agg(*columns, inner.alias("__inner")).select(*points.columns, F.col("__inner.n").alias(name))
-
-
 def stem(word: Column) -> Column:
     """Without a plural, -ing or -ed ending, if three letters are left."""
     return F.when((F.length(word) > 5) & word.endswith("ing"), F.regexp_replace(word, "ing$", "")).when((F.length(word) > 4) & word.endswith("es"), F.regexp_replace(word, "es$", "")).when((F.length(word) > 4) & word.endswith("ed"), F.regexp_replace(word, "ed$", "")).when((F.length(word) > 3) & word.endswith("s"), F.regexp_replace(word, "s$", "")).otherwise(word)
@@ -88,14 +78,16 @@ def fuzzy_score(name: Column, wanted: Column) -> Column:
 
 
 def suggest(names: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
-    """The k best existing names for each wanted one: wanted, name, score, rank. `wanted` is a stated query
-    set; it is broadcast only while it is small (`limit` bounds it at 10,000 rows), else joined in blocks."""
+    """The k best existing names for each wanted one: wanted, name, score, rank. Empty strings have none and are none.
+
+    Candidates come by equi-joins (grams): few edits, and either string within the other."""
+    from . import grams
     from .rank import top_within
 
-    asked = wanted.select("wanted").distinct()
-    few = asked.limit(10_001).count() <= 10_000
-    pairs = names.select("name").distinct().join(F.broadcast(asked) if few else asked, fuzzy_score(F.col("name"), F.col("wanted")) > 0)
-    scored = pairs.withColumn("score", fuzzy_score(F.col("name"), F.col("wanted")))
+    asked, known = wanted.select("wanted").where("wanted <> ''").distinct(), names.select("name").where("name <> ''").distinct()
+    swapped = grams.containing(asked.withColumnRenamed("wanted", "name"), known.withColumnRenamed("name", "wanted")).select(F.col("wanted").alias("name"), F.col("name").alias("wanted"))
+    pairs = grams.near(known, asked).select("name", "wanted").unionByName(grams.containing(known, asked)).unionByName(swapped).distinct()
+    scored = pairs.withColumn("score", fuzzy_score(F.col("name"), F.col("wanted"))).where("score > 0")
     return top_within(scored, ["wanted"], k, F.desc("score"), F.asc("name"))
 
 

@@ -23,11 +23,20 @@ def characters(text: Column | str) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once a row; written into a lambda, an expression is computed anew each time."""
+    return F.transform(F.array(value), use)[0]
+
+
 def grams(chars: Column, size: Column | int) -> Column:
     """Distinct runs of `size` characters, given as an array."""
     size = F.lit(size) if isinstance(size, int) else size
-    runs = F.transform(F.sequence(F.lit(1), F.size(chars) - size + 1), lambda i: F.array_join(F.slice(chars, i, size), ""))
-    return F.when(F.size(chars) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def runs(c: Column, n: Column) -> Column:
+        return F.when(F.size(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), "")))).otherwise(none)
+
+    return once(chars, lambda c: once(size, lambda n: runs(c, n)))
 
 
 def containing(names: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -80,10 +89,9 @@ def near(names: DataFrame, wanted: DataFrame) -> DataFrame:
     """name, wanted and edits: all distinct pairs of at most MAX_EDITS edits."""
     none = F.array().cast("array<string>")
     sized = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct().withColumn("__chars", characters(c)).withColumn("__size", F.size("__chars"))
-    chars, size = F.col("__chars"), F.col("__size")
-    short = sized(names, "name")
-    posted = short.select("name", F.explode(F.when(size > MAX_EDITS, _segments(chars, size)).otherwise(_deletions(chars, size))).alias("key"))
-    asked = sized(wanted, "wanted")
-    asked = asked.select("wanted", F.explode(F.concat(_pieces(chars, size), F.when(size <= 2 * MAX_EDITS, _deletions(chars, size)).otherwise(none))).alias("key"))
+    of_name = lambda c, n: F.when(n > MAX_EDITS, _segments(c, n)).otherwise(_deletions(c, n))
+    of_wanted = lambda c, n: F.concat(_pieces(c, n), F.when(n <= 2 * MAX_EDITS, _deletions(c, n)).otherwise(none))
+    keys = lambda df, c, of: df.select(c, F.explode(once(F.col("__chars"), lambda x: once(F.col("__size"), lambda n: of(x, n)))).alias("key"))
+    posted, asked = keys(sized(names, "name"), "name", of_name), keys(sized(wanted, "wanted"), "wanted", of_wanted)
     pairs = posted.distinct().join(asked, "key").select("name", "wanted").distinct()
     return pairs.withColumn("edits", F.levenshtein("name", "wanted", MAX_EDITS)).where("edits >= 0")

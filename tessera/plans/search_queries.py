@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import diff, rank, text
+from ..operators import diff, grams, rank, text
+from ..operators.cut import shared_dir
 from ..session import table
+from ..sources import line_index
 from .bindings import L, lines
 from .registry import query
 
@@ -165,3 +169,65 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = count.crossJoin(sample).select(F.lit(kind).alias("kind"), "n", "sample")  # two single rows
         out = one if out is None else out.unionAll(one)
     return out
+
+
+_INDEXED: dict[tuple[str, str], str] = {}  # by application and folder
+
+
+def line_store(spark: SparkSession, sf_dir: str) -> str:
+    """An index of all lines of documents in the shared folder, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        path = f"{shared_dir(spark).rstrip('/')}/tessera-lines-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        line_index.build(lines(spark, sf_dir), path, "doc_id")
+        _INDEXED[key] = path
+    return _INDEXED[key]
+
+
+@query(f"""WITH {L}, h AS (SELECT doc_id, line_no, least(nullif(strpos(text, 'MIT License'), 0), nullif(strpos(text, 'Apache License'), 0)) AS hit FROM l)
+SELECT doc_id, line_no, hit FROM h WHERE hit IS NOT NULL""")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with either of two phrases, by postings of three-character runs and an exact test."""
+    found = line_index.search(spark, line_store(spark, sf_dir), "MIT License|Apache License")
+    return found.select(F.col("key").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.col("hit").cast("long").alias("hit"))
+
+
+@query(f"""WITH {L}, c AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM l)
+SELECT (SELECT count(*) FROM l) AS lines, (SELECT count(*) FROM l WHERE contains(text, 'Creative Commons')) AS hits, true AS few""")
+def search_indexed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines, those that hold a phrase, and whether the index had less than a quarter of them tested for it."""
+    path = line_store(spark, sf_dir)
+    total = spark.read.schema(line_index.LINES).parquet(f"{path}/lines").agg(F.count("*").alias("lines"))
+    tested = line_index.candidates(spark, path, "Creative Commons")
+    counted = tested.agg(F.count("*").alias("tested"), F.count_if(F.contains("text", F.lit("Creative Commons"))).alias("hits"))
+    return total.crossJoin(counted).select("lines", "hits", (F.col("tested") < 0.25 * F.col("lines")).alias("few"))  # single rows
+
+
+_WORDS = """n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM documents), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS wanted FROM benchmark)"""
+
+
+def _words(spark: SparkSession, sf_dir: str, name: str, column: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias(column)).distinct()
+
+
+@query(f"WITH {_WORDS} SELECT name, wanted, levenshtein(name, wanted)::INTEGER AS edits FROM n, w WHERE length(name) >= 9 AND length(wanted) >= 9 AND abs(length(name) - length(wanted)) <= 3 AND levenshtein(name, wanted) <= 3")
+def near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of nine letters or more of documents within three edits of such words of benchmark texts, by an equi-join of segments."""
+    return grams.near(_words(spark, sf_dir, "documents", "name").where("length(name) >= 9"), _words(spark, sf_dir, "benchmark", "wanted").where("length(wanted) >= 9"))
+
+
+@query(f"WITH {_WORDS} SELECT name, wanted FROM n, w WHERE length(wanted) >= 3 AND contains(name, wanted)")
+def containing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that hold a word of benchmark texts, by the rarest run of three letters."""
+    return grams.containing(_words(spark, sf_dir, "documents", "name"), _words(spark, sf_dir, "benchmark", "wanted").where("length(wanted) >= 3"))
+
+
+@query(f"""WITH {_WORDS}, s AS (SELECT wanted, name, greatest(CASE WHEN levenshtein(name, wanted) = 0 THEN 100 WHEN levenshtein(name, wanted) <= 3 THEN 80 - 10 * levenshtein(name, wanted) ELSE 0 END,
+  CASE WHEN starts_with(name, wanted) OR starts_with(wanted, name) THEN 60 ELSE 0 END, CASE WHEN contains(name, wanted) OR contains(wanted, name) THEN 40 ELSE 0 END)::BIGINT AS score FROM n, w)
+SELECT wanted, name, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY score DESC, name)::BIGINT AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
+def suggest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five words of documents that come closest to each word of benchmark texts."""
+    found = text.suggest(_words(spark, sf_dir, "documents", "name"), _words(spark, sf_dir, "benchmark", "wanted"))
+    return found.select("wanted", "name", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))

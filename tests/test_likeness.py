@@ -104,3 +104,19 @@ def test_sweep_is_linear_in_a_large_file(spark):
     assert {r[0]: r[1] for r in got} == {True: 30_000, False: 70_000} and time.perf_counter() - began < 20
     at, who = spans.innermost(np.arange(0, 10**5), np.arange(0, 10**5)[::-1] + 10**5)
     assert len(at) <= 2 * 10**5 and len(who) == len(at)
+
+
+def test_indexed_search_equals_the_scan(spark, tmp_path, monkeypatch):
+    from tessera.plans.bindings import lines
+    from tessera.sources import clustered, line_index
+
+    monkeypatch.setattr(clustered, "LEAST_ROWS", 500)
+    docs = lines(spark, "/root/testdata/sf0.001").unionByName(spark.createDataFrame([(-1, 1, "a😀bc ab"), (-1, 2, "x\ty|z"), (-1, 3, ""), (-1, 4, None), (None, 1, "License")], "doc_id long, line_no long, text string"))
+    line_index.build(docs, str(tmp_path / "i"), "doc_id")
+    scanned = docs.where("doc_id IS NOT NULL").withColumn("key", F.col("doc_id").cast("string"))
+    for pattern in ("License|token", "License", "the", "no such line", "a😀b", "ab", "|License|", "\ty", "Licens|xyzzyx|MIT"):
+        got, want = (sorted((r.key, r.line_no, r.hit) for r in found.collect()) for found in (line_index.search(spark, str(tmp_path / "i"), pattern), text.search(scanned, pattern)))
+        assert got == want, pattern
+    assert line_index.search(spark, str(tmp_path / "i"), "|").collect() == []
+    total, tested = docs.count(), line_index.candidates(spark, str(tmp_path / "i"), "MIT License").count()
+    assert 0 < tested < total / 3

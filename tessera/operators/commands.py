@@ -243,6 +243,60 @@ def context(base: CodeBase, name: str) -> DataFrame:
     return out.crossJoin(one(counted, "callers_by_name")).withColumn("layer", layer)
 
 
+SHOWN_CALLS = 5  # of a method's callers and callees in a document; the others are counted
+
+
+def _listed(pairs: DataFrame, label: str, place: int) -> DataFrame:
+    """class_name, name, place and text: the first SHOWN_CALLS of `other` of each method, and how many more there are."""
+    pairs = pairs.distinct()
+    total = pairs.groupBy("class_name", "name").agg(F.count("*").alias("__n"))
+    first = rank.top_within(pairs, ["class_name", "name"], SHOWN_CALLS, F.asc("other")).groupBy("class_name", "name").agg(F.array_sort(F.collect_list("other")).alias("__first"))
+    more = F.when(F.col("__n") > SHOWN_CALLS, F.concat(F.lit(" and "), (F.col("__n") - SHOWN_CALLS).cast("string"), F.lit(" more"))).otherwise("")
+    return first.join(total, ["class_name", "name"]).select("class_name", "name", F.lit(place).alias("sub"), F.concat(F.lit(f"- {label}: "), F.array_join("__first", ", "), more).alias("text"))
+
+
+def documents(base: CodeBase, only: DataFrame | None = None) -> DataFrame:
+    """fqn, path and a Markdown document of every class, or of those in `only` (fqn), all at once.
+
+    Types, members, calls, imports and smells become lines with a section and a place, and one grouping by class puts each
+    document together. Calls are cut to the first few a method before they are grouped, so a class that everybody calls
+    is no larger than its own code."""
+    kept = lambda df: df if only is None else df.join(only.select("fqn").distinct(), "fqn", "left_semi")
+    types, methods = kept(base.code.types), kept(base.code.methods)
+    entry = lambda df, section, place, text_, sub=F.lit(0): df.select("fqn", "path", F.lit(section).alias("section"), F.col(place).cast("long").alias("place") if isinstance(place, str) else place.cast("long").alias("place"), sub.alias("sub"), text_.alias("text"))
+    code_ = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    no = F.lit(0)
+    faces = F.array_join(F.transform("interfaces", code_), ", ")
+    out = entry(types, 0, no, F.concat(F.lit("# "), "name"))
+    out = out.unionAll(entry(types.where("package <> ''"), 1, no, F.concat(F.lit("**Package:** "), code_(F.col("package")))))
+    out = out.unionAll(entry(types.where("super_class <> ''"), 2, no, F.concat(F.lit("**Extends:** "), code_(F.col("super_class")))))
+    out = out.unionAll(entry(types.where(F.size("interfaces") > 0), 3, no, F.concat(F.lit("**Implements:** "), faces)))
+    out = out.unionAll(entry(types.where(F.size("annotations") > 0), 4, no, F.concat(F.lit("**Annotations:** "), F.array_join(F.col("annotations.name"), ", "))))
+    out = out.unionAll(entry(types.where("n_methods > 0"), 5, no, F.lit("## Methods")))
+    out = out.unionAll(entry(methods, 6, "start_line", F.concat(F.lit("### "), "signature")))
+    out = out.unionAll(entry(methods.where(F.size("annotations") > 0), 6, "start_line", F.concat(F.lit("- annotations: "), F.array_join(F.transform("annotations", lambda a: F.concat(F.lit("@"), a["name"])), ", ")), F.lit(1)))
+    at = methods.select("fqn", "path", "class_name", "name", "start_line")
+    dotted = lambda c, m: F.concat_ws(".", c, m).alias("other")
+    known = base.edges.where("callee_class <> '?'")
+    by = _listed(known.select(F.col("callee_class").alias("class_name"), F.col("callee_method").alias("name"), dotted("caller_class", "caller_method")), "called by", 2)
+    to = _listed(known.select(F.col("caller_class").alias("class_name"), F.col("caller_method").alias("name"), dotted("callee_class", "callee_method")), "calls", 3)
+    out = out.unionAll(entry(at.join(by.unionAll(to), ["class_name", "name"]), 6, "start_line", F.col("text"), F.col("sub")))
+    imports = types.where(F.size("imports") > 0)
+    out = out.unionAll(entry(imports, 7, no, F.lit("## Imports")))
+    out = out.unionAll(entry(imports.select("fqn", "path", F.explode(F.array_sort(F.array_distinct("imports"))).alias("i")), 8, no, F.concat(F.lit("- "), "i")))
+    found = smells(base).select("path", "class_name", F.col("line").alias("__line"), "rule_id", "severity").join(types.select("path", F.col("name").alias("class_name"), "fqn"), ["path", "class_name"])
+    out = out.unionAll(entry(found.select("fqn", "path").distinct(), 9, no, F.lit("## Smells")))
+    out = out.unionAll(entry(found, 10, "__line", F.concat(F.lit("- line "), F.col("__line").cast("string"), F.lit(": "), "rule_id", F.lit(" ("), "severity", F.lit(")"))))
+    lines = F.array_sort(F.collect_list(F.struct("section", "place", "sub", "text")))
+    return out.groupBy("fqn", "path").agg(F.array_join(F.transform(lines, lambda e: e["text"]), "\n").alias("markdown"))
+
+
+@command("document")
+def document(base: CodeBase, name: str = "") -> DataFrame:
+    """Markdown documents of the classes of a name, simple or qualified, or of all classes."""
+    return documents(base, base.code.by_name(name).select("fqn") if name else None)
+
+
 #: Words that tell what a task is about, strongest first.
 INTENTS = {"fix": ("fix", "bug", "error", "crash", "broken", "fail", "issue"), "feature": ("add", "new", "create", "implement", "support"), "change": ("change", "rename", "move", "refactor", "update", "replace"), "explore": ("how", "where", "what", "find", "explain", "understand")}
 STEPS = {"fix": (("read", 800), ("callers", 300), ("test-for", 200), ("smells", 200)), "feature": (("summary", 300), ("similar", 200), ("deps", 200), ("style", 150)), "change": (("impact", 400), ("callers", 300), ("breaking-changes", 200), ("test-for", 200)), "explore": (("overview", 200), ("mini", 150), ("related", 200), ("explain", 100))}
@@ -632,7 +686,8 @@ def _located(base: CodeBase, found: DataFrame) -> DataFrame:
 
 @command("perf")
 def perf(base: CodeBase, deep: int = 0) -> DataFrame:
-    """Rules on lines in loops and on whole classes; with deep, also in methods called from loops up to so many calls away."""
+    """Rules on lines in loops and on whole classes; with deep, also in methods called from loops up to so many calls
+    away, each with a shortest call path from the method with the loop to the method of the line."""
     lines = base.code.lines
     looped = rules.scan(lines.where("in_loop"), packs.PERFORMANCE).withColumn("scope", F.lit("loop"))
     whole = rules.scan(lines, packs.STRUCTURAL).withColumn("scope", F.lit("class"))
@@ -644,9 +699,8 @@ def perf(base: CodeBase, deep: int = 0) -> DataFrame:
     local = lines.groupBy("path").agg(F.min(F.when(F.contains("text", F.lit("ThreadLocal")), F.col("line_no"))).alias("at"), F.bool_or(F.contains("text", F.lit(".remove()"))).alias("removed")).where("at IS NOT NULL AND NOT removed").select("path", F.col("at").alias("line_no"))
     held = lines.join(local, ["path", "line_no"], "left_semi").select(*lines.columns, F.lit("THREADLOCAL_LEAK").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("A thread's value that is not removed").alias("message"), F.lit("file").alias("scope"))
     found = looped.unionAll(whole).unionAll(leak).unionAll(edt).unionAll(held).unionAll(_from_facts(base).select(*lines.columns, "rule_id", "severity", "category", "message", "scope"))
-    if deep:
-        found = found.unionAll(_deep(base, deep).select(*found.columns))
-    return found
+    found = found.withColumn("call_path", F.lit(None).cast("array<string>"))
+    return found.unionAll(_deep(base, deep).select(*found.columns)) if deep else found
 
 
 def _from_facts(base: CodeBase) -> DataFrame:
@@ -660,15 +714,17 @@ def _from_facts(base: CodeBase) -> DataFrame:
 
 
 def _deep(base: CodeBase, levels: int) -> DataFrame:
-    """Hits in methods that calls in loops reach, each rule once for a method; always critical."""
+    """Hits in methods that calls in loops reach, each rule once for a method, with the calls that lead there; always critical."""
     in_loop = base.code.lines.where("in_loop").select("path", F.col("line_no").alias("line"))
-    seeds = base.edges.join(in_loop, ["path", "line"], "left_semi").select(calls.node("callee_class", "callee_method", "callee_arity").alias("node")).distinct()
-    reached = graph.closure(base.graph, seeds, max_levels=max(0, levels - 1)).select("node").distinct()
-    spans = base.code.methods.select("path", "start_line", "end_line", calls.node("class_name", "name", "param_count").alias("node")).join(reached, "node", "left_semi")
+    called = base.edges.join(in_loop, ["path", "line"], "left_semi")
+    caller, callee = calls.node("caller_class", "caller_method", "caller_arity"), calls.node("callee_class", "callee_method", "callee_arity")
+    reached = graph.witnesses(base.graph, called.select(callee.alias("node"), F.array(caller, callee).alias("path")).distinct(), max(0, levels - 1))
+    reached = reached.withColumnRenamed("path", "call_path")
+    spans = base.code.methods.select("path", "start_line", "end_line", calls.node("class_name", "name", "param_count").alias("node")).join(reached, "node")
     scans = base.code.statements.where("kind = 'linear_scan'").select("path", F.col("line").alias("line_no")).distinct()
     scans = base.code.lines.join(scans, ["path", "line_no"], "left_semi").withColumns({"rule_id": F.lit("LINEAR_SCAN"), "severity": F.lit("CRITICAL"), "category": F.lit(""), "message": F.lit("A loop that looks for one thing")})
     listed = rules.scan(base.code.lines, packs.PERFORMANCE)
-    hits = listed.unionAll(scans.select(*listed.columns)).alias("h").join(spans.alias("s"), (F.col("h.path") == F.col("s.path")) & F.col("h.line_no").between(F.col("s.start_line"), F.col("s.end_line"))).select("h.*", "s.node")
+    hits = listed.unionAll(scans.select(*listed.columns)).alias("h").join(spans.alias("s"), (F.col("h.path") == F.col("s.path")) & F.col("h.line_no").between(F.col("s.start_line"), F.col("s.end_line"))).select("h.*", "s.node", "s.call_path")
     first = rank.top_within(hits, ["node", "rule_id"], 1, F.asc("line_no"))
     return first.withColumn("severity", F.lit("CRITICAL")).withColumn("scope", F.concat(F.lit("called from a loop: "), F.col("node")))
 

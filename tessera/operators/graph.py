@@ -50,6 +50,20 @@ def closure(edges: DataFrame, seeds: DataFrame, incoming: bool = False, max_leve
     return visited
 
 
+def witnesses(edges: DataFrame, seeds: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """node and path (array, from its seed's path to the node) of all that can be reached: one of the fewest edges, the
+    least by names of several. seeds: node, path. A node keeps one path, so the table grows with nodes, not with paths."""
+    steps = edges.select("src", "dst")
+    frontier = visited = cut(seeds.groupBy("node").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("path")))
+    for _ in range(max_levels):
+        grown = steps.join(frontier.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        frontier = cut(grown.join(visited, "node", "left_anti").select("node", F.array_append("path", F.col("node")).alias("path")))
+        if frontier.isEmpty():
+            break
+        visited = cut(visited.unionByName(frontier))
+    return visited
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, incoming: bool = False, max_edges: int = MAX_CHAIN, stop: DataFrame | None = None) -> DataFrame:
     """path (array of nodes from a start) and is_end for every simple path of 1 to max_edges edges.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bundle_queries, code_queries, graph_queries, rank_queries, rule_queries, rule_tree, search_queries, store_queries, tree_queries  # noqa: F401  (they register)
+from . import bundle_queries, graph_queries, rank_queries, rule_queries, rule_tree, search_queries, store_queries, tree_queries  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES, Query
 
 

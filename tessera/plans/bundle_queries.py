@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import commands
+from ..sources import brackets
 from .registry import query
-from .tree_queries import _SUPPLIER, WITH, base
+from .tree_queries import WITH, base, tree
 
 _DOCUMENTS = f"""{WITH}, ty AS (
   SELECT t.*, package || '.' || t.name AS fqn, CASE WHEN t.name LIKE 'Supplier%' THEN 'Base' ELSE '' END AS super_class, CASE WHEN t.name LIKE 'Nation%' AND NOT is_test THEN 'Region' || n_regionkey ELSE '' END AS face
@@ -37,3 +38,15 @@ SELECT fqn, path, string_agg(text, chr(10) ORDER BY section, place, sub, text) A
 def tree_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Markdown document of every class: head, methods with callers and callees, imports, smells."""
     return commands.documents(base(spark, sf_dir))
+
+
+@query(WITH + "SELECT path, a AS start_line, z AS end_line FROM own WHERE name IN ('visit') AND class_name NOT LIKE 'Region%'")
+def tree_extract_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the methods of a name, by bracket matching in the text."""
+    return brackets.extract_methods(tree(spark, sf_dir), "visit").select("path", "start_line", "end_line")
+
+
+@query(WITH + "SELECT path, a AS start_line, z AS end_line FROM own WHERE name = 'get'")
+def tree_extract_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a method with an annotation whose text holds brackets."""
+    return brackets.extract_methods(tree(spark, sf_dir), "get").select("path", "start_line", "end_line")

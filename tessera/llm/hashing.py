@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -66,11 +68,21 @@ class Spans:
         return mix(run + times(GOLDEN, end - start))
 
 
-def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of raw[start:end]: eight bytes a round, mixed in one after another; words of up to eight bytes
+Keys = tuple[int, int]
+PLAIN: Keys = (0, 1)
+
+
+def fresh_keys() -> Keys:
+    """Two secret keys for one run. Words of equal hashes can be made for known keys, not for these; and two hashes of a
+    word under them are 128 bits that hardly any two words of a corpus share."""
+    return secrets.randbits(64), secrets.randbits(64)
+
+
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """Hashes of raw[start:end] under a key: eight bytes a round, mixed in one after another; words of up to eight bytes
     and equal length have different hashes."""
     size = ends - starts
-    out = mix(times(GOLDEN, size))
+    out = mix(times(GOLDEN, size) + np.array([key], np.uint64))
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(raw) + 1, "<u8", padded.data, 0, (1,))  # the eight bytes from each place
     live = np.flatnonzero(size > 0)
@@ -82,17 +94,22 @@ def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if not len(live):
             return out
     whole = raw.tobytes()
-    out[live] = [xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(starts[live].tolist(), ends[live].tolist(), strict=True)]
+    out[live] = [xxhash.xxh3_64_intdigest(whole[a:b], seed=key) for a, b in zip(starts[live].tolist(), ends[live].tolist(), strict=True)]
     return out
 
 
-def hashed_words(column: pa.StringArray, in_word: np.ndarray) -> list[np.ndarray]:
+def hashed_words(column: pa.StringArray, in_word: np.ndarray, key: int = 0) -> list[np.ndarray]:
     """Hashes of the words of each text; in_word tells which bytes words consist of. Null has no words."""
+    return hashed_under(column, in_word, [key])[0]
+
+
+def hashed_under(column: pa.StringArray, in_word: np.ndarray, keys) -> list[list[np.ndarray]]:
+    """hashed_words() under each of the keys; words are looked for once."""
     _, offsets, values = column.buffers()
     wide = pa.types.is_large_string(column.type)
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     if values is None or not len(column) or at[-1] == at[0]:
-        return [np.zeros(0, np.uint64)] * len(column)
+        return [[np.zeros(0, np.uint64)] * len(column) for _ in keys]
     raw = np.frombuffer(values, np.uint8)[at[0] : at[-1]]
     at = at - at[0]
     word = in_word[raw]
@@ -103,4 +120,5 @@ def hashed_words(column: pa.StringArray, in_word: np.ndarray) -> list[np.ndarray
     after[at[:-1][filled]] = False  # texts part words
     before[at[1:][filled] - 1] = False
     starts, ends = np.flatnonzero(word & ~after), np.flatnonzero(word & ~before) + 1
-    return np.split(byte_hashes(raw, starts, ends), np.searchsorted(starts, at[1:-1]))
+    cuts = np.searchsorted(starts, at[1:-1])
+    return [np.split(byte_hashes(raw, starts, ends, key), cuts) for key in keys]

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import forget, materialize, release, slices, small_batches, text_batches
 from .graphs import components
-from .hashing import hashed_words, mix
+from .hashing import PLAIN, Keys, fresh_keys, hashed_under, mix
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -49,9 +49,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def word_hashes(column: pa.StringArray) -> list[np.ndarray]:
-    """Hashes of the lower-case words of each text."""
-    return hashed_words(pc.utf8_lower(column), _IN_WORD)
+def word_hashes(column: pa.StringArray, keys: Keys = PLAIN) -> list[list[np.ndarray]]:
+    """Hashes of the lower-case words of each text, under each key."""
+    return hashed_under(pc.utf8_lower(column), _IN_WORD, keys)
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -99,10 +99,10 @@ def _band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return hashed.view(np.int64)
 
 
-def _contents(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of word sequences, in two halves: content and check."""
-    both = [xxhash.xxh3_128_intdigest(w.tobytes()) for w in words]
-    return tuple(np.array([x >> shift & (1 << 64) - 1 for x in both], np.uint64).view(np.int64) for shift in (0, 64))
+def _contents(*both: list[np.ndarray]) -> list[np.ndarray]:
+    """content and check: hashes of each word sequence by its words' hashes under one key and under the other, so
+    that only sequences with equal words, or with two equal hashes of 64 bits, have both in common."""
+    return [np.array([xxhash.xxh3_64_intdigest(w.tobytes()) for w in words], np.uint64).view(np.int64) for words in both]
 
 
 def _apart(clashes: list[int]):
@@ -111,10 +111,10 @@ def _apart(clashes: list[int]):
     return (F.when(known.isin(clashes), F.xxhash64("content", "check")).otherwise(known) if clashes else known).alias("content")
 
 
-def sketch_batch(batch: pa.StringArray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def sketch_batch(batch: pa.StringArray, bands: int, rows: int, keys: Keys = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of each text: hashes of its word sequence, words, distinct shingles, band hashes (of both sketches, each once)."""
-    words = word_hashes(batch)
-    content, check = _contents(words)
+    words, others = word_hashes(batch, keys)
+    content, check = _contents(words, others)
     sets = [np.unique(shingles(w), return_counts=True) for w in words]
     sizes = np.array([len(s) for s, _ in sets], np.int64)
     elements = np.concatenate([s for s, _ in sets]) if sets else np.zeros(0, np.uint64)
@@ -132,13 +132,13 @@ def sketch_batch(batch: pa.StringArray, bands: int, rows: int) -> tuple[np.ndarr
     return content, check, np.array([len(w) for w in words], np.int64), sizes, posted
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, keys: Keys = PLAIN) -> DataFrame:
     """__id, content and check (hashes of the word sequence), n_words, size (distinct shingles), bands array<long>; a map."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 1):
-            content, check, n, sizes, hashed = sketch_batch(batch.column(1), bands, rows)
+            content, check, n, sizes, hashed = sketch_batch(batch.column(1), bands, rows, keys)
             ends = np.cumsum([0, *map(len, hashed)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashed) if hashed else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content), pa.array(check), pa.array(n), pa.array(sizes), lists], names=["__id", "content", "check", "n_words", "size", "bands"])
@@ -146,13 +146,13 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     return docs.select(id_col, text_col).mapInArrow(run, f"__id {id_type}, content long, check long, n_words long, size long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, keys: Keys = PLAIN) -> DataFrame:
     """content, check and the sorted distinct shingle hashes (binary) of __text rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 0):
-            words = word_hashes(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, _contents(words)), pa.array([np.unique(shingles(w)).tobytes() for w in words], pa.binary())], names=["content", "check", "shingles"])
+            words, others = word_hashes(batch.column(0), keys)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _contents(words, others)), pa.array([np.unique(shingles(w)).tobytes() for w in words], pa.binary())], names=["content", "check", "shingles"])
 
     return docs.mapInArrow(run, "content long, check long, shingles binary")
 
@@ -185,12 +185,12 @@ def _sizes_fit(a: str, b: str, threshold: float):
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, list[int]]:
+def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, keys: Keys | None) -> tuple[DataFrame, DataFrame, list[int], Keys]:
     """The sketch of every row, for each content (with words) class_id and class_content, the smallest
-    id of its class and the content that has it, and the contents that different sequences had."""
-    spark = docs.sparkSession
+    id of its class and the content that has it, the contents that different sequences had, and the keys of the run."""
+    spark, keys = docs.sparkSession, keys or fresh_keys()
     small_batches(spark)
-    sketched = materialize(sketch(docs, id_col, text_col, bands, rows), "sketch")
+    sketched = materialize(sketch(docs, id_col, text_col, bands, rows, keys), "sketch")
     fold = lambda: sketched.where("n_words > 0").groupBy("content").agg(F.min("__id").alias("low"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     folded = materialize(fold(), "folded")
     clashes = [r[0] for r in folded.where("lo <> hi").select("content").collect()]  # n^2 / 2^65 of n sequences: none, or about 70 of 5e10
@@ -211,7 +211,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, ban
     asked = degrees.select("content").join(folded.select("content", "low"), "content")
     named = docs.select(F.col(id_col).alias("low"), F.col(text_col).alias("__text"))
     wanted = asked.select(F.col("low").alias("__low")).distinct()
-    sets = shingle_sets(named.join(wanted, F.col("low").eqNullSafe(F.col("__low")), "left_semi").select("__text"))
+    sets = shingle_sets(named.join(wanted, F.col("low").eqNullSafe(F.col("__low")), "left_semi").select("__text"), keys)
     sets = materialize(sets.select(_apart(clashes), "shingles").dropDuplicates(["content"]), "sets")
     release(spark)
     links = materialize(verify(star, sets, threshold), "links")
@@ -227,26 +227,27 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, threshold: float, ban
     labelled = folded.select("content", "low").join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
     lowest = labelled.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "content")).alias("head"))
     by_content = labelled.join(lowest, "component").select("content", F.col("head.low").alias("class_id"), F.col("head.content").alias("class_content"))
-    return sketched, materialize(by_content, "classes"), clashes
+    return sketched, materialize(by_content, "classes"), clashes, keys
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, keys: Keys | None = None) -> DataFrame:
     """The near-duplicate class of every row: id_col, class_id (smallest id of the class), n_words.
 
     Copies of one word sequence share a class; so do documents joined by links (see the module).
     Texts are lower-cased; words are runs of ASCII letters and digits and of all characters beyond ASCII. Null, empty and wordless texts
     are alone: class_id is their own id. Texts under five words are one shingle. Repeated rows
-    share a class; a class without a non-null id has class_id null; other columns are not read.
+    share a class; a class without a non-null id has class_id null; other columns are not read. Words are hashed under two
+    keys, by default secret ones of this run.
     """
-    sketched, by_content, _ = _labelled(docs, id_col, text_col, threshold, bands, rows)
+    sketched, by_content, *_ = _labelled(docs, id_col, text_col, threshold, bands, rows, keys)
     out = sketched.select(F.col("__id").alias(id_col), "content", "n_words").join(by_content, "content", "left")
     return out.select(id_col, F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col(id_col)).alias("class_id"), "n_words")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, keys: Keys | None = None) -> DataFrame:
     """One row of each near-duplicate class, unchanged: one with the smallest id (of repeated rows
     the smallest by all columns). Null, empty and wordless texts all stay."""
-    sketched, by_content, clashes = _labelled(docs, id_col, text_col, threshold, bands, rows)
+    sketched, by_content, clashes, keys = _labelled(docs, id_col, text_col, threshold, bands, rows, keys)
     heads = by_content.where("content = class_content").select(F.col("content").alias("__head"), F.col("class_id").alias("__low"))
     held = materialize(sketched.where("n_words > 0").groupBy("__id", "content").agg(F.count("*").alias("__n")), "held")
     heads = held.join(heads, (F.col("content") == F.col("__head")) & F.col("__id").eqNullSafe(F.col("__low"))).select("__head", "__low", "__n")
@@ -258,8 +259,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, int(at[1:])):
-            words = word_hashes(batch.column(int(at[1:])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, _contents(words)), pa.array([len(w) > 0 for w in words])], names=[*names, "content", "check", "worded"])
+            words, others = word_hashes(batch.column(int(at[1:])), keys)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, _contents(words, others)), pa.array([len(w) > 0 for w in words])], names=[*names, "content", "check", "worded"])
 
     schema = T.StructType([*own.schema.fields, T.StructField("content", T.LongType()), T.StructField("check", T.LongType()), T.StructField("worded", T.BooleanType())])
     marked = own.mapInArrow(run, schema).select(*names, _apart(clashes), "worded")

@@ -17,7 +17,8 @@ hash of all words it spans. Anchors that occur once are dropped. An occurrence w
 hash occurs again under its anchor is repeated as a whole. Of the others (the edges of repeats),
 and of one occurrence of each span they could share windows with, single windows are compared.
 Equality is by two 64-bit hashes of different kinds, the anchor's (a tree of mixed symbols) and the
-span's or window's (a polynomial modulo a prime), not by comparing words. Groups are only
+span's or window's (a polynomial modulo a prime), not by comparing words. The two start from hashes of the words under
+two secret keys of the run, so words that agree in one do not agree in the other, and none can be made to agree. Groups are only
 counted, never collected: a passage in a million documents costs a row each. Rows are known by
 128 bits; equal rows share their occurrences, which are told once to all of them.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, materialize, release, small_batches, text_batches
-from .hashing import GOLDEN, Spans, hashed_words, mix, times
+from .hashing import GOLDEN, PLAIN, Keys, Spans, fresh_keys, hashed_under, mix, times
 
 WINDOW = 35
 ROUNDS, RUN_ROUNDS, LEAST_LEVEL = 6, (0, 4), 2
@@ -41,9 +42,9 @@ _IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 ALL, WINDOWS = 1, 2  # what a document is told of an occurrence: repeated as a whole, compare its windows
 
 
-def word_hashes(column: pa.StringArray) -> list[np.ndarray]:
-    """Words stand between blanks and U+0009 to U+000D."""
-    return hashed_words(column, _IN_WORD)
+def word_hashes(column: pa.StringArray, keys: Keys = PLAIN) -> list[list[np.ndarray]]:
+    """Under each key. Words stand between blanks and U+0009 to U+000D."""
+    return hashed_under(column, _IN_WORD, keys)
 
 
 def _run_step(sym: np.ndarray, start: np.ndarray):
@@ -85,8 +86,9 @@ def _pair_step(sym: np.ndarray, start: np.ndarray, wall: np.ndarray, step: int):
     return names, np.append(start[first], start[-1]), wall[first], low, high
 
 
-def anchors(docs: list[np.ndarray], size: int = WINDOW, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Occurrences in documents given as word hashes: doc, first (window), count, key, span."""
+def anchors(docs: list[np.ndarray], size: int = WINDOW, rounds: int = ROUNDS, others: list[np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Occurrences in documents given as word hashes: doc, first (window), count, key, span. Symbols and keys are built
+    from `docs`, spans from `others`, the hashes of the same words under another key (by default the same)."""
     docs_of = [i for i, d in enumerate(docs) if len(d) >= size]
     kept = [docs[i] for i in docs_of]
     if not kept:
@@ -99,15 +101,20 @@ def anchors(docs: list[np.ndarray], size: int = WINDOW, rounds: int = ROUNDS) ->
     wall[ends] = True
     words[~wall] = np.concatenate(kept)
     words[ends] = mix(times(GOLDEN, np.arange(len(ends)) + 1))
+    checked = words.copy()
+    if others is not None:
+        checked[~wall] = np.concatenate([others[i] for i in docs_of])
     counts = lengths - size + 1
     window = np.repeat(bases - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
     key, pick = np.zeros(len(window), np.uint64), np.zeros(len(window), np.int64)
-    spans = Spans(words)
+    spans, own = Spans(checked), None
     sym, start, live, low, high, level = words, np.arange(total + 1), np.arange(len(window)), window.copy(), window + size, 0
 
     def settle(who, lo, hi):
+        nonlocal own
         if level < LEAST_LEVEL:
-            key[who] = mix(spans.hash(window[who], window[who] + size))
+            own = own or Spans(words)
+            key[who] = mix(own.hash(window[who], window[who] + size))
             pick[who] = window[who]
             return
         best = lo.copy()
@@ -161,12 +168,13 @@ def _covered(lengths: np.ndarray, owner: np.ndarray, first: np.ndarray, count: n
     return [cover[a : a + n] for a, n in zip(base[:-1].tolist(), lengths.tolist(), strict=True)]
 
 
-def occurrences(rows: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def occurrences(rows: DataFrame, size: int = WINDOW, rounds: int = ROUNDS, keys: Keys = PLAIN) -> DataFrame:
     """key, span, __row, __twin, first, count of rows __row, __twin, __text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 2):
-            found = anchors(word_hashes(batch.column(2)), size, rounds)
+            words, others = word_hashes(batch.column(2), keys)
+            found = anchors(words, size, rounds, others)
             own = pa.array(found["doc"], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found["key"]), pa.array(found["span"]), batch.column(0).take(own), batch.column(1).take(own), pa.array(found["first"], pa.int32()), pa.array(found["count"], pa.int32())],
@@ -209,13 +217,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no words; texts of fewer than `size` words keep all; repeated rows are documents of their
     own, so their long texts go. Other columns are not read.
     """
-    spark = docs.sparkSession
+    spark, keys = docs.sparkSession, fresh_keys()
     small_batches(spark)
     carried = [c for c in carry or [] if c not in (id_col, text_col)]
     kept_columns = F.struct(F.col(id_col).alias("__id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
     rows = docs.select(F.xxhash64(id_col, text_col, F.lit(1)).alias("__row"), F.xxhash64(F.lit(2), id_col, text_col).alias("__twin"), F.col(text_col).alias("__text"), kept_columns.alias("__kept"))
     kept_type = rows.schema["__kept"].dataType.simpleString()
-    found = materialize(occurrences(rows.select("__row", "__twin", "__text"), size, rounds), "occurrences")
+    found = materialize(occurrences(rows.select("__row", "__twin", "__text"), size, rounds, keys), "occurrences")
     release(spark)
     lists = told(found)
     forget(found)
@@ -247,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 2):
-            hashed = word_hashes(batch.column(2))
+            hashed = hashed_under(batch.column(2), _IN_WORD, keys[1:])[0]
             owner, first, count, key, code = _told(batch.column(3))
             ask = (code & WINDOWS) > 0
             owner, first, count, key = owner[ask], first[ask], count[ask], key[ask]

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup, queries
+from tessera.llm import hashing, neardup, queries
 
 from .oracle import same
 
@@ -98,7 +98,7 @@ def test_links_in_wide_buckets_are_found(spark):
     bucket = {r["__id"]: r.bands[0] for r in neardup.sketch(docs, bands=1, rows=1).collect()}
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
     links = [(x, y) for x in sets for y in sets if x < y and bucket[x] == bucket[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
-    found = {r.doc_id: r.class_id for r in neardup.classes(docs, bands=1, rows=1).collect()}
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs, bands=1, rows=1, keys=hashing.PLAIN).collect()}
     assert max(Counter(bucket.values()).values()) > 32 and len(links) > 50
     assert [p for p in links if found[p[0]] != found[p[1]]] == []
 

@@ -99,3 +99,20 @@ def test_equal_rows_share_one_list(spark):
     longest = substrings.told(found).selectExpr("max(size(__told)) AS n").first().n
     assert longest <= 1500
     check(spark, [text] * 50 + ["other words " + text])
+
+
+def test_words_of_equal_plain_hashes_are_told_apart(spark):
+    """Made for the hash without a key; the run's keys are secret."""
+    from tessera.llm import hashing, neardup
+
+    head = [f"w{i}" for i in range(34)]
+    one, two = "licensecorpusabc", "6chxko2tluvu7idc"
+    raw = np.frombuffer((one + two).encode(), np.uint8)
+    plain = hashing.byte_hashes(raw, np.array([0, 16]), np.array([16, 32]))
+    keyed = hashing.byte_hashes(raw, np.array([0, 16]), np.array([16, 32]), 12345)
+    assert plain[0] == plain[1] and keyed[0] != keyed[1]
+    docs = spark.createDataFrame([(1, " ".join([*head, one])), (2, " ".join([*head, two])), (3, one), (4, two), (5, "x" * 65 + "a"), (6, "x" * 65 + "b")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()} == dict.fromkeys(range(1, 7), 0)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got[3] == 3 and got[4] == 4 and got[5] == 5 and got[6] == 6 and got[1] == 1
+    assert len(neardup.representatives(docs).where("doc_id IN (3, 4)").collect()) == 2

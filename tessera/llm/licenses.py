@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, small_batches, texts
+from .common import small_batches, text_batches, texts
 from .license_rules import RULES
 
 #: Phrases (as words) and their labels.
@@ -28,7 +28,7 @@ BASE = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc"
 
 #: Bytes to words: A-Z become a-z; digits, a-z and all bytes of non-ASCII letters stay; others part words.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_GAP = r"\S+(?: \S+){0,5}?"
+_GAP = r"[^ ]+(?: [^ ]+){0,5}?"  # only 0x20 parts words: as Latin-1, bytes 0x85 and 0xA0 of other letters would be white space
 
 
 class Rule(NamedTuple):
@@ -50,7 +50,7 @@ def parse_rules(lines: str = RULES) -> list[Rule]:
             continue
         label, keywords, pattern = (x.strip() for x in line.split("|", 2))
         body = pattern.replace("~", _GAP)
-        rules.append(Rule(f"r{len(rules):03d}", label, priority, confidence, tuple(k.strip() for k in keywords.split(",")), re.compile(rf"(?<!\S)(?:{body})(?!\S)")))
+        rules.append(Rule(f"r{len(rules):03d}", label, priority, confidence, tuple(k.strip() for k in keywords.split(",")), re.compile(rf"(?<![^ ])(?:{body})(?![^ ])")))
     return rules
 
 
@@ -155,7 +155,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(rules)
-        for batch in slices(batches, 512):
+        for batch in text_batches(batches, 1):
             counts, found = [], []
             for text in texts(batch, 1):
                 n, detections = scanner.scan(text)

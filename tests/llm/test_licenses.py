@@ -46,6 +46,8 @@ def samples(tree):
             continue
         if op is sre.LITERAL:
             more = [chr(value)]
+        elif op is sre.NOT_LITERAL:  # a letter of a gap
+            more = ["q"]
         elif op is sre.IN:
             more = ["q" if o is sre.CATEGORY else chr(v if o is sre.LITERAL else v[0]) for o, v in value]
         elif op is sre.SUBPATTERN:
@@ -109,3 +111,14 @@ def test_time_is_linear_in_the_text():
 
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string, detections int")).collect() == []
+
+
+def test_letters_with_bytes_that_latin_1_takes_for_blanks():
+    """U+0085 and U+00A0 as trailing bytes of letters part no words."""
+    scanner = licenses.Scanner()
+    labels = lambda text: {d.label for d in scanner.scan(text)[1]}
+    for letter in ("\u0420", "\u0445", "\u00e0", "\u00c5", "\u8005", "\u2005x"):
+        assert labels(f"{letter}mit license") == set() and labels(f"mit license{letter}") == set(), letter
+        assert "apache-2" in {x[:8] for x in labels(f"licensed under the apache license {letter} version 2")} or "apache-2.0" in labels(f"licensed under the apache license {letter} version 2"), letter
+        assert "mit" in labels(f"{letter} mit license {letter}")
+    assert labels("neither the name of \u00e0 b may be used to endorse or promote products") == labels("neither the name of a b may be used to endorse or promote products") != set()

@@ -3,7 +3,8 @@
 A vector is represented by its nearest pivots in order of distance. Each block posts its
 vectors in one inverted file per pivot, with the pivot's position in the vector's order.
 A query walks the files of its own pivots and sums, for each vector met, how well the
-positions agree; this ranks vectors by the footrule distance of the two orders, where a
+positions agree. Orders are prefixes, a sixteenth of all pivots, so a file holds a small part of the rows and most
+rows are in few of the files that a query walks. This ranks vectors by the footrule distance of the two orders, where a
 pivot that an order lacks counts as standing at its end. The best-ranked vectors are then
 reranked by their true distance.
 """
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .blocks import best_distinct, search, usable
 
-PIVOTS = 256  # a bounded sample: the rows first by hash of the id
-PREFIX = 256  # pivots in a vector's order
-SHARE = 0.1  # of a block's vectors so many are reranked, and at least k and the query itself
+PIVOTS = 512  # a bounded sample: the rows first by hash of the id
+PREFIX = 32  # nearest pivots in a vector's order: a vector is in so many files, and a query walks so many
+SHARE = 0.3  # of a block's vectors so many are reranked, and at least k and the query itself
 _ORDER_ROWS = 4096  # rows whose orders are found at once
 
 

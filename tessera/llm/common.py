@@ -108,11 +108,12 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 
 def within_bytes(rows: DataFrame, text: str, group: str, most: int) -> DataFrame:
-    """Of a bounded sample with __id, the rows of each group whose texts together hold at most `most` bytes, shortest
-    first, ties by hash of the id; a sample within the bound stays whole and no text is cut."""
+    """Of a bounded sample with __id, the first rows of each group by hash of the id whose texts together hold at most
+    `most` bytes, and the first one of a group whatever its size; a sample within the bound stays whole and no text is cut."""
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    order = Window.partitionBy(group).orderBy(size, F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__total", F.sum(size).over(order)).where(F.col("__total") <= most).drop("__total")
+    order = Window.partitionBy(group).orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("__total", F.sum(size).over(order)).withColumn("__first", F.count("*").over(order) == 1)
+    return numbered.where((F.col("__total") <= most) | F.col("__first")).drop("__total", "__first")
 
 
 def texts(batch: pa.RecordBatch, column: int | str) -> list[str]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, small_batches, within_bytes
+from .common import crc_fold, small_batches, text_batches, within_bytes
 
 SAMPLE_ROWS = 300  # the most training documents of each language that the fit reads
 SAMPLE_BYTES = 32_000_000  # and the most bytes of their texts, of each language
@@ -138,7 +138,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     Ids are picked without their texts; only the picked ids (sample times languages) are broadcast. Of each language
     only the beginning of the order that holds about SPARE times the sample is sorted, so no task follows the size
     of a language; hashes are even, so that beginning holds the sample. Where the
-    texts of a language hold more than `most` bytes, the shortest that fit are taken."""
+    texts of a language hold more than `most` bytes, the first that fit are taken, one at least."""
     train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
     ids = train.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).distinct()  # the limit counts documents, not rows
     place = F.xxhash64("__id")
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, 128):
+        for batch in text_batches(batches, 1, 128):
             names, score = predict(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 

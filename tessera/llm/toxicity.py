@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, small_batches, texts, within_bytes
+from .common import crc_fold, small_batches, text_batches, texts, within_bytes
 from .hashing import GOLDEN, mix
 
 SAMPLE_ROWS = 1000  # the most training documents of each label that the fit reads
-SAMPLE_BYTES = 32_000_000  # and the most bytes of their texts, of each label
+SAMPLE_BYTES = 32_000_000  # and the most bytes of their texts, of each label (one text at least)
+STRIDE = 5  # of the sample's sentences without a telling word every so manieth trains the field; 1: all of them
+LONG = 2000  # words from which a sentence is solved by products of its steps
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W_]+|[.!?\n]")
 _MEMO = 200_000
@@ -86,11 +88,51 @@ def log_odds(unary: np.ndarray, lengths: np.ndarray, arcs) -> tuple[np.ndarray,
     return left, right
 
 
+def _products(steps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """start, steps[0] start, steps[1] steps[0] start, ... for 2 x 2 steps; vectors count up to a factor. The steps are
+    cut into as many stretches as a stretch has steps, and all stretches are multiplied side by side."""
+    n = len(steps)
+    width = max(1, math.isqrt(n))
+    rows = -(-n // width)
+    padded = np.broadcast_to(np.eye(2), (rows * width, 2, 2)).copy()
+    padded[:n] = steps
+    grid = padded.reshape(rows, width, 2, 2)
+    for j in range(1, width):
+        product = grid[:, j] @ grid[:, j - 1]
+        grid[:, j] = product / product.max(axis=(1, 2), keepdims=True)
+    begins = np.empty((rows, 2))
+    now = start / start.max()
+    for i in range(rows):
+        begins[i] = now
+        now = grid[i, -1] @ now
+        now = now / now.max()
+    return np.concatenate([start[None], np.einsum("rwij,rj->rwi", grid, begins).reshape(-1, 2)[:n]])
+
+
+def long_log_odds(unary: np.ndarray, arcs) -> tuple[np.ndarray, np.ndarray]:
+    """log_odds() of one sentence, without a loop over its words: a step from one word's odds to the next is a quotient
+    of linear functions, so a 2 x 2 matrix."""
+    cc, ct, tc, tt = np.exp(np.asarray(arcs, float))
+    weight = np.exp(np.clip(unary, -40, 40))
+    forward, backward = np.empty((len(unary) - 1, 2, 2)), np.empty((len(unary) - 1, 2, 2))
+    forward[:, 0, 0], forward[:, 0, 1], forward[:, 1, 0], forward[:, 1, 1] = weight[1:] * tt, weight[1:] * ct, tc, cc
+    backward[:, 0, 0], backward[:, 0, 1], backward[:, 1, 0], backward[:, 1, 1] = tt * weight[1:], tc, ct * weight[1:], cc
+    odds = lambda v: np.clip(np.log(np.maximum(v[:, 0], 1e-300)) - np.log(np.maximum(v[:, 1], 1e-300)), -40, 40)
+    left = odds(_products(forward, np.array([weight[0], 1.0])))
+    right = odds(_products(backward[::-1], np.ones(2)))[::-1]
+    return left, right
+
+
 def forward_backward(unary: np.ndarray, counts: np.ndarray, arcs) -> tuple[np.ndarray, np.ndarray]:
     """log_odds() for a flat array of words; counts: words of each sentence, in order."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
     left, right = np.zeros(len(unary)), np.zeros(len(unary))
-    for group in _chains(counts):
+    long = np.flatnonzero(counts > LONG)
+    for i in long.tolist():
+        own = slice(starts[i], starts[i] + counts[i])
+        left[own], right[own] = long_log_odds(unary[own], arcs)
+    short = np.flatnonzero(counts <= LONG)
+    for group in (short[g] for g in _chains(counts[short])):
         width = int(counts[group].max())
         if not width:
             continue
@@ -167,9 +209,10 @@ class Sample:
         return np.bincount(pairs % max(1, len(self.names)), minlength=len(self.names))
 
 
-def fit(rows: list[tuple[str, int]], natural: float | None = None, rounds: int = 40) -> Model:
+def fit(rows: list[tuple[str, int]], natural: float | None = None, rounds: int = 40, stride: int = STRIDE) -> Model:
     """rows: text and label; natural: the share of toxic documents where the rows were sampled (by default
-    theirs). Deterministic for the same rows in the same order."""
+    theirs); stride: which sentences without a telling word train the field, all of them with 1. Deterministic for the
+    same rows in the same order."""
     sample = Sample(rows)
     clean, toxic = (sample.document_counts(y) for y in (0, 1))
     share = (int((sample.label == 1).sum()) + 0.5) / (len(rows) + 1)
@@ -180,8 +223,8 @@ def fit(rows: list[tuple[str, int]], natural: float | None = None, rounds: int =
     table = sample.features
     marked = (np.append(telling, False)[table]).any(axis=1)[sample.word]  # -1 takes the appended False
     n_sentences = int(sample.sentence.max(initial=-1)) + 1
-    chosen = np.arange(n_sentences) % 5 == 0
-    chosen[sample.sentence[marked]] = True  # every sentence with a telling word, and every fifth
+    chosen = np.arange(n_sentences) % stride == 0
+    chosen[sample.sentence[marked]] = True  # every sentence with a telling word
     take = chosen[sample.sentence]
     word, truth = sample.word[take], (marked & (sample.label[sample.doc] == 1))[take].astype(float)
     counts = np.bincount(sample.sentence[take], minlength=n_sentences)
@@ -294,7 +337,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     Of the training rows of each label the `sample` first by hash of the id. Only their ids and labels
     (at most 2 * sample) are broadcast, so texts are not shuffled. Ids with both labels are left out; a
     repeated id gives one row, the one with the smallest text. Where the texts of a label hold more than `most`
-    bytes, the shortest that fit are taken, so the driver's memory follows neither rows nor lengths."""
+    bytes, the first that fit are taken, one at least, so the driver's memory does not follow rows."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (crc_fold(id_col, FOLDS) != HELD_OUT))
     usable = usable.groupBy(id_col).agg(F.min("toxic").alias("__low"), F.max("toxic").alias("__toxic")).where("__low = __toxic")
     counted = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum("__toxic"), F.lit(0)).alias("toxic")).first()
@@ -307,18 +350,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return [(r["__text"] or "", r["__toxic"]) for r in sorted(rows, key=lambda r: str(r["__id"]))], counted["toxic"] / max(1, counted["n"])
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> Model:
+def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES, stride: int = STRIDE) -> Model:
     """Fit on training rows only (crc32 of the id modulo 5 is not 0), at most `sample` of each label and `most` bytes of them. Word counts and
-    calibration read whole texts; the field is trained on sentences with a telling word and every fifth other one."""
+    calibration read whole texts; the field is trained on sentences with a telling word and every `stride`-th other one."""
     rows, natural = training_rows(docs, labels, id_col, text_col, sample, most)
-    return fit(rows, natural if rows else None)
+    return fit(rows, natural if rows else None, stride=stride)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text.
 
     Returns id_col, score double and spans array<struct<start, end, marginal>>: character offsets
-    of words whose marginal is at least one half. Null and empty texts score as texts without
+    of words whose marginal is at least one half (of the lower-cased text where that has another length). Null and empty texts score as texts without
     words and have no spans; repeated rows are scored each; other columns are not read. A map
     without a shuffle; the model (bounded by the sample) travels with the plan.
     """
@@ -329,7 +372,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
-        for batch in slices(batches, 128):
+        for batch in text_batches(batches, 1, 128):
             read = texts(batch, 1)
             scores, spans = [], []
             for text, p in zip(read, document_marginals(shared.value, read, memo), strict=True):

@@ -78,3 +78,47 @@ def test_sample_stays_within_its_bytes(spark):
     assert share == same and set(kept) < set(whole) and {y for _, y in kept} == {0, 1}
     assert all(sum(len(t.encode()) for t, y in kept if y == label) <= 1000 for label in (0, 1))
     assert toxicity.training_rows(docs, labels, "doc_id", "text", 100, 1_000_000) == (whole, share)
+
+
+def test_long_sentences_equal_the_walk_and_cost_little():
+    import time
+
+    draw = np.random.default_rng(8)
+    for n in (2, 3, 50, 2500):
+        unary, arcs = draw.normal(-1, 4, n), draw.normal(0, 2, 4)
+        walked = [x[0] for x in toxicity.log_odds(unary[None], np.array([n]), arcs)]
+        for got, want in zip(toxicity.long_log_odds(unary, arcs), walked, strict=True):
+            assert np.allclose(got, want, atol=1e-8)
+    model = toxicity.Model({"wbad": 9.0}, -4.0, (1.0, -1.0, -1.0, 1.0), (0.0, 1.0, 1.0))
+    text = "some plain words and bad ones " * 170_000
+    began = time.perf_counter()
+    p = toxicity.document_marginals(model, [text], {})[0]
+    assert len(p) == 1_020_000 and time.perf_counter() - began < 5
+    short = toxicity.document_marginals(model, ["some plain words and bad ones " * 100], {})[0]
+    assert np.allclose(p[60:300], short[60:300], atol=1e-6)
+
+
+def test_the_stride_is_a_parameter_and_one_trains_on_all():
+    rows = [(f"plain talk number {i}. another sentence {i}. a third one.", 0) for i in range(40)] + [(f"you{i} idiot number{i}. a plain sentence {i}.", 1) for i in range(40)]
+    for stride in (1, 5):
+        model = toxicity.fit(rows, stride=stride)
+        scores = [toxicity.score(model, p) for p in toxicity.document_marginals(model, [t for t, _ in rows], {})]
+        assert min(scores[40:]) > max(scores[:40])
+
+
+def test_document_counts_and_telling_words_by_hand():
+    rows = [("bad dog here. bad dog here.", 1), ("a bad cat", 1), ("bad dog here.", 1), ("good dog", 0)]
+    sample = toxicity.Sample(rows)
+    counts = dict(zip(sample.names, sample.document_counts(1).tolist(), strict=True))
+    met, want = set(), {}
+    for number, (text, label) in enumerate(rows):  # a word counts once between the same neighbours, in the first document that has it there
+        for sentence in text.replace(".", "|").split("|"):
+            words = sentence.split()
+            for i, w in enumerate(words):
+                key = (words[i - 1] if i else None, w, words[i + 1] if i + 1 < len(words) else None)
+                if label == 1 and key not in met:
+                    met.add(key)
+                    for f in toxicity.features(w):
+                        want.setdefault(f, set()).add(number)
+    assert {f: n for f, n in counts.items() if n} == {f: len(d) for f, d in want.items()}
+    assert toxicity._telling(40, 0, 0.5, 1.0) and not toxicity._telling(2, 0, 0.1, 1.0) and not toxicity._telling(40, 10, 0.5, 1.0) and not toxicity._telling(5, 0, 0.5, 1.0)

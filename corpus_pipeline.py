@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, neardup, packing, substrings, toxicity
-from tessera.llm.common import materialize, slices, small_batches
+from tessera.llm.common import materialize, small_batches, text_batches
 
 LEAST_LANGUAGE_SCORE = 0.3  # of a posterior among the learned languages, so no test of whether any of them fits
 
@@ -26,7 +26,7 @@ def _filter(docs: DataFrame, keep) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
-        for batch in slices(batches, 128):
+        for batch in text_batches(batches, at, 128):
             yield batch.filter(pa.array(keep(batch.column(at).to_pylist(), state), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

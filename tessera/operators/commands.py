@@ -367,14 +367,16 @@ def callees(base: CodeBase, ref: str) -> DataFrame:
 
 
 @command("call-chain")
-def call_chain(base: CodeBase, ref: str, max_edges: int = graph.MAX_CHAIN, stop_methods: list[str] | None = None) -> DataFrame:
+def call_chain(base: CodeBase, ref: str, max_edges: int = graph.MAX_CHAIN, stop_methods: list[str] | None = None, first: int | None = None) -> DataFrame:
+    """Chains of calls from a method that nothing calls, or from a stop method, to the one that is meant: all, or the
+    `first` by length, then names."""
     globs = stop_methods if stop_methods is not None else base.config.get("chain_stop_methods") or []
     stop = None
     if globs:
         nodes = base.graph.select(F.col("src").alias("node")).distinct()
         _, method = _split_node()
         stop = nodes.where(F.exists(F.array(*(F.lit(scalars.name_pattern(g)) for g in globs)), lambda p: F.regexp_like(method, p) | F.regexp_like(F.substring_index("node", "/", 1), p)))
-    found = graph.chains_to_roots(base.graph, base.targets(ref).select("node"), max_edges, stop)
+    found = graph.chains_to_roots(base.graph, base.targets(ref).select("node"), max_edges, stop, first)
     return found.select(F.array_join(F.transform("chain", lambda n: F.substring_index(n, "/", 1)), " -> ").alias("chain"), "depth").distinct()
 
 

@@ -64,26 +64,48 @@ def witnesses(edges: DataFrame, seeds: DataFrame, max_levels: int = MAX_LEVELS)
     return visited
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, incoming: bool = False, max_edges: int = MAX_CHAIN, stop: DataFrame | None = None) -> DataFrame:
+PRUNE_AT = 10_000  # open paths from which on a search for ends looks where ends can be reached at all
+
+
+def leading_to_ends(steps: DataFrame, ends: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """node: from which some end can be reached over steps (src, dst), the ends themselves included."""
+    return closure(steps, ends, incoming=True, max_levels=max_levels).select("node")
+
+
+def simple_paths(edges: DataFrame, starts: DataFrame, incoming: bool = False, max_edges: int = MAX_CHAIN, stop: DataFrame | None = None, only_ended: bool = False, first: int | None = None) -> DataFrame:
     """path (array of nodes from a start) and is_end for every simple path of 1 to max_edges edges.
 
     is_end: the path cannot go on, by lack of an edge or because it stands on a node of `stop`.
-    Work grows with the number of paths, which is the result; bound max_edges for dense graphs."""
+    Work grows with the number of paths, which is the result; bound max_edges for dense graphs. With only_ended, paths
+    that are ends are all that is asked for: once PRUNE_AT paths are open, those are dropped that stand where no end can
+    be reached, as in a cycle that nothing enters, and none is grown into such a place. With `first`, no longer paths are
+    grown once so many ends are found."""
     steps = cut((reverse(edges) if incoming else edges).select("src", "dst").distinct())
     open_paths = starts.select(F.array("node").alias("path"))
     sources = steps.select("src").distinct()
     if stop is not None:
         sources = sources.join(stop.select(F.col("node").alias("src")), "src", "left_anti")
-    found = None
+    found, ended, pruned = None, 0, not only_ended
     for _ in range(max_edges):
         head = F.element_at("path", -1)
         grown = open_paths.withColumn("src", head).join(steps, "src").where(~F.array_contains("path", F.col("dst")))
         grown = grown.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("src"))
         grown = cut(grown.join(sources.withColumn("__goes", F.lit(True)), "src", "left").select("path", F.col("__goes").isNull().alias("is_end")))
-        if grown.isEmpty():
+        sizes = grown.agg(F.count("*").alias("n"), F.count_if(F.col("is_end")).alias("ended")).first()
+        if not sizes["n"]:
+            break
+        kept = grown.where("is_end") if only_ended else grown
+        found = kept if found is None else found.unionByName(kept)
+        ended += sizes["ended"]
+        if first is not None and ended >= first:
             break
-        found = grown if found is None else found.unionByName(grown)
         open_paths = grown.where("NOT is_end").select("path")
+        if not pruned and sizes["n"] - sizes["ended"] > PRUNE_AT:
+            pruned = True
+            nodes = steps.select(F.col("src").alias("node")).union(steps.select("dst")).distinct()
+            useful = cut(leading_to_ends(steps, nodes.join(sources.withColumnRenamed("src", "node"), "node", "left_anti"), max_edges))
+            steps = cut(steps.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+            open_paths = open_paths.withColumn("node", F.element_at("path", -1)).join(useful, "node", "left_semi").select("path")
     return found if found is not None else starts.select(F.array("node").alias("path"), F.lit(True).alias("is_end")).limit(0)
 
 
@@ -107,10 +129,12 @@ def first_paths(edges: DataFrame, starts: DataFrame, max_edges: int) -> DataFram
     return best
 
 
-def chains_to_roots(edges: DataFrame, targets: DataFrame, max_edges: int = MAX_CHAIN, stop: DataFrame | None = None) -> DataFrame:
-    """Chains from a root (nothing enters it) or stop node to a target: chain (array, root first) and depth (edges)."""
-    ended = simple_paths(edges, targets, incoming=True, max_edges=max_edges, stop=stop).where("is_end")
-    return ended.select(F.reverse("path").alias("chain"), (F.size("path") - 1).alias("depth")).distinct()
+def chains_to_roots(edges: DataFrame, targets: DataFrame, max_edges: int = MAX_CHAIN, stop: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """Chains from a root (nothing enters it) or stop node to a target: chain (array, root first) and depth (edges); all,
+    or the `first` by depth, then names."""
+    ended = simple_paths(edges, targets, incoming=True, max_edges=max_edges, stop=stop, only_ended=True, first=first).where("is_end")
+    chains = ended.select(F.reverse("path").alias("chain"), (F.size("path") - 1).alias("depth")).distinct()
+    return chains if first is None else chains.orderBy("depth", "chain").limit(first)
 
 
 def two_cycles(edges: DataFrame) -> DataFrame:

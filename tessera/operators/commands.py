@@ -345,6 +345,37 @@ def checklist(base: CodeBase, ref: str) -> DataFrame:
     return base.edges.join(t, ["callee_class", "callee_method"], "left_semi").where("caller_class <> callee_class").select("caller_class", "caller_method", "path", "line").distinct()
 
 
+@command("checklist-steps")
+def checklist_steps(base: CodeBase, ref: str, task: str = "") -> DataFrame:
+    """step, action, location and description of a change of a method: the edit, an import where the task asks for a null
+    check, its callers one by one where it renames or changes the signature, else to be looked at, and the tests.
+    Beyond ten callers only their number and that of their packages is given. No rows for an unknown method."""
+    wanted = task.lower()
+    target = base.targets(ref).select("class_name").agg(F.min("class_name").alias("class_name")).where("class_name IS NOT NULL")
+    file = target.join(base.code.types.select(F.col("name").alias("class_name"), "path"), "class_name", "left").agg(F.max("class_name").alias("class_name"), F.min("path").alias("path")).where("class_name IS NOT NULL")
+    file = file.select("class_name", F.coalesce("path", F.concat("class_name", F.lit(".java"))).alias("location"))
+    row = lambda df, order, action, location, text_: df.select(F.lit(order).alias("__order"), F.lit(action).alias("action"), location.alias("location"), text_.alias("description"))
+    steps = row(file, 0, "edit", F.col("location"), F.lit(f"Change {ref}" + (f": {task}" if task else "")))
+    if "null check" in wanted or "requirenonnull" in wanted:
+        steps = steps.unionAll(row(file, 1, "add-import", F.col("location"), F.lit("Import java.util.Objects if it is missing")))
+    found = checklist(base, ref).where("caller_class <> '?'").select("caller_class", "path", "line").distinct()
+    found = found.select("path", F.concat(F.col("caller_class"), F.lit(" ("), F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(")")).alias("at")).distinct()
+    for word, text_ in (("rename", "Call it by the new name"), ("parameter|signature", "Call it with the new signature")):
+        if any(w in wanted for w in word.split("|")):
+            steps = steps.unionAll(row(found, 2, "update-caller", F.col("at"), F.lit(text_)))
+    if "rename" not in wanted and "parameter" not in wanted:
+        owners = found.join(base.code.types.select("path", "package").distinct(), "path", "left")
+        total = owners.agg(F.countDistinct("at").alias("n"), F.countDistinct("package").alias("packages")).where("n > 0")
+        first = rank.top(found.select("at").distinct(), 10, F.asc("at")).agg(F.array_join(F.array_sort(F.collect_list("at")), ", ").alias("listed"))
+        few = F.col("n") <= 10
+        location = F.when(few, F.col("listed")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" callers")))
+        text_ = F.when(few, F.concat(F.lit("Look at "), F.col("n").cast("string"), F.lit(" caller(s)"))).otherwise(F.concat(F.lit("Look at callers in "), F.col("packages").cast("string"), F.lit(" package(s)")))
+        steps = steps.unionAll(row(total.crossJoin(first), 3, "check-callers", location, text_))  # single rows
+    steps = steps.unionAll(row(file, 4, "test", F.lit("tests"), F.lit("Run the tests")))
+    ordered = rank.numbered(steps, "__order", "location", "description")
+    return ordered.select("step", "action", "location", "description")
+
+
 # Call graph
 
 
@@ -789,6 +820,28 @@ def hotspots(base: CodeBase, limit: int = 30) -> DataFrame:
     return rank.top(known.join(tested, "name", "left").join(imported, "name", "left").fillna(False, ["tested"]).fillna(0, ["imported_by"]), limit, F.desc("callers"), F.asc("name"))
 
 
+TEST_NAME = "(Tests|Test|IT)$"
+
+
+@command("test-coverage")
+def test_coverage(base: CodeBase) -> DataFrame:
+    """Test classes and other classes by name, how many of those have a test named after them, and their share in percent."""
+    names = base.code.types.select("name").distinct().withColumn("is_test", F.col("name").rlike(TEST_NAME))
+    tested = names.where("is_test").select(F.regexp_replace("name", TEST_NAME, "").alias("name"), F.lit(True).alias("tested")).distinct()
+    counted = names.join(tested, "name", "left").agg(F.count_if(F.col("is_test")).alias("test_classes"), F.count_if(~F.col("is_test")).alias("production_classes"), F.count_if(F.col("tested") & ~F.col("is_test")).alias("tested_by_name"))
+    share = F.when(F.col("production_classes") > 0, F.floor(100 * F.col("tested_by_name") / F.col("production_classes"))).otherwise(0)
+    return counted.withColumn("percent", share.cast("long"))
+
+
+@command("untested")
+def untested(base: CodeBase, limit: int = 10) -> DataFrame:
+    """Classes that others call most among those without a test named after them."""
+    counted = _external(base).groupBy(F.col("callee_class").alias("name")).agg(F.count("*").alias("callers"))
+    names = base.code.types.select("name").distinct()
+    tested = names.where(F.col("name").rlike(TEST_NAME)).select(F.regexp_replace("name", TEST_NAME, "").alias("name"))
+    return rank.top(names.where(~F.col("name").rlike(TEST_NAME)).join(tested, "name", "left_anti").join(counted, "name"), limit, F.desc("callers"), F.asc("name"))
+
+
 @command("packages")
 def packages(base: CodeBase, limit: int = 30) -> DataFrame:
     """Types, methods and internal dependencies of each package, and those it has a cycle with."""
@@ -866,13 +919,40 @@ def debt(base: CodeBase, limit: int = 20) -> DataFrame:
     return rank.top(scored, limit, F.desc("score"), F.asc("fqn")).withColumn("mean", mean).withColumn("grade", rank.grade(F.col("mean")))
 
 
+#: Endings of names and the layers that they tell, and marks of frameworks in annotations or super classes.
+LAYERS = {"Controller": "controller", "Service": "service", "Dao": "dao", "DAO": "dao", "Repository": "repository", "Mapper": "mapper", "DTO": "dto", "Dto": "dto", "Entity": "entity", "Config": "config", "Configuration": "config", "Filter": "filter", "Interceptor": "interceptor", "Listener": "listener"}
+STACK = {"Spring": ("Controller", "Service", "Component"), "EJB": ("Stateless", "Stateful", "EJB"), "JPA": ("Entity", "Table")}
+SWING = ("JPanel", "JFrame")
+LEAST_INJECTED = 5  # classes with constructor parameters beyond which that is the convention
+
+
 @command("tour")
 def tour(base: CodeBase, limit: int = 10) -> DataFrame:
-    """kind and name: where to begin reading."""
-    mains = base.code.methods.where("name = 'main' AND array_contains(modifiers, 'static')").select(F.lit("main").alias("kind"), F.col("fqn").alias("name"))
-    web = rank.top(base.code.types.where("name LIKE '%Controller'").select(F.lit("controller").alias("kind"), F.col("fqn").alias("name")), limit, F.asc("name"))
-    core = hotspots(base, limit).select(F.lit("core").alias("kind"), "name")
-    return mains.unionAll(web).unionAll(core)
+    """kind, name and n: sizes, where to begin reading, layers by names, conventions and frameworks by annotations."""
+    t, none = base.code.types, F.lit(None).cast("long").alias("n")
+    sizes = t.agg(F.countDistinct("path").alias("files"), F.count_if(~F.col("is_interface")).alias("classes"), F.count_if(F.col("is_interface")).alias("interfaces"), F.sum("n_methods").cast("long").alias("methods"), F.countDistinct(F.when(F.col("package") != "", F.col("package"))).alias("packages"))
+    out = sizes.select(F.explode(F.array(*(F.struct(F.lit("size").alias("kind"), F.lit(c).alias("name"), F.col(c).alias("n")) for c in sizes.columns))).alias("r")).select("r.*")
+    mains = base.code.methods.where("name = 'main' AND array_contains(modifiers, 'static') AND array_contains(modifiers, 'public')").select(F.lit("main"), F.concat("fqn", F.lit(".main")).alias("name"), none).distinct()
+    web = rank.top(t.where("name LIKE '%Controller'").select(F.lit("controller"), F.col("fqn").alias("name"), none), limit, F.asc("name"))
+    core = hotspots(base, limit).select(F.lit("core"), "name", F.col("callers").alias("n"))
+    layer = F.coalesce(*(F.when(F.endswith("name", F.lit(end)), F.lit(name)) for end, name in LAYERS.items()))
+    layers = t.select(layer.alias("name")).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n")).select(F.lit("layer"), "name", "n")
+    noted = lambda marks: F.exists("annotations", lambda a: _any_of(a["name"], marks))
+    made = base.code.methods.where("is_constructor AND param_count > 0").agg(F.countDistinct("fqn").alias("n"))
+    injection = made.select(F.lit("convention"), F.concat(F.lit("injection: "), F.when(F.col("n") > LEAST_INJECTED, "constructor").otherwise("unknown")).alias("name"), none)
+    logging = t.agg(F.count_if(noted(("Slf4j",))).alias("n")).select(F.lit("convention"), F.concat(F.lit("logging: "), F.when(F.col("n") > 0, "slf4j").otherwise("unknown")).alias("name"), none)
+    used = t.agg(*(F.bool_or(noted(marks)).alias(name) for name, marks in STACK.items()), F.bool_or(_any_of(F.col("name"), SWING) | F.contains("super_class", F.lit(SWING[0]))).alias("Swing"))
+    stack = used.select(F.explode(F.array(*(F.when(F.col(c), F.lit(c)) for c in used.columns))).alias("name")).where("name IS NOT NULL").select(F.lit("stack"), "name", none)
+    for part in (mains, web, core, layers, injection, logging, stack):
+        out = out.unionAll(part)
+    return out
+
+
+def _any_of(text_: Column, marks: tuple[str, ...]) -> Column:
+    out = F.contains(text_, F.lit(marks[0]))
+    for m in marks[1:]:
+        out = out | F.contains(text_, F.lit(m))
+    return out
 
 
 @command("api")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of an order that must be total; planned as a top-k, not a full sort."""
@@ -23,6 +25,16 @@ def with_total(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return top(df, k, *order).withColumn("total", count).withColumn("truncated", F.col("total") > k)
 
 
+def numbered(df: DataFrame, *order: str, name: str = "step") -> DataFrame:
+    """Rows with their place in an order, from 1, without a window over all: places within sorted ranges plus the rows of
+    the ranges before, whose counts alone are summed."""
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()))
+    sizes = dealt.groupBy(F.shiftright("__row", 33).alias("__range")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = dealt.withColumn("__range", F.shiftright("__row", 33)).join(before, "__range")
+    return placed.withColumn(name, F.col("__row").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1).drop("__row", "__range", "__before")
+
+
 def within_budget(df: DataFrame, cost: str, budget: int, *order: Column) -> DataFrame:
     """The longest beginning of the order whose summed cost is within the budget, at least one row.
 

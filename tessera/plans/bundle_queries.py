@@ -50,3 +50,48 @@ def tree_extract_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_extract_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for a method with an annotation whose text holds brackets."""
     return brackets.extract_methods(tree(spark, sf_dir), "get").select("path", "start_line", "end_line")
+
+
+_CORE = """x AS (SELECT callee AS name, count(*) AS callers FROM e WHERE caller <> callee AND callee IN (SELECT name FROM t) GROUP BY callee)"""
+
+
+@query(f"""{WITH}, {_CORE}, s AS (SELECT count(*) AS files, count(*) FILTER (kind <> 'interface') AS classes, count(*) FILTER (kind = 'interface') AS interfaces, sum(n_methods)::BIGINT AS methods, count(DISTINCT package) AS packages FROM t)
+SELECT 'size' AS kind, 'files' AS name, files AS n FROM s UNION ALL SELECT 'size', 'classes', classes FROM s UNION ALL SELECT 'size', 'interfaces', interfaces FROM s UNION ALL SELECT 'size', 'methods', methods FROM s UNION ALL SELECT 'size', 'packages', packages FROM s
+UNION ALL (SELECT 'core', name, callers FROM x ORDER BY callers DESC, name LIMIT 10)
+UNION ALL SELECT 'convention', 'injection: ' || CASE WHEN count(*) > 5 THEN 'constructor' ELSE 'unknown' END, NULL FROM supplier UNION ALL SELECT 'convention', 'logging: unknown', NULL UNION ALL SELECT 'stack', 'Spring', NULL""")
+def tree_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, the classes called most, conventions and frameworks of the tree."""
+    return commands.tour(base(spark, sf_dir))
+
+
+@query(f"{WITH}, n AS (SELECT count(*) FILTER (is_test) AS a, count(*) FILTER (NOT is_test) AS b FROM t) SELECT a AS test_classes, b AS production_classes, a AS tested_by_name, (100 * a) // b AS percent FROM n")
+def tree_test_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.test_coverage(base(spark, sf_dir))
+
+
+@query(f"{WITH}, {_CORE} SELECT name, callers FROM x WHERE name NOT IN (SELECT replace(name, 'Test', '') FROM t WHERE is_test) ORDER BY callers DESC, name LIMIT 10")
+def tree_untested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.untested(base(spark, sf_dir))
+
+
+_CALLERS = """c AS (SELECT DISTINCT caller || ' (' || path || ':' || line || ')' AS at_, path FROM e WHERE callee = 'Nation{0}' AND called = '{1}' AND caller <> callee)"""
+
+
+@query(f"""{WITH}, {_CALLERS.format(4, "visit")}, s AS (
+  SELECT 0 AS o, 'edit' AS action, 'src/geo/Nation4.java' AS location, 'Change Nation4.visit: rename it' AS description UNION ALL SELECT 2, 'update-caller', at_, 'Call it by the new name' FROM c UNION ALL SELECT 4, 'test', 'tests', 'Run the tests'
+) SELECT row_number() OVER (ORDER BY o, location) AS step, action, location, description FROM s""")
+def tree_checklist_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps to rename a method: the edit, each caller, the tests."""
+    return commands.checklist_steps(base(spark, sf_dir), "Nation4.visit", "rename it")
+
+
+@query(f"""{WITH}, c AS (SELECT DISTINCT caller || ' (' || e.path || ':' || line || ')' AS at_, package FROM e JOIN t USING (path) WHERE called = 'label' AND caller <> callee AND callee LIKE 'Nation%'),
+g AS (SELECT count(DISTINCT at_) AS n, count(DISTINCT package) AS p, string_agg(DISTINCT at_, ', ' ORDER BY at_) AS l FROM c), s AS (
+  SELECT 0 AS o, 'edit' AS action, (SELECT min(path) FROM t WHERE name = (SELECT min(class_name) FROM own WHERE name = 'label')) AS location, 'Change label: add a null check' AS description
+  UNION ALL SELECT 1, 'add-import', (SELECT min(path) FROM t WHERE name = (SELECT min(class_name) FROM own WHERE name = 'label')), 'Import java.util.Objects if it is missing'
+  UNION ALL SELECT 3, 'check-callers', CASE WHEN n <= 10 THEN l ELSE n || ' callers' END, CASE WHEN n <= 10 THEN 'Look at ' || n || ' caller(s)' ELSE 'Look at callers in ' || p || ' package(s)' END FROM g
+  UNION ALL SELECT 4, 'test', 'tests', 'Run the tests'
+) SELECT row_number() OVER (ORDER BY o, location) AS step, action, location, description FROM s""")
+def tree_checklist_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a change of a method with very many callers."""
+    return commands.checklist_steps(base(spark, sf_dir), "label", "add a null check")

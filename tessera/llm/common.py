@@ -46,12 +46,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 BATCH_ROWS = 2000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Send at most BATCH_ROWS whole texts to Python at once: Spark's default of 10,000 rows a batch is
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Send at most `rows` whole texts to Python at once: Spark's default of 10,000 rows a batch is
     made for short rows, and holds each batch on both sides. A smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def forget(*tables: DataFrame) -> None:

@@ -33,10 +33,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, release, small_batches, text_batches
+from .common import forget, materialize, release, slices, small_batches, text_batches
 from .hashing import GOLDEN, PLAIN, Keys, Spans, fresh_keys, hashed_under, mix, times
 
 WINDOW = 35
+TEXTS_AT_ONCE, ROWS_AT_ONCE = 500, 16_384  # texts that come from Spark with their notes, and notes that go back, at once
 ROUNDS, RUN_ROUNDS, LEAST_LEVEL = 6, (0, 4), 2
 _IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 ALL, WINDOWS = 1, 2  # what a document is told of an occurrence: repeated as a whole, compare its windows
@@ -176,10 +177,11 @@ def occurrences(rows: DataFrame, size: int = WINDOW, rounds: int = ROUNDS, keys:
             words, others = word_hashes(batch.column(2), keys)
             found = anchors(words, size, rounds, others)
             own = pa.array(found["doc"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [pa.array(found["key"]), pa.array(found["span"]), batch.column(0).take(own), batch.column(1).take(own), pa.array(found["first"], pa.int32()), pa.array(found["count"], pa.int32())],
                 names=["key", "span", "__row", "__twin", "first", "count"],
             )
+            yield from slices([out], ROWS_AT_ONCE)
 
     return rows.mapInArrow(run, "key long, span long, __row long, __twin long, first int, count int")
 
@@ -218,7 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own, so their long texts go. Other columns are not read.
     """
     spark, keys = docs.sparkSession, fresh_keys()
-    small_batches(spark)
+    small_batches(spark, TEXTS_AT_ONCE)
     carried = [c for c in carry or [] if c not in (id_col, text_col)]
     kept_columns = F.struct(F.col(id_col).alias("__id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
     rows = docs.select(F.xxhash64(id_col, text_col, F.lit(1)).alias("__row"), F.xxhash64(F.lit(2), id_col, text_col).alias("__twin"), F.col(text_col).alias("__text"), kept_columns.alias("__kept"))
@@ -262,10 +264,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             base = np.concatenate([[0], np.cumsum([len(h) for h in hashed])]).astype(np.int64)
             place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
             at = np.repeat(base[owner], count) + place
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(key, count)), pa.array(Spans(np.concatenate(hashed)).hash(at, at + size).view(np.int64)), *(batch.column(c).take(pa.array(np.repeat(owner, count))) for c in (0, 1)), pa.array(place, pa.int32())],
                 names=["key", "window", "__row", "__twin", "place"],
             )
+            yield from slices([out], ROWS_AT_ONCE)
 
     single = materialize(pending.select("__row", "__twin", "__text", "__told").mapInArrow(windows, "key long, window long, __row long, __twin long, place int"), "windows")
     twice = materialize(single.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window"), "twice")

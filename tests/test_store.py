@@ -61,23 +61,23 @@ def test_stored_edges_follow_what_they_were_resolved_through(spark, tmp_path):
 
 def test_random_edits_equal_a_full_resolve(spark, tmp_path):
     draw, path, now = random.Random(3), str(tmp_path / "s"), {}
-    for round_ in range(5):
+    for round_ in range(3):
         for i in draw.sample(range(8), 3):
             t, m, k = (draw.randrange(8) for _ in range(3))
             now[f"T{i}.java"] = f"class T{i} {{ T{t} f; T{k} g{m}() {{ return f.g{k}(); }} void h{i}(int a) {{\n f.g{m}().h{k}(1);\n g{m}().f.g{t}();\n x.h{t}(2); g{k}();\n }} }}"
-        if round_ == 3:
+        if round_ == 2:
             now.pop(sorted(now)[0])
         store.refresh(spark, files(spark, now), path)
         assert stored_edges(spark, path) == full_edges(spark, now), round_
 
 
 def test_segments_fold_and_old_ones_go(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(store, "MOST_SEGMENTS", 3)
+    monkeypatch.setattr(store, "MOST_SEGMENTS", 2)
     path, now = str(tmp_path / "s"), {}
-    for i in range(6):
+    for i in range(4):
         now |= {f"K{i}.java": f"class K{i} {{ K{i + 1} k; void a() {{ k.a(); }} }}", "B.java": B.replace("size", f"size{i}")}
         store.refresh(spark, files(spark, now), path)
-        assert len(store.Store(spark, path).parts) <= 3
+        assert len(store.Store(spark, path).parts) <= 2
         assert sorted(r.path for r in store.load(spark, path).collect()) == sorted(now)
         assert stored_edges(spark, path) == full_edges(spark, now)
     named = {s["id"] for n in versions.numbers(spark, path) for s in versions.segments(spark, path, n)[1]}

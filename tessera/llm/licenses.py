@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from .common import small_batches, text_batches, texts
 from .license_rules import RULES
 
-#: Phrases (as words) and their labels.
-BASE = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Phrases (as words) and their labels that a scanner looks for unless it is given others.
+PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Those of the query.
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: Bytes to words: A-Z become a-z; digits, a-z and all bytes of non-ASCII letters stay; others part words.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -67,7 +69,7 @@ class Scanner:
     """Compiled rules; scan(text) gives the number of words and the detections of one text."""
 
     def __init__(self, lines: str = RULES, base: dict[str, str] | None = None):
-        self.base = BASE if base is None else base
+        self.base = PHRASES if base is None else base
         self.gated: dict[str, list[Rule]] = {}
         for rule in parse_rules(lines):
             for keyword in rule.keywords:
@@ -129,19 +131,20 @@ def _blanks(line: str) -> list[int]:
     return np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20).tolist()
 
 
-_COMPILED: dict[str, Scanner] = {}
+_COMPILED: dict[tuple, Scanner] = {}
 
 
-def _scanner(lines: str) -> Scanner:
-    if lines not in _COMPILED:
-        _COMPILED[lines] = Scanner(lines)
-    return _COMPILED[lines]
+def _scanner(lines: str, base: dict[str, str]) -> Scanner:
+    key = (lines, *sorted(base.items()))
+    if key not in _COMPILED:
+        _COMPILED[key] = Scanner(lines, base)
+    return _COMPILED[key]
 
 
 DETECTION = "struct<label:string,rule:string,start_word:bigint,end_word:bigint,priority:int,confidence:double>"
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: str = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: str = RULES, base: dict[str, str] = PHRASES) -> DataFrame:
     """Scan every whole text.
 
     Returns id_col, n_words long and detections array<struct<label, rule, start_word,
@@ -154,7 +157,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("priority", pa.int32()), ("confidence", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(rules)
+        scanner = _scanner(rules, base)
         for batch in text_batches(batches, 1):
             counts, found = [], []
             for text in texts(batch, 1):

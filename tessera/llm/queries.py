@@ -34,7 +34,7 @@ SELECT w.doc_id, min(label) AS class_id, any_value(len(ws))::BIGINT AS n_words F
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and licenses in every document, from the scanner's detections."""
-    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), base=licenses.BASE)
     base = F.filter("detections", lambda d: d["rule"] == "base")
     starts = F.transform(base, lambda d: d["start_word"])
     names = lambda ds: F.array_join(F.array_sort(F.array_distinct(F.transform(ds, lambda d: d["label"]))), ",")

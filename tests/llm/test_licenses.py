@@ -122,3 +122,11 @@ def test_letters_with_bytes_that_latin_1_takes_for_blanks():
         assert "apache-2" in {x[:8] for x in labels(f"licensed under the apache license {letter} version 2")} or "apache-2.0" in labels(f"licensed under the apache license {letter} version 2"), letter
         assert "mit" in labels(f"{letter} mit license {letter}")
     assert labels("neither the name of \u00e0 b may be used to endorse or promote products") == labels("neither the name of a b may be used to endorse or promote products") != set()
+
+
+def test_base_phrase_of_the_mit_label_begins_with_under_the(spark, tmp_path):
+    texts = ["Under the MIT License.", "see the MIT license", "x under the\nmit license, under the MIT-License", "under a MIT license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op2_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows] == [(1, 0, 0, "mit"), (0, None, None, ""), (2, 1, 5, "mit"), (0, None, None, "")]
+    assert all("mit" in r.labels.split(",") for r in rows)

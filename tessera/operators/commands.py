@@ -713,8 +713,8 @@ def smells_trend(base: CodeBase, changed: DataFrame) -> DataFrame:
     return counted.withColumn("trend", F.when(total == 0, "clean").otherwise("needs-attention")).orderBy(F.desc("n_changed"), F.desc("n"), "rule_id")
 
 
-def _located(base: CodeBase, found: DataFrame) -> DataFrame:
-    return text.enclose(found, base.code.types.select("path", "start_line", "end_line", F.col("name").alias("class_name")), "path", "line_no", "class_name")
+def _located(base: CodeBase, found: DataFrame, within: Code | None = None) -> DataFrame:
+    return text.enclose(found, (within or base.code).types.select("path", "start_line", "end_line", F.col("name").alias("class_name")), "path", "line_no", "class_name")
 
 
 @command("perf")
@@ -722,27 +722,39 @@ def perf(base: CodeBase, deep: int = 0) -> DataFrame:
     """Rules on lines in loops and on whole classes; with deep, also in methods called from loops up to so many calls
     away, each with a shortest call path from the method with the loop to the method of the line."""
     lines = base.code.lines
+    found = _on_lines(base).unionAll(_from_facts(base).select(*lines.columns, "rule_id", "severity", "category", "message", "scope"))
+    found = found.withColumn("call_path", F.lit(None).cast("array<string>"))
+    return found.unionAll(_deep(base, deep).select(*found.columns)) if deep else found
+
+
+def _on_lines(base: CodeBase) -> DataFrame:
+    """What the text of lines and files tells."""
+    lines = base.code.lines
     looped = rules.scan(lines.where("in_loop"), packs.PERFORMANCE).withColumn("scope", F.lit("loop"))
     whole = rules.scan(lines, packs.STRUCTURAL).withColumn("scope", F.lit("class"))
     ahead = W.partitionBy("path").orderBy("line_no")
-    flagged = lines.withColumn("try_near", F.bool_or(F.contains("text", F.lit("try ("))).over(ahead.rowsBetween(-3, 0))).withColumn("closed", F.coalesce(F.bool_or(F.contains("text", F.lit(".close()")) | F.contains("text", F.lit("} finally"))).over(ahead.rowsBetween(1, 29)), F.lit(False)))
+    flagged = base.code.lines_of_files(("createStatement(", "prepareStatement(")).withColumn("try_near", F.bool_or(F.contains("text", F.lit("try ("))).over(ahead.rowsBetween(-3, 0))).withColumn("closed", F.coalesce(F.bool_or(F.contains("text", F.lit(".close()")) | F.contains("text", F.lit("} finally"))).over(ahead.rowsBetween(1, 29)), F.lit(False)))
     leak = flagged.where("NOT try_near AND NOT closed AND text RLIKE '(createStatement|prepareStatement)\\\\('").select(*lines.columns, F.lit("CURSOR_LEAK").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("A statement that is not closed").alias("message"), F.lit("class").alias("scope"))
-    blocked = lines.withColumn("slow", F.coalesce(F.bool_or(F.col("text").rlike(r"executeQuery\(|new File\(|Thread\.sleep")).over(ahead.rowsBetween(1, 49)), F.lit(False))).where("slow AND text RLIKE 'ActionListener|actionPerformed|MouseListener'")
+    blocked = base.code.lines_of_files(("ActionListener", "actionPerformed", "MouseListener")).withColumn("slow", F.coalesce(F.bool_or(F.col("text").rlike(r"executeQuery\(|new File\(|Thread\.sleep")).over(ahead.rowsBetween(1, 49)), F.lit(False))).where("slow AND text RLIKE 'ActionListener|actionPerformed|MouseListener'")
     edt = blocked.select(*lines.columns, F.lit("EDT_BLOCKING").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("Slow work in a listener").alias("message"), F.lit("class").alias("scope"))
-    local = lines.groupBy("path").agg(F.min(F.when(F.contains("text", F.lit("ThreadLocal")), F.col("line_no"))).alias("at"), F.bool_or(F.contains("text", F.lit(".remove()"))).alias("removed")).where("at IS NOT NULL AND NOT removed").select("path", F.col("at").alias("line_no"))
-    held = lines.join(local, ["path", "line_no"], "left_semi").select(*lines.columns, F.lit("THREADLOCAL_LEAK").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("A thread's value that is not removed").alias("message"), F.lit("file").alias("scope"))
-    found = looped.unionAll(whole).unionAll(leak).unionAll(edt).unionAll(held).unionAll(_from_facts(base).select(*lines.columns, "rule_id", "severity", "category", "message", "scope"))
-    found = found.withColumn("call_path", F.lit(None).cast("array<string>"))
-    return found.unionAll(_deep(base, deep).select(*found.columns)) if deep else found
+    held = base.code.lines_of_files(("ThreadLocal",))
+    local = held.groupBy("path").agg(F.min(F.when(F.contains("text", F.lit("ThreadLocal")), F.col("line_no"))).alias("at"), F.bool_or(F.contains("text", F.lit(".remove()"))).alias("removed")).where("at IS NOT NULL AND NOT removed").select("path", F.col("at").alias("line_no"))
+    held = held.join(local, ["path", "line_no"], "left_semi").select(*lines.columns, F.lit("THREADLOCAL_LEAK").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("A thread's value that is not removed").alias("message"), F.lit("file").alias("scope"))
+    return looped.unionAll(whole).unionAll(leak).unionAll(edt).unionAll(held)
+
+
+def _long(base: CodeBase) -> DataFrame:
+    span = F.col("end_line") - F.col("start_line")
+    own = base.code.methods.where((span > packs.LARGE_METHOD) & (span < packs.IMPLAUSIBLE_METHOD))
+    return own.select("path", F.col("start_line").alias("line_no"), F.lit("LARGE_METHOD").alias("rule_id"), F.lit("A long method").alias("message")).distinct()
 
 
 def _from_facts(base: CodeBase) -> DataFrame:
     """Long methods and those that many methods call, at their first lines."""
-    own = base.code.methods.select("path", F.col("start_line").alias("line_no"), F.col("class_name").alias("callee_class"), F.col("name").alias("callee_method"), (F.col("end_line") - F.col("start_line")).alias("span"))
-    long = own.where((F.col("span") > packs.LARGE_METHOD) & (F.col("span") < packs.IMPLAUSIBLE_METHOD)).select("path", "line_no", F.lit("LARGE_METHOD").alias("rule_id"), F.lit("A long method").alias("message"))
+    own = base.code.methods.select("path", F.col("start_line").alias("line_no"), F.col("class_name").alias("callee_class"), F.col("name").alias("callee_method"))
     often = base.edges.groupBy("callee_class", "callee_method").agg(F.countDistinct("caller_class", "caller_method", "caller_arity").alias("n")).where(F.col("n") > packs.HOT_METHOD)
     hot = own.join(often, ["callee_class", "callee_method"], "left_semi").select("path", "line_no", F.lit("HOT_METHOD"), F.lit("A method that very many methods call"))
-    found = long.unionAll(hot).distinct().withColumns({"severity": F.lit("INFO"), "category": F.lit(""), "scope": F.lit("index")})
+    found = _long(base).unionAll(hot).distinct().withColumns({"severity": F.lit("INFO"), "category": F.lit(""), "scope": F.lit("index")})
     return base.code.lines.join(found, ["path", "line_no"])
 
 
@@ -764,17 +776,19 @@ def _deep(base: CodeBase, levels: int) -> DataFrame:
 
 @command("security")
 def security(base: CodeBase) -> DataFrame:
-    return _located(base, rules.scan(base.code.lines, packs.SECURITY)).select("path", "class_name", "line_no", "rule_id", "severity", "message")
+    """Hits with the class around them; of files that are not parsed yet only those with a hit are."""
+    within = base.code.narrowed(rules.in_some_line("content", packs.SECURITY))
+    return _located(base, rules.scan(base.code.texts, packs.SECURITY), within).select("path", "class_name", "line_no", "rule_id", "severity", "message")
 
 
 @command("migrate")
 def migrate(base: CodeBase, target: int = 17) -> DataFrame:
-    return rules.scan(base.code.lines, packs.MIGRATION, target).select("path", "line_no", "rule_id", "category", "message")
+    return rules.scan(base.code.texts, packs.MIGRATION, target).select("path", "line_no", "rule_id", "category", "message")
 
 
 @command("compat")
 def compat(base: CodeBase, target: int = 17) -> DataFrame:
-    return rules.scan(base.code.lines, packs.COMPATIBILITY, target).select("path", "line_no", "rule_id", "message")
+    return rules.scan(base.code.texts, packs.COMPATIBILITY, target).select("path", "line_no", "rule_id", "message")
 
 
 @command("todo")

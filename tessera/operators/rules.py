@@ -67,19 +67,33 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
+COMMENT = r"^(//|\*|/\*)"
+
+
+def _trimmed(line: Column) -> Column:
+    return F.trim(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")))  # plain searches: an optimiser may write it into every test of a line
+
+
+def in_some_line(content: str, pack: list[Rule], target: int | None = None, skip_comments: bool = True) -> Column:
+    """Whether scan() finds something in a line of a whole text."""
+    chosen = [r for r in pack if target is None or r.since <= target]
+    hit = lambda line: _any([holds(r, line) for r in chosen]) & (~line.rlike(COMMENT) if skip_comments else F.lit(True))
+    return F.exists(F.transform(F.split(content, "\n"), _trimmed), hit) if chosen else F.lit(False)
+
+
 def scan(lines: DataFrame, pack: list[Rule], target: int | None = None, skip_comments: bool = True, text: str = "text") -> DataFrame:
     """Columns of lines and rule_id, severity, category and message of each match.
 
     Lines are trimmed; with skip_comments those that begin like a comment are left out. With a target
     only rules that apply to that version count."""
     chosen = [r for r in pack if target is None or r.since <= target]
-    trimmed = F.trim(F.regexp_replace(F.col(text), r"[\t\r]", " "))
+    trimmed = _trimmed(F.col(text))
     told = [F.when(holds(r, F.col("__line")), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.message).alias("message"))) for r in chosen]
     if not told:
         return lines.select("*", *(F.lit("").alias(c) for c in ("rule_id", "severity", "category", "message"))).limit(0)
     marked = lines.withColumn("__line", trimmed)
     if skip_comments:
-        marked = marked.where(~F.col("__line").rlike(r"^(//|\*|/\*)"))
+        marked = marked.where(~F.col("__line").rlike(COMMENT))
     found = marked.withColumn("__hits", F.array_compact(F.array(*told))).where(F.size("__hits") > 0)
     return found.withColumn("__hit", F.explode("__hits")).select(*(F.col(c) for c in lines.columns), "__hit.*")
 

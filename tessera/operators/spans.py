@@ -49,7 +49,8 @@ def enclose(points: DataFrame, spans: DataFrame, key: str, at: str, name: str, s
     used = spans.where(F.col(key).isNotNull() & (F.col("start_line") <= F.col("end_line")) & F.col(name).isNotNull())
     used = used.withColumn("__stretch", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))))
     laid = used.select(F.col(key).cast(key_type).alias("__key"), "__stretch", F.lit(0).alias("__kind"), F.col("start_line").cast("long").alias("__start"), F.col("end_line").cast("long").alias("__end"), F.col(name).cast("string").alias("__name"), F.lit(None).cast("long").alias("__at"), F.lit(None).cast(point_type).alias("__point"))
-    both = laid.unionByName(marked).repartition("__key", "__stretch").sortWithinPartitions("__key", "__stretch", "__kind", "__start", F.desc("__end"), "__name")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given: rows are short, but each key takes time, so few bytes must not become one task
+    both = laid.unionByName(marked).repartition(parts, "__key", "__stretch").sortWithinPartitions("__key", "__stretch", "__kind", "__start", F.desc("__end"), "__name")
     group = F.xxhash64("__key", "__stretch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

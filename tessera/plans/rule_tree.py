@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import commands
+from ..operators.cut import kept, spread
 from ..session import table
 from ..sources import code
 from .registry import query
@@ -112,6 +113,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content_hash, mtime_ms and content of a file a part."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     total = parts.agg(F.count("*")).scalar()
+    parts = spread(parts, "k")
     line = F.element_at(F.array(*(F.lit(x[0]) for x in LINES)), (F.col("k") % len(LINES) + 1).cast("int"))
     text = F.lit(PART)
     for name, value in {"b": F.col("k") % 5, "k": F.col("k"), "next": (F.col("k") + 1) % total, "line": line}.items():
@@ -120,8 +122,11 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(path.alias("path"), F.lit(None).cast("string").alias("content_hash"), F.lit(0).cast("long").alias("mtime_ms"), text.alias("content"))
 
 
-def base(spark: SparkSession, sf_dir: str) -> commands.CodeBase:
-    return commands.CodeBase(code.Code(code.extract(tree(spark, sf_dir))))
+def base(spark: SparkSession, sf_dir: str, often: bool = False) -> commands.CodeBase:
+    """The tree's facts; kept in files where a query reads them often, so that sources are parsed once."""
+    files = tree(spark, sf_dir)
+    facts = code.extract(files)
+    return commands.CodeBase(code.Code(kept(facts, "facts") if often else facts, files))
 
 
 _PACKS = ("loop", "class", "security", "migrate", "compat")
@@ -136,7 +141,7 @@ hits AS (SELECT f.*, x.line_no FROM f, (VALUES (6), (18)) AS x(line_no))
 UNION ALL SELECT path, 18, rule_id, 'called from a loop: ' || class_name || '.hop/1', 'Line' || ((k - 1 + n) % n) || '.call/2 > ' || class_name || '.step/1 > ' || class_name || '.hop/1' FROM f, (SELECT count(*) AS n FROM part) WHERE pack = 'loop'""")
 def part_perf_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every performance rule on lines in loops, in classes, and in methods that calls in loops reach, with the calls."""
-    return commands.perf(base(spark, sf_dir), deep=2).select("path", "line_no", "rule_id", "scope", F.array_join("call_path", " > ").alias("call_path"))
+    return commands.perf(base(spark, sf_dir, often=True), deep=2).select("path", "line_no", "rule_id", "scope", F.array_join("call_path", " > ").alias("call_path"))
 
 
 @query(_WITH + "SELECT path, class_name, line_no, rule_id, CASE WHEN rule_id IN ('SQL_INJECTION', 'PATH_TRAVERSAL', 'JNDI_INJECTION', 'XXE', 'INSECURE_DESERIALIZATION') THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM hits WHERE pack = 'security'")

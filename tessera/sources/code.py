@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -109,10 +109,14 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 class Code:
-    """The flat tables of a facts table. All are lazy views; cache `facts` when asking much."""
+    """The flat tables of a facts table. All are lazy views; cache `facts` when asking much.
 
-    def __init__(self, facts: DataFrame):
+    With the files that the facts follow from, `texts` (lines without what parsing tells) reads those."""
+
+    def __init__(self, facts: DataFrame, files: DataFrame | None = None):
         self.facts = facts
+        self.files = files
+        self.sources = (facts if files is None else files).select("path", F.coalesce("content", F.lit("")).alias("content"))
         self.spark = facts.sparkSession
         typed = facts.select("path", "package", "imports", F.explode("types").alias("t"))
         fqn = F.when(F.col("package") == "", F.col("t.name")).otherwise(F.concat("package", F.lit("."), "t.name"))
@@ -135,10 +139,27 @@ class Code:
         self.raw_edges = facts.select("path", F.explode("edges").alias("e")).select("path", "e.*")
         self.statements = facts.select("path", F.explode("statements").alias("s")).select("path", "s.*")
         self.invocations = facts.select("path", F.explode("invocations").alias("v")).select("path", "v.*")
-        noted = lambda c: F.array_contains(c, F.col("line_no"))
-        self.lines = lines_of(facts, also=("comment_lines", "loop_lines")).select("path", "line_no", "text", noted("comment_lines").alias("in_comment"), noted("loop_lines").alias("in_loop"))
+        self.lines = self._noted(facts)
+        self.texts = lines_of(self.sources).select("path", "line_no", "text")
         self.errors = facts.where("error IS NOT NULL").select("path", "error")
 
+    def lines_of_files(self, words: tuple[str, ...]) -> DataFrame:
+        """The lines of the files that hold any of the words, whole files of them."""
+        holds = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains("content", w))
+        return self._noted(self.facts.where(holds))
+
+    def narrowed(self, holds: Column) -> Code:
+        """The same of the files whose content passes a test."""
+        if self.files is None:
+            return Code(self.facts.where(holds))
+        files = self.files.where(holds)
+        return Code(extract(files), files)
+
+    @staticmethod
+    def _noted(facts: DataFrame) -> DataFrame:
+        noted = lambda c: F.array_contains(c, F.col("line_no"))
+        return lines_of(facts, also=("comment_lines", "loop_lines")).select("path", "line_no", "text", noted("comment_lines").alias("in_comment"), noted("loop_lines").alias("in_loop"))
+
     def types_of(self, simple: str) -> DataFrame:
         return self.types.where(F.col("name") == simple)
 

@@ -93,5 +93,6 @@ def near(names: DataFrame, wanted: DataFrame) -> DataFrame:
     of_wanted = lambda c, n: F.concat(_pieces(c, n), F.when(n <= 2 * MAX_EDITS, _deletions(c, n)).otherwise(none))
     keys = lambda df, c, of: df.select(c, F.explode(once(F.col("__chars"), lambda x: once(F.col("__size"), lambda n: of(x, n)))).alias("key"))
     posted, asked = keys(sized(names, "name"), "name", of_name), keys(sized(wanted, "wanted"), "wanted", of_wanted)
-    pairs = posted.distinct().join(asked, "key").select("name", "wanted").distinct()
-    return pairs.withColumn("edits", F.levenshtein("name", "wanted", MAX_EDITS)).where("edits >= 0")
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # all of them: a few bytes of keys stand for many pairs
+    pairs = posted.repartition(parts, "key").join(asked, "key").select("name", "wanted")  # few of them pass the test, so it comes before distinct()
+    return pairs.withColumn("edits", F.levenshtein("name", "wanted", MAX_EDITS)).where("edits >= 0").distinct()

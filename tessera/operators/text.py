@@ -86,9 +86,11 @@ def suggest(names: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
 
     asked, known = wanted.select("wanted").where("wanted <> ''").distinct(), names.select("name").where("name <> ''").distinct()
     swapped = grams.containing(asked.withColumnRenamed("wanted", "name"), known.withColumnRenamed("name", "wanted")).select(F.col("wanted").alias("name"), F.col("name").alias("wanted"))
-    pairs = grams.near(known, asked).select("name", "wanted").unionByName(grams.containing(known, asked)).unionByName(swapped).distinct()
-    scored = pairs.withColumn("score", fuzzy_score(F.col("name"), F.col("wanted"))).where("score > 0")
-    return top_within(scored, ["wanted"], k, F.desc("score"), F.asc("name"))
+    best = lambda pairs: top_within(pairs, ["wanted"], k, F.desc("score"), F.asc("name"))
+    scored = lambda pairs: best(pairs.select("name", "wanted").withColumn("score", fuzzy_score(F.col("name"), F.col("wanted"))).where("score > 0")).drop("rank")
+    # Each source has a pair once, so the best of each suffice; only these are shuffled.
+    found = scored(grams.near(known, asked)).unionByName(scored(grams.containing(known, asked))).unionByName(scored(swapped))
+    return best(found.distinct())
 
 
 def comments_in_markup(html: str | Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import diff, grams, rank, text
-from ..operators.cut import shared_dir
+from ..operators.cut import kept, shared_dir
 from ..session import table
 from ..sources import line_index
 from .bindings import L, lines
@@ -229,5 +229,5 @@ def containing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT wanted, name, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY score DESC, name)::BIGINT AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def suggest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five words of documents that come closest to each word of benchmark texts."""
-    found = text.suggest(_words(spark, sf_dir, "documents", "name"), _words(spark, sf_dir, "benchmark", "wanted"))
+    found = text.suggest(kept(_words(spark, sf_dir, "documents", "name"), "words"), kept(_words(spark, sf_dir, "benchmark", "wanted"), "words"))
     return found.select("wanted", "name", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -120,3 +120,10 @@ def test_indexed_search_equals_the_scan(spark, tmp_path, monkeypatch):
     assert line_index.search(spark, str(tmp_path / "i"), "|").collect() == []
     total, tested = docs.count(), line_index.candidates(spark, str(tmp_path / "i"), "MIT License").count()
     assert 0 < tested < total / 3
+
+
+def test_likeness_is_dealt_over_all_partitions_and_only_the_best_of_each_source_are_shuffled(spark, words):
+    names, wanted = frames(spark, words)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [key" in plan(grams.near(names, wanted))
+    assert plan(text.suggest(names, wanted)).count("WindowGroupLimit [") == 4

@@ -25,6 +25,7 @@ from .code import FACTS, Code, extract, listing, read_files
 from .versions import Conflict, exists
 
 MOST_SEGMENTS = 8  # a version with more is folded into one segment
+TASK_FILES = 1_000  # that one task parses, about
 ATTEMPTS = 5  # at a version, where other writers come first
 SEEN = "path string, content_hash string, mtime_ms long, length long"
 TOUCHED = "path string"
@@ -236,7 +237,9 @@ def _apply(spark: SparkSession, files: DataFrame, path: str, listed: DataFrame |
         if counts["replaced"] or deleted:
             touched.select("path", F.lit(None).cast("long").alias("place")).write.parquet(f"{at}/tombs")
             tables.append("tombs")
-        open_files = files.join(parsed.select("path", "content_hash"), ["path", "content_hash"], "left_semi").dropDuplicates(["path"])
+        open_files = files.join(parsed.select("path", "content_hash"), ["path", "content_hash"], "left_semi")
+        # A number is given, else adaptive execution makes a few tasks of the short texts, however long their parsing takes.
+        open_files = open_files.repartition(-(-counts["parsed"] // TASK_FILES) or 1, "path").dropDuplicates(["path"])
         extract(open_files).write.parquet(f"{at}/_facts")
         clustered.write(spark.read.schema(FACTS).parquet(f"{at}/_facts"), "path", f"{at}/facts")
         fresh = Code(spark.read.schema(FACTS).parquet(f"{at}/facts"))

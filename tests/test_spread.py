@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import commands, packs, rules
 from tessera.operators.cut import spread
-from tessera.plans import rule_tree
+from tessera.plans import rule_tree, tree_queries
 from tessera.sources import code
 
 DATA = "/root/testdata/sf0.01"
@@ -18,6 +18,18 @@ def test_rows_are_dealt_and_filters_stay_behind(spark):
     assert rule_tree.tree(spark, DATA).rdd.getNumPartitions() > 1
 
 
+def test_files_of_suppliers_are_dealt_and_parsed_once(spark, tmp_path):
+    for name in ("region", "nation"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    few = spark.read.parquet(f"{DATA}/supplier.parquet").limit(50)
+    copies = few.crossJoin(spark.range(50)).withColumn("s_suppkey", F.col("s_suppkey") + 1_000 * F.col("id")).drop("id")
+    copies.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    files = tree_queries.tree(spark, str(tmp_path)).where("path LIKE '%Supplier%'")
+    assert files.count() == 2500 and files.select(F.spark_partition_id()).distinct().count() == 3
+    asked = commands.api(tree_queries.base(spark, str(tmp_path)), "trade")
+    assert "MapInArrow" not in asked._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rules_on_text_parse_nothing_and_security_parses_files_with_hits(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     base = rule_tree.base(spark, DATA)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import erase, package_of, simple_name
 from ..sources.code import Code
+from .cut import wide
 from .resolve import resolve_markers
 
 #: Suffixes taken from a caller's name before a reflective target is built.
@@ -46,15 +47,15 @@ def _by_results(edges: DataFrame, known_members: DataFrame, declared: DataFrame,
     the class of that result; the first by name of several."""
     results = known_members.where(F.endswith("member", F.lit("()"))).select(F.col("owner").alias("callee_class"), F.expr("left(member, length(member) - 2)").alias("callee_method"), F.col("type").alias("__result")).distinct()
     mates = edges.where("callee_class <> '?'")
-    known = mates.join(results, ["callee_class", "callee_method"]).select(*PLACE, "__result").distinct()
+    known = mates.join(wide(results), ["callee_class", "callee_method"]).select(*PLACE, "__result").distinct()
     fits = declared.select(F.col("class_name").alias("__result"), F.col("name").alias("callee_method")).distinct()
     asked = edges.where("callee_class = '?'").select(*PLACE, "callee_method").distinct()
-    found = asked.join(known, PLACE).join(fits, ["__result", "callee_method"], "left_semi").groupBy(*PLACE, "callee_method").agg(F.min("__result").alias("__result"))
-    looked = edges.join(found, [*PLACE, "callee_method"], "left")
+    found = asked.join(wide(known), PLACE).join(wide(fits), ["__result", "callee_method"], "left_semi").groupBy(*PLACE, "callee_method").agg(F.min("__result").alias("__result"))
+    looked = edges.join(wide(found), [*PLACE, "callee_method"], "left")
     chosen = F.when(F.col("callee_class") == "?", F.coalesce("__result", F.lit("?"))).otherwise(F.col("callee_class"))
     if trace:
         through = mates.groupBy(*PLACE).agg(F.collect_set(F.concat("callee_class", F.lit("."), "callee_method", F.lit("()"))).alias("__mates"))  # calls of one line
-        looked = looked.join(through, PLACE, "left")
+        looked = looked.join(wide(through), PLACE, "left")
         more = F.when(F.col("callee_class") == "?", F.concat(F.coalesce("__mates", F.array().cast("array<string>")), F.array(F.concat(F.lit("*."), "callee_method")))).otherwise(F.array().cast("array<string>"))
         looked = looked.withColumn("uses", F.concat("uses", more))
     return looked.withColumn("callee_class", chosen).select(*edges.columns)
@@ -104,15 +105,15 @@ def resolve_raw(raw: DataFrame, known_members: DataFrame, declared: DataFrame, t
     plain = raw.where(F.instr("callee_class", "?") <= 1)
     distinct = marked.select("callee_class").distinct().select("callee_class", F.substring_index("callee_class", "?", 1).alias("owner"), F.regexp_extract("callee_class", r"^[^?]*(\?.*)$", 1).alias("marker"))
     known = resolve_markers(distinct, known_members, trace=trace).select("callee_class", F.col("type").alias("__type"), *([F.col("trace").alias("__trace")] if trace else []))
-    looked = marked.join(known, "callee_class", "left").withColumn("callee_class", F.coalesce("__type", F.lit("?")))
+    looked = marked.join(wide(known), "callee_class", "left").withColumn("callee_class", F.coalesce("__type", F.lit("?")))
     if trace:
         looked = looked.withColumn("uses", F.coalesce("__trace", "uses"))
     edges = plain.unionByName(looked.select(*plain.columns))
     edges = _by_results(edges, known_members, declared, trace)
     owners = declared.groupBy(F.col("name").alias("callee_method")).agg(F.countDistinct("class_name").alias("__n"), F.min("class_name").alias("__only")).where("__n = 1").drop("__n")
-    edges = edges.join(owners, "callee_method", "left").withColumn("callee_class", F.when((F.col("callee_class") == "?") & F.col("__only").isNotNull(), F.col("__only")).otherwise(F.col("callee_class"))).drop("__only")
+    edges = edges.join(wide(owners), "callee_method", "left").withColumn("callee_class", F.when((F.col("callee_class") == "?") & F.col("__only").isNotNull(), F.col("__only")).otherwise(F.col("callee_class"))).drop("__only")
     arities = declared.groupBy(F.col("class_name").alias("callee_class"), F.col("name").alias("callee_method")).agg(F.collect_set("param_count").alias("__arities"))
-    edges = edges.join(arities, ["callee_class", "callee_method"], "left")
+    edges = edges.join(wide(arities), ["callee_class", "callee_method"], "left")
     arity = F.when(F.array_contains("__arities", F.col("arg_count")), F.col("arg_count")).otherwise(F.coalesce(F.array_min("__arities"), F.lit(-1)))
     out = edges.select("caller_class", "caller_method", "caller_arity", "callee_class", "callee_method", arity.alias("callee_arity"), "line", "path", *([F.concat("uses", F.array(F.concat("callee_class", F.lit("."), "callee_method", F.lit("#")))).alias("uses")] if trace else []))
     return out.distinct() if not trace else out.groupBy([c for c in out.columns if c != "uses"]).agg(F.array_distinct(F.flatten(F.collect_set("uses"))).alias("uses"))

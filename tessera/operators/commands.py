@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..sources.code import Code
 from . import calls, diff, graph, packs, rank, rules, text
+from .cut import wide
 
 COMMANDS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -739,37 +740,43 @@ def _on_lines(base: CodeBase) -> DataFrame:
     edt = blocked.select(*lines.columns, F.lit("EDT_BLOCKING").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("Slow work in a listener").alias("message"), F.lit("class").alias("scope"))
     held = base.code.lines_of_files(("ThreadLocal",))
     local = held.groupBy("path").agg(F.min(F.when(F.contains("text", F.lit("ThreadLocal")), F.col("line_no"))).alias("at"), F.bool_or(F.contains("text", F.lit(".remove()"))).alias("removed")).where("at IS NOT NULL AND NOT removed").select("path", F.col("at").alias("line_no"))
-    held = held.join(local, ["path", "line_no"], "left_semi").select(*lines.columns, F.lit("THREADLOCAL_LEAK").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("A thread's value that is not removed").alias("message"), F.lit("file").alias("scope"))
+    held = held.join(wide(local), ["path", "line_no"], "left_semi").select(*lines.columns, F.lit("THREADLOCAL_LEAK").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit("").alias("category"), F.lit("A thread's value that is not removed").alias("message"), F.lit("file").alias("scope"))
     return looped.unionAll(whole).unionAll(leak).unionAll(edt).unionAll(held)
 
 
+def _is_long(start: str) -> Column:
+    span = F.col("end_line") - F.col(start)
+    return (span > packs.LARGE_METHOD) & (span < packs.IMPLAUSIBLE_METHOD)
+
+
 def _long(base: CodeBase) -> DataFrame:
-    span = F.col("end_line") - F.col("start_line")
-    own = base.code.methods.where((span > packs.LARGE_METHOD) & (span < packs.IMPLAUSIBLE_METHOD))
+    own = base.code.methods.where(_is_long("start_line"))
     return own.select("path", F.col("start_line").alias("line_no"), F.lit("LARGE_METHOD").alias("rule_id"), F.lit("A long method").alias("message")).distinct()
 
 
 def _from_facts(base: CodeBase) -> DataFrame:
     """Long methods and those that many methods call, at their first lines."""
-    own = base.code.methods.select("path", F.col("start_line").alias("line_no"), F.col("class_name").alias("callee_class"), F.col("name").alias("callee_method"))
+    of = lambda t, m: F.struct(m["start_line"].alias("line_no"), m["end_line"].alias("end_line"), t["name"].alias("callee_class"), m["name"].alias("callee_method"))
+    own = base.code.lines_told(F.flatten(F.transform("types", lambda t: F.transform(t["methods"], lambda m: of(t, m)))))
     often = base.edges.groupBy("callee_class", "callee_method").agg(F.countDistinct("caller_class", "caller_method", "caller_arity").alias("n")).where(F.col("n") > packs.HOT_METHOD)
-    hot = own.join(often, ["callee_class", "callee_method"], "left_semi").select("path", "line_no", F.lit("HOT_METHOD"), F.lit("A method that very many methods call"))
-    found = _long(base).unionAll(hot).distinct().withColumns({"severity": F.lit("INFO"), "category": F.lit(""), "scope": F.lit("index")})
-    return base.code.lines.join(found, ["path", "line_no"])
+    hot = own.join(wide(often), ["callee_class", "callee_method"], "left_semi")
+    told = lambda df, rule, message: df.select(*base.code.lines.columns, F.lit(rule).alias("rule_id"), F.lit(message).alias("message"))
+    found = told(own.where(_is_long("line_no")), "LARGE_METHOD", "A long method").unionAll(told(hot, "HOT_METHOD", "A method that very many methods call"))
+    return found.distinct().withColumns({"severity": F.lit("INFO"), "category": F.lit(""), "scope": F.lit("index")})
 
 
 def _deep(base: CodeBase, levels: int) -> DataFrame:
     """Hits in methods that calls in loops reach, each rule once for a method, with the calls that lead there; always critical."""
-    in_loop = base.code.lines.where("in_loop").select("path", F.col("line_no").alias("line"))
-    called = base.edges.join(in_loop, ["path", "line"], "left_semi")
+    in_loop = base.code.facts.select("path", F.explode("loop_lines").alias("line"))
+    called = base.edges.join(wide(in_loop), ["path", "line"], "left_semi")
     caller, callee = calls.node("caller_class", "caller_method", "caller_arity"), calls.node("callee_class", "callee_method", "callee_arity")
     reached = graph.witnesses(base.graph, called.select(callee.alias("node"), F.array(caller, callee).alias("path")).distinct(), max(0, levels - 1))
     reached = reached.withColumnRenamed("path", "call_path")
-    spans = base.code.methods.select("path", "start_line", "end_line", calls.node("class_name", "name", "param_count").alias("node")).join(reached, "node")
-    scans = base.code.statements.where("kind = 'linear_scan'").select("path", F.col("line").alias("line_no")).distinct()
-    scans = base.code.lines.join(scans, ["path", "line_no"], "left_semi").withColumns({"rule_id": F.lit("LINEAR_SCAN"), "severity": F.lit("CRITICAL"), "category": F.lit(""), "message": F.lit("A loop that looks for one thing")})
+    spans = base.code.methods.select("path", "start_line", "end_line", calls.node("class_name", "name", "param_count").alias("node")).join(wide(reached), "node")
+    searching = F.transform(F.filter("statements", lambda s: s["kind"] == "linear_scan"), lambda s: F.struct(s["line"].alias("line_no")))
+    scans = base.code.lines_told(F.array_distinct(searching)).withColumns({"rule_id": F.lit("LINEAR_SCAN"), "severity": F.lit("CRITICAL"), "category": F.lit(""), "message": F.lit("A loop that looks for one thing")})
     listed = rules.scan(base.code.lines, packs.PERFORMANCE)
-    hits = listed.unionAll(scans.select(*listed.columns)).alias("h").join(spans.alias("s"), (F.col("h.path") == F.col("s.path")) & F.col("h.line_no").between(F.col("s.start_line"), F.col("s.end_line"))).select("h.*", "s.node", "s.call_path")
+    hits = listed.unionAll(scans.select(*listed.columns)).alias("h").join(wide(spans.alias("s")), (F.col("h.path") == F.col("s.path")) & F.col("h.line_no").between(F.col("s.start_line"), F.col("s.end_line"))).select("h.*", "s.node", "s.call_path")
     first = rank.top_within(hits, ["node", "rule_id"], 1, F.asc("line_no"))
     return first.withColumn("severity", F.lit("CRITICAL")).withColumn("scope", F.concat(F.lit("called from a loop: "), F.col("node")))
 

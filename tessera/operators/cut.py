@@ -36,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts both and never sends df whole through the driver. For what grows with the input: by
+    the sizes of compressed files, rows of exploded facts not counted, Spark would take hundreds of megabytes for ten."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, key: str, rows: int = 1000) -> DataFrame:
     """The same rows dealt by key into parts of about `rows`, where each row stands for much work: a table of short rows
     is often one part, whatever their number. Lineage is cut, else the optimiser moves filters on that work before the dealing."""

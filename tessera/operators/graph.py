@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, wide
 
 #: The most levels a closure follows and the most edges of a listed chain.
 MAX_LEVELS, MAX_CHAIN = 30, 20
@@ -56,8 +56,8 @@ def witnesses(edges: DataFrame, seeds: DataFrame, max_levels: int = MAX_LEVELS)
     steps = edges.select("src", "dst")
     frontier = visited = cut(seeds.groupBy("node").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("path")))
     for _ in range(max_levels):
-        grown = steps.join(frontier.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        frontier = cut(grown.join(visited, "node", "left_anti").select("node", F.array_append("path", F.col("node")).alias("path")))
+        grown = steps.join(wide(frontier.withColumnRenamed("node", "src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        frontier = cut(grown.join(wide(visited), "node", "left_anti").select("node", F.array_append("path", F.col("node")).alias("path")))
         if frontier.isEmpty():
             break
         visited = cut(visited.unionByName(frontier))

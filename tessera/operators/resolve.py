@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, wide
 
 #: Fixed value: the most passes over the markers.
 MAX_PASSES = 5
@@ -27,7 +27,7 @@ def resolve_markers(markers: DataFrame, members: DataFrame, passes: int = MAX_PA
         if trace:
             asked = F.when(F.col("__member").isNotNull() & (F.col("__at") != "?"), F.array(F.concat_ws(".", "__at", "__member"))).otherwise(F.array().cast("array<string>"))
             keyed = keyed.withColumn("trace", F.concat("trace", asked))
-        looked = keyed.join(known.select(F.col("owner").alias("__at"), F.col("member").alias("__member"), "__type"), ["__at", "__member"], "left")
+        looked = keyed.join(wide(known.select(F.col("owner").alias("__at"), F.col("member").alias("__member"), "__type")), ["__at", "__member"], "left")
         state = looked.select(
             *markers.columns,
             "trace",

@@ -148,6 +148,14 @@ class Code:
         holds = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains("content", w))
         return self._noted(self.facts.where(holds))
 
+    def lines_told(self, told: Column) -> DataFrame:
+        """The lines that some facts of their file stand for: a row for each struct of the array `told` with a line in
+        line_no, its other fields beside the columns of `lines`. No join: text and facts stand in one row."""
+        facts = self.facts.withColumn("__told", told).where(F.size("__told") > 0)
+        met = self._noted(facts, "__told").withColumn("__told", F.explode(F.filter("__told", lambda x: x["line_no"] == F.col("line_no"))))
+        others = [f.name for f in met.schema["__told"].dataType if f.name != "line_no"]
+        return met.select(*self.lines.columns, *(f"__told.{c}" for c in others))
+
     def narrowed(self, holds: Column) -> Code:
         """The same of the files whose content passes a test."""
         if self.files is None:
@@ -156,9 +164,9 @@ class Code:
         return Code(extract(files), files)
 
     @staticmethod
-    def _noted(facts: DataFrame) -> DataFrame:
+    def _noted(facts: DataFrame, *also: str) -> DataFrame:
         noted = lambda c: F.array_contains(c, F.col("line_no"))
-        return lines_of(facts, also=("comment_lines", "loop_lines")).select("path", "line_no", "text", noted("comment_lines").alias("in_comment"), noted("loop_lines").alias("in_loop"))
+        return lines_of(facts, also=("comment_lines", "loop_lines", *also)).select("path", "line_no", "text", noted("comment_lines").alias("in_comment"), noted("loop_lines").alias("in_loop"), *also)
 
     def types_of(self, simple: str) -> DataFrame:
         return self.types.where(F.col("name") == simple)

@@ -719,11 +719,13 @@ def _located(base: CodeBase, found: DataFrame, within: Code | None = None) -> Da
 
 
 @command("perf")
-def perf(base: CodeBase, deep: int = 0) -> DataFrame:
+def perf(base: CodeBase, deep: int = 0, index: bool = True) -> DataFrame:
     """Rules on lines in loops and on whole classes; with deep, also in methods called from loops up to so many calls
-    away, each with a shortest call path from the method with the loop to the method of the line."""
-    lines = base.code.lines
-    found = _on_lines(base).unionAll(_from_facts(base).select(*lines.columns, "rule_id", "severity", "category", "message", "scope"))
+    away, each with a shortest call path from the method with the loop to the method of the line. With index, also long
+    methods and those that very many call, which facts tell without the source: what is said of a method whose text is not there."""
+    found = _on_lines(base)
+    if index:
+        found = found.unionAll(_from_facts(base).select(*found.columns))
     found = found.withColumn("call_path", F.lit(None).cast("array<string>"))
     return found.unionAll(_deep(base, deep).select(*found.columns)) if deep else found
 

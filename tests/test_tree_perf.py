@@ -23,3 +23,10 @@ def test_rows_equal_the_sql_beyond_the_callers_of_a_hot_method(spark, tmp_path):
     assert len(want) == 6 * (packs.HOT_METHOD + 1) and sorted(got) == sorted(want)
     indexed = commands.perf(tree_queries.base(spark, str(tmp_path))).where("scope = 'index'")
     assert {r.rule_id for r in indexed.collect()} == {"HOT_METHOD"}
+
+
+def test_no_side_of_a_join_is_broadcast(spark):
+    base = tree_queries.base(spark, DATA)
+    asked = [catalogue.queries()["tree_perf"](spark, DATA), commands.perf(base)]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in asked]
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
